@@ -32,7 +32,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     record = F.explode(
         F.regexp_extract_all(F.regexp_replace("value", "\r", ""), F.lit(r"(@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*)(?:\n|$)"), F.lit(1))
     )
-    lines = rows.select(F.split(record, "\n").alias("l"))
+    lines = rows.select(record.alias("r")).select(F.split("r", "\n").alias("l"))
     seq, qual = F.translate(F.get("l", 1), "Uu", "Tt"), F.get("l", 3)
     fits = F.length(seq) == F.length(qual)
     return lines.select(
