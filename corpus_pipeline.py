@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, jaccard_join, langid, mixing, quality, secret_scan
 from strandloom.llm.tables import Workspace
+from strandloom.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose main language has a smaller share of its letters is rejected, as is one without letters.
@@ -20,6 +21,7 @@ LEAST_SHARE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; the model learns from rows with a language outside every third fold."""
+    ship(spark)
     model = langid.train(docs, quality.fold(F.col("doc_id"), 3) != 1)
     found = langid.identify(docs, model, keep=COLUMNS, spans=False)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
@@ -27,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each component of the exact n-gram Jaccard join."""
+    ship(spark)
     return jaccard_join.keep_one_of_each(docs).select(*COLUMNS)
 
 
@@ -43,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the hashes of the ids and of the decoded bytes, a row for each taken copy."""
+    ship(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
 
