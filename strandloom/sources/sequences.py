@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 READS = "name string, comment string, seq string, qual string, len int"
@@ -22,21 +25,60 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*_header(head), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), F.length(seq).alias("len"))
 
 
+_PIECE = "file string, block long, half int, record string"
+
+
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records (half 0) of pieces cut at every line that begins with @.
+
+    A piece of three lines lacks its quality, which began with @ and is the next piece.  Where a split ends
+    between the two they leave as halves: 1 without quality, 2 the quality.
+    """
+    held, place = None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for file, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, block) != place:
+                if held is not None:
+                    out.append((*place, 1, held))
+                held, place = None, (file, block)
+            value = value.replace("\r", "")
+            if held is not None:
+                value, held = f"{held}\n@{value}", None
+            lines = value.rstrip("\n").count("\n") + 1
+            if not value.strip():
+                continue
+            if lines == 3:
+                held = value.rstrip("\n")
+            else:
+                out.append((file, block, 0 if lines >= 4 else 2, value))
+        yield _pieces(out)
+    if held is not None:
+        yield _pieces([(*place, 1, held)])
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "block", "half", "record"])
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of FASTQ files of four lines each; a record whose quality has another length has a null seq.
 
-    Records are cut at a line break that a header line and, two lines on, a plus sign follow, so an @ that
-    begins a quality line starts no record.
+    Files are split.  A quality line that begins with @ starts no record, even where a split ends before it:
+    the two halves of such a record, at most one a split, are put together by their places in the file.
     """
-    rows = spark.read.option("wholetext", True).text(path)
-    record = F.explode(
-        F.regexp_extract_all(F.regexp_replace("value", "\r", ""), F.lit(r"(@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*)(?:\n|$)"), F.lit(1))
-    )
-    lines = rows.select(record.alias("r")).select(F.split("r", "\n").alias("l"))
+    pieces = spark.read.option("lineSep", "\n@").text(path)
+    joined = pieces.select("_metadata.file_path", "_metadata.file_block_start", "value").mapInArrow(_join_pieces, _PIECE)
+    order = Window.partitionBy("file").orderBy("block", F.desc("half"))
+    halves = joined.where("half > 0").withColumn("before", F.when(F.lag("half").over(order) == 1, F.lag("record").over(order)))
+    mended = halves.where("half = 2 AND before IS NOT NULL").select(F.concat_ws("\n@", "before", "record").alias("record"))
+    lines = joined.where("half = 0").select("record").unionByName(mended).select(F.split("record", "\n").alias("l"))
     seq, qual = F.translate(F.get("l", 1), "Uu", "Tt"), F.get("l", 3)
     fits = F.length(seq) == F.length(qual)
     return lines.select(
-        *_header(F.substring(F.get("l", 0), 2, 1 << 30)), F.when(fits, seq).alias("seq"), F.when(fits, qual).alias("qual"), F.length(seq).alias("len")
+        *_header(F.regexp_replace(F.get("l", 0), "^@", "")), F.when(fits, seq).alias("seq"), F.when(fits, qual).alias("qual"), F.length(seq).alias("len")
     )
 
 

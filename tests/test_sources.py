@@ -18,6 +18,20 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert [(r.name, r.seq, r.qual, r.f) for r in rows] == [("q1/1", "ACGT", "@III", "q1"), ("q2", None, None, "q2")]
 
 
+def test_fastq_splits_anywhere(spark, tmp_path):
+    rows = [(f"r{i}", "ACGT" * (i % 5 + 1), ("@" if i % 2 else "I") * 4 * (i % 5 + 1)) for i in range(200)]
+    (tmp_path / "c.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in rows))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = sequences.read_fastq(spark, str(tmp_path / "c.fq")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.name, r.seq, r.qual) for r in found) == sorted(rows)
+
+
 def test_bed_introns(spark, tmp_path):
     (tmp_path / "a.bed").write_text("track x\nchr1\t10\t100\tt1\t0\t+\t10\t100\t0\t3\t10,20,5,\t0,30,85,\nchr1\t5\t9\n")
     found = intervals.introns(intervals.bed_blocks(sequences.read_bed(spark, str(tmp_path / "a.bed"))))
