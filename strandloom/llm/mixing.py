@@ -68,6 +68,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     )
 
 
+def _plan(df: DataFrame, keep: list[str], key: str, text: str, source: str, weights: tuple[int, ...], max_repeats: int, seed: str) -> DataFrame:
+    """``keep`` and m_size, m_source_size, m_target and m_copies of every row."""
+    size, own = word_count(F.col(f"`{text}`")), [F.col(f"`{c}`") for c in keep]
+    sized = df.select(*own, F.col(f"`{source}`").alias("m_source"), uniform(F.col(f"`{key}`"), seed).alias("m_u"), size.alias("m_size"))
+    sizes = (
+        df.select(F.col(f"`{source}`").alias("source"), size.alias("m_size"))
+        .groupBy("source")
+        .agg(F.sum("m_size").alias("source_size"))
+    )
+    targets = source_targets(sizes, weights, max_repeats).select(
+        F.col("source").alias("m_name"), F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target")
+    )
+    joined = sized.join(targets, F.col("m_source").eqNullSafe(F.col("m_name")))
+    rate = F.when(F.col("m_source_size") > 0, F.col("m_target") / F.col("m_source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    copies = (whole + (F.col("m_u") < rate - whole).cast("long")).cast("long")
+    return joined.select(*own, "m_size", "m_source_size", "m_target", copies.alias("m_copies"))
+
+
 def plan_mix(
     df: DataFrame,
     key: str = "doc_id",
@@ -76,34 +95,27 @@ def plan_mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     seed: str = SEED,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: the key, ``keep`` columns, size, source_size, target and copies.
+    """Per row: the key, size, source_size, target and copies.
 
     Null text has size 0; null is a source of its own; a source without words has target 0 and no copies.
     Equal keys make equal choices.  Sizes are summed before any shuffle; the targets, one row for each
     source, are joined back without a size promise, so Spark broadcasts them only under its own threshold.
     """
-    sized = df.select(F.col(key), F.col(source).alias("m_source"), word_count(F.col(text)).alias("size"), *[F.col(c) for c in keep if c not in (key,)])
-    sizes = (
-        df.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-        .groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-    )
-    targets = source_targets(sizes, weights, max_repeats).withColumnRenamed("source", "t_source")
-    joined = sized.join(targets, F.col("m_source").eqNullSafe(F.col("t_source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = (whole + (uniform(F.col(key), seed) < rate - whole).cast("long")).cast("long")
-    return joined.select(key, *[c for c in keep if c not in (key,)], "size", "source_size", "target", copies.alias("copies"))
+    planned = _plan(df, [key], key, text, source, weights, max_repeats, seed)
+    return planned.select(key, *[F.col(f"m_{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
+def mix(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    max_repeats: int = MAX_REPEATS,
+    seed: str = SEED,
+) -> DataFrame:
     """The rows of ``df``, each repeated as ``plan_mix`` says, with its own columns only."""
-    names = df.columns
-    planned = plan_mix(df, keep=tuple(names), **options)
-    return (
-        planned.where(F.col("copies") > 0)
-        .withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-        .select(*names)
-    )
+    planned = _plan(df, df.columns, key, text, source, weights, max_repeats, seed)
+    repeated = planned.where(F.col("m_copies") > 0).withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), F.col("m_copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
