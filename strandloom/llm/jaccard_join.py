@@ -34,7 +34,7 @@ COUNT_WINDOW = 2_000_000
 #: Pairs of one block of the product, about.
 BLOCK_PAIRS = 2_000
 #: Rows of candidate ids up to which they are broadcast to the scan of the texts; joined by shuffle beyond.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -49,8 +49,8 @@ def min_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _row_name(key: str, text: str) -> Column:
-    """Text that leads back to a row: its key, or a hash of its text where the key is null."""
-    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    """Text that leads back to a row: its key and a hash of its text, as keys may be null or repeat."""
+    return F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.lit(":"), F.hex(F.xxhash64(F.col(f"`{text}`"))))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,19 +332,16 @@ def _count_pairs(pairs: DataFrame, total: int, docs: DataFrame, reps: DataFrame,
     )
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row.
-
-    Null and empty texts, and texts without words, have no shingles and are components of their own; so is a
-    row without links.  Rows of one key and different texts are treated as different documents of one name; null keys
-    never name a component unless all its keys are null.
-    """
+def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Workspace]:
+    """Rows (doc_id, row_name, n_shingles, cls), and (cls, root, component_id) of the classes with shingles."""
     spark = df.sparkSession
     work = Workspace(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), _row_name(key, text).alias("row_name"))
+    docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), _row_name(key, text).alias("row_name"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sized = work.stash(docs.mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long"), "sized")
+    sized = work.stash(
+        docs.select("doc_id", "text", "row_name").mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long"), "sized"
+    )
     reps = sized.where("n_shingles > 0").groupBy("cls").agg(F.min("row_name").alias("rep"), F.min("doc_id").alias("least_id"))
 
     order = spark.sparkContext.broadcast(frequent_shingles(docs.select("text")))
@@ -391,19 +388,42 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
         "root", F.coalesce("root", "cls")
     )
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    places = named.join(least, "root").select("cls", "component_id")
-    return sized.join(places, "cls", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return sized, named.join(least, "root").select("cls", "root", "component_id"), work
+
+
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row.
+
+    Null and empty texts, and texts without words, have no shingles and are components of their own; so is a
+    row without links.  Rows of one key and different texts are treated as different documents of one name; null keys
+    never name a component unless all its keys are null.
+    """
+    sized, places, _ = _placed(df, key, text)
+    linked = sized.where("n_shingles > 0").join(places, "cls").select("doc_id", "n_shingles", "component_id")
+    alone = sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that name their component: one document of each group stays.
+    """The rows of ``df`` without all but one of each component: the one of least key (null last), then text hash.
 
-    Of repeated keys in one component one row is kept.  Rows with a null key are kept.
+    A row that repeats the kept one, with its key and text, goes too; rows without words stay.
     """
-    found = jaccard_components(df, key, text)
-    lost = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return df.join(lost, key, "left_anti")
+    sized, places, work = _placed(df, key, text)
+    linked = sized.where("n_shingles > 0").join(places.select("cls", "root"), "cls")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_name")
+    counted = linked.groupBy("root", "doc_id", "row_name").agg(F.count("*").alias("n"))
+    first = counted.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.row_name").alias("kept"))
+    marked = counted.join(first, "root").withColumn("lost", F.col("row_name") != F.col("kept"))
+    marks = work.stash(
+        marked.where("lost OR n > 1").select(F.col("row_name").alias("j_name"), "lost").groupBy("j_name").agg(F.min("lost").alias("j_lost")), "marks"
+    )
+    total = marks.count()
+    named = df.withColumn("j_row", _row_name(key, text))
+    joined = named.join(F.broadcast(marks) if total <= BROADCAST_IDS else marks, F.col("j_row") == F.col("j_name"), "left")
+    kept = joined.where("j_lost IS NULL")
+    again = joined.where("NOT j_lost").dropDuplicates(["j_row"])
+    names = [F.col(f"`{c}`") for c in df.columns]
+    if marks.where("NOT j_lost").isEmpty():
+        return kept.select(*names)
+    return kept.select(*names).unionByName(again.select(*names))

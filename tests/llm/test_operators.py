@@ -323,6 +323,16 @@ def test_one_of_each_stays(spark):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def test_one_of_each_with_repeated_and_null_keys(spark):
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one_of_each(hard(spark)).collect()), key=repr)
+    texts = {r[1] for r in HARD}
+    assert {t for _, t in kept} == {t for t in texts if t != "Word"}
+    assert kept.count((2, "another text under the same key")) == 1 and kept.count((1, HARD[0][1])) == 1
+    assert (2, HARD[0][1]) not in kept and kept.count((None, "null key text one two three four")) == 1
+    twice = [(1, "a b c d e f", "en", "s", 1)] * 3
+    assert jaccard_join.keep_one_of_each(hard(spark, twice)).count() == 1
+
+
 # --- 7. media
 
 
