@@ -299,3 +299,34 @@ def chain_greedy(matches: DataFrame, band: int = 100, max_gap: int = 10000) -> D
         return pa.Table.from_pylist(rows, pa.schema(list(zip(names, kinds, strict=True))))
 
     return matches.groupBy("read_id", "rid", "rev").applyInArrow(run, schema)
+
+
+def keep_chains(qs: np.ndarray, qe: np.ndarray, weight: np.ndarray, mask: float = 0.5, drop: float = 0.5, min_seed: int = 19, max_gap: int = 10000) -> np.ndarray:
+    """Which of a read's chains stay, heaviest first: one that a kept, much heavier chain overlaps goes.
+
+    The overlap must be at least ``mask`` of the shorter, which must be below ``max_gap``; much heavier is by the
+    ratio ``drop`` and by two seeds.
+    """
+    kept: list[int] = []
+    for i in range(len(qs)):
+        for j in kept:
+            shared = min(qe[i], qe[j]) - max(qs[i], qs[j])
+            shorter = min(qe[i] - qs[i], qe[j] - qs[j])
+            if shared > 0 and shared >= shorter * mask and shorter < max_gap and weight[i] < weight[j] * drop and weight[j] - weight[i] >= 2 * min_seed:
+                break
+        else:
+            kept.append(i)
+    out = np.zeros(len(qs), bool)
+    out[kept] = True
+    return out
+
+
+def filter_chains(found: DataFrame, mask: float = 0.5, drop: float = 0.5) -> DataFrame:
+    """Greedy chains of each read without those that heavier ones make unlikely."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("weight", "descending"), ("rid", "ascending"), ("rev", "ascending"), ("rs", "ascending"), ("qs", "ascending")])
+        return table.filter(pa.array(keep_chains(*(table.column(k).to_numpy() for k in ("qs", "qe", "weight")), mask, drop)))
+
+    return found.groupBy("read_id").applyInArrow(run, fields)

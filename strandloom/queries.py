@@ -15,7 +15,7 @@ from strandloom.functions import cigar as cigars
 from strandloom.functions.sequence import code_array, complement
 from strandloom.jobs import mapping
 from strandloom.jobs.options import Options
-from strandloom.operators import chains, exact, hits, index, intervals, seeds, sketch
+from strandloom.operators import chains, exact, hits, index, intervals, scoring, seeds, sketch
 from strandloom.operators.composition import composition
 from strandloom.sources.sequences import sam_lines
 
@@ -382,3 +382,60 @@ def align_passages(spark: SparkSession, d: str) -> DataFrame:
             "t_bases": cigars.reference_length(F.col("cigar")),
         }
     )
+
+
+@_register(f"""WITH {q.mapped()}, n AS (SELECT m.read_id, m.rid, m.rev, m.qs, m.qe, m.rs, count(*) AS n_tot FROM m JOIN b ON b.rid = m.read_id AND b.pos - 14 >= m.qs AND b.pos + 1 <= m.qe GROUP BY ALL)
+SELECT m.read_id, m.rid, m.rev, m.qs, m.rs, cnt, n_tot, round(CASE WHEN cnt >= n_tot THEN 0.0 ELSE 1 - pow(CAST(cnt AS DOUBLE) / n_tot, 1.0 / 15) END, 6) AS div
+FROM m JOIN n ON n.read_id = m.read_id AND n.rid = m.rid AND n.rev = m.rev AND n.qs = m.qs AND n.qe = m.qe AND n.rs = m.rs""")
+def hit_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated divergence of every region from the minimizers that it matches."""
+    found = scoring.divergence(map_regions(spark, d), sketch.minimizers(_benchmark(spark, d), "item_id"), sketch.K)
+    return found.select("read_id", "rid", "rev", "qs", "rs", "cnt", "n_tot", F.round("div", 6).alias("div"))
+
+
+@_register(f"""WITH {q.mapped()}, n AS (SELECT x.read_id, x.rid, x.rev, x.qs, x.qe, x.rs, max(y.score) AS sub, CAST(sum(CASE WHEN x.score - y.score <= 11 THEN 1 ELSE 0 END) AS INTEGER) AS sub_n
+FROM m x JOIN m y ON y.read_id = x.read_id AND (x.rid, x.rev, x.qs, x.qe, x.rs) <> (y.rid, y.rev, y.qs, y.qe, y.rs) AND y.score <= x.score
+  AND (least(x.qe, y.qe) - greatest(x.qs, y.qs)) * 2 >= least(x.qe - x.qs, y.qe - y.qs) GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT m.read_id, m.rid, m.rev, m.qs, m.rs, m.score, coalesce(n.sub, 0) AS sub, coalesce(n.sub_n, 0) AS sub_n
+FROM m LEFT JOIN n ON n.read_id = m.read_id AND n.rid = m.rid AND n.rev = m.rev AND n.qs = m.qs AND n.qe = m.qe AND n.rs = m.rs""")
+def hit_rivals(spark: SparkSession, d: str) -> DataFrame:
+    """The best competing score of every region, and how many compete."""
+    return scoring.rivals(map_regions(spark, d)).select("read_id", "rid", "rev", "qs", "rs", "score", "sub", "sub_n")
+
+
+@_register()
+def mapq_short(spark: SparkSession, d: str) -> DataFrame:
+    """Short-read mapping quality of every region."""
+    return scoring.mapq_short(scoring.rivals(map_regions(spark, d)).withColumn("frac_rep", F.lit(0.0)))
+
+
+@_register(f"""WITH {q.mapped()}, l AS (SELECT doc_id AS rid, length(text) AS len FROM documents)
+SELECT m.read_id, concat_ws(chr(9), m.read_id, len.len, qs, qe, CASE WHEN rev THEN '-' ELSE '+' END, m.rid, l.len, rs, re, mlen, blen, 255) AS line
+FROM m JOIN len ON len.rid = m.read_id JOIN l ON l.rid = m.rid""")
+def paf_records(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.paf_lines(map_regions(spark, d), mapping.lengths(_benchmark(spark, d), "item_id"), mapping.lengths(_documents(spark, d), "doc_id"))
+
+
+@_register(f"""WITH {q.best()} SELECT read_id, string_agg(rid || ',' || CASE WHEN rev THEN '-' ELSE '+' END || (rs + 1) || ',' || (qe - qs) || 'M;', '' ORDER BY place) AS xa FROM best WHERE place > 1 GROUP BY 1""")
+def other_places(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark text's hits after the first, as one string."""
+    return scoring.other_places(map_passages(spark, d))
+
+
+@_register(f"{_EXACT} SELECT read_id, rid, rev, count(*) AS matches, CAST(sum(qend - qbeg) AS BIGINT) AS bases, max(qend - qbeg) AS longest FROM x GROUP BY 1, 2, 3")
+def match_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Exact matches of each benchmark text and document: their number, bases and longest."""
+    n = F.col("qend") - F.col("qbeg")
+    return _exact(spark, d).groupBy("read_id", "rid", "rev").agg(F.count("*").alias("matches"), F.sum(n).cast("long").alias("bases"), F.max(n).alias("longest"))
+
+
+@_register()
+def seed_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Exactly matched bases of every region."""
+    return scoring.seed_coverage(map_regions(spark, d), _exact(spark, d))
+
+
+@_register()
+def chain_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy chains without those that much heavier ones overlap."""
+    return chains.filter_chains(chain_greedy(spark, d))

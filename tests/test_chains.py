@@ -104,3 +104,19 @@ def test_interval_inside(spark):
     w = spark.createDataFrame([(1, 1, 100, 9000)], "window_id long, rid long, w_st int, w_en int")
     i = spark.createDataFrame([(1, 100, 200), (1, 50, 150), (1, 8990, 9000), (2, 100, 200)], "rid long, st int, en int")
     assert sorted(r.st for r in intervals.inside(i, w).collect()) == [100, 8990]
+
+
+def test_chain_filter_and_qualities(spark):
+    kept = chains.keep_chains(np.array([0, 10, 200, 5]), np.array([100, 90, 300, 95]), np.array([100, 40, 60, 90]))
+    assert kept.tolist() == [True, False, True, True]
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import scoring
+
+    rows = [(1, 1, False, 0, 100, 0, 100, 100, 0, 0, 0.0), (1, 2, False, 0, 100, 0, 100, 90, 90, 2, 0.0), (2, 1, False, 0, 100, 0, 100, 95, 60, 1, 0.5)]
+    df = spark.createDataFrame(rows, "read_id long, rid long, rev boolean, qs int, qe int, rs int, re int, score int, sub int, sub_n int, frac_rep double")
+    out = {(r.read_id, r.rid): r.mapq for r in scoring.mapq_short(df).collect()}
+    assert out[1, 1] == 60 and out[1, 2] == 0 and 0 < out[2, 1] < 60
+    inv = spark.createDataFrame([(1, 1, 0, 10, False, 50), (1, 1, 20, 30, True, 9), (1, 1, 40, 50, False, 20)], "read_id long, rid long, rs int, re int, inv boolean, mapq int")
+    assert [r.mapq for r in scoring.inversion_quality(inv).orderBy("rs").collect()] == [50, 20, 20]
+    assert df.select(scoring.alt_score(F.col("score")).alias("s")).first().s == 85
