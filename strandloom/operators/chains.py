@@ -77,6 +77,19 @@ def ranges(anchors: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     )
 
 
+def longest_stretch(anchors: DataFrame) -> DataFrame:
+    """(read_id, rid, rev, first_r, last_r, cnt, bases): of each read's anchors on one sequence and strand, the
+    stretch on one diagonal, with steps of at most a span, that covers most bases; the first of equals."""
+    line = Window.partitionBy("read_id", "rid", "rev", "diag").orderBy("rpos")
+    stepped = anchors.withColumn("diag", F.col("rpos") - F.col("qpos")).withColumn("step", F.col("rpos") - F.lag("rpos").over(line))
+    opened = stepped.withColumn("part", F.sum(F.when(F.col("step") <= F.col("span"), 0).otherwise(1)).over(line))
+    found = opened.groupBy("read_id", "rid", "rev", "diag", "part").agg(
+        F.min("rpos").alias("first_r"), F.max("rpos").alias("last_r"), F.count("*").cast("int").alias("cnt"), (F.max("rpos") - F.min("rpos") + F.max("span")).alias("bases")
+    )
+    best = F.max_by(F.struct("first_r", "last_r", "cnt", "bases"), F.struct("bases", -F.col("first_r"), -F.col("diag")))
+    return found.groupBy("read_id", "rid", "rev").agg(best.alias("b")).select("read_id", "rid", "rev", "b.*")
+
+
 def fast_log2(x: np.ndarray) -> np.ndarray:
     """log2 of numbers of at least 2, from the exponent and a quadratic in the mantissa, in float32."""
     bits = x.astype(np.float32).view(np.uint32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,3 +41,60 @@ def super_maximal(matches: DataFrame) -> DataFrame:
     inside = spans.select("read_id", "rev", F.col("qbeg").alias("i_s"), F.col("qend").alias("i_e"), F.col("own").alias("i_n"))
     met = outer.join(inside, ["read_id", "rev"]).where("i_s <= qbeg AND i_e >= qend")
     return met.groupBy("read_id", "rev", "qbeg", "qend").agg(F.sum("i_n").alias("occ"))
+
+
+def shorter_seeds(
+    begin: np.ndarray, end: np.ndarray, min_seed: int = MIN_SEED, long_from: int = 28, rare: int = 10, few: int = 20
+) -> list[tuple[int, int, int, int]]:
+    """(round, qbeg, qend, occ) of the second and third seeding rounds of one read's maximal matches.
+
+    ``begin`` and ``end`` have a row for every place of a match, so the occurrences of an interval are the rows
+    that cover it.  Round 2: a long, rare super-maximal match gives the longest interval around its middle that
+    occurs more often.  Round 3: from the left, the shortest interval longer than ``min_seed`` that occurs
+    fewer than ``few`` times, then on from its end.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    count = lambda s, e: int(((begin <= s) & (end >= e)).sum())
+    spans = sorted(set(zip(begin.tolist(), end.tolist(), strict=True)))
+    outer = [(s, e) for s, e in spans if not any((a <= s and b >= e) and (a, b) != (s, e) for a, b in spans)]
+    for s, e in outer:
+        more = count(s, e) + 1
+        if e - s < long_from or more > rare + 1:
+            continue
+        middle = (s + e) // 2
+        best: tuple[int, int] | None = None
+        for a in sorted({x for x, _ in spans if x <= middle}):
+            reach = np.sort(end[(begin <= a) & (end > middle)])[::-1]
+            if len(reach) >= more and (best is None or reach[more - 1] - a > best[1] - best[0]):
+                best = (a, int(reach[more - 1]))
+        if best and best[1] - best[0] >= min_seed:
+            out.append((2, *best, count(*best)))
+    at, last = 0, int(end.max()) if len(end) else 0
+    while at < last:
+        reach = np.sort(end[begin <= at])[::-1]
+        stop = at + min_seed + 1
+        if len(reach) >= few:
+            stop = max(stop, int(reach[few - 1]) + 1)
+        times = count(at, stop)
+        if times:
+            out.append((3, at, stop, times))
+            at = stop
+        else:
+            later = begin[begin > at]
+            at = int(later.min()) if len(later) else last
+    return out
+
+
+def reseed(matches: DataFrame, min_seed: int = MIN_SEED) -> DataFrame:
+    """(read_id, rev, round, qbeg, qend, occ): second- and third-round seeds of each read and strand."""
+    schema = "read_id long, rev boolean, round int, qbeg int, qend int, occ int"
+    kinds = [pa.int64(), pa.bool_(), *[pa.int32()] * 4]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        key = [table.column(k)[0].as_py() for k in ("read_id", "rev")]
+        found = shorter_seeds(table.column("qbeg").to_numpy(), table.column("qend").to_numpy(), min_seed)
+        rows = [dict(zip(names, (*key, *x), strict=True)) for x in found]
+        return pa.Table.from_pylist(rows, pa.schema(list(zip(names, kinds, strict=True))))
+
+    return matches.select("read_id", "rev", "qbeg", "qend").groupBy("read_id", "rev").applyInArrow(run, schema)

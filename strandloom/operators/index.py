@@ -61,3 +61,14 @@ def write_index(minimizers: DataFrame, table: str, buckets: int) -> None:
 
 def read_index(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
+
+
+def mark_alternative(contigs: DataFrame, names: DataFrame) -> DataFrame:
+    """Contigs (name, ...) with is_alt: whether the list (name) has them."""
+    listed = names.select("name").distinct().withColumn("a_listed", F.lit(True))
+    return contigs.join(listed, "name", "left").withColumn("is_alt", F.coalesce("a_listed", F.lit(False))).drop("a_listed")
+
+
+def duplicate_names(contigs: DataFrame) -> DataFrame:
+    """(name, n) of names that more than one contig has; a name must lead to one contig."""
+    return contigs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")

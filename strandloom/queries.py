@@ -439,3 +439,33 @@ def seed_coverage(spark: SparkSession, d: str) -> DataFrame:
 def chain_filter(spark: SparkSession, d: str) -> DataFrame:
     """Greedy chains without those that much heavier ones overlap."""
     return chains.filter_chains(chain_greedy(spark, d))
+
+
+@_register(f"""WITH {q.anchors()}, s AS (SELECT *, rpos - qpos AS diag, rpos - lag(rpos) OVER (PARTITION BY read_id, rid, rev, rpos - qpos ORDER BY rpos) AS step FROM a),
+o AS (SELECT *, sum(CASE WHEN step <= 15 THEN 0 ELSE 1 END) OVER (PARTITION BY read_id, rid, rev, diag ORDER BY rpos) AS part FROM s),
+g AS (SELECT read_id, rid, rev, diag, min(rpos) AS first_r, max(rpos) AS last_r, CAST(count(*) AS INTEGER) AS cnt, max(rpos) - min(rpos) + 15 AS bases FROM o GROUP BY read_id, rid, rev, diag, part)
+SELECT read_id, rid, rev, first_r, last_r, cnt, bases FROM (SELECT *, row_number() OVER (PARTITION BY read_id, rid, rev ORDER BY bases DESC, first_r, diag) AS n FROM g) WHERE n = 1""")
+def longest_stretch(spark: SparkSession, d: str) -> DataFrame:
+    return chains.longest_stretch(mapping.seed_anchors(_sides(spark, d)))
+
+
+@_register("WITH n AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT name, n FROM n WHERE name IS NOT NULL")
+def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that several contigs bear, a document's source standing for its name."""
+    return index.duplicate_names(_documents(spark, d).where("source IS NOT NULL").select(F.col("source").alias("name")))
+
+
+@_register("SELECT l.lang AS name, count(*) AS n, bool_or(o.lang IS NOT NULL) AS is_alt FROM documents l LEFT JOIN (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY 1 HAVING count(*) < (SELECT count(*) FROM documents) / 8.0) o ON o.lang = l.lang WHERE l.lang IS NOT NULL GROUP BY 1")
+def alternative_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs that a list names: here the list is the languages of fewer than an eighth of the documents."""
+    named = _documents(spark, d).select(F.col("lang").alias("name"))
+    sizes = named.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+    total = named.agg(F.count("*").alias("total"))
+    listed = sizes.join(F.broadcast(total)).where("n < total / 8.0")
+    return index.mark_alternative(sizes, listed).select("name", "n", "is_alt")
+
+
+@_register()
+def reseed_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Second- and third-round seeds of the benchmark texts."""
+    return exact.reseed(_exact(spark, d))

@@ -120,3 +120,26 @@ def test_chain_filter_and_qualities(spark):
     inv = spark.createDataFrame([(1, 1, 0, 10, False, 50), (1, 1, 20, 30, True, 9), (1, 1, 40, 50, False, 20)], "read_id long, rid long, rs int, re int, inv boolean, mapq int")
     assert [r.mapq for r in scoring.inversion_quality(inv).orderBy("rs").collect()] == [50, 20, 20]
     assert df.select(scoring.alt_score(F.col("score")).alias("s")).first().s == 85
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_reseeding_intervals_occur_as_said(seed):
+    from strandloom.operators.exact import shorter_seeds
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 60))
+    begin = rng.integers(0, 60, n)
+    end = begin + rng.integers(15, 60, n)
+    count = lambda s, e: int(((begin <= s) & (end >= e)).sum())
+    found = shorter_seeds(begin, end, few=6)
+    for kind, s, e, occ in found:
+        assert occ == count(s, e) > 0 and e - s >= 19
+        if kind == 3:
+            assert occ < 6 and (e - s == 20 or count(s, e - 1) >= 6)
+    third = [x for x in found if x[0] == 3]
+    assert all(a[2] <= b[1] for a, b in zip(third, third[1:], strict=False))
+    for kind, s, e, occ in found:
+        if kind == 2:  # no longer interval around the same middle occurs as often
+            for a in range(s + 1):
+                for b in range(e, int(end.max()) + 1):
+                    assert (a, b) == (s, e) or count(a, b) < occ or b - a <= e - s
