@@ -93,3 +93,37 @@ def align_hits(found: DataFrame, queries: DataFrame, q_key: str, references: Dat
     cut = spans.join(r, "rid").withColumn("t", F.expr(f"substring(r_text, rs + 1, length(q) + {pad})")).drop("r_text")
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
     return align.align_fragments(cut, ("read_id", "place", "rid", "qs", "rs"), mode="extend", scoring=scoring)
+
+
+def align_chains(
+    found: DataFrame, anchors: DataFrame, queries: DataFrame, q_key: str, references: DataFrame, r_key: str, pad: int = 64, options: Options = Options()  # noqa: B008
+) -> DataFrame:
+    """Whole-query alignments of hits through their chains' anchors, on either strand.
+
+    A hit's anchors are those of its diagonal within it, at most the query's minimizers.  Windows of the
+    references are cut where these are read.  ``t_start`` and ``t_end`` are places in the reference.
+    """
+    key = ["read_id", "rid", "rev", "rs", "re"]
+    diagonal = F.when(F.col("rev"), F.col("rs") - (F.col("len") - F.col("qe"))).otherwise(F.col("rs") - F.col("qs"))
+    placed = found.join(lengths(queries, q_key).withColumnRenamed("rid", "read_id"), "read_id").withColumn("h_diag", diagonal)
+    inside = placed.join(anchors, ["read_id", "rid", "rev"]).where("rpos - qpos = h_diag AND rpos >= rs AND rpos < re")
+    begin = F.greatest(F.lit(0), F.col("h_diag") - pad)
+    gathered = inside.groupBy(*key, "len", "place", "h_diag").agg(F.sort_array(F.collect_list(F.struct(F.col("qpos").alias("q"), F.col("rpos").alias("t")))).alias("points"))
+    q = queries.select(F.col(q_key).alias("read_id"), F.col("text").alias("q"))
+    r = references.select(F.col(r_key).alias("rid"), F.col("text").alias("r_text"))
+    cut = (
+        gathered.withColumn("t_from", begin)
+        .join(q, "read_id")
+        .join(r, "rid")
+        .withColumn("t", F.expr(f"substring(r_text, t_from + 1, len + {2 * pad})"))
+        .withColumn("points", F.transform("points", lambda p: F.struct(p["q"].alias("q"), (p["t"] - F.col("t_from")).alias("t"))))
+    )
+    scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
+    aligned = align.align_chained(cut.drop("r_text").withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring)
+    return aligned.withColumn("t_start", F.col("t_start") + F.col("t_from")).withColumn("t_end", F.col("t_end") + F.col("t_from")).drop("t_from")
+
+
+def by_cost(fragments: DataFrame, most: int = 100_000_000) -> tuple[DataFrame, DataFrame]:
+    """Fragments (q, t) whose matrix has at most ``most`` cells, and the others."""
+    cells = F.length("q").cast("long") * F.length("t").cast("long")
+    return fragments.where(cells <= most), fragments.where(cells > most)

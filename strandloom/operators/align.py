@@ -210,3 +210,113 @@ def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str =
             )
 
     return df.select(*[F.col(k) for k in key], q, t).mapInArrow(emit, f"{fields}, {_RESULT}")
+
+
+def path_scores(q: np.ndarray, t: np.ndarray, cigar: str, s: Scoring = Scoring()) -> tuple[int, int]:  # noqa: B008
+    """(score of the path, its deepest fall): the fall is from a best so far to a later place, gaps between the
+    two places forgiven as in ``extend``."""
+    from strandloom.functions.cigar import parse
+
+    score = i = j = 0
+    top, top_i, top_j, fall = 0, 0, 0, 0
+    for n, op in parse(cigar):
+        if op == "M":
+            for k in range(n):
+                score += int(s.row(int(q[i + k]), t[j + k : j + k + 1])[0])
+                if score > top:
+                    top, top_i, top_j = score, i + k + 1, j + k + 1
+                else:
+                    fall = max(fall, top - score - s.gap_extend * abs((i + k + 1 - top_i) - (j + k + 1 - top_j)))
+            i, j = i + n, j + n
+        else:
+            score -= s.gap_open + s.gap_extend * n
+            i, j = (i + n, j) if op == "I" else (i, j + n)
+            fall = max(fall, top - score - s.gap_extend * abs((i - top_i) - (j - top_j)))
+    return score, fall
+
+
+class ChainAlignment(NamedTuple):
+    score: int
+    q_start: int
+    q_end: int
+    t_start: int
+    t_end: int
+    cigar: str
+    zdropped: bool
+
+
+def align_chain(q: np.ndarray, t: np.ndarray, points: list[tuple[int, int]], span: int, s: Scoring = Scoring(), min_gap: int = 200) -> ChainAlignment:  # noqa: B008
+    """Alignment through a chain: extension left of its first anchor, gaps filled between anchors, extension right.
+
+    ``points`` are the last bases (query, target) of the anchors in order.  Cuts lie at the middle of an
+    anchor; anchors nearer than ``min_gap`` to the last cut, or not beyond it on both sides, are passed over.  The
+    flag tells that a gap's path falls by more than the z-drop, which asks for an exact second look.
+    """
+    half = span // 2
+    cuts = [(points[0][0] - half, points[0][1] - half)]
+    for k, (a, b) in enumerate(points[1:], 1):
+        dq, dt = a - half - cuts[-1][0], b - half - cuts[-1][1]
+        if dq > 0 and dt > 0 and (min(dq, dt) >= min_gap or k == len(points) - 1):
+            cuts.append((a - half, b - half))
+    (qa, ta), (qz, tz) = cuts[0], cuts[-1]
+    left = extend(q[:qa][::-1], t[:ta][::-1], s)
+    parts, dropped = [_reverse(left.cigar)], left.zdropped
+    for (a, b), (c, d) in zip(cuts, cuts[1:], strict=False):
+        x, y = q[a:c], t[b:d]
+        same = len(x) == len(y) and bool((x == y).all())
+        cigar = f"{len(x)}M" if same else align_global(x, y, s).cigar
+        dropped |= not same and path_scores(x, y, cigar, s)[1] > s.zdrop
+        parts.append(cigar)
+    right = extend(q[qz:], t[tz:], s)
+    cigar = _merge("".join([*parts, right.cigar]))
+    begin, stop = (qa - left.q_end, ta - left.t_end), (qz + right.q_end, tz + right.t_end)
+    score = path_scores(q[begin[0] : stop[0]], t[begin[1] : stop[1]], cigar, s)[0]
+    return ChainAlignment(score, begin[0], stop[0], begin[1], stop[1], cigar, dropped or right.zdropped)
+
+
+def _reverse(cigar: str) -> str:
+    from strandloom.functions.cigar import parse
+
+    return "".join(f"{n}{op}" for n, op in reversed(parse(cigar)))
+
+
+def _merge(cigar: str) -> str:
+    from strandloom.functions.cigar import parse
+
+    out: list[list] = []
+    for n, op in parse(cigar):
+        if out and out[-1][1] == op:
+            out[-1][0] += n
+        elif n:
+            out.append([n, op])
+    return "".join(f"{n}{op}" for n, op in out)
+
+
+_CHAINED = "score int, q_start int, q_end int, t_start int, t_end int, cigar string, zdropped boolean, nm int, md string, matches int, columns int"
+
+
+def align_chained(df: DataFrame, key: tuple[str, ...], span: int, scoring: Scoring = Scoring(), alphabet: str = "text") -> DataFrame:  # noqa: B008
+    """Align rows (key, q, t, rev, points): whole query, a window of the target, the chain's points in both.
+
+    On the reverse strand the query is complemented, as the points are counted there.
+    """
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    names = [x.split()[0] for x in _CHAINED.split(", ")]
+    kinds = [*[pa.int32()] * 5, pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for q, t, rev, points in zip(*(batch.column(len(key) + k).to_pylist() for k in range(4)), strict=True):
+                x, y = base_codes(q, alphabet), base_codes(t, alphabet)
+                if rev:
+                    x = np.where(x < AMBIGUOUS, 3 - x, x)[::-1].astype(np.uint8)
+                found = align_chain(x, y, [(p["q"], p["t"]) for p in points], span, scoring)
+                edits = edit_summary(x[found.q_start : found.q_end], y[found.t_start : found.t_end], found.cigar)
+                rows.append((*found, *edits[1:]))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(key)], *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], [*key, *names]
+            )
+
+    return df.select(*[F.col(k) for k in key], "q", "t", "rev", "points").mapInArrow(emit, f"{fields}, {_CHAINED}")

@@ -469,3 +469,12 @@ def alternative_contigs(spark: SparkSession, d: str) -> DataFrame:
 def reseed_matches(spark: SparkSession, d: str) -> DataFrame:
     """Second- and third-round seeds of the benchmark texts."""
     return exact.reseed(_exact(spark, d))
+
+
+@_register()
+def align_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Whole benchmark texts aligned through the chains of their best hits."""
+    s = _sides(spark, d)
+    anchors = mapping.seed_anchors(s)
+    best = hits.best_hits(chains.regions(chains.islands(anchors), s.lengths)).where("place = 1")
+    return mapping.align_chains(best, anchors, _benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")

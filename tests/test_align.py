@@ -81,3 +81,19 @@ def test_cigar_forms(spark):
         C.gap_opens(F.col("c")).alias("g"), C.clipped(F.col("c"), F.lit(2), F.lit(0)).alias("s"),
     ).collect()
     assert [tuple(x) for x in rows] == [("5M1I4D", 6, 9, 2, "2S2M3M1I"), ("", 0, 0, 0, "2S"), ("", 0, 0, 0, None), ("3D5M2D", 5, 10, 2, "2S5M")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chain_alignment_recovers_a_planted_read(seed):
+    rng = np.random.default_rng(seed)
+    t = rng.integers(0, 4, 900).astype(np.uint8)
+    q = np.concatenate([t[100:350], rng.integers(0, 4, 3).astype(np.uint8), t[350:500], t[505:800]])
+    points = [(30, 130), (200, 300), (260, 357), (390, 487), (420, 522), (690, 792)]
+    points = [(a, b) for a, b in points if (q[a - 6 : a + 1] == t[b - 6 : b + 1]).all()]
+    s = align.Scoring()
+    found = align.align_chain(q, t, points, 7, s, min_gap=50)
+    part_q, part_t = q[found.q_start : found.q_end], t[found.t_start : found.t_end]
+    assert score_of(part_q, part_t, found.cigar, s) == (found.score, len(part_q), len(part_t))
+    assert (found.q_start, found.q_end) == (0, len(q)) and (found.t_start, found.t_end) == (100, 800) and not found.zdropped
+    assert found.score >= 2 * (len(q) - 3) - (4 + 3 * 2) - (4 + 5 * 2) - 12
+    assert align.path_scores(np.zeros(40, np.uint8), np.ones(40, np.uint8), "40M", align.Scoring(zdrop=20))[1] == 160
