@@ -39,13 +39,13 @@ def sketch_both(queries: DataFrame, q_key: str, references: DataFrame, r_key: st
 def seed_anchors(s: Sketches) -> DataFrame:
     """Anchors of all query minimizers that are not frequent in the references.
 
-    Only hashes that a query has are counted and joined: the queries' distinct hashes cut the references'
-    minimizers down before anything is shuffled by hash.
+    The occurrences that give the threshold also give the rare hashes; of these only the queries' are kept, so
+    the references' minimizers meet just the rare minimizers of the queries and nothing else is joined to them.
     """
     wanted = s.queries.select("hash").distinct()
-    met = s.references.join(wanted, "hash", "left_semi")
-    rare = index.occurrences(met).join(F.broadcast(s.mid_occ)).where(F.col("occ") <= F.col("mid_occ")).select("hash")
-    return seeds.anchors(s.queries, met.join(rare, "hash", "left_semi"), s.lengths)
+    seen = index.occurrences(s.references).join(wanted, "hash", "left_semi")
+    rare = seen.join(F.broadcast(s.mid_occ)).where(F.col("occ") <= F.col("mid_occ")).select("hash")
+    return seeds.anchors(s.queries.join(rare, "hash", "left_semi"), s.references, s.lengths)
 
 
 def map_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
