@@ -7,8 +7,9 @@ Documents are rows and five-word shingles columns of a sparse incidence matrix;
     share a shingle within the first n - ceil(6n/7) + 1 of the smaller and n - ceil(3n/4) + 1 of the larger
     (the order decides only how many candidates there are, never which links are found).
 2.  In every column of that reduced matrix each class is paired with the nearest smaller one and with the
-    smallest that the bounds allow: a few pairs a row, whatever the column's size.  Their overlaps are counted by
-    blocks of the product, and pairs below the bound discarded; the links found give provisional components.
+    smallest that the bounds allow: a few pairs a row, whatever the column's size.  A parity bitmap of each set
+    bounds the overlap from above and discards most pairs; the overlaps of the others are counted by blocks of the
+    product, and pairs below the bound discarded.  The links found give provisional components.
 3.  Pairs of one column that lie in different components, and that size and position bounds allow, are counted
     in the same way.  Pairs inside a component need no count: they can't change the components.
 """
@@ -33,6 +34,8 @@ FREQUENT_FROM = 8
 COUNT_WINDOW = 2_000_000
 #: Pairs of one block of the product, about.
 BLOCK_PAIRS = 2_000
+#: Bits of a set's parity bitmap.
+PARITY_BITS = 2048
 #: Rows of candidate ids up to which they are broadcast to the scan of the texts; joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -43,6 +46,14 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix64(np.array([total ^ np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Bitmap of which of PARITY_BITS buckets hold an odd number of the set's shingles.
+
+    Two bitmaps differ in at most as many bits as the sets have shingles not in common.
+    """
+    return np.packbits(np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def min_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Least intersection with which sets of n and m shingles link: 7 * overlap >= 3 * (n + m)."""
     return -(-3 * (n + m) // 7)
@@ -55,13 +66,14 @@ def _row_name(key: str, text: str) -> Column:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, bits = [], [], []
         for found in shingle_sets(batch.column(1)):
             sizes.append(len(found))
             keys.append(set_key(found))
+            bits.append(parity(found) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())],
-            ["doc_id", "row_name", "n_shingles", "cls"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())],
+            ["doc_id", "row_name", "n_shingles", "cls", "bits"],
         )
 
 
@@ -308,6 +320,25 @@ def _links(rows: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def _differ_little(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps allow a link: 7 * (shingles not in common) <= n + m."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("x_bits", "y_bits")]
+        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        both = batch.column("x_n").to_numpy() + batch.column("y_n").to_numpy()
+        yield batch.select(["x", "y"]).filter(pa.array(7 * apart <= both))
+
+
+def _bounded_pairs(pairs: DataFrame, sized: DataFrame) -> DataFrame:
+    """Pairs (x, y) that the bitmaps of their sets do not rule out."""
+    asked = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
+    known = sized.join(asked, "cls", "left_semi").groupBy("cls", "n_shingles").agg(F.min("bits").alias("bits"))
+    side = lambda k: known.select(F.col("cls").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_n", "y_n", "x_bits", "y_bits").mapInArrow(_differ_little, "x long, y long")
+
+
 def _count_pairs(pairs: DataFrame, total: int, docs: DataFrame, reps: DataFrame, partitions: int) -> DataFrame:
     """Links among ``pairs`` (x, y), by blocks of the larger class's key."""
     blocks = max(partitions, -(-total // BLOCK_PAIRS))
@@ -340,7 +371,7 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), _row_name(key, text).alias("row_name"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = work.stash(
-        docs.select("doc_id", "text", "row_name").mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long"), "sized"
+        docs.select("doc_id", "text", "row_name").mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long, bits binary"), "sized"
     )
     reps = sized.where("n_shingles > 0").groupBy("cls").agg(F.min("row_name").alias("rep"), F.min("doc_id").alias("least_id"))
 
@@ -360,8 +391,9 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
         .distinct(),
         "first",
     )
-    total = first.count()
-    links = work.stash(_count_pairs(first, total, docs, reps, partitions), "links-1")
+    bounded = work.stash(_bounded_pairs(first, sized), "bounded-1")
+    total = bounded.count()
+    links = work.stash(_count_pairs(bounded, total, docs, reps, partitions), "links-1")
     roots = connected_components(links, work, "roots-1")
 
     labelled = (
@@ -379,9 +411,10 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
         "second",
     )
     work.drop("shared")
-    total = second.count()
+    bounded = work.stash(_bounded_pairs(second, sized), "bounded-2")
+    total = bounded.count()
     if total:
-        more = work.stash(_count_pairs(second, total, docs, reps, partitions), "links-2")
+        more = work.stash(_count_pairs(bounded, total, docs, reps, partitions), "links-2")
         roots = connected_components(more.unionByName(roots.select("u", "v")), work, "roots-2")
 
     named = reps.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn(
