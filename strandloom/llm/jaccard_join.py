@@ -34,8 +34,8 @@ FREQUENT_FROM = 8
 COUNT_WINDOW = 2_000_000
 #: Pairs of one block of the product, about.
 BLOCK_PAIRS = 2_000
-#: Bits of a set's parity bitmap.
-PARITY_BITS = 2048
+#: Least bits of a set's parity bitmap.
+LEAST_BITS = 512
 #: Rows of candidate ids up to which they are broadcast to the scan of the texts; joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -47,11 +47,22 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """Bitmap of which of PARITY_BITS buckets hold an odd number of the set's shingles.
+    """Bitmap of which buckets hold an odd number of the set's shingles: a power of two of them, about two a shingle.
 
-    Two bitmaps differ in at most as many bits as the sets have shingles not in common.
+    Two bitmaps of one size differ in at most as many bits as the sets have shingles not in common, and the
+    halves of a bitmap put together by exclusive or are that of half as many buckets.
     """
-    return np.packbits(np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    size = max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    place = (shingles & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=size) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the larger folded to the smaller's size."""
+    x, y = (np.frombuffer(k, np.uint8) for k in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(k.reshape(-1, size), axis=0) for k in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def min_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -325,8 +336,7 @@ def _differ_little(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if not batch.num_rows:
             continue
-        bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("x_bits", "y_bits")]
-        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        apart = np.array(list(map(bits_apart, *(batch.column(k).to_pylist() for k in ("x_bits", "y_bits")))), np.int64)
         both = batch.column("x_n").to_numpy() + batch.column("y_n").to_numpy()
         yield batch.select(["x", "y"]).filter(pa.array(7 * apart <= both))
 

@@ -317,6 +317,18 @@ def test_components_on_given_documents(spark):
     assert found == sorted(brute_components(rows))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        n, common = int(rng.integers(1, 900)), rng.random()
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        other = np.unique(np.concatenate([base[: int(common * n)], rng.integers(0, 1 << 63, int(rng.integers(1, 3000))).astype(np.uint64)]))
+        base = np.unique(base)
+        apart = len(np.setxor1d(base, other))
+        assert jaccard_join.bits_apart(jaccard_join.parity(base), jaccard_join.parity(other)) <= apart
+    assert jaccard_join.bits_apart(jaccard_join.parity(base), jaccard_join.parity(base)) == 0
+
+
 def test_one_of_each_stays(spark):
     rows = planted(random.Random(7))
     kept = {r.doc_id for r in jaccard_join.keep_one_of_each(hard(spark, rows)).collect()}
