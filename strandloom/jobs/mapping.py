@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.jobs.options import Options
 from strandloom.operators import align, chains, hits, index, seeds, sketch
 
-#: Most index hashes whose occurrences are broadcast to the queries' side; joined by shuffle beyond.
+#: Most minimizers of the queries that are broadcast to the references' side; joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 
 
@@ -37,7 +37,7 @@ def sketch_both(queries: DataFrame, q_key: str, references: DataFrame, r_key: st
 
 
 def seed_anchors(s: Sketches) -> DataFrame:
-    """Anchors of all query minimizers that are not frequent in the references.
+    """Anchors of all query minimizers that are not frequent in the references; ``all_anchors`` leaves none out.
 
     The occurrences that give the threshold also give the rare hashes; of these only the queries' are kept, so
     the references' minimizers meet just the rare minimizers of the queries and nothing else is joined to them.
@@ -48,13 +48,30 @@ def seed_anchors(s: Sketches) -> DataFrame:
     return seeds.anchors(s.queries.join(rare, "hash", "left_semi"), s.references, s.lengths)
 
 
+def all_anchors(s: Sketches) -> DataFrame:
+    """Anchors of all query minimizers, however many references share them.
+
+    Their number grows as the references do.  Few query minimizers, counted first, meet the references' where
+    these are, so that no hash gathers in one task.
+    """
+    few = s.queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return seeds.anchors(s.queries, s.references, s.lengths, broadcast=few)
+
+
+def map_rare(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """``map_reads`` by infrequent minimizers only, chained without gaps."""
+    s = sketch_both(queries, q_key, references, r_key, options)
+    found = chains.islands(seed_anchors(s), options.max_gap)
+    return chains.regions(found, s.lengths, options.min_cnt, options.min_score)
+
+
 def map_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Regions of every query on the references: (read_id, rid, rev, qs, qe, rs, re, score, cnt, mlen, blen).
 
     A query without chains has no rows; null and short texts have none.
     """
     s = sketch_both(queries, q_key, references, r_key, options)
-    found = chains.islands(seed_anchors(s), options.max_gap)
+    found = chains.islands(all_anchors(s), options.max_gap)
     return chains.regions(found, s.lengths, options.min_cnt, options.min_score)
 
 
@@ -63,14 +80,14 @@ def map_best(queries: DataFrame, q_key: str, references: DataFrame, r_key: str,
     return hits.best_hits(map_reads(queries, q_key, references, r_key, options), options.best_n, options.pri_ratio, 2 * options.k)
 
 
-def overlap_all(df: DataFrame, key: str, options: Options) -> DataFrame:
+def overlap_all(df: DataFrame, key: str, options: Options, mid_occ: DataFrame | None = None) -> DataFrame:
     """(a, b, rev, shared, score): pairs of different sequences, a < b, that share chains; their longest.
 
     Frequent hashes are left out by the threshold before the self-join, so a hash meets at most that many
-    sequences squared; of the pairs' anchors only counts and ends are kept.
+    sequences squared; of the pairs' anchors only counts and ends are kept.  ``mid_occ`` replaces the threshold.
     """
     s = sketch_both(df, key, df, key, options)
-    rare = index.occurrences(s.references).join(F.broadcast(s.mid_occ)).where((F.col("occ") <= F.col("mid_occ")) & (F.col("occ") > 1))
+    rare = index.occurrences(s.references).join(F.broadcast(s.mid_occ if mid_occ is None else mid_occ)).where((F.col("occ") <= F.col("mid_occ")) & (F.col("occ") > 1))
     kept = s.references.join(rare.select("hash"), "hash", "left_semi")
     lens = s.lengths
     found = seeds.anchors(kept, kept, lens).where("read_id < rid")
@@ -80,6 +97,33 @@ def overlap_all(df: DataFrame, key: str, options: Options) -> DataFrame:
     )
 
 
+def classes(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """One row of each class of equal texts, that of the lowest key, and (rid, member) of every row by its class."""
+    keyed = df.where(F.col(text).isNotNull()).select(F.col(key).alias("member"), F.sha2(text, 256).alias("c_text"))
+    firsts = keyed.groupBy("c_text").agg(F.min("member").alias("rid"))
+    return df.join(firsts.select(F.col("rid").alias(key)), key, "left_semi"), keyed.join(firsts, "c_text").select("rid", "member")
+
+
+def overlap_classes(df: DataFrame, key: str, options: Options) -> DataFrame:
+    """``overlap_all`` with each class of equal texts as one sequence, and a pair of its first with every other copy.
+
+    Occurrences are counted over classes, so copies make no hash frequent; the threshold is that of all rows, so
+    no pair of ``overlap_all`` is lost.  A pair of two classes' firsts stands
+    for all pairs of their copies.  A copy's pair has the chains of all its minimizers on the common diagonal.
+    """
+    firsts, members = classes(df, key)
+    copies = members.where("rid <> member")
+    own = sketch.minimizers(df.join(copies.select(F.col("rid").alias(key)).distinct(), key, "left_semi"), key, w=options.w, k=options.k, compressed=options.compressed)
+    line = own.select(F.col("rid").alias("read_id"), "rid", F.lit(False).alias("rev"), F.col("pos").alias("rpos"), F.col("pos").alias("qpos"), "span")
+    found = chains.regions(chains.islands(line, options.max_gap), lengths(df, key), options.min_cnt, options.min_score)
+    same = found.groupBy(F.col("rid").alias("a"), "rev").agg(
+        F.max("score").alias("score"), F.sum("mlen").cast("long").alias("shared"), F.count("*").alias("chains")
+    )
+    stars = copies.select(F.col("rid").alias("a"), F.col("member").alias("b")).join(same, "a")
+    pairs = overlap_all(firsts, key, options, sketch_both(df, key, df, key, options).mid_occ)
+    return pairs.unionByName(stars.select(pairs.columns))
+
+
 def align_hits(found: DataFrame, queries: DataFrame, q_key: str, references: DataFrame, r_key: str, pad: int = 32, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Base alignments of the chained part of hits on the forward strand, extended to the query's end.
 

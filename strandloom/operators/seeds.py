@@ -65,16 +65,17 @@ def covered_length(spans: DataFrame, start: str, end: str, key: str = "rid") ->
     return spans.withColumn("i_new", fresh).groupBy(key).agg(F.sum("i_new").cast("long").alias("covered"))
 
 
-def anchors(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
+def anchors(queries: DataFrame, index: DataFrame, lengths: DataFrame, broadcast: bool = False) -> DataFrame:
     """(read_id, rid, rev, rpos, qpos, span): every place in the index of every query minimizer.
 
     An equi-join on the hash; on the reverse strand the query position is counted from the query's end.
-    ``lengths`` (rid, len) holds the queries.  Frequent hashes are expected to be filtered before.
+    ``lengths`` (rid, len) holds the queries.  Hashes frequent on both sides are expected to be filtered before;
+    ``broadcast`` sends the queries' to the index.
     """
     q = queries.join(lengths, "rid").select(
         F.col("rid").alias("read_id"), F.col("pos").alias("q_pos"), F.col("strand").alias("q_strand"), "span", "hash", "len"
     )
-    hits = q.join(index.select("rid", F.col("pos").alias("rpos"), F.col("strand").alias("r_strand"), "hash"), "hash")
+    hits = (F.broadcast(q) if broadcast else q).join(index.select("rid", F.col("pos").alias("rpos"), F.col("strand").alias("r_strand"), "hash"), "hash")
     rev = F.col("q_strand") != F.col("r_strand")
     turned = F.col("len") - (F.col("q_pos") + 1 - F.col("span")) - 1
     return hits.select("read_id", "rid", rev.alias("rev"), "rpos", F.when(rev, turned).otherwise(F.col("q_pos")).cast("int").alias("qpos"), "span")

@@ -176,16 +176,29 @@ _REGION = "read_id, rid, rev, qs, qe, rs, re, score, cnt, mlen, blen"
 
 @_register(f"WITH {q.best()} SELECT {_REGION}, place FROM best")
 def map_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: where each benchmark text, or a large part of it, occurs in the documents."""
-    found = mapping.map_best(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
+    """The flagship: where each benchmark text, or a large part of it, occurs in the documents, by infrequent minimizers."""
+    found = hits.best_hits(map_regions(spark, d))
     return found.select(*_REGION.split(", "), "place")
 
 
 @_register(f"WITH {q.mapped()} SELECT {_REGION} FROM m")
 def map_regions(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.map_rare(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
+
+
+@_register()
+def whole_regions(spark: SparkSession, d: str) -> DataFrame:
+    """``map_regions`` by all minimizers, also those that very many documents share."""
     return mapping.map_reads(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
 
 
+@_register()
+def whole_passages(spark: SparkSession, d: str) -> DataFrame:
+    """``map_passages`` by all minimizers."""
+    found = mapping.map_best(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
+    return found.select(*_REGION.split(", "), "place")
+
+
 @_register(f"""WITH {q.mapped()}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, cnt DESC, rid, rev, rs, qs) AS p FROM m)
 SELECT x.read_id, CAST(x.p AS INTEGER) AS a, CAST(y.p AS INTEGER) AS b, least(x.qe, y.qe) - greatest(x.qs, y.qs) AS shared,
   CAST(least(x.qe, y.qe) - greatest(x.qs, y.qs) AS DOUBLE) / least(x.qe - x.qs, y.qe - y.qs) AS part
@@ -222,6 +235,12 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return mapping.overlap_all(_documents(spark, d), "doc_id", Options(min_score=100))
 
 
+@_register()
+def overlap_classes(spark: SparkSession, d: str) -> DataFrame:
+    """``overlap_pairs`` of the different texts, and each copy with the first of its text."""
+    return mapping.overlap_classes(_documents(spark, d), "doc_id", Options(min_score=100))
+
+
 _EXACT = f"""WITH {q.sketch('b', 'benchmark', 'item_id', 1)},{q.sketch('d', 'documents', 'doc_id', 1)},
 len AS (SELECT item_id AS rid, length(text) AS len FROM benchmark),
 a AS (SELECT x.rid AS read_id, y.rid AS rid, x.strand <> y.strand AS rev, y.pos AS rpos, CASE WHEN x.strand <> y.strand THEN len.len - (x.pos - 14) - 1 ELSE x.pos END AS qpos FROM b x JOIN len ON len.rid = x.rid JOIN d y ON y.hash = x.hash),
@@ -344,18 +363,18 @@ def masked_minimizers(spark: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def chain_dp(spark: SparkSession, d: str) -> DataFrame:
-    return chains.chain_dp(mapping.seed_anchors(_sides(spark, d)))
+    return chains.chain_dp(mapping.all_anchors(_sides(spark, d)))
 
 
 @_register()
 def chain_rmq(spark: SparkSession, d: str) -> DataFrame:
-    return chains.chain_rmq(mapping.seed_anchors(_sides(spark, d)))
+    return chains.chain_rmq(mapping.all_anchors(_sides(spark, d)))
 
 
 @_register()
 def rechain_flags(spark: SparkSession, d: str) -> DataFrame:
     s = _sides(spark, d)
-    return chains.needs_rechaining(chains.islands(mapping.seed_anchors(s)), s.lengths)
+    return chains.needs_rechaining(chains.islands(mapping.all_anchors(s)), s.lengths)
 
 
 @_register()
@@ -367,13 +386,13 @@ def chain_greedy(spark: SparkSession, d: str) -> DataFrame:
 @_register()
 def primary_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits with their parents, secondaries near them, and mapping quality."""
-    return hits.mapq_long(hits.select_secondary(hits.set_parents(map_regions(spark, d))))
+    return hits.mapq_long(hits.select_secondary(hits.set_parents(whole_regions(spark, d))))
 
 
 @_register()
 def align_passages(spark: SparkSession, d: str) -> DataFrame:
     """Base alignments of the best forward hits, with CIGAR, edits and identity."""
-    best = map_passages(spark, d).where("place = 1")
+    best = whole_passages(spark, d).where("place = 1")
     found = mapping.align_hits(best, _benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
     return found.withColumns(
         {
@@ -432,7 +451,7 @@ def match_coverage(spark: SparkSession, d: str) -> DataFrame:
 @_register()
 def seed_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Exactly matched bases of every region."""
-    return scoring.seed_coverage(map_regions(spark, d), _exact(spark, d))
+    return scoring.seed_coverage(whole_regions(spark, d), _exact(spark, d))
 
 
 @_register()
@@ -475,6 +494,6 @@ def reseed_matches(spark: SparkSession, d: str) -> DataFrame:
 def align_chains(spark: SparkSession, d: str) -> DataFrame:
     """Whole benchmark texts aligned through the chains of their best hits."""
     s = _sides(spark, d)
-    anchors = mapping.seed_anchors(s)
+    anchors = mapping.all_anchors(s)
     best = hits.best_hits(chains.regions(chains.islands(anchors), s.lengths)).where("place = 1")
     return mapping.align_chains(best, anchors, _benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
