@@ -26,7 +26,9 @@ BLOCK_TAGS = frozenset(
 )
 BOILER_TAGS = frozenset("nav footer aside form head title menu dialog select option button fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script|style|noscript|template|textarea|iframe|svg|object|math|audio|video|canvas"
+RAW_TAGS = "script|style|noscript|template|textarea|iframe|object|audio|video|canvas"
+#: Start tags that end a drawing (svg) whose end tag is missing.
+ENDS_DRAWING = (BLOCK_TAGS - {"title"}) | frozenset("b big br code em embed hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 #: Start tags that end an open element of these names.
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -49,6 +51,8 @@ _TOKEN = re.compile(
     re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_CLOSED = re.compile(r"(?<!/)/\s*$")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s\"'>]*$")
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:\s|^)hidden(?:[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
@@ -93,13 +97,23 @@ def _evidence(tag: str, rest: str, around: _Element) -> tuple[float, float]:
     return against, favour
 
 
+def _self_closing(rest: str) -> bool:
+    """Whether a start tag ends in a slash that is not part of an unquoted value."""
+    return bool(_CLOSED.search(rest)) and not _UNQUOTED.search(rest)
+
+
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order.
+
+    Text of a drawing (svg) is left out, up to its end tag or to a tag that cannot be inside it; formulas are text.
+    """
     stack = [_Element("", 0, 0.0, 0.0)]
     count, at = 0, 0
     pieces: list[str] = []
     linked, in_link = 0, False
     out: list[Block] = []
+    drawings = 0  # open svg elements
+    foreign: list[str] = []  # open elements from a drawing's foreignObject on
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -116,16 +130,41 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece)
 
-    for found in _TOKEN.finditer(page):
-        take(page[at : found.start()])
+    for found in iter(lambda: _TOKEN.search(page, at), None):
+        if not drawings:
+            take(page[at : found.start()])
         at = found.end()
+        if drawings and not foreign and found["raw"]:  # an element like any other there: it can close itself or miss its end
+            opened = page.index(">", found.start()) + 1
+            if _self_closing(page[found.start() : opened - 1]) or not found[0].endswith(">") or "</svg" in found[0].lower():
+                at = opened
         tag = found["tag"] or found["tag2"]
         if tag is None:
             continue
         tag, ends = tag.lower(), bool(found["end"] or found["end2"])
+        rest = found["rest"] or found["rest2"] or ""
+        if tag == "svg":
+            if ends:
+                drawings = max(0, drawings - 1)
+            elif not _self_closing(rest):
+                drawings += 1
+            if not drawings:
+                foreign = []
+            continue
+        if drawings:
+            if not ends and (foreign or tag == "foreignobject"):
+                if tag not in VOID_TAGS and not _self_closing(rest):
+                    foreign.append(tag)
+                continue
+            if ends and tag in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+                continue
+            if not (any(e.tag == tag for e in stack) if ends else tag in ENDS_DRAWING):
+                continue
+            drawings, foreign = 0, []
         if tag == "a":
             in_link = not ends
-        elif tag == "br":
+        elif tag == "br" or tag == "annotation":
             take(" ")
         elif tag in BLOCK_TAGS or (tag in BOILER_TAGS):
             flush()
@@ -141,8 +180,9 @@ def blocks(page: str) -> list[Block]:
             if tag in VOID_TAGS:
                 continue
             count += 1
-            stack.append(_Element(tag, count, *_evidence(tag, found["rest"] or found["rest2"] or "", stack[-1])))
-    take(page[at:])
+            stack.append(_Element(tag, count, *_evidence(tag, rest, stack[-1])))
+    if not drawings:
+        take(page[at:])
     flush()
     return out
 

@@ -194,6 +194,36 @@ def test_html_without_article_element_and_hard_pages(spark):
     assert found[1] == found[2] == "" and found[5].startswith("plain text") and len(found) == 5
 
 
+SENTENCE = "The quick brown fox jumps over the lazy dog, and then it sleeps for the rest of a long day."
+
+
+@pytest.mark.parametrize(
+    ("inside", "wanted"),
+    [
+        ('<svg class="icon"/>', ""),
+        ("<svg/>", ""),
+        ("<svg hidden />", ""),
+        ('<svg a="b=c"/>', ""),
+        ('<svg viewBox="0 0 1 1"><title>no</title><path d="M0"/><text>no</text></svg>', ""),
+        ("<svg class=a/><text>no</text></svg>", ""),
+        ("<svg><svg><text>no</text></svg><text>no</text></svg>", ""),
+        ("<svg><svg/><text>no</text></svg>", ""),
+        ("<svg><foreignObject><p>no</p>no</foreignObject>no</svg>", ""),
+        ("<svg><foreignObject>", ""),
+        ("<svg><path>", ""),
+        ("<svg><style/><text>no</text></svg>", ""),
+        ("<svg><style>p{}</svg>", ""),
+        ('<svg><script>"<p>no</p>"</script></svg>', ""),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", " x=2"),
+        ("<math/>", ""),
+        ("<math><mi>x</mi><annotation>\\x</annotation></math>", " x \\x"),
+    ],
+)
+def test_drawings_end_and_formulas_stay(inside, wanted):
+    page = f"<html><body><article><p>{SENTENCE} {inside}</p><p>{SENTENCE}</p><svg><g></g></svg><p>{SENTENCE}</p></article></body></html>"
+    assert html_extract.main_text(page) == f"{SENTENCE}{wanted}\n\n{SENTENCE}\n\n{SENTENCE}"
+
+
 # --- 4. and 5. personal data and secrets
 
 BITS = [
