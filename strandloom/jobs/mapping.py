@@ -68,10 +68,13 @@ def map_rare(queries: DataFrame, q_key: str, references: DataFrame, r_key: str,
 def map_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Regions of every query on the references: (read_id, rid, rev, qs, qe, rs, re, score, cnt, mlen, blen).
 
-    A query without chains has no rows; null and short texts have none.
+    Anchors are chained within options.band, and again within band_long where a read asks for it; no_diagonal and
+    no_dual leave out anchors of a sequence with itself.  A query without chains has no rows; null and short texts
+    have none.
     """
     s = sketch_both(queries, q_key, references, r_key, options)
-    found = chains.islands(all_anchors(s), options.max_gap)
+    found = seeds.skip_pairs(all_anchors(s), options.no_diagonal, options.no_dual)
+    found = chains.chain_again(found, s.lengths, options.band, options.band_long, options.max_gap, options.min_cnt, options.min_score)
     return chains.regions(found, s.lengths, options.min_cnt, options.min_score)
 
 

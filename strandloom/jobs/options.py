@@ -43,7 +43,6 @@ PRESETS: dict[str, dict] = {
     "asm10": {"k": 19, "w": 19, "match": 1, "mismatch": 9, "gap_open": 16, "gap_extend": 2, "best_n": 50, "band": 1000, "band_long": 100_000},
     "asm20": {"k": 19, "w": 10, "match": 1, "mismatch": 4, "gap_open": 6, "gap_extend": 2, "best_n": 50, "band": 1000, "band_long": 100_000},
     "sr": {"k": 21, "w": 11, "match": 2, "mismatch": 8, "gap_open": 12, "gap_extend": 2, "max_gap": 100, "band": 100, "band_long": 100, "best_n": 20, "min_cnt": 2, "min_score": 25},
-    "splice": {"k": 15, "w": 5, "match": 1, "mismatch": 2, "gap_open": 2, "gap_extend": 1, "max_gap": 2000, "band": 200_000, "band_long": 200_000},
 }
 
 

@@ -197,7 +197,14 @@ def backtrack(best: np.ndarray, parent: np.ndarray, min_cnt: int, min_score: int
     return out
 
 
-_CHAIN = "read_id long, rid long, rev boolean, chain int, score int, cnt int, first_r int, last_r int, first_q int, last_q int, span int"
+_CHAIN = "read_id long, rid long, rev boolean, chain int, score int, cnt int, first_r int, last_r int, first_q int, last_q int, span int, mlen int, blen int"
+
+
+def path_lengths(rpos: np.ndarray, qpos: np.ndarray, span: np.ndarray) -> tuple[int, int]:
+    """(mlen, blen) of a chain's anchors: about how many bases match, and the longer of its steps on both sequences."""
+    dr, dq = np.diff(rpos), np.diff(qpos)
+    matched = np.minimum(span[1:], np.minimum(dr, dq))
+    return int(span[0] + matched.sum()), int(span[0] + np.maximum(dr, dq).sum())
 
 
 def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]]) -> DataFrame:
@@ -208,6 +215,7 @@ def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarr
         rpos, qpos, span = (table.column(k).to_numpy().astype(np.int64) for k in ("rpos", "qpos", "span"))
         rows = []
         for k, (score, path) in enumerate(one(rpos, qpos, span)):
+            mlen, blen = path_lengths(rpos[path], qpos[path], span[path])
             rows.append(
                 {
                     "read_id": table.column("read_id")[0].as_py(),
@@ -221,6 +229,8 @@ def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarr
                     "first_q": int(qpos[path[0]]),
                     "last_q": int(qpos[path[-1]]),
                     "span": int(span[path[0]]),
+                    "mlen": mlen,
+                    "blen": blen,
                 }
             )
         return pa.Table.from_pylist(rows, _CHAIN_SCHEMA)
@@ -229,7 +239,7 @@ def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarr
 
 
 _CHAIN_SCHEMA = pa.schema(
-    [("read_id", pa.int64()), ("rid", pa.int64()), ("rev", pa.bool_()), *((k, pa.int32()) for k in ("chain", "score", "cnt", "first_r", "last_r", "first_q", "last_q", "span"))]
+    [("read_id", pa.int64()), ("rid", pa.int64()), ("rev", pa.bool_()), *((k, pa.int32()) for k in ("chain", "score", "cnt", "first_r", "last_r", "first_q", "last_q", "span", "mlen", "blen"))]
 )
 
 
@@ -253,6 +263,43 @@ def needs_rechaining(chains: DataFrame, lengths: DataFrame, rescue: int = 1000,
     return firsts.join(lengths.select(F.col("rid").alias("read_id"), "len"), "read_id").select("read_id", ((F.col("n") > 1) & wide).alias("again"))
 
 
+def chain_again(
+    anchors: DataFrame, lengths: DataFrame, band: int = BAND, band_long: int = 20000, max_gap: int = MAX_GAP, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE,
+    rescue: int = 1000, ratio: float = 0.1,
+) -> DataFrame:
+    """Chains within ``band``; those of reads that ``needs_rechaining`` flags are chained again within ``band_long``.
+
+    Only anchors of the first chains are chained again, when ``band_long`` is the wider.  Both chainings are made
+    where a read's anchors on one sequence and strand are, and the read's flag decides between them.
+    """
+    whole = Window.partitionBy("read_id", "rid", "rev")
+    enough = anchors.withColumn("a_n", F.count("*").over(whole)).where(F.col("a_n") >= min_cnt).drop("a_n")
+
+    def both(r: np.ndarray, q: np.ndarray, s: np.ndarray) -> list[tuple[int, list[int]]]:
+        first = backtrack(*chain_scores(r, q, s, band, max_gap), min_cnt, min_score, band)
+        if band_long <= band or not first:
+            return first
+        at = np.array(sorted(k for _, path in first for k in path))
+        second = backtrack(*range_scores(r[at], q[at], s[at], band_long, max_gap), min_cnt, min_score, band_long)
+        # The sign of a score tells the two chainings apart.
+        return first + [(-score, at[path].tolist()) for score, path in second]
+
+    found = _grouped(enough, both)
+    if band_long <= band:
+        return found
+    # As ``needs_rechaining``, over a window, so that the anchors are made once.
+    read, once = Window.partitionBy("read_id"), F.col("score") > 0
+    order = F.struct("rev", "rid", "first_r", "last_r")
+    flagged = (
+        found.join(lengths.select(F.col("rid").alias("read_id"), "len"), "read_id")
+        .withColumn("c_n", F.sum(once.cast("long")).over(read))
+        .withColumn("c_first", F.min(F.when(once, F.struct(order.alias("at"), (F.col("last_q") - F.col("first_q")).alias("span")))).over(read))
+    )
+    span = F.col("c_first.span")
+    again = (F.col("c_n") > 1) & ((F.col("len") - span > rescue) | (span > F.col("len") * ratio))
+    return flagged.where(again != once).withColumn("score", F.abs("score")).drop("len", "c_n", "c_first")
+
+
 def greedy(rbeg: np.ndarray, qbeg: np.ndarray, length: np.ndarray, band: int = 100, max_gap: int = 10000) -> list[list[int]]:
     """Chains of exact matches in order of rbeg: each match joins the chain that starts nearest before it.
 

@@ -188,7 +188,7 @@ def map_regions(spark: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def whole_regions(spark: SparkSession, d: str) -> DataFrame:
-    """``map_regions`` by all minimizers, also those that very many documents share."""
+    """``map_regions`` by all minimizers, also those that very many documents share, chained across gaps."""
     return mapping.map_reads(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
 
 
@@ -363,12 +363,12 @@ def masked_minimizers(spark: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def chain_dp(spark: SparkSession, d: str) -> DataFrame:
-    return chains.chain_dp(mapping.all_anchors(_sides(spark, d)))
+    return chains.chain_dp(mapping.all_anchors(_sides(spark, d))).drop("mlen", "blen")
 
 
 @_register()
 def chain_rmq(spark: SparkSession, d: str) -> DataFrame:
-    return chains.chain_rmq(mapping.all_anchors(_sides(spark, d)))
+    return chains.chain_rmq(mapping.all_anchors(_sides(spark, d))).drop("mlen", "blen")
 
 
 @_register()

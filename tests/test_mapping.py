@@ -40,3 +40,31 @@ def test_copies_overlap(spark):
     two = {(r.a, r.b): r for r in mapping.overlap_all(frame(spark, [copy, copy], "doc_id"), "doc_id", Options(min_score=100, **FEW)).collect()}
     assert pairs[0, 7].score == two[0, 1].score and pairs[0, 7].shared == two[0, 1].shared and pairs[0, 7].chains == two[0, 1].chains
     assert (0, 1) not in {(r.a, r.b) for r in mapping.overlap_all(documents, "doc_id", Options(min_score=100, **FEW)).collect()}
+
+
+def test_gaps_do_not_split_a_passage(spark):
+    passage = words(8, 300)
+    gapped = "".join(passage[k : k + 25] + "#" for k in range(0, 300, 25))
+    long = words(9, 4000)
+    joined = long[:1500] + words(11, 900) + long[1500:]
+    reads = frame(spark, [passage, long], "item_id")
+    texts = [words(12, 200) + gapped + words(13, 200), joined, *(words(400 + k, 700) for k in range(4)), words(14, 100) + long[:400]]
+    documents = frame(spark, texts, "doc_id")
+    rare = mapping.map_rare(reads, "item_id", documents, "doc_id").collect()
+    assert not [r for r in rare if r.read_id == 0] and len([r for r in rare if (r.read_id, r.rid) == (1, 1)]) == 2
+    found = {(r.read_id, r.rid): r for r in mapping.map_reads(reads, "item_id", documents, "doc_id").collect()}
+    assert set(found) == {(0, 0), (1, 1), (1, 6)}
+    one = found[0, 0]
+    assert one.qe - one.qs > 250 and one.blen >= one.mlen >= one.score and not one.rev
+    # 900 inserted letters are beyond the band; a second chaining within band_long joins the two parts.
+    assert found[1, 1].qe - found[1, 1].qs > 3900 and found[1, 1].re - found[1, 1].rs > 4800
+    narrow = Options(band_long=500)
+    assert len([r for r in mapping.map_reads(reads, "item_id", documents, "doc_id", narrow).collect() if r.rid == 1]) == 2
+
+
+def test_a_sequence_is_not_mapped_to_itself(spark):
+    texts = frame(spark, [words(20, 600), words(20, 600), words(21, 600)], "doc_id")
+    pairs = lambda o: {(r.read_id, r.rid) for r in mapping.map_reads(texts, "doc_id", texts, "doc_id", o).collect()}
+    assert pairs(Options()) == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)}
+    assert pairs(Options(no_diagonal=True)) == {(0, 1), (1, 0)}
+    assert pairs(Options(no_diagonal=True, no_dual=True)) == {(0, 1)}
