@@ -58,6 +58,14 @@ def all_anchors(s: Sketches) -> DataFrame:
     return seeds.anchors(s.queries, s.references, s.lengths, broadcast=few)
 
 
+def repeat_lengths(s: Sketches) -> DataFrame:
+    """(read_id, rep_len): how much of each query minimizers cover that are frequent in the references."""
+    met = s.references.join(s.queries.select("hash").distinct(), "hash", "left_semi")
+    often = seeds.with_occurrences(s.queries, index.occurrences(met)).join(F.broadcast(s.mid_occ)).where("occ > mid_occ")
+    spans = often.select("rid", (F.col("pos") + 1 - F.col("span")).alias("st"), (F.col("pos") + 1).alias("en"))
+    return seeds.covered_length(spans, "st", "en").select(F.col("rid").alias("read_id"), F.col("covered").alias("rep_len"))
+
+
 def map_rare(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
     """``map_reads`` by infrequent minimizers only, chained without gaps."""
     s = sketch_both(queries, q_key, references, r_key, options)

@@ -386,7 +386,8 @@ def chain_greedy(spark: SparkSession, d: str) -> DataFrame:
 @_register()
 def primary_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits with their parents, secondaries near them, and mapping quality."""
-    return hits.mapq_long(hits.select_secondary(hits.set_parents(whole_regions(spark, d))))
+    repeats = mapping.repeat_lengths(_sides(spark, d))
+    return hits.mapq_long(hits.select_secondary(hits.set_parents(whole_regions(spark, d))), repeats).drop("rep_len")
 
 
 @_register()

@@ -4,6 +4,7 @@ import random
 
 from strandloom.jobs import mapping
 from strandloom.jobs.options import Options
+from strandloom.operators import hits
 
 #: In so small an index few hashes are in the top 0.02 %; this fraction has a hash frequent above ten places.
 FEW = {"mid_occ_fraction": 0.9}
@@ -68,3 +69,14 @@ def test_a_sequence_is_not_mapped_to_itself(spark):
     assert pairs(Options()) == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)}
     assert pairs(Options(no_diagonal=True)) == {(0, 1), (1, 0)}
     assert pairs(Options(no_diagonal=True, no_dual=True)) == {(0, 1)}
+
+
+def test_frequent_seeds_lower_the_quality(spark):
+    common, own = words(15, 200), words(16, 60)
+    reads = frame(spark, [own + common, own + words(17, 200)], "item_id")
+    documents = frame(spark, [own + common, own + words(17, 200), *(words(500 + k, 200) + common for k in range(15))], "doc_id")
+    repeats = mapping.repeat_lengths(mapping.sketch_both(reads, "item_id", documents, "doc_id", Options(**FEW)))
+    found = {r.read_id: r.rep_len for r in repeats.collect()}
+    assert set(found) == {0} and 150 < found[0] <= 215
+    parented = hits.set_parents(mapping.map_reads(reads, "item_id", documents, "doc_id")).where("read_id = 0 AND place = 1")
+    assert hits.mapq_long(parented, repeats).first().mapq < hits.mapq_long(parented).first().mapq
