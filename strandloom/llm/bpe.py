@@ -25,6 +25,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from strandloom.llm.tokens import text_slices
+
 #: Code points of a leaf, which is encoded at once.
 LEAF_CHARS = 2048
 #: Code points before an edge that must be of its class for it to count as inside a match.
@@ -38,7 +40,7 @@ class TreeCodec:
         self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._bytes = {i: b for b, i in ranks.items()}
         self._leaf = leaf_chars
-        self._pair = functools.lru_cache(1 << 16)(self._pair_stands)
+        self._pair = functools.lru_cache(1 << 14)(self._pair_stands)
 
     def encode(self, text: str) -> list[int]:
         return self._encode(text, 0, len(text))
@@ -173,29 +175,35 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            counts, hashes, decoded, lists = [], [], [], []
-            for value in batch.column(1):
-                tokens = codec.encode(value.as_py() or "")
-                counts.append(len(tokens))
-                hashes.append(hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode_bytes(tokens)).hexdigest())
-                if ids:
-                    lists.append(tokens)
-            columns = [batch.column(0), *([pa.array(lists, pa.list_(pa.int32()))] if ids else [])]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())],
-                [key, *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in text_slices(batch, 1):
+                yield _encoded(codec, part, key, ids)
+
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(encode, schema)
+
 
-    return df.select(key, text).mapInArrow(encode, schema)
+def _encoded(codec: TreeCodec, batch: pa.RecordBatch, key: str, ids: bool) -> pa.RecordBatch:
+    lists, hashes, decoded = [], [], []
+    for value in batch.column(1):
+        tokens = codec.encode(value.as_py() or "")
+        decoded.append(hashlib.sha256(codec.decode_bytes(tokens)).hexdigest())
+        lists.append(np.array(tokens, np.int32))  # 4 bytes a token are held, not an object for each
+        hashes.append(hashlib.sha256(lists[-1].astype("<u4").tobytes()).hexdigest())
+    counts = np.array([len(x) for x in lists], np.int64)
+    columns, names = [batch.column(0)], [key]
+    if ids:
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)]))))
+        names.append("ids")
+    columns += [pa.array(counts), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-_codecs: dict[int, TreeCodec] = {}
+_last: list = [None, None]
 
 
 def _codec(shared) -> TreeCodec:
-    """One codec for a worker process and vocabulary; a worker outlives many tasks."""
+    """The codec of the vocabulary that this worker process used last; a worker outlives many tasks."""
     ranks, pattern = shared.value
-    if id(ranks) not in _codecs:
-        _codecs[id(ranks)] = TreeCodec(ranks, pattern)
-    return _codecs[id(ranks)]
+    if _last[0] is not ranks:
+        _last[:] = ranks, TreeCodec(ranks, pattern)
+    return _last[1]

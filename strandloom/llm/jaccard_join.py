@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.tables import Workspace
-from strandloom.llm.tokens import mix64, shingle_sets
+from strandloom.llm.tokens import SLICE_BYTES, mix64, shingle_sets
 
 #: Most frequent shingles whose counts order the columns; all others count as rare.
 FREQUENT_SHINGLES = 200_000
@@ -270,20 +270,29 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of the incidence matrix for each block that needs it."""
+    """A row of the incidence matrix for each block that needs it, in batches of about SLICE_BYTES."""
+    block, cls, sets, held = [], [], [], 0
+
+    def taken() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block, pa.int32()), pa.array(cls, pa.int64()), pa.nulls(len(cls), pa.int64()), pa.array(sets, pa.binary())],
+            ["block", "x", "y", "row"],
+        )
+
     for batch in batches:
-        block, cls, sets = [], [], []
         for found, key, blocks in zip(shingle_sets(batch.column(0)), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if set_key(found) != key:  # another text under the same key
                 continue
+            row = found.tobytes()
             for b in blocks.as_py():
                 block.append(b)
                 cls.append(key)
-                sets.append(found.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block, pa.int32()), pa.array(cls, pa.int64()), pa.nulls(len(cls), pa.int64()), pa.array(sets, pa.binary())],
-            ["block", "x", "y", "row"],
-        )
+                sets.append(row)
+                held += len(row)
+                if held >= SLICE_BYTES:
+                    yield taken()
+                    block, cls, sets, held = [], [], [], 0
+    yield taken()
 
 
 def _block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

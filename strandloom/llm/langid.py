@@ -205,13 +205,14 @@ def identify(
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _identify_batch(shared.value, batch.column(len(keep)), spans)
-            columns = [*batch.columns[: len(keep)], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())]
-            names = [*keep, "lang_pred", "score"]
-            if spans:
-                columns.append(pa.array(found[2], pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in tokens.text_slices(batch, len(keep)):
+                found = _identify_batch(shared.value, part.column(len(keep)), spans)
+                columns = [*part.columns[: len(keep)], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())]
+                names = [*keep, "lang_pred", "score"]
+                if spans:
+                    columns.append(pa.array(found[2], pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))))
+                    names.append("spans")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     read = df.select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("langid_text"))
     return read.mapInArrow(label, f"{kept}lang_pred string, score double{extra}")

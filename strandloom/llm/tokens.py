@@ -14,7 +14,9 @@ import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 #: Bytes of text handled by one round of numpy calls; a longer single document is one round by itself.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of text, and rows, of the slices in which operators that return much for each text read a batch.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1024
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,14 +28,20 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0], _powers[1]
+    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each.
+
+    Those of a usual chunk are kept; a longer text's are made for it alone and given back.
+    """
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        factors = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        factors[0] = 1
+        made.append(np.multiply.accumulate(factors))
+    if n <= CHUNK_BYTES + 1:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -45,6 +53,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about SLICE_BYTES of text and at most SLICE_ROWS rows; none is copied."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    row, n = 0, batch.num_rows
+    while row < n:
+        before = int(ends[row - 1]) if row else 0
+        stop = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
+        stop = min(max(stop, row + 1), row + SLICE_ROWS, n)
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, bytes, offsets) of consecutive rows of about CHUNK_BYTES; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

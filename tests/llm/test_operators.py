@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, fingerprints, html_extract, jaccard_join, langid, media, mixing, pii, quality, queries, secret_scan
-from strandloom.llm.tokens import shingle_sets, word_hashes, word_spans, text_chunks
+from strandloom.llm.tokens import SLICE_BYTES, SLICE_ROWS, shingle_sets, text_chunks, text_slices, word_hashes, word_spans
 
 DATA = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,6 +80,16 @@ def test_shingle_sets_equal_brute_force():
     assert len(set(hashed.tolist())) == 1
 
 
+def test_slices_cover_a_batch_within_their_bounds():
+    rng = random.Random(11)
+    texts = ["x" * rng.choice([0, 5, 70_000, 3 << 20]) for _ in range(60)] + [None] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["k", "t"])
+    parts = list(text_slices(batch, 1))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= SLICE_ROWS and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= SLICE_BYTES) for p in parts)
+    assert list(text_slices(batch.slice(0, 0), 1)) == []
+
+
 # --- 1. fingerprints
 
 
