@@ -83,7 +83,8 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def _lower_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    return tokens.text_chunks(pc.utf8_lower(pc.fill_null(column, "")))
+    """Chunks of lower-cased texts, large enough that Viterbi walks many rows in step."""
+    return tokens.text_chunks(pc.utf8_lower(pc.fill_null(column, "")), 1 << 20)
 
 
 def train(df: DataFrame, learnable: Column, rows: int = TRAIN_ROWS) -> Model:

@@ -10,9 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.spans import joined, no_spans, with_spans
+from strandloom.functions.arrays import let
+from strandloom.llm.spans import find, joined, replaced
 
 _LOCAL = "A-Za-z0-9._%+-"
+#: Characters of an IBAN by the countries that use so many.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: A match starts where the one before it ended, or after a character that could not lengthen it: the
 #: same leftmost matches without a new try from every character of a run.
 PATTERNS = {
@@ -20,16 +27,16 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # As many characters as the country's IBANs have, so that words after one are not taken for its end.
+    "iban": "(?i)(?<![A-Z0-9])(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must contain for a pattern to match at all; a single character is searched as such.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9\x20-]", "phone": "+", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9\x20-]", "phone": "+", "iban": "[A-Za-z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]"}
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Score of a confirmed span without and with a context word before it.
 SCORES = {"email": (0.8, 0.95), "ip": (0.6, 0.9), "card": (0.7, 0.95), "phone": (0.6, 0.9), "iban": (0.8, 0.95), "ssn": (0.3, 0.8)}
 MIN_SCORE = 0.5
-CONTEXT_CHARS = 40
 CONTEXT_WORDS = {
     "email": r"(?i)\b(e-?mail|mail|contact|courriel|correo)\b",
     "ip": r"(?i)\b(ip|address|host|server|adresse)\b",
@@ -81,39 +88,33 @@ def _valid(kind: str, hit: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(hit)).between(9, 15)
     if kind == "iban":
-        code = F.regexp_replace(hit, " ", "")
-        return F.when(F.length(code).between(15, 34), mod97_ok(code)).otherwise(F.lit(False))
+        return mod97_ok(F.upper(F.regexp_replace(hit, " ", "")))
     if kind == "ssn":
         return hit.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     return F.lit(True)
 
 
 def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``pii``: the confirmed spans with kind, start, end (code points, end exclusive), hit and score,
-    by kind in the order of PATTERNS, then start.  Null and empty texts have none."""
-    whole = df.withColumn("p_text", F.coalesce(F.col(text), F.lit("")))
-    found = with_spans(whole, "p_text", PATTERNS, NEEDS)
+    """Add ``pii`` (which replaces a column of that name): the confirmed spans with kind, start, end (code points, end
+    exclusive), hit and score, by kind in the order of PATTERNS, then start.  Null and empty texts have none.  No other
+    column is read or changed."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
-    def scored(kind: str) -> Column:
+    def scored(kind: str, found: Column) -> Column:
         plain, helped = SCORES[kind]
 
         def one(s: Column) -> Column:
-            begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            around = F.substring(F.col("p_text"), begin + 1, s["start"] - begin)
-            score = F.when(around.rlike(CONTEXT_WORDS[kind]), F.lit(helped)).otherwise(F.lit(plain))
+            score = F.when(s["before"].rlike(CONTEXT_WORDS[kind]), F.lit(helped)).otherwise(F.lit(plain))
             return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), score.alias("score"))
 
-        confirmed = F.filter(F.col(kind), lambda s: _valid(kind, s["hit"]))
-        spans = F.transform(confirmed, one)
-        kept = spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
-        return F.when(F.size(kind) > 0, kept).otherwise(F.transform(no_spans(), one))
+        spans = F.transform(F.filter(found, lambda s: _valid(kind, s["hit"])), one)
+        return spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
 
-    placed = found.withColumns({kind: scored(kind) for kind in PATTERNS})
-    return placed.withColumn("pii", F.concat(*[F.col(k) for k in PATTERNS])).drop("p_text", *PATTERNS)
+    return df.withColumn("pii", let(whole, lambda t: F.concat(*[scored(k, find(k, t, p, NEEDS[k])) for k, p in PATTERNS.items()])))
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """The contract's columns from ``pii``."""
+    """The contract's columns from ``pii``, and n_spans, the number of spans of all kinds."""
     of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
     return df.select(
@@ -121,29 +122,15 @@ def digest(df: DataFrame) -> DataFrame:
         *[of(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 
 def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
-    """Replace every span found by its kind in brackets; overlapping spans are replaced once, by the first."""
+    """Replace every span found by its kind in brackets; spans that overlap are replaced together, by the first's kind
+    (of one start: the shortest).  Texts without spans, null ones too, and rows with null spans stay as they are."""
     ordered = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.coalesce(F.col(text), F.lit(""))
-
-    def add(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]"))
-        skip = s["start"] < state["at"]
-        return F.struct(
-            F.when(skip, F.greatest(state["at"], s["end"])).otherwise(s["end"]).alias("at"),
-            F.when(skip, state["out"]).otherwise(piece).alias("out"),
-        )
-
-    clean = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        add,
-        lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))),
-    )
-    return df.withColumn(text, F.when(F.size(pii) > 0, clean).otherwise(F.col(text)))
+    return df.withColumn(text, replaced(F.col(f"`{text}`"), ordered, lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))))
 
 
 __all__ = ["PATTERNS", "digest", "find_pii", "luhn_ok", "mod97_ok", "redact"]

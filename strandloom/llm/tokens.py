@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 #: Bytes of text handled by one round of numpy calls; a longer single document is one round by itself.
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 19
 #: Bytes of text, and rows, of the slices in which operators that return much for each text read a batch.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1024
 
@@ -66,8 +66,8 @@ def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         row = stop
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (first row, bytes, offsets) of consecutive rows of about CHUNK_BYTES; nulls are empty."""
+def text_chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (first row, bytes, offsets) of consecutive rows of about ``size`` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -77,7 +77,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        stop = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         stop = min(max(stop, row + 1), n)
         yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
