@@ -132,11 +132,13 @@ def _combined(x: Column) -> Column:
     var = F.greatest((mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
     clumped = 2 * _upper_tail(F.abs(runs - mean) / F.sqrt(var))
 
-    middle = total(v) / n
-    power = F.greatest(total(F.transform(v, lambda y: (y - middle) * (y - middle))), F.lit(1e-9))
-    r = total(F.transform(real, lambda p: (p["a"] - middle) * (p["b"] - middle))) / power
-    serial = 2 * _upper_tail(F.abs(r) * F.sqrt(n))
-    return F.least(F.lit(1.0), 3 * F.least(uneven, clumped, serial))
+    def about(middle: Column) -> Column:
+        power = F.greatest(total(F.transform(v, lambda y: (y - middle) * (y - middle))), F.lit(1e-9))
+        r = total(F.transform(real, lambda p: (p["a"] - middle) * (p["b"] - middle))) / power
+        serial = 2 * _upper_tail(F.abs(r) * F.sqrt(n))
+        return F.least(F.lit(1.0), 3 * F.least(uneven, clumped, serial))
+
+    return let(total(v) / n, about)
 
 
 def _apart(tokens: Column, base: Column) -> Column:

@@ -3,9 +3,11 @@
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -276,10 +278,15 @@ def secret_spans(t):
 def test_base_spans_equal_brute_force(spark, find, digest, spans):
     rng = random.Random(4)
     rows = [(i, "".join(rng.choice(BITS) for _ in range(rng.randint(0, 12)))) for i in range(400)] + [(1000 + i, r[1]) for i, r in enumerate(HARD)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("email", F.lit(1)).withColumn("assign", F.lit(1))
-    frame = digest(find(df.select("doc_id", "text")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("email", "ip", "assign", "token", "hex", "p_text", "s_text", "h", "start"):
+        df = df.withColumn(name, F.lit(name))
+    added = find(df)
+    assert added.columns[:-1] == df.columns
+    frame = digest(added)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    assert added.select("email", "hex").distinct().collect() == [("email", "hex")]
     found = {r.doc_id: r for r in frame.collect()}
     for i, t in rows:
         wanted = ",".join(f"{k}:{s}:{e}" for k, s, e in spans(t))
@@ -304,6 +311,93 @@ def test_added_spans_and_masks(spark):
     assert {r.doc_id: r.text for r in masked.collect()} == {1: "a [SECRET] b", 2: "plain", 3: None}
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("IBAN GB82 WEST 1234 5698 7654 32 AND THANKS", "iban:5:32"),
+        ("GB82WEST12345698765432 OK", "iban:0:22"),
+        ("gb82 west 1234 5698 7654 32.", "iban:0:27"),
+        ("GB82WEST12345698765432X", ""),
+        ("DE89 3704 0044 0532 0130 00 NO93 8601 1117 947", "iban:0:27,iban:28:46"),
+        ("DE89 3704 0044 0532 0130 01", ""),
+        ("ssn 123-45-6789, 123-45-6780, 123-45-6781, 123-45-6782", "ssn:4:15,ssn:17:28,ssn:30:41"),
+    ],
+)
+def test_ibans_end_and_context_reaches_forty_back(spark, text, wanted):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.digest(pii.find_pii(df)).first().spans == wanted
+
+
+def test_many_spans_in_one_text_cost_little(spark):
+    rng = random.Random(12)
+    ips = " ".join(f"10.{rng.randrange(300)}.3.{rng.randrange(256)}" for _ in range(16_000))
+    df = spark.createDataFrame([(1, ips)], "doc_id long, text string")
+    began = time.time()
+    found = pii.digest(pii.find_pii(df)).first()
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in pii_spans(ips)).encode()).hexdigest()
+    assert pii.redact(pii.find_pii(df)).first().text == re.sub(r"\d+\.\d+\.\d+\.\d+", lambda m: m[0] if int(m[0].split(".")[1]) > 255 else "[ip]", ips)
+    assigned = " ".join(f"token=abcdef{k} é" for k in range(16_000))
+    text = secret_scan.mask(secret_scan.find_secrets(spark.createDataFrame([(1, assigned)], "doc_id long, text string"))).first().text
+    assert text == " ".join(["[SECRET] é"] * 16_000)
+    assert time.time() - began < 60  # a fold that copied its array or cut from the text's beginning took minutes
+
+
+def brute_evidence(token):
+    """Battery and evidence of a token, computed directly."""
+    core = token.rstrip("=").replace("-", "+").replace("_", "/")
+    kind = "hex" if re.fullmatch("[0-9a-fA-F]+", core) else "base32" if re.fullmatch("[A-Z2-7]+", core) else "base64"
+    alphabet = secret_scan.ALPHABETS[kind]
+    v = np.array([alphabet.index(c) for c in (core.lower() if kind == "hex" else core)], float)
+    n, size, half = len(v), len(alphabet), len(alphabet) / 2
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    counts = np.bincount((v * 8 // size).astype(int), minlength=8)
+    chi = ((counts - n / 8) ** 2 / (n / 8)).sum()
+    uneven = tail(((chi / 7) ** (1 / 3) - (1 - 2 / 63)) / math.sqrt(2 / 63))
+    high = (v >= half).sum()
+    runs, mean = 1 + (np.diff(v >= half) != 0).sum(), 2 * high * (n - high) / n + 1
+    clumped = 2 * tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))
+    about = v - v.mean()
+    serial = 2 * tail(abs((about[1:] * about[:-1]).sum() / max((about**2).sum(), 1e-9)) * math.sqrt(n))
+    p = min(1.0, 3 * min(uneven, clumped, serial))
+    classes = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in core]
+    follows = np.array(secret_scan.FOLLOWS).reshape(5, 4)
+    own = [secret_scan.LETTERS[ord(c.lower()) - 97] / sum(secret_scan.LETTERS) if c.isalpha() else 0.1 if c.isdigit() else 0.25 for c in core]
+    e = sum(-math.log(size * follows[a, b] * q) for a, b, q in zip([4, *classes], classes, own, strict=False))
+    return p, e
+
+
+def test_battery_and_evidence_equal_direct_computation(spark):
+    assert np.allclose(np.array(secret_scan.FOLLOWS).reshape(5, 4).sum(1), 1)
+    rng = random.Random(13)
+    tokens = ["".join(rng.choice(rng.choice(list(secret_scan.ALPHABETS.values()))) for _ in range(rng.randint(20, 60))) for _ in range(60)]
+    tokens += ["".join(rng.choice(a) for _ in range(30)) for a in secret_scan.ALPHABETS.values()] + ["a" * 40, "Chapter12-the-long_heading-of-a-page=="]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.battery(F.col("t")).alias("p"), secret_scan.evidence(F.col("t")).alias("e")).collect()
+    for r in rows:
+        p, e = brute_evidence(r.t)
+        assert abs(r.p - p) < 3e-3
+        assert r.e == -math.inf if e > 0 and r.p < secret_scan.BATTERY_LEVEL else abs(r.e - e) < 1e-6
+
+
+def test_reported_tokens_equal_the_step_up_on_direct_evidence(spark):
+    rng = random.Random(14)
+    words = ["Chapter12-the-long-heading-of-a-page", "thisIsAVeryLongIdentifierName2", "aBcDeF-gHiJkL-mNoPqR", "X1-Y2-Z3-A4-B5-C6-D7-E8", "v1-2-3-rc4-build5678-x86_64"]
+    texts = []
+    for _ in range(40):
+        some = [rng.choice(words) for _ in range(rng.randint(0, 6))] + ["".join(rng.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(rng.choice([20, 22, 45]))) for _ in range(rng.randint(0, 3))]
+        rng.shuffle(some)
+        texts.append(" ".join(some))
+    found = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        tokens = r.text.split()
+        wanted = set()
+        if tokens:
+            mean = sum(map(len, tokens)) / len(tokens)
+            e = [(-math.inf if x > 0 and p < secret_scan.BATTERY_LEVEL else x) + math.log(len(t) / mean) for t in tokens for p, x in [brute_evidence(t)]]
+            passed = [x for k, x in enumerate(sorted(e, reverse=True)) if x + math.log(k + 1) >= math.log(len(tokens) / secret_scan.FALSE_DISCOVERY_RATE)]
+            wanted = {t for t, x in zip(tokens, e, strict=True) if passed and x >= min(passed)}
+        assert {s.hit for s in r.secrets if s.kind == "random"} == wanted
+
+
 # --- 6. Jaccard join
 
 
