@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from strandloom.llm.tables import Workspace
 
 
-def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
-    """One star: connect each node's larger (or no larger) neighbours to the least of its neighbourhood."""
+def _toward_least(edges: DataFrame, large: bool, work: Workspace, name: str) -> DataFrame:
+    """One star: connect each node's larger (or no larger) neighbours to the least of its neighbourhood.
+
+    The least ones are a table, so that Spark can split the neighbours of a hub in the join.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = work.stash(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     joined = near.join(least, "u")
     moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else (
         joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -33,5 +36,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFr
         if seen.n == 0 or (seen.n, seen.x) == mark:
             return current
         mark, step = (seen.n, seen.x), step + 1
-        current = work.stash(_toward_least(_toward_least(current, True), False), f"{name}-{step}")
-        work.drop(f"{name}-{step - 1}")
+        wide = work.stash(_toward_least(current, True, work, f"{name}-{step}-large"), f"{name}-{step}-wide")
+        current = work.stash(_toward_least(wide, False, work, f"{name}-{step}-small"), f"{name}-{step}")
+        for old in (f"{step - 1}", f"{step}-large", f"{step}-wide", f"{step}-small"):
+            work.drop(f"{name}-{old}")

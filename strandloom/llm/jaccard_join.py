@@ -11,7 +11,11 @@ Documents are rows and five-word shingles columns of a sparse incidence matrix;
     bounds the overlap from above and discards most pairs; the overlaps of the others are counted by blocks of the
     product, and pairs below the bound discarded.  The links found give provisional components.
 3.  Pairs of one column that lie in different components, and that size and position bounds allow, are counted
-    in the same way.  Pairs inside a component need no count: they can't change the components.
+    in the same way.  Pairs inside a component need no count: they can't change the components.  As one of such a
+    pair is outside the column's largest component, those few meet all, not all meet all.
+
+Columns that very many classes share are dealt to several tasks by a hash of the class, and step 2 streams through a
+column, so that no column is held by one task.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ COUNT_WINDOW = 2_000_000
 BLOCK_PAIRS = 2_000
 #: Least bits of a set's parity bitmap.
 LEAST_BITS = 512
+#: Classes of a column, by its count, from which the column is dealt to several tasks; each gets about so many.
+HOT_COLUMN = 50_000
+#: Classes whose postings a task remembers, so as not to emit them again for copies.
+SEEN_CLASSES = 200_000
 #: Rows of candidate ids up to which they are broadcast to the scan of the texts; joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -115,8 +123,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """The most frequent shingles, the less frequent first: at most FREQUENT_SHINGLES, whatever the input."""
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, the less frequent first, and their counts: at most FREQUENT_SHINGLES, whatever the input."""
     top = (
         texts.mapInArrow(_repeated, "h long, n long")
         .groupBy("h")
@@ -126,22 +134,33 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
         .limit(FREQUENT_SHINGLES)
         .toArrow()
     )
-    return top.column("h").to_numpy().view(np.uint64)[::-1].copy()
+    return top.column("h").to_numpy().view(np.uint64)[::-1].copy(), top.column("n").to_numpy()[::-1].copy()
+
 
+def _postings(shared, hot: int):
+    """Rows of the reduced matrix; lead marks the shorter prefix of the smaller set.
 
-def _postings(shared):
-    """Rows (h, cls, n, pos, lead) of the reduced matrix; lead marks the shorter prefix of the smaller set."""
+    A class is emitted once by a task, however many copies it reads.  A column counted ``hot`` times or more is dealt
+    in ``parts``, and ``part`` is the class's, by a hash of both.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        frequent, counts = shared.value
         by_hash = np.argsort(frequent)
-        known = frequent[by_hash]
+        known, times = frequent[by_hash], counts[by_hash]
+        seen: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
             for found in shingle_sets(batch.column(0)):
                 n = len(found)
                 if not n:
                     continue
+                key = set_key(found)
+                if key in seen:
+                    continue
+                if len(seen) >= SEEN_CLASSES:
+                    seen.clear()
+                seen.add(key)
                 at = np.searchsorted(known, found)
                 hit = np.zeros(n, bool)
                 if len(known):
@@ -149,7 +168,11 @@ def _postings(shared):
                 common = found[hit][np.argsort(by_hash[at[hit]])]
                 length = n - -(-3 * n // 4) + 1
                 prefix = np.concatenate([found[~hit][:length], common])[:length]
-                out.append((prefix, set_key(found), n, n - -(-6 * n // 7) + 1))
+                parts = np.ones(len(prefix), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, prefix), len(known) - 1)
+                    parts = np.where(known[place] == prefix, np.maximum(1, times[place] // hot), 1)
+                out.append((prefix, key, n, n - -(-6 * n // 7) + 1, parts))
                 if len(out) >= 512:
                     yield _posting_batch(out)
                     out = []
@@ -163,81 +186,91 @@ def _posting_batch(rows: list[tuple]) -> pa.RecordBatch:
     lengths = np.array([len(r[0]) for r in rows])
     pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
     spread = lambda k, kind: np.repeat(np.array([r[k] for r in rows], kind), lengths)
+    h, cls, parts = np.concatenate([r[0] for r in rows]), spread(1, np.int64), np.concatenate([r[4] for r in rows])
+    part = (mix64(h ^ cls.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)),
-            pa.array(spread(1, np.int64)),
+            pa.array(h.view(np.int64)),
+            pa.array(cls),
             pa.array(spread(2, np.int32)),
             pa.array(pos),
             pa.array(pos < spread(3, np.int32)),
+            pa.array(parts.astype(np.int32)),
+            pa.array(part),
         ],
-        ["h", "cls", "n", "pos", "lead"],
+        ["h", "cls", "n", "pos", "lead", "parts", "part"],
     )
 
 
-_POSTING = "h long, cls long, n int, pos int, lead boolean"
+_POSTING = "h long, cls long, n int, pos int, lead boolean, parts int, part int"
 
 
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches of rows sorted by h, cut only between columns of the matrix (values of h)."""
-    held: list[dict[str, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        h = part["h"]
-        if h[0] == h[-1]:
-            if held and held[-1]["h"][-1] != h[0]:
-                yield _glue(held)
-                held = []
-            held.append(part)
-            continue
-        cut = int(np.searchsorted(h, h[-1], side="left"))
-        held.append({k: v[:cut] for k, v in part.items()})
-        yield _glue(held)
-        held = [{k: v[cut:] for k, v in part.items()}]
-    if held:
-        yield _glue(held)
+class _Column:
+    """What step 2 remembers of the column it reads: its last row that leads, and the first of each size."""
+
+    def __init__(self):
+        self.last: tuple[int, int] | None = None
+        self.sizes: list[int] = []
+        self.firsts: list[int] = []
+        self.low = 0
+
+    def partners(self, n: int) -> tuple[int | None, int | None]:
+        """The nearest smaller class that leads and the smallest, both within the size bound."""
+        while self.low < len(self.sizes) and 4 * self.sizes[self.low] < 3 * n:
+            self.low += 1
+        near = self.last[0] if self.last and 4 * self.last[1] >= 3 * n else None
+        return near, self.firsts[self.low] if self.low < len(self.sizes) else None
+
+    def add(self, cls: int, n: int) -> None:
+        self.last = (cls, n)
+        if not self.sizes or self.sizes[-1] != n:
+            self.sizes.append(n)
+            self.firsts.append(cls)
 
 
-def _glue(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+def _met(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows may share their column with another class; the first and the last may, as far as a batch tells."""
+    h, part, cls, parts = (batch.column(k).to_numpy() for k in ("h", "part", "cls", "parts"))
+    same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+    edge = np.ones(min(1, len(h)), bool)
+    keep = np.concatenate([edge, same]) | np.concatenate([same, edge]) | (parts > 1)
+    keep[1:] &= ~(same & (cls[1:] == cls[:-1]))  # copies follow each other
+    keep[-1:] = True
+    return keep
 
 
 def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of columns with at least two classes, with the pairs of step 2 (0 rows of n for none)."""
-    for part in _columns(batches, ["h", "cls", "n", "pos", "lead"]):
-        h, cls, n = part["h"], part["cls"], part["n"]
-        fresh = np.ones(len(h), bool)  # rows are sorted by h, n, cls: copies follow each other
-        fresh[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-        part = {k: v[fresh] for k, v in part.items()}
-        h = part["h"]
-        _, group, size = np.unique(h, return_inverse=True, return_counts=True)
-        many = size[group] > 1
-        part, h, group = {k: v[many] for k, v in part.items()}, h[many], group[many]
-        if not len(h):
-            continue
-        cls, n, lead = part["cls"], part["n"].astype(np.int64), part["lead"]
-        begin = np.searchsorted(h, h, side="left")
-        rows = np.arange(len(h))
-        # Nearest earlier row of the column that leads, and the first one that the size bound allows.
-        latest = np.maximum.accumulate(np.where(lead, rows, -1))
-        nearest = np.concatenate([[-1], latest[:-1]])
-        nearest = np.where(nearest >= begin, nearest, -1)
-        scale = np.int64(n.max()) + 1
-        low = np.searchsorted(group * scale + n, group * scale + -(-3 * n // 4), side="left")
-        following = np.minimum.accumulate(np.where(lead, rows, len(h))[::-1])[::-1]
-        first = following[np.minimum(low, len(h) - 1)]
-        first = np.where((first < rows) & (first >= begin), first, -1)
-        partner = []
-        for found in (nearest, first):
-            ok = (found >= 0) & (4 * n[found] >= 3 * n)
-            partner.append(pa.array(cls[found], mask=~ok))
-            partner.append(pa.array(n[found].astype(np.int32), mask=~ok))
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(part[k]) for k in ("h", "cls", "n", "pos", "lead")), *partner],
-            ["h", "cls", "n", "pos", "lead", "near", "near_n", "far", "far_n"],
-        )
+    """Rows of columns (h, part), or of dealt columns, with at least two classes, with the partners of step 2.
+
+    The rows come sorted by h, part, n, cls.  They are passed on as they come, the first of a column when its second is
+    read, so that no column is held whole.
+    """
+    names = ["h", "cls", "n", "pos", "lead", "parts", "part"]
+    held, before, column, alone = None, None, _Column(), True
+    for batch in batches:
+        out: list[list] = []
+        batch = batch.filter(pa.array(_met(batch)))
+        rows = zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+        for row in rows:
+            h, cls, n, _, lead, parts, part = row
+            if (h, part) != before:
+                before, column, held, alone = (h, part), _Column(), [*row, None, None], parts == 1
+                if not alone:  # its other parts have more classes
+                    out.append(held)
+            elif cls == held[1]:
+                continue  # copies follow each other
+            else:
+                if alone:
+                    out.append(held)
+                    alone = False
+                held = [*row, *column.partners(n)]
+                out.append(held)
+            if lead:
+                column.add(cls, n)
+        if out:
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "near", "far"])
 
 
 #: Rows of one column compared at a time by step 3.
@@ -245,28 +278,65 @@ _TILE = 2048
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a column in different components that the size and position bounds allow."""
-    for part in _columns(batches, ["h", "cls", "n", "pos", "lead", "root"]):
-        bounds = np.flatnonzero(np.concatenate([[True], part["h"][1:] != part["h"][:-1], [True]]))
+    """Pairs of a column in different components that the size and position bounds allow.
+
+    Rows come sorted by h, part, few: first those outside the column's largest component (few), which are held, then
+    all of the part.  In any pair sought one is among the first.
+    """
+    names = ["h", "part", "few_part", "cls", "n", "pos", "lead", "root", "major"]
+    before, few = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in [*names, "few"]}
+        changes = [part[k][1:] != part[k][:-1] for k in ("h", "part", "few_part")]
+        bounds = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce(changes), [True]]))
         for a, b in zip(bounds, bounds[1:], strict=False):
-            cls, n, pos = part["cls"][a:b], part["n"][a:b].astype(np.int64), part["pos"][a:b].astype(np.int64)
-            lead, root = np.flatnonzero(part["lead"][a:b]), part["root"][a:b]
-            if (root == root[0]).all():
-                continue
-            for left in range(0, len(lead), _TILE):
-                x = lead[left : left + _TILE]
-                for right in range(int(x[0]), b - a, _TILE):
-                    y = np.arange(right, min(b - a, right + _TILE))
-                    need = min_overlap(n[x][:, None], n[y][None, :])
-                    reach = 1 + np.minimum((n[x] - pos[x] - 1)[:, None], (n[y] - pos[y] - 1)[None, :])
-                    fits = (x[:, None] < y[None, :]) & (root[x][:, None] != root[y][None, :])
-                    fits &= (4 * n[x][:, None] >= 3 * n[y][None, :]) & (reach >= need)
-                    i, j = np.nonzero(fits)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(cls[x[i]]), pa.array(n[x[i]].astype(np.int32)), pa.array(cls[y[j]]), pa.array(n[y[j]].astype(np.int32))],
-                            ["x", "nx", "y", "ny"],
-                        )
+            key = tuple(int(part[k][a]) for k in ("h", "part", "few_part"))
+            rows = {k: part[k][a:b] for k in names}
+            is_few = part["few"][a:b]
+            fresh = {k: v[is_few] for k, v in rows.items()}
+            few = fresh if key != before else {k: np.concatenate([few[k], fresh[k]]) for k in names}
+            before = key
+            yield from _across(few, {k: v[~is_few] for k, v in rows.items()})
+
+
+def _across(few: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for left in range(0, len(few["cls"]), _TILE):
+        x = {k: v[left : left + _TILE][:, None] for k, v in few.items()}
+        for right in range(0, len(rows["cls"]), _TILE):
+            y = {k: v[right : right + _TILE][None, :] for k, v in rows.items()}
+            nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+            first = (nx < ny) | ((nx == ny) & (x["cls"] < y["cls"]))  # the row of few is the smaller set
+            small, large = np.where(first, nx, ny), np.where(first, ny, nx)
+            reach = 1 + np.minimum(nx - x["pos"] - 1, ny - y["pos"] - 1)
+            fits = (x["root"] != y["root"]) & np.where(first, x["lead"], y["lead"])
+            fits &= first | (y["root"] == y["major"])  # a pair of two of few is met twice
+            fits &= (4 * small >= 3 * large) & (reach >= min_overlap(nx, ny))
+            i, j = np.nonzero(fits)
+            if len(i):
+                a, b, swap = few["cls"][left + i], rows["cls"][right + j], ~first[i, j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b))], ["x", "y"])
+
+
+def _open_columns(labelled: DataFrame) -> DataFrame:
+    """Rows of the columns that have several components, dealt for ``_open_pairs``.
+
+    A column's rows outside its largest component go to each of its parts, in pieces of about HOT_COLUMN.
+    """
+    counts = labelled.groupBy("h", "root").agg(F.count("*").alias("c"))
+    mixed = (
+        counts.groupBy("h")
+        .agg(F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("fewer"), F.count("*").alias("roots"))
+        .where("roots > 1")
+        .select(F.col("h").alias("m_h"), "major", (F.floor(F.col("fewer") / HOT_COLUMN) + 1).cast("int").alias("few_parts"))
+    )
+    rows = labelled.join(mixed, F.col("h") == F.col("m_h")).drop("m_h")
+    own = F.pmod(F.xxhash64("cls", "h"), F.col("few_parts")).cast("int")
+    every = rows.withColumn("few_part", F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1))).withColumn("few", F.lit(False))
+    few = rows.where("root <> major").withColumn("few_part", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("few", F.lit(True))
+    kept = ["h", "part", "few_part", "few", "cls", "n", "pos", "lead", "root", "major"]
+    return few.select(kept).unionByName(every.select(kept))
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +420,12 @@ def _differ_little(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["x", "y"]).filter(pa.array(7 * apart <= both))
 
 
-def _bounded_pairs(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    """Pairs (x, y) that the bitmaps of their sets do not rule out."""
-    asked = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
-    known = sized.join(asked, "cls", "left_semi").groupBy("cls", "n_shingles").agg(F.min("bits").alias("bits"))
-    side = lambda k: known.select(F.col("cls").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (x, y) that the bitmaps of their sets do not rule out.
+
+    Both sides of each join are tables, so that Spark can split a class with very many partners.
+    """
+    side = lambda k: classes.select(F.col("cls").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
     return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_n", "y_n", "x_bits", "y_bits").mapInArrow(_differ_little, "x long, y long")
 
 
@@ -368,7 +439,7 @@ def _count_pairs(pairs: DataFrame, total: int, docs: DataFrame, reps: DataFrame,
         .groupBy("cls")
         .agg(F.collect_set("block").alias("blocks"))
     )
-    wanted = needs.join(reps, "cls").select("rep", "cls", "blocks")
+    wanted = needs.join(reps.select("cls", "rep"), "cls").select("rep", "cls", "blocks")
     if 2 * total <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("row_name") == F.col("rep")).select("text", "cls", "blocks")
@@ -392,15 +463,20 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     sized = work.stash(
         docs.select("doc_id", "text", "row_name").mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long, bits binary"), "sized"
     )
-    reps = sized.where("n_shingles > 0").groupBy("cls").agg(F.min("row_name").alias("rep"), F.min("doc_id").alias("least_id"))
+    reps = work.stash(
+        sized.where("n_shingles > 0")
+        .groupBy("cls")
+        .agg(F.min("row_name").alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits")),
+        "classes",
+    )
 
     order = spark.sparkContext.broadcast(frequent_shingles(docs.select("text")))
     matrix = (
         docs.select("text")
-        .mapInArrow(_postings(order), _POSTING)
-        .repartition(partitions, "h")
-        .sortWithinPartitions("h", "n", "cls")
-        .mapInArrow(_shared_columns, _POSTING + ", near long, near_n int, far long, far_n int")
+        .mapInArrow(_postings(order, HOT_COLUMN), _POSTING)
+        .repartition(partitions, "h", "part")
+        .sortWithinPartitions("h", "part", "n", "cls")
+        .mapInArrow(_shared_columns, _POSTING + ", near long, far long")
     )
     shared = work.stash(matrix, "shared")
     first = work.stash(
@@ -410,33 +486,35 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
         .distinct(),
         "first",
     )
-    bounded = work.stash(_bounded_pairs(first, sized), "bounded-1")
+    bounded = work.stash(_bounded_pairs(first, reps), "bounded-1")
     total = bounded.count()
     links = work.stash(_count_pairs(bounded, total, docs, reps, partitions), "links-1")
     roots = connected_components(links, work, "roots-1")
 
     labelled = (
-        shared.select("h", "cls", "n", "pos", "lead")
+        shared.drop("near", "far")
         .join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
         .withColumn("root", F.coalesce("root", "cls"))
     )
+    labelled = work.stash(labelled, "labelled")
+    work.drop("shared")
     second = work.stash(
-        labelled.repartition(partitions, "h")
-        .sortWithinPartitions("h", "n", "cls")
-        .mapInArrow(_open_pairs, "x long, nx int, y long, ny int")
-        .select("x", "y")
+        _open_columns(labelled)
+        .repartition(partitions, "h", "part", "few_part")
+        .sortWithinPartitions("h", "part", "few_part", F.col("few").desc())
+        .mapInArrow(_open_pairs, "x long, y long")
         .distinct()
         .join(first, ["x", "y"], "left_anti"),
         "second",
     )
-    work.drop("shared")
-    bounded = work.stash(_bounded_pairs(second, sized), "bounded-2")
+    work.drop("labelled")
+    bounded = work.stash(_bounded_pairs(second, reps), "bounded-2")
     total = bounded.count()
     if total:
         more = work.stash(_count_pairs(bounded, total, docs, reps, partitions), "links-2")
         roots = connected_components(more.unionByName(roots.select("u", "v")), work, "roots-2")
 
-    named = reps.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn(
+    named = reps.select("cls", "least_id").join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -445,6 +445,24 @@ def test_components_equal_brute_force(spark):
     assert sorted(map(tuple, jaccard_join.jaccard_components(hard(spark)).collect()), key=repr)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_dealt_columns_lose_no_link(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_COLUMN", hot)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_FROM", 2)
+    rows = planted(random.Random(15 + hot))
+    found = sorted(map(tuple, jaccard_join.jaccard_components(hard(spark, rows)).collect()))
+    assert found == sorted(brute_components(rows))
+
+
+def test_a_class_with_very_many_partners(spark):
+    base = varied(random.Random(16), 60)
+    many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, base).otherwise(F.concat(F.lit(base + " tail"), F.col("id"))).alias("text"))
+    other = spark.range(50_000, 50_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f tail"), "id").alias("text"))
+    found = jaccard_join.jaccard_components(many.unionByName(other)).groupBy("component_id").count()
+    assert {(r.component_id, r["count"]) for r in found.where("component_id = 0").collect()} == {(0, 50_000)}
+    assert found.count() == 201
+
+
 def test_components_on_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     found = sorted(map(tuple, queries.op6_jaccard_join(spark, DATA).collect()))
