@@ -1,9 +1,11 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page is cut into blocks at block-level tags.  A linear classifier over a block's words, links and place in
-the element tree gives its probability of being content; the costs of the two labels are its capacities to
-the source and the sink.  Neighbouring blocks, and next blocks of one parent, are joined by edges that are
-stronger the closer they lie in the tree.  The minimum cut separates content from boilerplate.
+A page is cut into blocks at block-level tags.  A linear classifier over a block's words, links, element names, place
+in the element tree and distance from the element that holds most of the text gives its probability of being content;
+the costs of the two labels are its capacities to the source and the sink.  Neighbouring blocks, and next blocks of one
+parent, are joined by edges that are stronger the closer they lie in the tree.  The minimum cut separates content from
+boilerplate.  Names of classes are evidence only where their element holds the smaller part of a page's text, and none
+if a page would have no content by them alone.
 """
 
 from __future__ import annotations
@@ -21,26 +23,33 @@ from pyspark.sql import DataFrame
 #: Elements that break text into blocks, that hold no content, that never have an end tag.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre search section select summary table tbody td "
+    "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-BOILER_TAGS = frozenset("nav footer aside form head title menu dialog select option button fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside head title menu dialog".split())
+#: Controls inside a line: their text is left out, and the block goes on after them.
+CONTROLS = frozenset("button select option optgroup datalist".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = "script|style|noscript|template|textarea|iframe|object|audio|video|canvas"
 #: Start tags that end a drawing (svg) whose end tag is missing.
 ENDS_DRAWING = (BLOCK_TAGS - {"title"}) | frozenset("b big br code em embed hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 #: Start tags that end an open element of these names.
 CLOSES = {
-    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
 #: Words of class, id and role that speak against content, and for it.
 BOILER_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent "
-    "contentinfo cookie cookies copyright disclaimer disqus feedback footer footnav form gdpr header legal login masthead menu modal nav "
+    "contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer footnav form gdpr header legal login masthead menu modal nav "
     "navbar navigation newsletter notice notices overlay pager pagination popup privacy promo promoted promotion promotions reader "
     "recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags "
     "toolbar toc topbar trending widget widgets warning alert complementary".split()
 )
+#: Those of them that say so at the beginning of a longer name too.
+LEADING_WORDS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu nav "
+    "navbar navigation newsletter pagination promo promoted promotion sidebar sponsor sponsored subscribe".split()
+)
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text maincontent postbody".split())
 
 _RAW = rf"<(?P<raw>{RAW_TAGS})(?=[\s>/])[^>]*+>(?s:.*?)(?:</(?P=raw)\s*+>|\Z)"
@@ -57,9 +66,23 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:\s|^)hidden(?:[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
 
+#: Headings that begin the readers' part of a page, in the languages of the corpus.
+_READERS = re.compile(
+    r"(?:\d+\s+)?(?:(?:reader |all |latest )?comments?|responses?|replies|discussion|join the (?:discussion|conversation)|leave a (?:comment|reply)"
+    r"|commentaires?|réactions?|kommentare?|leserkommentare|comentarios?|respuestas)(?:\s*\(?\d+\)?)?\s*:?",
+    re.IGNORECASE,
+)
+
 #: Edge weights: adjacent blocks, next blocks of one parent, and the share that each tree step leaves.
 ADJACENT, SIBLING, STEP = 0.8, 0.8, 0.6
 NEVER = 1e6
+#: Open elements of a page; deeper ones are read as text of the last, as browsers do.
+MAX_DEPTH = 512
+#: Evidence: a name that speaks against content, one of which only a part does, a form, a block outside the element
+#: that holds most of the text, one outside any article element, one after a heading of the readers' part.
+NAMED, PARTLY_NAMED, FORM, OUTSIDE, NOT_ARTICLE, READERS = 9.0, 2.0, 20.0, 2.0, 2.0, 9.0
+#: Shares of a page's words from which an element's name, and a form, are no evidence; share that the main element holds.
+NAME_SHARE, FORM_SHARE, MAIN_SHARE = 0.5, 0.8, 0.6
 
 
 class Block(NamedTuple):
@@ -72,29 +95,52 @@ class Block(NamedTuple):
 class _Element(NamedTuple):
     tag: str
     number: int
-    boiler: float  # evidence against content, this element's and those around it
-    content: float
+    never: bool  # inside an element that holds no content
+    content: float  # evidence for content, this element's and those around it
 
 
-def _evidence(tag: str, rest: str, around: _Element) -> tuple[float, float]:
-    against, favour = around.boiler, around.content
+class _Piece(NamedTuple):
+    text: str
+    words: int
+    path: tuple[int, ...]
+    tag: str
+    never: bool
+    base: float  # score without names and place
+
+
+def _named(words: list[str]) -> float:
+    """Evidence against content of one class, id or role name, by its parts."""
+    if not words or any(w in CONTENT_WORDS for w in words):
+        return 0.0
+    if all(w in BOILER_WORDS for w in words) or words[0] in LEADING_WORDS:
+        return NAMED
+    return PARTLY_NAMED if any(w in BOILER_WORDS for w in words) else 0.0
+
+
+def _evidence(tag: str, rest: str, around: _Element) -> tuple[bool, float, float]:
+    """(never content, evidence against by name or form, evidence for content with that around)."""
+    never, against, favour = around.never, 0.0, around.content
     if tag == "header":  # an article's own header holds its headings
         against += 6.0 if not favour else 1.0
     elif tag in BOILER_TAGS:
-        against += 20.0
+        never = True
+    elif tag in ("form", "fieldset"):
+        against += FORM
     if tag in ("article", "main"):
         favour = max(favour, 3.0)
     if rest and not rest.isspace():
-        words = {
-            w for m in _ATTRIBUTE.finditer(rest) for w in _PART.findall(_CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower())
-        }
-        if words & BOILER_WORDS and tag not in ("body", "html", "article", "main"):
-            against += 9.0
-        elif words & CONTENT_WORDS:
+        names = [
+            _PART.findall(_CAMEL.sub("-", name).lower())
+            for m in _ATTRIBUTE.finditer(rest)
+            for name in (m[1] or m[2] or m[3] or "").split()
+        ]
+        if tag not in ("body", "html", "article", "main"):
+            against += max(map(_named, names), default=0.0)
+        if any(w in CONTENT_WORDS for name in names for w in name):
             favour = max(favour, 2.0)
         if _HIDDEN.search(rest):
-            against += 20.0
-    return against, favour
+            never = True
+    return never, against, favour
 
 
 def _self_closing(rest: str) -> bool:
@@ -102,16 +148,25 @@ def _self_closing(rest: str) -> bool:
     return bool(_CLOSED.search(rest)) and not _UNQUOTED.search(rest)
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order.
+def blocks(page: str, named: bool = True) -> list[Block]:
+    """Blocks with text, in page order; without ``named``, names are no evidence.
 
     Text of a drawing (svg) is left out, up to its end tag or to a tag that cannot be inside it; formulas are text.
+    Text of controls is left out, up to their end or to the next block.
     """
-    stack = [_Element("", 0, 0.0, 0.0)]
+    found, against, articles = _parse(page)
+    return _scored(found, against if named else {k: v for k, v in against.items() if v >= FORM}, articles)
+
+
+def _parse(page: str) -> tuple[list[_Piece], dict[int, float], set[int]]:
+    """The page's blocks, evidence against elements by name or form, and the numbers of its article and main elements."""
+    stack = [_Element("", 0, False, 0.0)]
     count, at = 0, 0
     pieces: list[str] = []
-    linked, in_link = 0, False
-    out: list[Block] = []
+    linked, in_link, muted = 0, False, ""
+    out: list[_Piece] = []
+    against: dict[int, float] = {}
+    articles: set[int] = set()
     drawings = 0  # open svg elements
     foreign: list[str] = []  # open elements from a drawing's foreignObject on
 
@@ -120,12 +175,12 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(_block(text, linked, stack))
+                out.append(_piece(text, linked, stack))
         pieces, linked = [], 0
 
     def take(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not muted:
             pieces.append(piece)
             if in_link:
                 linked += len(piece)
@@ -164,9 +219,16 @@ def blocks(page: str) -> list[Block]:
             drawings, foreign = 0, []
         if tag == "a":
             in_link = not ends
+        elif tag in CONTROLS:
+            if not ends and not muted:
+                take(" ")
+                muted = tag
+            elif ends and tag == muted:
+                muted = ""
         elif tag == "br" or tag == "annotation":
             take(" ")
         elif tag in BLOCK_TAGS or (tag in BOILER_TAGS):
+            muted = ""
             flush()
             if ends:
                 for k in range(len(stack) - 1, 0, -1):
@@ -177,28 +239,76 @@ def blocks(page: str) -> list[Block]:
             closes = CLOSES.get(tag) or ({"p"} if stack[-1].tag == "p" else ())
             while len(stack) > 1 and stack[-1].tag in closes:
                 stack.pop()
-            if tag in VOID_TAGS:
+            if tag in VOID_TAGS or len(stack) >= MAX_DEPTH:
                 continue
             count += 1
-            stack.append(_Element(tag, count, *_evidence(tag, rest, stack[-1])))
+            never, own, favour = _evidence(tag, rest, stack[-1])
+            if own:
+                against[count] = own
+            if tag in ("article", "main"):
+                articles.add(count)
+            stack.append(_Element(tag, count, never, favour))
     if not drawings:
         take(page[at:])
     flush()
-    return out
+    return out, against, articles
 
 
-def _block(text: str, linked: int, stack: list[_Element]) -> Block:
+def _piece(text: str, linked: int, stack: list[_Element]) -> _Piece:
     top = stack[-1]
     words = text.count(" ") + 1
-    path = tuple(e.number for e in stack)
-    if top.boiler >= 20.0:
-        return Block(text, path, NEVER, 0.0)
     share = min(1.0, linked / max(1, len(text)))
-    score = -0.8 + 0.9 * math.log2(1 + words / 6) - 4.0 * share + top.content - top.boiler
-    score += 1.0 if top.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4") else -0.5 if top.tag in ("li", "td", "") else 0.0
+    score = -0.8 + 0.9 * math.log2(1 + words / 6) - 4.0 * share + top.content
+    score += 1.0 if top.tag in ("p", "pre", "blockquote", *_HEADINGS) else -0.5 if top.tag in ("li", "td", "") else 0.0
     score += 0.5 if text[-1] in ".!?:\"'" else 0.0
-    score = max(-12.0, min(12.0, score))
-    return Block(text, path, math.log1p(math.exp(-score)), math.log1p(math.exp(score)))
+    return _Piece(text, words, tuple(e.number for e in stack), top.tag, top.never, score)
+
+
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _scored(found: list[_Piece], against: dict[int, float], articles: set[int]) -> list[Block]:
+    """Blocks with the costs of their labels."""
+    words: dict[int, int] = {}  # of an element, outside elements without content
+    count: dict[int, int] = {}  # its blocks
+    told: dict[int, int] = {}  # its words in article elements
+    good: dict[int, int] = {}  # its words in blocks that look like content by themselves, but for a block's own element
+    depth: dict[int, int] = {}
+    for b in found:
+        if b.never:
+            continue
+        in_article = b.words if articles.intersection(b.path) else 0
+        for k, e in enumerate(b.path):
+            words[e] = words.get(e, 0) + b.words
+            count[e] = count.get(e, 0) + 1
+            told[e] = told.get(e, 0) + in_article
+            if b.base > 0 and (k < len(b.path) - 1 or not k):
+                good[e] = good.get(e, 0) + b.words
+                depth[e] = k
+    total, best = words.get(0, 0), good.get(0, 0)
+
+    def stands(e: int, v: float) -> bool:
+        """Whether an element's name or form is evidence: it has the smaller part of the page, or one block, or an article is elsewhere."""
+        small = words.get(e, 0) < (FORM_SHARE if v >= FORM else NAME_SHARE) * total
+        return small or count[e] < 2 or bool(told[0] and not told[e])
+
+    held = {e: v for e, v in against.items() if words.get(e) and stands(e, v)}
+    main = max((e for e, n in good.items() if n >= MAIN_SHARE * best), key=lambda e: depth[e], default=0)
+    inside = {e for e in articles if words.get(e, 0) >= 0.3 * best}
+    readers: set[int] = set()  # elements whose readers' part has begun
+    out = []
+    for b in found:
+        score = b.base - sum(held.get(e, 0.0) for e in b.path)
+        score -= OUTSIDE * (main not in b.path) + NOT_ARTICLE * bool(inside and not inside & set(b.path))
+        if b.tag in _HEADINGS and _READERS.fullmatch(b.text):
+            readers.add(b.path[-2] if len(b.path) > 1 else 0)
+        score -= READERS * bool(readers and readers & set(b.path))
+        if b.never:
+            out.append(Block(b.text, b.path, NEVER, 0.0))
+            continue
+        score = max(-12.0, min(12.0, score))
+        out.append(Block(b.text, b.path, math.log1p(math.exp(-score)), math.log1p(math.exp(score))))
+    return out
 
 
 def _proximity(a: tuple[int, ...], b: tuple[int, ...]) -> float:
@@ -295,16 +405,27 @@ def _max_flow(gain: dict[int, float], near: dict[int, dict[int, float]]) -> set[
 
 
 def main_text(page: str | None) -> str:
-    """Content blocks in page order, joined by blank lines; "" for null, empty or all-boilerplate pages."""
-    found = blocks(page or "")
+    """Content blocks in page order, joined by blank lines; "" for null, empty or all-boilerplate pages.
+
+    Where names alone leave a page without content, they are no evidence.
+    """
+    kept = _kept(blocks(page or ""))
+    return "\n\n".join(kept or _kept(blocks(page or "", named=False)))
+
+
+def _kept(found: list[Block]) -> list[str]:
     if not found:
-        return ""
+        return []
     keep = minimum_cut([b.cost_content for b in found], [b.cost_boiler for b in found], edges(found))
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    return [b.text for b, k in zip(found, keep, strict=True) if k]
 
 
 def extract_pages(df: DataFrame, page: str = "html", output: str = "text") -> DataFrame:
-    """The other columns and the main text of each whole page, extracted where the page is read."""
+    """The other columns and the main text of each whole page, extracted where the page is read.
+
+    A column named as the output, or the page's own, is not kept.  Null and empty pages have the text "", an empty table
+    no rows.
+    """
     kept = [c for c in df.columns if c not in (page, output)]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{output}` string"])
 

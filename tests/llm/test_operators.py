@@ -236,6 +236,39 @@ def test_drawings_end_and_formulas_stay(inside, wanted):
     assert html_extract.main_text(page) == f"{SENTENCE}{wanted}\n\n{SENTENCE}\n\n{SENTENCE}"
 
 
+LINK = '<a href="/x">Another story of the day</a>'
+
+
+@pytest.mark.parametrize(
+    ("body", "wanted"),
+    [
+        (f'<article><div class="story-header"><h1>A title</h1></div><p class="social-study">{SENTENCE}</p></article>', f"A title\n\n{SENTENCE}"),
+        (f'<div class="content"><p>{SENTENCE}</p><p>{SENTENCE} {SENTENCE}</p></div><div class="discussion"><p>{SENTENCE}</p><p>I agree with this.</p></div>', f"{SENTENCE}\n\n{SENTENCE} {SENTENCE}"),
+        (f'<div class="col1"><h1>Title</h1><p>{SENTENCE} {SENTENCE}</p><p>{SENTENCE}</p></div><div class="col2"><h3>More</h3><ul><li>{LINK}</li><li>{LINK}</li></ul></div>', f"Title\n\n{SENTENCE} {SENTENCE}\n\n{SENTENCE}"),
+        (f"<article><p>{SENTENCE} <button>Play it</button> {SENTENCE}</p></article>", f"{SENTENCE} {SENTENCE}"),
+        (f"<article><p>{SENTENCE}</p><p>{SENTENCE}<select><option>a<option>b</select></p></article>", f"{SENTENCE}\n\n{SENTENCE}"),
+        (f"<article><p>{SENTENCE} <button>open</p><p>{SENTENCE}</p></article>", f"{SENTENCE}\n\n{SENTENCE}"),
+        (f'<div class="widget sidebar"><h1>Title</h1><p>{SENTENCE} {SENTENCE}</p></div><div class="ad">Buy it now.</div>', f"Title\n\n{SENTENCE} {SENTENCE}"),
+        (f'<div class="widget"><p>{SENTENCE} {SENTENCE}</p></div><div class="widget"><p>{SENTENCE} {SENTENCE}</p></div>', f"{SENTENCE} {SENTENCE}\n\n{SENTENCE} {SENTENCE}"),
+        (f"<form><div><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></div></form>", f"Title\n\n{SENTENCE}\n\n{SENTENCE}"),
+        (f"<div><p>{SENTENCE} {SENTENCE}</p><section><h2>3 Comments</h2><p>{SENTENCE}</p></section></div>", f"{SENTENCE} {SENTENCE}"),
+        ("<nav><a href=x>a</a></nav><footer>Imprint</footer>", ""),
+    ],
+)
+def test_names_alone_neither_delete_nor_keep(body, wanted):
+    assert html_extract.main_text(f"<html><head><title>T</title></head><body>{body}</body></html>") == wanted
+
+
+def test_very_deep_pages_take_linear_time():
+    began = time.time()
+    assert html_extract.main_text("<div>word " * 20_000).count("word") in (0, 20_000) and time.time() - began < 30
+
+
+def test_empty_table_of_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")
+    assert html_extract.extract_pages(none).columns == ["page_id", "url", "n_chars", "text"] and html_extract.extract_pages(none).count() == 0
+
+
 # --- 4. and 5. personal data and secrets
 
 BITS = [
