@@ -45,19 +45,20 @@ HASH_ROUNDS = (("not_add", 21), ("xor", 24), ("times", (3, 8)), ("xor", 14), ("t
 
 
 def hash_codes(x: np.ndarray, bits: int) -> np.ndarray:
-    """Invertible hash of unsigned integers of ``bits`` bits (at most 64)."""
-    x = x.astype(np.uint64)
-    mask = np.uint64((1 << bits) - 1)
+    """Invertible hash of unsigned integers of ``bits`` bits (at most 64), in words of 32 bits where these do."""
+    word = np.uint32 if bits <= 32 else np.uint64
+    x = x.astype(word)
+    mask = word((1 << bits) - 1)
     for kind, by in HASH_ROUNDS:
         if kind == "not_add":
-            x = (~x + (x << np.uint64(by))) & mask
+            x = (~x + (x << word(by))) & mask
         elif kind == "xor":
-            x = x ^ x >> np.uint64(by)
+            x = x ^ x >> word(by)
         elif kind == "add":
-            x = (x + (x << np.uint64(by))) & mask
+            x = (x + (x << word(by))) & mask
         else:
-            x = (x + (x << np.uint64(by[0])) + (x << np.uint64(by[1]))) & mask
-    return x
+            x = (x + (x << word(by[0])) + (x << word(by[1]))) & mask
+    return x.astype(np.uint64)
 
 
 def hash_column(x: Column, bits: int) -> Column:
@@ -79,16 +80,27 @@ def hash_column(x: Column, bits: int) -> Column:
 
 
 def kmer_codes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base-4 numbers of all k-mers of unambiguous codes and of their reverse complements."""
+    """Base-4 numbers of all k-mers and of their reverse complements; ambiguous bases give arbitrary numbers.
+
+    k-mers are put together from those of 1, 2, 4, ... bases.
+    """
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    forward, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    wide = codes.astype(np.uint64)
-    for j in range(k):
-        forward = forward << np.uint64(2) | wide[j : j + n]
-        back |= (np.uint64(3) - wide[j : j + n]) << np.uint64(2 * j)
-    return forward, back
+    word = np.uint32 if k <= 16 else np.uint64
+    part = (codes & 3).astype(word)
+    turned, size = word(3) - part, 1  # k-mers of ``size`` bases and their reverse complements, by start
+    forward, back, have = np.zeros(n, word), np.zeros(n, word), 0
+    while True:
+        if k & size:
+            forward = forward << word(2 * size) | part[have : have + n]
+            back |= turned[have : have + n] << word(2 * have)
+            have += size
+        if 2 * size > k:
+            return forward.astype(np.uint64), back.astype(np.uint64)
+        part = part[:-size] << word(2 * size) | part[size:]
+        turned = turned[size:] << word(2 * size) | turned[:-size]
+        size *= 2
 
 
 def runs(codes: np.ndarray) -> list[tuple[int, int]]:

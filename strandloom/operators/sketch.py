@@ -14,51 +14,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import base_codes, code_array, hash_codes, hash_column, kmer_codes, runs
+from strandloom.functions.sequence import AMBIGUOUS, base_codes, code_array, hash_codes, hash_column, kmer_codes
 
 K, W = 15, 10
 SCHEMA = "pos int, strand int, hash long, span int"
 
 
-def compress(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes without repeats of the base before them, and the last place of each such stretch."""
-    if not len(codes):
-        return codes, np.zeros(0, np.int64)
-    last = np.flatnonzero(np.concatenate([codes[1:] != codes[:-1], [True]]))
-    return codes[last], last
+#: Characters of the texts that are sketched together.
+SLICE_CHARS = 1 << 19
+
+
+def _sliding(x: np.ndarray, width: int, combine: np.ufunc) -> np.ndarray:
+    """``combine`` of every ``width`` neighbours, by windows of 1, 2, 4, ... of them."""
+    size = 1
+    while 2 * size <= width:
+        x = combine(x[:-size], x[size:])
+        size *= 2
+    rest = width - size
+    return combine(x[:-rest], x[rest:]) if rest else x
 
 
 def sketch(codes: np.ndarray, w: int = W, k: int = K, compressed: bool = False) -> tuple[np.ndarray, ...]:
-    """pos, strand, hash and span arrays of one sequence's minimizers, by position.
+    """pos, strand, hash and span arrays of the minimizers of a sequence, or of several with ambiguous bases between.
 
     ``compressed`` takes k-mers over the homopolymer-compressed sequence, so that spans differ.
     """
-    parts = []
-    for start, stop in runs(codes):
-        own, place = codes[start:stop], np.arange(start, stop)
-        if compressed:
-            own, last = compress(own)
-            place = place[last]
-        forward, back = kmer_codes(own, k)
-        if not len(forward):
-            continue
-        uneven = np.flatnonzero(forward != back)
-        least, strand = np.minimum(forward, back)[uneven], (back < forward)[uneven]
-        if not len(least):
-            continue
-        hashed = hash_codes(least, 2 * k)
-        width = min(w, len(hashed))
-        floor = np.lib.stride_tricks.sliding_window_view(hashed, width).min(axis=1)
-        # A k-mer is least in some window exactly when the greatest of its windows' minima is its own hash.
-        padded = np.concatenate([np.zeros(width - 1, np.uint64), floor, np.zeros(width - 1, np.uint64)])
-        reach = np.lib.stride_tricks.sliding_window_view(padded, width).max(axis=1)
-        keep = np.flatnonzero(reach == hashed)
-        end = uneven[keep] + k - 1
-        begin = place[end - k + 1] if not compressed else np.where(end - k >= 0, place[np.maximum(end - k, 0)] + 1, start)
-        parts.append((place[end], strand[keep], hashed[keep], place[end] - begin + 1))
-    if not parts:
+    codes = np.concatenate([np.full(1, AMBIGUOUS, np.uint8), codes])
+    place = np.arange(-1, len(codes) - 1)
+    if compressed:
+        last = np.concatenate([codes[1:] != codes[:-1], [True]])
+        codes, place = codes[last], place[last]
+    bad = np.concatenate([[0], np.cumsum(codes >= AMBIGUOUS)])
+    forward, back = kmer_codes(codes, k)
+    n = len(forward)
+    start = np.flatnonzero((bad[k : k + n] == bad[:n]) & (forward != back))
+    if not len(start):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    hashed = hash_codes(np.minimum(forward, back)[start], 2 * k)
+    # Runs of bases lie w - 1 places apart, so that no window has k-mers of two.
+    opens = np.concatenate([[True], np.diff(bad[start]) != 0])
+    run = np.cumsum(opens) - 1
+    at = np.arange(len(start)) + (run + 1) * (w - 1)
+    first = np.flatnonzero(opens)
+    nth, length = np.arange(len(start)) - first[run], np.diff(np.concatenate([first, [len(start)]]))[run]
+    padded = np.full(int(at[-1]) + w, np.iinfo(np.uint64).max)
+    padded[at] = hashed
+    ends = np.zeros(len(padded) + w - 1, np.uint64)  # minima of whole windows, and of runs shorter than one, at their ends
+    whole = (nth >= w - 1) | ((nth == length - 1) & (length < w))
+    ends[at[whole]] = _sliding(padded, w, np.minimum)[at[whole] - (w - 1)]
+    # A k-mer is least in some window exactly when the greatest of its windows' minima is its own hash.
+    keep = np.flatnonzero(_sliding(ends, w, np.maximum)[at] == hashed)
+    begin = start[keep]
+    pos = place[begin + k - 1]
+    return pos, (back < forward)[begin].astype(np.int64), hashed[keep], pos - place[begin - 1]
+
+
+def _joined(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the texts with an ambiguous base after each, and where each begins."""
+    points = base_codes("".join(texts), alphabet)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
+    codes = np.full(len(points) + len(texts), AMBIGUOUS, np.uint8)
+    codes[np.arange(len(points)) + np.repeat(np.arange(len(texts)), sizes)] = points
+    return codes, begins
 
 
 def minimizers(
@@ -66,28 +84,32 @@ def minimizers(
 ) -> DataFrame:
     """(rid, pos, strand, hash, span) of every whole sequence; null and short ones have none.
 
-    Sequences are sketched where they are read: nothing is shuffled, and only key and text are read.
+    Sequences are sketched where they are read, about SLICE_CHARS characters together: nothing is shuffled, and only
+    key and text are read.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, parts = [], []
-            for rid, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = sketch(base_codes(value.as_py() or "", alphabet), w, k, compressed)
-                keys.extend([rid] * len(found[0]))
-                parts.append(found)
-            joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, batch.schema.field(0).type),
-                    pa.array(joined[0].astype(np.int32)),
-                    pa.array(joined[1].astype(np.int32)),
-                    pa.array(joined[2].astype(np.int64)),
-                    pa.array(joined[3].astype(np.int32)),
-                ],
-                ["rid", "pos", "strand", "hash", "span"],
-            )
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            total = np.cumsum([len(t) for t in texts])
+            row = 0
+            while row < len(texts):
+                stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + SLICE_CHARS, side="right")))
+                codes, begins = _joined(texts[row:stop], alphabet)
+                pos, strand, hashed, span = sketch(codes, w, k, compressed)
+                owner = np.searchsorted(begins, pos, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(owner + row)),
+                        pa.array((pos - begins[owner]).astype(np.int32)),
+                        pa.array(strand.astype(np.int32)),
+                        pa.array(hashed.astype(np.int64)),
+                        pa.array(span.astype(np.int32)),
+                    ],
+                    ["rid", "pos", "strand", "hash", "span"],
+                )
+                row = stop
 
     return df.select(F.col(key).alias("rid"), text).mapInArrow(emit, f"rid {kind}, {SCHEMA}")
 
