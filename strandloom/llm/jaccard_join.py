@@ -319,19 +319,24 @@ def _across(few: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b))], ["x", "y"])
 
 
-def _open_columns(labelled: DataFrame) -> DataFrame:
-    """Rows of the columns that have several components, dealt for ``_open_pairs``.
+def _several_roots(labelled: DataFrame, work: Workspace) -> DataFrame:
+    """Rows of the columns that have several components; these columns are a table, so that Spark can split hot ones."""
+    ends = labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return labelled.join(work.stash(ends.where("low <> high").select("h"), "mixed"), "h", "left_semi")
+
+
+def _open_columns(labelled: DataFrame, work: Workspace) -> DataFrame:
+    """Rows of columns that have several components, dealt for ``_open_pairs``.
 
     A column's rows outside its largest component go to each of its parts, in pieces of about HOT_COLUMN.
     """
     counts = labelled.groupBy("h", "root").agg(F.count("*").alias("c"))
     mixed = (
         counts.groupBy("h")
-        .agg(F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("fewer"), F.count("*").alias("roots"))
-        .where("roots > 1")
+        .agg(F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("fewer"))
         .select(F.col("h").alias("m_h"), "major", (F.floor(F.col("fewer") / HOT_COLUMN) + 1).cast("int").alias("few_parts"))
     )
-    rows = labelled.join(mixed, F.col("h") == F.col("m_h")).drop("m_h")
+    rows = labelled.join(work.stash(mixed, "majors"), F.col("h") == F.col("m_h")).drop("m_h")
     own = F.pmod(F.xxhash64("cls", "h"), F.col("few_parts")).cast("int")
     every = rows.withColumn("few_part", F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1))).withColumn("few", F.lit(False))
     few = rows.where("root <> major").withColumn("few_part", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("few", F.lit(True))
@@ -430,9 +435,13 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _count_pairs(pairs: DataFrame, total: int, docs: DataFrame, reps: DataFrame, partitions: int) -> DataFrame:
-    """Links among ``pairs`` (x, y), by blocks of the larger class's key."""
+    """Links among ``pairs`` (x, y), by blocks of the larger class's key; one with more pairs than a block has several."""
     blocks = max(partitions, -(-total // BLOCK_PAIRS))
-    dealt = pairs.select("x", "y", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int").alias("block"))
+    hubs = pairs.groupBy(F.col("y").alias("h_y")).agg(F.count("*").alias("h_n")).where(F.col("h_n") > BLOCK_PAIRS)
+    if total // BLOCK_PAIRS <= BROADCAST_IDS:  # there are no more hubs than that
+        hubs = F.broadcast(hubs)
+    share = F.when(F.col("h_n").isNotNull(), F.pmod(F.xxhash64("x"), F.ceil(F.col("h_n") / BLOCK_PAIRS))).otherwise(0)
+    dealt = pairs.join(hubs, F.col("y") == F.col("h_y"), "left").select("x", "y", F.pmod(F.xxhash64("y", share), F.lit(blocks)).cast("int").alias("block"))
     needs = (
         dealt.select(F.col("x").alias("cls"), "block")
         .unionByName(dealt.select(F.col("y").alias("cls"), "block"))
@@ -496,10 +505,10 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
         .join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
         .withColumn("root", F.coalesce("root", "cls"))
     )
-    labelled = work.stash(labelled, "labelled")
+    labelled = work.stash(_several_roots(labelled, work), "labelled")
     work.drop("shared")
     second = work.stash(
-        _open_columns(labelled)
+        _open_columns(labelled, work)
         .repartition(partitions, "h", "part", "few_part")
         .sortWithinPartitions("h", "part", "few_part", F.col("few").desc())
         .mapInArrow(_open_pairs, "x long, y long")
@@ -507,7 +516,8 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
         .join(first, ["x", "y"], "left_anti"),
         "second",
     )
-    work.drop("labelled")
+    for old in ("mixed", "majors", "labelled"):
+        work.drop(old)
     bounded = work.stash(_bounded_pairs(second, reps), "bounded-2")
     total = bounded.count()
     if total:
