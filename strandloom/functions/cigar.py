@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandloom.functions.arrays import let, running
+
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
@@ -74,17 +76,21 @@ def event_identity(matches: Column, columns: Column, cigar: Column) -> Column:
 
 
 def merged(cigar: Column) -> Column:
-    """Equal neighbouring operations added up, by expressions."""
-    def add(state: Column, x: Column) -> Column:
-        last = F.get(state, F.size(state) - 1)
-        joined = F.concat(
-            F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(0))),
-            F.array(F.struct((last["n"] + x["n"]).alias("n"), x["op"].alias("op"))),
-        )
-        return F.when((F.size(state) > 0) & (last["op"] == x["op"]), joined).otherwise(F.concat(state, F.array(x)))
-
-    found = F.aggregate(ops(cigar), F.array().cast("array<struct<n:int,op:string>>"), add)
-    return F.array_join(F.transform(found, lambda x: F.concat(x["n"].cast("string"), x["op"])), "")
+    """Equal neighbouring operations added up, by expressions whose cost is near the CIGAR's length."""
+
+    def of(v: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i)["op"] != F.get(v, i - 1)["op"]))
+        bound = F.struct(opens.alias("opens"), F.concat(running(F.transform(v, lambda x: x["n"]), kind="long"), F.array(_sum(v))).alias("upto"))
+        return let(bound, lambda b: F.transform(b["opens"], lambda i, k: _item(v, b, i, k)))
+
+    def _item(v: Column, b: Column, i: Column, k: Column) -> Column:
+        following = F.coalesce(F.get(b["opens"], k + 1), F.size(v))
+        return F.concat((F.get(b["upto"], following) - F.get(b["upto"], i)).cast("string"), F.get(v, i)["op"])
+
+    def _sum(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    return let(ops(cigar), lambda v: F.when(F.size(v) > 0, F.array_join(of(v), "")).otherwise(F.lit("")))
 
 
 def clipped(cigar: Column, before: Column, after: Column) -> Column:

@@ -30,6 +30,45 @@ def code_array(text: Column) -> Column:
     return F.transform(chars, lambda c: (F.ascii(c) % 4).cast("int"))
 
 
+def bases(text: Column) -> Column:
+    """Letters A, C, G and T of the characters in the text alphabet; null text has none."""
+    return F.array_join(F.transform(code_array(text), lambda c: F.get(F.array(*map(F.lit, "ACGT")), c)), "")
+
+
+def subsequence(text: Column, start: Column, end: Column, rev: Column) -> Column:
+    """Bases start to end of a text, held within it, on either strand."""
+    last = F.least(end, F.length(text))
+    piece = bases(F.substring(text, F.greatest(start, F.lit(0)) + 1, F.greatest(last - F.greatest(start, F.lit(0)), F.lit(0))))
+    return F.when(rev, F.translate(F.reverse(piece), "ACGT", "TGCA")).otherwise(piece)
+
+
+def strand_position(at: Column, total: Column) -> Column:
+    """(pos, rev) of a position on a sequence followed by its reverse complement, ``total`` bases each."""
+    rev = at >= total
+    return F.struct(F.when(rev, 2 * total - 1 - at).otherwise(at).alias("pos"), rev.alias("rev"))
+
+
+def largest_gap(length: Column, match: int, gap_open: int, gap_extend: int, band: int) -> Column:
+    """The longest gap that ``length`` matching bases can pay for, from 1 to twice the band."""
+    paid = ((length * match - gap_open) / float(gap_extend) + 1.0).cast("int")
+    return F.least(F.greatest(paid, F.lit(1)), F.lit(2 * band))
+
+
+def least_band(a: Column, b: Column, score: Column, match: int, gap_open: int, gap_extend: int) -> Column:
+    """Band within which sequences of two lengths can reach a score."""
+    lost = F.least(a, b) * match - score
+    wide = ((lost - gap_open) / float(gap_extend) + 2.0).cast("int")
+    return F.when((a == b) & (a * match - score < 2 * (gap_open + gap_extend - match)), 0).otherwise(F.greatest(wide, F.abs(a - b)))
+
+
+def unescape(text: Column) -> Column:
+    """A header's backslash sequences for tab, line feed, carriage return and backslash as these characters."""
+    held = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
+    for name, char in (("t", "\t"), ("n", "\n"), ("r", "\r")):
+        held = F.replace(held, F.lit("\\" + name), F.lit(char))
+    return F.replace(held, F.lit("\x00"), F.lit("\\"))
+
+
 def complement(codes: Column) -> Column:
     """Reverse complement of an array of codes; ambiguous bases stay."""
     return F.transform(F.reverse(codes), lambda c: F.when(c < AMBIGUOUS, 3 - c).otherwise(c))

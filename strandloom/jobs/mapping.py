@@ -135,19 +135,40 @@ def overlap_classes(df: DataFrame, key: str, options: Options) -> DataFrame:
     return pairs.unionByName(stars.select(pairs.columns))
 
 
+def few(queries: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether there are at most ``most`` queries, so that a row for each can be broadcast."""
+    return queries.limit(most + 1).count() <= most
+
+
+def windows(spans: DataFrame, references: DataFrame, r_key: str, broadcast: bool) -> DataFrame:
+    """``spans`` (rid, w_from, w_len, ...) with ``t``, their part of the reference.
+
+    With ``broadcast``, for spans whose number is bounded, windows are cut where the references are read and no
+    reference moves.
+    """
+    r = references.select(F.col(r_key).alias("rid"), F.col("text").alias("r_text"))
+    met = r.join(F.broadcast(spans) if broadcast else spans, "rid")
+    return met.withColumn("t", F.expr("substring(r_text, w_from + 1, w_len)")).drop("r_text")
+
+
 def align_hits(found: DataFrame, queries: DataFrame, q_key: str, references: DataFrame, r_key: str, pad: int = 32, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Base alignments of the chained part of hits on the forward strand, extended to the query's end.
+    """Base alignments of best hits (one for each query and place) from their chains' beginnings to the query's end.
 
-    Windows of the references are cut out where the references are read, then dealt to tasks with their
+    On the reverse strand the query is turned.  ``q_start`` and ``q_end`` count on the hit's strand, from its beginning
+    and from ``q_start``.  Windows of the references are cut where these are read, then dealt to tasks with their
     query; a window is at most the query's remaining length and ``pad`` long.
     """
-    forward = found.where("NOT rev")
+    rest = F.when(F.col("rev"), F.col("qe")).otherwise(F.col("len") - F.col("qs"))
+    placed = found.join(lengths(queries, q_key).withColumnRenamed("rid", "read_id"), "read_id").select(
+        "read_id", "place", "rid", "rev", "qs", "qe", "rs", (F.col("len") - rest).alias("q_start"), F.col("rs").alias("w_from"), (rest + pad).alias("w_len")
+    )
+    cut = windows(placed, references, r_key, few(queries, BROADCAST_ROWS // (options.best_n + 1)))
     q = queries.select(F.col(q_key).alias("read_id"), F.col("text").alias("q_text"))
-    r = references.select(F.col(r_key).alias("rid"), F.col("text").alias("r_text"))
-    spans = forward.join(q, "read_id").withColumn("q", F.expr("substring(q_text, qs + 1, length(q_text))")).drop("q_text")
-    cut = spans.join(r, "rid").withColumn("t", F.expr(f"substring(r_text, rs + 1, length(q) + {pad})")).drop("r_text")
+    own = F.when(F.col("rev"), F.expr("substring(q_text, 1, qe)")).otherwise(F.expr("substring(q_text, qs + 1, length(q_text))"))
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
-    return align.align_fragments(cut, ("read_id", "place", "rid", "qs", "rs"), mode="extend", scoring=scoring)
+    return align.align_fragments(
+        cut.join(q, "read_id").withColumn("q", own), ("read_id", "place", "rid", "rev", "qs", "rs", "q_start"), mode="extend", scoring=scoring, turned="rev"
+    )
 
 
 def align_chains(
@@ -165,16 +186,14 @@ def align_chains(
     begin = F.greatest(F.lit(0), F.col("h_diag") - pad)
     gathered = inside.groupBy(*key, "len", "place", "h_diag").agg(F.sort_array(F.collect_list(F.struct(F.col("qpos").alias("q"), F.col("rpos").alias("t")))).alias("points"))
     q = queries.select(F.col(q_key).alias("read_id"), F.col("text").alias("q"))
-    r = references.select(F.col(r_key).alias("rid"), F.col("text").alias("r_text"))
+    spans = gathered.withColumns({"t_from": begin, "w_from": begin, "w_len": F.col("len") + 2 * pad})
     cut = (
-        gathered.withColumn("t_from", begin)
+        windows(spans, references, r_key, few(queries, BROADCAST_ROWS // (options.best_n + 1)))
         .join(q, "read_id")
-        .join(r, "rid")
-        .withColumn("t", F.expr(f"substring(r_text, t_from + 1, len + {2 * pad})"))
         .withColumn("points", F.transform("points", lambda p: F.struct(p["q"].alias("q"), (p["t"] - F.col("t_from")).alias("t"))))
     )
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
-    aligned = align.align_chained(cut.drop("r_text").withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring)
+    aligned = align.align_chained(cut.withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring)
     return aligned.withColumn("t_start", F.col("t_start") + F.col("t_from")).withColumn("t_end", F.col("t_end") + F.col("t_from")).drop("t_from")
 
 

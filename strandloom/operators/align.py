@@ -187,10 +187,10 @@ def edit_summary(q: np.ndarray, t: np.ndarray, cigar: str) -> tuple[str, int, st
 _RESULT = "score int, q_end int, t_end int, cigar string, zdropped boolean, eqx string, nm int, md string, matches int, columns int"
 
 
-def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str = "t", mode: str = "global", scoring: Scoring = Scoring(), alphabet: str = "text") -> DataFrame:  # noqa: B008
+def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str = "t", mode: str = "global", scoring: Scoring = Scoring(), alphabet: str = "text", turned: str | None = None) -> DataFrame:  # noqa: B008
     """Align the fragments (key, q, t) where they are; ``mode`` is global or extend.
 
-    The cost of a fragment is len(q) * len(t); deal them out evenly before if they differ much.
+    Queries whose column ``turned`` holds are reversed and complemented.  The cost of a fragment is len(q) * len(t); deal them out evenly before if they differ much.
     """
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
     run = {"global": align_global, "extend": extend}[mode]
@@ -200,16 +200,21 @@ def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str =
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True):
+            for a, b, turn in zip(*(batch.column(len(key) + i).to_pylist() for i in range(3)), strict=True):
                 x, y = base_codes(a or "", alphabet), base_codes(b or "", alphabet)
-                found = run(x, y, scoring)
+                found = run(x := _turned(x) if turn else x, y, scoring)
                 rows.append((*found, *edit_summary(x, y, found.cigar)))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(key)], *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], [*key, *names]
             )
 
-    return df.select(*[F.col(k) for k in key], q, t).mapInArrow(emit, f"{fields}, {_RESULT}")
+    turn = F.coalesce(F.col(turned), F.lit(False)) if turned else F.lit(False)
+    return df.select(*[F.col(k) for k in key], q, t, turn.alias("a_turn")).mapInArrow(emit, f"{fields}, {_RESULT}")
+
+
+def _turned(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < AMBIGUOUS, 3 - codes, codes)[::-1].astype(np.uint8)
 
 
 def path_scores(q: np.ndarray, t: np.ndarray, cigar: str, s: Scoring = Scoring()) -> tuple[int, int]:  # noqa: B008
@@ -310,7 +315,7 @@ def align_chained(df: DataFrame, key: tuple[str, ...], span: int, scoring: Scori
             for q, t, rev, points in zip(*(batch.column(len(key) + k).to_pylist() for k in range(4)), strict=True):
                 x, y = base_codes(q, alphabet), base_codes(t, alphabet)
                 if rev:
-                    x = np.where(x < AMBIGUOUS, 3 - x, x)[::-1].astype(np.uint8)
+                    x = _turned(x)
                 found = align_chain(x, y, [(p["q"], p["t"]) for p in points], span, scoring)
                 edits = edit_summary(x[found.q_start : found.q_end], y[found.t_start : found.t_end], found.cigar)
                 rows.append((*found, *edits[1:]))

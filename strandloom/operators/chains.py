@@ -256,7 +256,7 @@ def chain_rmq(anchors: DataFrame, band: int = 20000, min_cnt: int = MIN_CNT, min
 def needs_rechaining(chains: DataFrame, lengths: DataFrame, rescue: int = 1000, ratio: float = 0.1) -> DataFrame:
     """(read_id, again): reads with several chains whose first, by reference, leaves or spans enough of the read."""
     firsts = chains.groupBy("read_id").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("first_q", "last_q"), F.struct("rev", "rid", "first_r", "last_r")).alias("f")
+        F.count("*").alias("n"), F.min(F.struct("rev", "rid", "first_r", "last_r", "first_q", "last_q")).alias("f")
     )
     span = F.col("f.last_q") - F.col("f.first_q")
     wide = (F.col("len") - span > rescue) | (span > F.col("len") * ratio)

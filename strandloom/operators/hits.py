@@ -186,3 +186,37 @@ def pair_hits(left: DataFrame, right: DataFrame, max_gap: int) -> DataFrame:
     total = F.col("score") + F.col("m_score")
     best = F.max_by(F.struct("rid", "rs", "re", "m_rs", "m_re", "gap", total.alias("total")), F.struct(total, -F.col("gap"), -F.col("rid"), -F.col("rs"), -F.col("m_rs")))
     return fits.groupBy("read_id").agg(best.alias("b")).select("read_id", "b.*")
+
+
+def filter_hits(found: DataFrame, lengths: DataFrame, min_cnt: int = 3, min_mlen: int = 40, min_score: int = 80, max_clip: float = 1.0) -> DataFrame:
+    """Hits of enough anchors, matched bases and score, not clipped at both ends by more than ``max_clip`` of the read."""
+    met = found.join(lengths.select(F.col("rid").alias("read_id"), F.col("len").alias("f_len")), "read_id")
+    clipped = (F.col("qs") > F.col("f_len") * max_clip) & (F.col("f_len") - F.col("qe") > F.col("f_len") * max_clip)
+    enough = (F.col("cnt") >= min_cnt) & (F.col("mlen") >= min_mlen) & (F.col("score") >= min_score)
+    return met.where(enough & ~clipped).drop("f_len")
+
+
+def drop_secondary(parented: DataFrame, ratio: float = 0.5, every: bool = False) -> DataFrame:
+    """Primaries and, with ``every``, secondaries of at least ``ratio`` of their parent's score."""
+    p = parented.select("read_id", F.col("place").alias("parent"), F.col("score").alias("d_score"))
+    first = F.col("place") == F.col("parent")
+    near = F.col("score") >= F.col("d_score") * ratio
+    return parented.join(p, ["read_id", "parent"]).where(first | (near if every else F.lit(False))).drop("d_score")
+
+
+def two_best(found: DataFrame, near: float = 0.95) -> DataFrame:
+    """(read_id, best, second, close): a read's two highest scores (second 0 for one hit) and whether they are close."""
+    top = rank_hits(found).where("place <= 2").groupBy("read_id").agg(F.max("score").alias("best"), F.sum(F.when(F.col("place") == 2, F.col("score")).otherwise(0)).cast("int").alias("second"))
+    return top.withColumn("close", F.col("second") >= F.col("best") * near)
+
+
+def first_primary(parented: DataFrame) -> DataFrame:
+    """Add sam_pri: whether a hit is the first primary of its read, whose record is not supplementary."""
+    order = Window.partitionBy("read_id", "s_is").orderBy("place")
+    marked = parented.withColumn("s_is", F.col("place") == F.col("parent"))
+    return marked.withColumn("sam_pri", F.col("s_is") & (F.row_number().over(order) == 1)).drop("s_is")
+
+
+def segment_counts(found: DataFrame, seg: Column) -> DataFrame:
+    """(read_id, rid, rev, seg, cnt, score): a read's hits by segment."""
+    return found.withColumn("seg", seg).groupBy("read_id", "rid", "rev", "seg").agg(F.sum("cnt").cast("int").alias("cnt"), F.sum("score").cast("int").alias("score"))

@@ -65,12 +65,19 @@ def alt_score(score: Column, discount: float = 0.15) -> Column:
     return F.when(score < 0, score).otherwise(F.greatest(less, F.lit(1)))
 
 
-def seed_coverage(hits: DataFrame, matches: DataFrame) -> DataFrame:
-    """Add seedcov: bases of the exact matches (qbeg, qend, rbeg) that lie within each hit on both axes."""
-    m = matches.select("read_id", "rid", "rev", "qbeg", "qend", "rbeg")
-    inside = (F.col("rbeg") >= F.col("rs")) & (F.col("rbeg") + F.col("qend") - F.col("qbeg") <= F.col("re"))
+def seed_coverage(hits: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Add seedcov: bases of the exact matches (qbeg, qend, rbeg) that lie within each hit on both axes.
+
+    Matches of the reverse strand are counted from the read's end, hits from its beginning; ``lengths`` (rid, len) turns
+    the ones to the others.
+    """
+    placed = matches.join(lengths.select(F.col("rid").alias("read_id"), "len"), "read_id")
+    n = F.col("qend") - F.col("qbeg")
+    m = placed.select("read_id", "rid", "rev", F.when(F.col("rev"), F.col("len") - F.col("qend")).otherwise(F.col("qbeg")).alias("m_q"), F.col("rbeg").alias("m_r"), n.alias("m_n"))
+    on_read = (F.col("m_q") >= F.col("qs")) & (F.col("m_q") + F.col("m_n") <= F.col("qe"))
+    on_reference = (F.col("m_r") >= F.col("rs")) & (F.col("m_r") + F.col("m_n") <= F.col("re"))
     key = ["read_id", "rid", "rev", "qs", "qe", "rs", "re"]
-    found = hits.join(m, ["read_id", "rid", "rev"]).where(inside).groupBy(*key).agg(F.sum(F.col("qend") - F.col("qbeg")).cast("long").alias("seedcov"))
+    found = hits.join(m, ["read_id", "rid", "rev"]).where(on_read & on_reference).groupBy(*key).agg(F.sum("m_n").cast("long").alias("seedcov"))
     return hits.join(found, key, "left").fillna(0, ["seedcov"])
 
 

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from strandloom import sql_parts as q
 from strandloom.functions import cigar as cigars
+from strandloom.functions.arrays import running
 from strandloom.functions.sequence import code_array, complement
 from strandloom.jobs import mapping
 from strandloom.jobs.options import Options
 from strandloom.operators import chains, exact, hits, index, intervals, scoring, seeds, sketch
 from strandloom.operators.composition import composition
-from strandloom.sources.sequences import sam_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -241,12 +241,7 @@ def overlap_classes(spark: SparkSession, d: str) -> DataFrame:
     return mapping.overlap_classes(_documents(spark, d), "doc_id", Options(min_score=100))
 
 
-_EXACT = f"""WITH {q.sketch('b', 'benchmark', 'item_id', 1)},{q.sketch('d', 'documents', 'doc_id', 1)},
-len AS (SELECT item_id AS rid, length(text) AS len FROM benchmark),
-a AS (SELECT x.rid AS read_id, y.rid AS rid, x.strand <> y.strand AS rev, y.pos AS rpos, CASE WHEN x.strand <> y.strand THEN len.len - (x.pos - 14) - 1 ELSE x.pos END AS qpos FROM b x JOIN len ON len.rid = x.rid JOIN d y ON y.hash = x.hash),
-s AS (SELECT *, rpos - qpos AS diag, CASE WHEN rpos - lag(rpos) OVER (PARTITION BY read_id, rid, rev, rpos - qpos ORDER BY rpos) = 1 THEN 0 ELSE 1 END AS cut FROM a),
-o AS (SELECT *, sum(cut) OVER (PARTITION BY read_id, rid, rev, diag ORDER BY rpos) AS part FROM s),
-x AS (SELECT read_id, rid, rev, CAST(min(qpos) - 14 AS INTEGER) AS qbeg, CAST(max(qpos) + 1 AS INTEGER) AS qend, CAST(min(rpos) - 14 AS INTEGER) AS rbeg FROM o GROUP BY read_id, rid, rev, diag, part)"""
+_EXACT = f"WITH {q.exact()}"
 
 
 def _exact(spark: SparkSession, d: str) -> DataFrame:
@@ -270,29 +265,6 @@ def super_maximal_matches(spark: SparkSession, d: str) -> DataFrame:
     return exact.super_maximal(_exact(spark, d))
 
 
-@_register(f"""WITH {q.best()} SELECT item_id AS read_id, CASE WHEN best.rid IS NULL THEN concat_ws(chr(9), 'item' || item_id, '4', '*', '0', '0', '*', '*', '0', '0', text, '*')
-  ELSE concat_ws(chr(9), 'item' || item_id, CASE WHEN rev THEN '16' ELSE '0' END, 'doc' || best.rid, CAST(rs + 1 AS VARCHAR), '60',
-    CASE WHEN qs > 0 THEN qs || 'S' ELSE '' END || (qe - qs) || 'M' || CASE WHEN length(text) > qe THEN (length(text) - qe) || 'S' ELSE '' END, '*', '0', '0', text, '*') END AS line
-FROM benchmark LEFT JOIN best ON best.read_id = item_id AND place = 1""")
-def sam_records(spark: SparkSession, d: str) -> DataFrame:
-    """A record for every benchmark text: its best hit, or an unmapped record."""
-    best = map_passages(spark, d).where("place = 1").join(mapping.lengths(_benchmark(spark, d), "item_id").withColumnRenamed("rid", "read_id"), "read_id")
-    false = F.lit(False)
-    core = F.concat((F.col("qe") - F.col("qs")).cast("string"), F.lit("M"))
-    found = best.select(
-        "read_id",
-        cigars.flags(false, F.col("rev"), false, false).alias("flag"),
-        F.concat(F.lit("doc"), F.col("rid").cast("string")).alias("rname"),
-        F.col("rs").alias("pos"),
-        F.lit(60).alias("mapq"),
-        cigars.clipped(core, F.col("qs"), F.col("len") - F.col("qe")).alias("cigar"),
-    )
-    reads = _benchmark(spark, d).select(
-        F.col("item_id").alias("read_id"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("seq"), F.lit(None).cast("string").alias("qual")
-    )
-    return sam_lines(reads, found)
-
-
 @_register("""WITH c AS (SELECT doc_id AS rid, length(text) AS len, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM documents),
 p AS (SELECT o_orderkey, (o_orderkey * 104729) % (SELECT sum(len) FROM c) AS spot FROM orders)
 SELECT o_orderkey, rid, CAST(spot - start AS BIGINT) AS place FROM p JOIN c ON spot >= start AND spot < start + len""")
@@ -312,12 +284,7 @@ def block_introns(spark: SparkSession, d: str) -> DataFrame:
     """Gaps between the blocks of BED12 rows whose blocks are the lines of a document."""
     lines = F.split("text", "\n")
     sized = _documents(spark, d).where(F.col("text").isNotNull()).select("doc_id", "text", F.transform(lines, lambda x: F.length(x)).alias("n"))
-    starts = F.aggregate(
-        "n",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, n: F.struct((s["at"] + n + 1).alias("at"), F.concat(s["out"], F.array(s["at"].cast("string"))).alias("out")),
-        lambda s: s["out"],
-    )
+    starts = F.transform(running(F.transform("n", lambda n: n + 1)), lambda x: x.cast("string"))
     rows = sized.select(
         F.col("doc_id").cast("string").alias("name"), F.lit("text").alias("chrom"), F.lit(0).alias("st"), F.length("text").alias("en"), F.lit("+").alias("strand"),
         F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("block_sizes"), F.array_join(starts, ",").alias("block_starts"),
@@ -329,8 +296,13 @@ def block_introns(spark: SparkSession, d: str) -> DataFrame:
 @_register(f"""WITH {q.sketch('d', 'documents', 'doc_id')},
 p AS (SELECT CAST(strand * 2 + lead(strand, 20) OVER o AS INTEGER) AS dir, lead(pos, 20) OVER o - pos AS size FROM d WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 g AS (SELECT dir, size, row_number() OVER (PARTITION BY dir ORDER BY size) AS i, count(*) OVER (PARTITION BY dir) AS n FROM p WHERE size > 0 AND size <= 10000),
-t AS (SELECT dir, min(CASE WHEN i > floor(0.25 * n + 0.499) THEN size END) AS p25, min(CASE WHEN i > floor(0.5 * n + 0.499) THEN size END) AS p50, min(CASE WHEN i > floor(0.75 * n + 0.499) THEN size END) AS p75, max(n) AS n FROM g GROUP BY 1)
-SELECT dir, n, p25, p50, p75, n < 10 OR n < max(n) OVER () * 0.05 AS failed FROM t""")
+t AS (SELECT dir, min(CASE WHEN i > floor(0.25 * n + 0.499) THEN size END) AS p25, min(CASE WHEN i > floor(0.5 * n + 0.499) THEN size END) AS p50, min(CASE WHEN i > floor(0.75 * n + 0.499) THEN size END) AS p75, max(n) AS n FROM g GROUP BY 1),
+i AS (SELECT g.dir, CAST(sum(size) AS DOUBLE) / count(*) AS avg, sqrt(CAST(sum(size * size) AS DOUBLE) / count(*) - pow(CAST(sum(size) AS DOUBLE) / count(*), 2)) AS std FROM g JOIN t ON t.dir = g.dir
+  WHERE size >= greatest(1, p25 - 2 * (p75 - p25)) AND size <= p75 + 2 * (p75 - p25) GROUP BY g.dir)
+SELECT t.dir, n, p25, p50, p75, round(avg, 6) AS avg, round(std, 6) AS std,
+  CAST(greatest(1, least(floor(p25 - 3.0 * (p75 - p25) + 0.499), floor(avg - 4.0 * std + 0.499))) AS BIGINT) AS low,
+  CAST(greatest(floor(p75 + 3.0 * (p75 - p25) + 0.499), floor(avg + 4.0 * std + 0.499)) AS BIGINT) AS high,
+  n < 10 OR n < max(n) OVER () * 0.05 AS failed FROM t JOIN i ON i.dir = t.dir""")
 def insert_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Distance statistics, by orientation, of minimizers twenty apart in their document."""
     order = Window.partitionBy("rid").orderBy("pos")
@@ -338,10 +310,10 @@ def insert_sizes(spark: SparkSession, d: str) -> DataFrame:
     pairs = found.select(
         (F.col("strand") * 2 + F.lead("strand", 20).over(order)).alias("dir"), (F.lead("pos", 20).over(order) - F.col("pos")).alias("size")
     ).where("size IS NOT NULL")
-    return hits.pair_statistics(pairs).select("dir", "n", "p25", "p50", "p75", "failed")
+    return hits.pair_statistics(pairs).withColumns({"avg": F.round("avg", 6), "std": F.round("std", 6)})
 
 
-@_register()
+@_register(f"WITH {q.sketch('d', 'documents', 'doc_id', compressed=True)} SELECT rid, count(*) AS n, CAST(sum(span) AS BIGINT) AS spans, CAST(sum(hash) AS BIGINT) AS hashes FROM d GROUP BY 1")
 def compressed_sketch(spark: SparkSession, d: str) -> DataFrame:
     """Minimizers over homopolymer-compressed documents, a row for each document."""
     found = sketch.minimizers(_documents(spark, d), "doc_id", compressed=True)
@@ -366,12 +338,20 @@ def chain_dp(spark: SparkSession, d: str) -> DataFrame:
     return chains.chain_dp(mapping.all_anchors(_sides(spark, d))).drop("mlen", "blen")
 
 
+@_register(f"WITH {q.anchors(rare=False)},{q.chain('a', 'c')} SELECT read_id, rid, rev, score, cnt, CAST(first_r AS INTEGER) AS first_r, CAST(last_r AS INTEGER) AS last_r, CAST(first_q AS INTEGER) AS first_q, CAST(last_q AS INTEGER) AS last_q FROM c WHERE cnt >= 3 AND score >= 40")
+def chain_diagonals(spark: SparkSession, d: str) -> DataFrame:
+    """Chains by dynamic programming within a band of nothing."""
+    found = chains.chain_dp(mapping.all_anchors(_sides(spark, d)), band=0)
+    return found.select("read_id", "rid", "rev", "score", "cnt", "first_r", "last_r", "first_q", "last_q")
+
+
 @_register()
 def chain_rmq(spark: SparkSession, d: str) -> DataFrame:
     return chains.chain_rmq(mapping.all_anchors(_sides(spark, d))).drop("mlen", "blen")
 
 
-@_register()
+@_register(f"""WITH {q.anchors(rare=False)},{q.chain('a', 'c')}, f AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS n, row_number() OVER (PARTITION BY read_id ORDER BY rev, rid, first_r, last_r, first_q, last_q) AS i FROM c)
+SELECT read_id, n > 1 AND (len - (last_q - first_q) > 1000 OR last_q - first_q > len * CAST(0.1 AS DOUBLE)) AS again FROM f JOIN len ON len.rid = f.read_id WHERE i = 1""")
 def rechain_flags(spark: SparkSession, d: str) -> DataFrame:
     s = _sides(spark, d)
     return chains.needs_rechaining(chains.islands(mapping.all_anchors(s)), s.lengths)
@@ -392,7 +372,7 @@ def primary_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def align_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Base alignments of the best forward hits, with CIGAR, edits and identity."""
+    """Base alignments of the best hits, on their strand, with CIGAR, edits and identity."""
     best = whole_passages(spark, d).where("place = 1")
     found = mapping.align_hits(best, _benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
     return found.withColumns(
@@ -413,17 +393,13 @@ def hit_divergence(spark: SparkSession, d: str) -> DataFrame:
     return found.select("read_id", "rid", "rev", "qs", "rs", "cnt", "n_tot", F.round("div", 6).alias("div"))
 
 
-@_register(f"""WITH {q.mapped()}, n AS (SELECT x.read_id, x.rid, x.rev, x.qs, x.qe, x.rs, max(y.score) AS sub, CAST(sum(CASE WHEN x.score - y.score <= 11 THEN 1 ELSE 0 END) AS INTEGER) AS sub_n
-FROM m x JOIN m y ON y.read_id = x.read_id AND (x.rid, x.rev, x.qs, x.qe, x.rs) <> (y.rid, y.rev, y.qs, y.qe, y.rs) AND y.score <= x.score
-  AND (least(x.qe, y.qe) - greatest(x.qs, y.qs)) * 2 >= least(x.qe - x.qs, y.qe - y.qs) GROUP BY 1, 2, 3, 4, 5, 6)
-SELECT m.read_id, m.rid, m.rev, m.qs, m.rs, m.score, coalesce(n.sub, 0) AS sub, coalesce(n.sub_n, 0) AS sub_n
-FROM m LEFT JOIN n ON n.read_id = m.read_id AND n.rid = m.rid AND n.rev = m.rev AND n.qs = m.qs AND n.qe = m.qe AND n.rs = m.rs""")
+@_register(f"WITH {q.mapped()},{q.rivals()} SELECT read_id, rid, rev, qs, rs, score, sub, sub_n FROM v")
 def hit_rivals(spark: SparkSession, d: str) -> DataFrame:
     """The best competing score of every region, and how many compete."""
     return scoring.rivals(map_regions(spark, d)).select("read_id", "rid", "rev", "qs", "rs", "score", "sub", "sub_n")
 
 
-@_register()
+@_register(f"WITH {q.mapped()},{q.rivals()} SELECT {_REGION}, sub, sub_n, CAST(0 AS DOUBLE) AS frac_rep, {q.mapq_short()} AS mapq FROM v")
 def mapq_short(spark: SparkSession, d: str) -> DataFrame:
     """Short-read mapping quality of every region."""
     return scoring.mapq_short(scoring.rivals(map_regions(spark, d)).withColumn("frac_rep", F.lit(0.0)))
@@ -449,10 +425,12 @@ def match_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _exact(spark, d).groupBy("read_id", "rid", "rev").agg(F.count("*").alias("matches"), F.sum(n).cast("long").alias("bases"), F.max(n).alias("longest"))
 
 
-@_register()
+@_register(f"""WITH {q.mapped()},{q.exact('e')}, p AS (SELECT x.read_id, x.rid, x.rev, CASE WHEN x.rev THEN l.len - qend ELSE qbeg END AS mq, rbeg AS mr, qend - qbeg AS n FROM ex x JOIN el l ON l.rid = x.read_id),
+t AS (SELECT m.read_id, m.rid, m.rev, qs, qe, rs, re, sum(n) AS n FROM m JOIN p ON p.read_id = m.read_id AND p.rid = m.rid AND p.rev = m.rev WHERE mq >= qs AND mq + n <= qe AND mr >= rs AND mr + n <= re GROUP BY ALL)
+SELECT m.read_id, m.rid, m.rev, m.qs, m.qe, m.rs, m.re, score, cnt, mlen, blen, CAST(coalesce(t.n, 0) AS BIGINT) AS seedcov FROM m LEFT JOIN t ON t.read_id = m.read_id AND t.rid = m.rid AND t.rev = m.rev AND t.qs = m.qs AND t.qe = m.qe AND t.rs = m.rs AND t.re = m.re""")
 def seed_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Exactly matched bases of every region."""
-    return scoring.seed_coverage(whole_regions(spark, d), _exact(spark, d))
+    return scoring.seed_coverage(map_regions(spark, d), _exact(spark, d), mapping.lengths(_benchmark(spark, d), "item_id")).select(*_REGION.split(", "), "seedcov")
 
 
 @_register()

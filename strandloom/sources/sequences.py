@@ -102,28 +102,18 @@ def fragment_name(name) -> object:
     return F.regexp_replace(name, "/[0-9]$", "")
 
 
-def sam_lines(reads: DataFrame, hits: DataFrame) -> DataFrame:
-    """Tab-separated records of every read: its alignments, or one unmapped record without any.
-
-    ``hits`` has (read_id, flag, rname, pos, mapq, cigar); positions are written 1-based.
-    """
-    joined = reads.join(hits, "read_id", "left")
-    none = F.col("rname").isNull()
-    column = lambda c, otherwise: F.when(none, F.lit(otherwise)).otherwise(c.cast("string"))
-    return joined.select(
-        "read_id",
-        F.concat_ws(
-            "\t",
-            F.col("name"),
-            column(F.col("flag"), "4"),
-            column(F.col("rname"), "*"),
-            column(F.col("pos") + 1, "0"),
-            column(F.col("mapq"), "0"),
-            column(F.col("cigar"), "*"),
-            F.lit("*"),
-            F.lit("0"),
-            F.lit("0"),
-            F.when(F.length("seq") > 0, F.col("seq")).otherwise("*"),
-            F.coalesce("qual", F.lit("*")),
-        ).alias("line"),
-    )
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(rid, name, anno, offset, len, n_ambiguous): sequences of an index's annotation file, two lines each after a header."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where("i > 0 AND line <> ''")
+    kept = lines.select(F.floor((F.col("i") - 1) / 2).cast("int").alias("rid"), ((F.col("i") - 1) % 2).alias("k"), "line")
+    pairs = kept.groupBy("rid").agg(F.max(F.when(F.col("k") == 0, F.col("line"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("line"))).alias("b"))
+    part = lambda k: F.get(F.split("b", r"\s+"), k)
+    name, anno = F.regexp_extract("a", r"^\S+\s+(\S+)", 1), F.regexp_extract("a", r"^\S+\s+\S+\s+(.*)$", 1)
+    return pairs.select("rid", name.alias("name"), anno.alias("anno"), part(0).cast("long").alias("offset"), part(1).cast("int").alias("len"), part(2).cast("int").alias("n_ambiguous"))
+
+
+def read_holes(spark: SparkSession, path: str) -> DataFrame:
+    """(offset, len, letter): stretches of ambiguous bases of an index's hole file, a line each after a header."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where("i > 0 AND line <> ''")
+    part = lambda k: F.get(F.split("line", r"\s+"), k)
+    return lines.select(part(0).cast("long").alias("offset"), part(1).cast("int").alias("len"), part(2).alias("letter"))

@@ -23,14 +23,21 @@ def _hash_steps(source: str, bits: int = 30) -> str:
     return source
 
 
-def kmers(name: str, table: str, key: str) -> str:
-    """CTEs ``{name}_b`` (rid, i, b) and ``{name}_k`` (rid, pos, f, r) with the 15-mers in the text alphabet."""
+def kmers(name: str, table: str, key: str, compressed: bool = False) -> str:
+    """CTEs ``{name}_b`` (rid, i, b) and ``{name}_k`` (rid, pos, f, r) with the 15-mers in the text alphabet.
+
+    ``compressed`` counts repeats of a base once: ``{name}_b`` then has the place of the last of them too.
+    """
     w = "OVER (PARTITION BY rid ORDER BY i)"
+    bases = f"""SELECT rid, i, CAST(ascii(c) % 4 AS BIGINT) AS b FROM (
+  SELECT rid, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM {name}_c)"""
+    if compressed:
+        bases = f"""SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY place) - 1 AS i, b, place FROM (
+  SELECT rid, i AS place, b, lead(b) {w} AS following FROM ({bases})) WHERE following IS NULL OR following <> b"""
     lag = lambda c, n: f"lag({c}, {n}) {w}"
     return f"""
 {name}_c AS (SELECT {key} AS rid, string_split(text, '') AS cs FROM {table} WHERE length(text) > 0),
-{name}_b AS (SELECT rid, i, CAST(ascii(c) % 4 AS BIGINT) AS b FROM (
-  SELECT rid, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM {name}_c)),
+{name}_b AS ({bases}),
 {name}_2 AS (SELECT rid, i, {lag('b', 1)} * 4 + b AS f, (3 - b) * 4 + (3 - {lag('b', 1)}) AS r FROM {name}_b),
 {name}_4 AS (SELECT rid, i, {lag('f', 2)} * 16 + f AS f, r * 16 + {lag('r', 2)} AS r FROM {name}_2),
 {name}_8 AS (SELECT rid, i, {lag('f', 4)} * 256 + f AS f, r * 256 + {lag('r', 4)} AS r FROM {name}_4),
@@ -38,15 +45,20 @@ def kmers(name: str, table: str, key: str) -> str:
   SELECT rid, i, {lag('f', 7)} * {_HALF} + f % {_HALF} AS f, r * {_HALF} + {lag('r', 7)} % {_HALF} AS r FROM {name}_8) WHERE i >= 14)"""
 
 
-def sketch(name: str, table: str, key: str, w: int = 10) -> str:
+def sketch(name: str, table: str, key: str, w: int = 10, compressed: bool = False) -> str:
     """The CTEs of ``kmers`` and ``{name}`` (rid, pos, strand, hash, span), the minimizers of a table's texts."""
+    place = "rid, CAST(pos AS INTEGER) AS pos, strand, hash, 15 AS span"
+    whole = f"{name}_f"
+    if compressed:
+        place = "rid, CAST(place AS INTEGER) AS pos, strand, hash, CAST(place - before AS INTEGER) AS span"
+        whole = f"(SELECT f.*, p.place, p.before FROM {name}_f f JOIN (SELECT rid, i, place, coalesce(lag(place, 15) OVER (PARTITION BY rid ORDER BY i), -1) AS before FROM {name}_b) p ON p.rid = f.rid AND p.i = f.pos)"
     hashed = _hash_steps(f"(SELECT rid, pos, CASE WHEN r < f THEN 1 ELSE 0 END AS strand, least(f, r) AS x FROM {name}_k)")
-    return f"""{kmers(name, table, key)},
+    return f"""{kmers(name, table, key, compressed)},
 {name}_h AS (SELECT rid, pos, strand, x AS hash FROM {hashed}),
 {name}_f AS (SELECT *, CASE WHEN row_number() OVER o >= {w} OR row_number() OVER o = count(*) OVER (PARTITION BY rid)
   THEN min(hash) OVER (o ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) END AS low FROM {name}_h WINDOW o AS (PARTITION BY rid ORDER BY pos)),
-{name} AS (SELECT rid, CAST(pos AS INTEGER) AS pos, strand, hash, 15 AS span FROM (
-  SELECT *, max(low) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS reach FROM {name}_f) WHERE reach = hash)"""
+{name} AS (SELECT {place} FROM (
+  SELECT *, max(low) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS reach FROM {whole}) WHERE reach = hash)"""
 
 
 def threshold(name: str) -> str:
@@ -62,13 +74,14 @@ def both() -> str:
     return f"{sketch('b', 'benchmark', 'item_id')},{sketch('d', 'documents', 'doc_id')},{threshold('d')}"
 
 
-def anchors() -> str:
-    """``both`` and ``a`` (read_id, rid, rev, rpos, qpos, span)."""
+def anchors(rare: bool = True) -> str:
+    """``both`` and ``a`` (read_id, rid, rev, rpos, qpos, span), of rare minimizers or of all."""
+    kept = "JOIN d_occ o ON o.hash = q.hash, d_mid WHERE o.occ <= d_mid.mid_occ" if rare else ""
     return f"""{both()},
 len AS (SELECT item_id AS rid, CAST(coalesce(length(text), 0) AS INTEGER) AS len FROM benchmark),
 a AS (SELECT q.rid AS read_id, r.rid AS rid, q.strand <> r.strand AS rev, r.pos AS rpos,
   CAST(CASE WHEN q.strand <> r.strand THEN len.len - (q.pos + 1 - 15) - 1 ELSE q.pos END AS INTEGER) AS qpos, 15 AS span
-  FROM b q JOIN len ON len.rid = q.rid JOIN d r ON r.hash = q.hash JOIN d_occ o ON o.hash = q.hash, d_mid WHERE o.occ <= d_mid.mid_occ)"""
+  FROM b q JOIN len ON len.rid = q.rid JOIN d r ON r.hash = q.hash {kept})"""
 
 
 def chain(a: str, out: str, max_gap: int = 5000) -> str:
@@ -103,3 +116,36 @@ def best() -> str:
 top AS (SELECT read_id, max(score) AS top_score FROM m GROUP BY 1),
 best AS (SELECT * FROM (SELECT m.*, CAST(row_number() OVER (PARTITION BY m.read_id ORDER BY score DESC, cnt DESC, rid, rev, rs, qs) AS INTEGER) AS place
   FROM m JOIN top ON top.read_id = m.read_id WHERE score >= top_score * 0.8 OR score + 30 >= top_score) WHERE place <= 6)"""
+
+
+def rivals() -> str:
+    """CTE ``v``, to follow ``mapped``: the regions with sub and sub_n, their best rival's score and the near ones' number."""
+    key = ("read_id", "rid", "rev", "qs", "qe", "rs")
+    same = " AND ".join(f"n.{k} = m.{k}" for k in key)
+    return f"""
+n AS (SELECT {', '.join(f'x.{k}' for k in key)}, max(y.score) AS sub, CAST(sum(CASE WHEN x.score - y.score <= 11 THEN 1 ELSE 0 END) AS INTEGER) AS sub_n
+FROM m x JOIN m y ON y.read_id = x.read_id AND (x.rid, x.rev, x.qs, x.qe, x.rs) <> (y.rid, y.rev, y.qs, y.qe, y.rs) AND y.score <= x.score
+  AND (least(x.qe, y.qe) - greatest(x.qs, y.qs)) * 2 >= least(x.qe - x.qs, y.qe - y.qs) GROUP BY ALL),
+v AS (SELECT m.*, coalesce(n.sub, 0) AS sub, coalesce(n.sub_n, 0) AS sub_n FROM m LEFT JOIN n ON {same})"""
+
+
+def mapq_short() -> str:
+    """Expression of the short-read mapping quality of a row of ``v``."""
+    length = "CAST(greatest(qe - qs, re - rs) AS DOUBLE)"
+    rival = "CASE WHEN sub > 0 THEN sub ELSE 19 END"
+    identity = f"(1 - ({length} * 1 - score) / 5 / {length})"
+    by_length = f"(CASE WHEN {length} < 50 THEN 1.0 ELSE ln(CAST(50 AS DOUBLE)) / ln({length}) END)"
+    weight = f"({by_length} * {identity} * {identity})"
+    raw = f"trunc(CAST(6.02 AS DOUBLE) * (score - {rival}) / 1 * {weight} * {weight} + CAST(0.499 AS DOUBLE))"
+    less = f"({raw} - CASE WHEN sub_n > 0 THEN trunc(CAST(4.343 AS DOUBLE) * ln(sub_n + CAST(1 AS DOUBLE)) + CAST(0.499 AS DOUBLE)) ELSE 0 END)"
+    return f"CAST(CASE WHEN {rival} >= score THEN 0 ELSE greatest(0, least(60, {less})) END AS INTEGER)"
+
+
+def exact(p: str = "") -> str:
+    """CTE ``{p}x``: maximal exact matches of benchmark texts and documents (read_id, rid, rev, qbeg, qend, rbeg)."""
+    return f"""{sketch(p + 'b', 'benchmark', 'item_id', 1)},{sketch(p + 'd', 'documents', 'doc_id', 1)},
+{p}l AS (SELECT item_id AS rid, length(text) AS len FROM benchmark),
+{p}a AS (SELECT x.rid AS read_id, y.rid AS rid, x.strand <> y.strand AS rev, y.pos AS rpos, CASE WHEN x.strand <> y.strand THEN l.len - (x.pos - 14) - 1 ELSE x.pos END AS qpos FROM {p}b x JOIN {p}l l ON l.rid = x.rid JOIN {p}d y ON y.hash = x.hash),
+{p}s AS (SELECT *, rpos - qpos AS diag, CASE WHEN rpos - lag(rpos) OVER (PARTITION BY read_id, rid, rev, rpos - qpos ORDER BY rpos) = 1 THEN 0 ELSE 1 END AS cut FROM {p}a),
+{p}o AS (SELECT *, sum(cut) OVER (PARTITION BY read_id, rid, rev, diag ORDER BY rpos) AS part FROM {p}s),
+{p}x AS (SELECT read_id, rid, rev, CAST(min(qpos) - 14 AS INTEGER) AS qbeg, CAST(max(qpos) + 1 AS INTEGER) AS qend, CAST(min(rpos) - 14 AS INTEGER) AS rbeg FROM {p}o GROUP BY read_id, rid, rev, diag, part)"""

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from strandloom.queries import QUERIES, SQL
+from strandloom.queries import QUERIES, SQL  # after the entry, which registers all
 
 DATA = "/root/testdata/sf0.001"
 
