@@ -527,8 +527,13 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     named = reps.select("cls", "least_id").join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return sized, named.join(least, "root").select("cls", "root", "component_id"), work
+    # Tables on both sides of the joins to come, so that Spark can split a large component and a class of many copies.
+    named = work.stash(named, "named")
+    least = work.stash(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    places = work.stash(named.join(least, "root").select("cls", "root", "component_id"), "places")
+    for old in ("classes", "first", "bounded-1", "links-1", "second", "bounded-2", "named", "least"):
+        work.drop(old)
+    return sized, places, work
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -553,17 +558,17 @@ def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     linked = sized.where("n_shingles > 0").join(places.select("cls", "root"), "cls")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_name")
     counted = linked.groupBy("root", "doc_id", "row_name").agg(F.count("*").alias("n"))
-    first = counted.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.row_name").alias("kept"))
+    counted = work.stash(counted, "counted")
+    first = work.stash(counted.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.row_name").alias("kept")), "kept")
     marked = counted.join(first, "root").withColumn("lost", F.col("row_name") != F.col("kept"))
     marks = work.stash(
         marked.where("lost OR n > 1").select(F.col("row_name").alias("j_name"), "lost").groupBy("j_name").agg(F.min("lost").alias("j_lost")), "marks"
     )
     total = marks.count()
-    named = df.withColumn("j_row", _row_name(key, text))
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("j_own"), _row_name(key, text).alias("j_row"))
     joined = named.join(F.broadcast(marks) if total <= BROADCAST_IDS else marks, F.col("j_row") == F.col("j_name"), "left")
     kept = joined.where("j_lost IS NULL")
     again = joined.where("NOT j_lost").dropDuplicates(["j_row"])
-    names = [F.col(f"`{c}`") for c in df.columns]
     if marks.where("NOT j_lost").isEmpty():
-        return kept.select(*names)
-    return kept.select(*names).unionByName(again.select(*names))
+        return kept.select("j_own.*")
+    return kept.select("j_own.*").unionByName(again.select("j_own.*"))

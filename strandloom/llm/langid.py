@@ -24,6 +24,8 @@ UNKNOWN = "und"
 #: Expected number of rows of each language that a fit reads, chosen by the hash of the key.
 TRAIN_ROWS = 3_000
 BUCKETS = 1 << 16
+#: Most languages that a fit learns, those of most rows; the model has a row of BUCKETS for each.
+MAX_LANGUAGES = 500
 SWITCH_PENALTY = 12.0
 #: A script counts for a language if it has at least this share of the language's words.
 SCRIPT_SHARE = 0.01
@@ -90,11 +92,12 @@ def _lower_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
 def train(df: DataFrame, learnable: Column, rows: int = TRAIN_ROWS) -> Model:
     """Learn from the text and language of rows for which ``learnable`` holds and language is not null.
 
-    Rows are kept with a probability, by the hash of their text, that leaves about ``rows`` for each language;
+    At most MAX_LANGUAGES are learned.  Rows are kept with a probability, by the hash of their text, that leaves about ``rows`` for each language;
     their counts, at most BUCKETS for each language, are summed on the executors.
     """
     known = df.where(learnable & F.col("lang").isNotNull())
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r.lang: r.n for r in counted.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(SCRIPTS), 0), bool))
@@ -197,10 +200,11 @@ def identify(
 ) -> DataFrame:
     """``keep``, lang_pred, score and spans, which are (lang, first_word, words) over the text's letter runs.
 
-    A null text or one without a letter is ``und`` with score 0 and no spans; so is any if nothing was learned.
+    Columns of ``keep`` that are named as one of these are not kept.  A null text or one without a letter is ``und`` with score 0 and no spans; so is any if nothing was learned.
     The score is the predicted language's share of the letters.  The model is the size of its languages.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score", *(["spans"] if spans else [])))
     kept = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keep)
     extra = ", spans array<struct<lang: string, first_word: int, words: int>>" if spans else ""
 
@@ -215,7 +219,7 @@ def identify(
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    read = df.select(*[F.col(f"`{k}`") for k in keep], F.col(text).alias("langid_text"))
+    read = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("langid_text"))
     return read.mapInArrow(label, f"{kept}lang_pred string, score double{extra}")
 
 

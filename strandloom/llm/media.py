@@ -76,7 +76,7 @@ def _riff_chunks(raw: bytes, start: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + (size & 1)
 
 
-def _riff(raw: bytes, start: int) -> Found | None:
+def _riff(raw: bytes, start: int, find: _Finder) -> Found | None:
     if start + 20 > len(raw):
         return None
     size = struct.unpack_from("<I", raw, start + 4)[0] + 8
@@ -90,7 +90,7 @@ def _riff(raw: bytes, start: int) -> Found | None:
     return Found(kind, start, size) if whole else None
 
 
-def _png(raw: bytes, start: int) -> Found | None:
+def _png(raw: bytes, start: int, find: _Finder) -> Found | None:
     at, first = start + 8, True
     while at + 12 <= len(raw):
         size, name = struct.unpack_from(">I", raw, at)[0], raw[at + 4 : at + 8]
@@ -105,7 +105,7 @@ def _png(raw: bytes, start: int) -> Found | None:
     return None
 
 
-def _gif(raw: bytes, start: int) -> Found | None:
+def _gif(raw: bytes, start: int, find: _Finder) -> Found | None:
     def sub_blocks(at: int) -> int:
         while raw[at]:
             at += raw[at] + 1
@@ -127,12 +127,28 @@ def _gif(raw: bytes, start: int) -> Found | None:
         return None
 
 
-def _jpeg(raw: bytes, start: int) -> Found | None:
+class _Finder:
+    """The next place of a mark from some place on; what one search passed over is not searched again."""
+
+    def __init__(self, raw: bytes):
+        self._raw = raw
+        self._known: dict[bytes, tuple[int, int]] = {}
+
+    def __call__(self, mark: bytes, start: int) -> int:
+        begun, at = self._known.get(mark, (len(self._raw) + 1, -1))
+        if begun <= start and (at < 0 or at >= start):
+            return at
+        at = self._raw.find(mark, start)
+        self._known[mark] = (start, at)
+        return at
+
+
+def _jpeg(raw: bytes, start: int, find: _Finder) -> Found | None:
     at = start + 2
     while at + 4 <= len(raw) and raw[at] == 0xFF:
         mark = raw[at + 1]
         if mark == 0xDA:  # entropy-coded data runs to the end mark
-            end = raw.find(b"\xff\xd9", at)
+            end = find(b"\xff\xd9", at)
             return Found("image/jpeg", start, end + 2 - start) if end > 0 else None
         size = struct.unpack_from(">H", raw, at + 2)[0]
         if size < 2 or not 0xC0 <= mark <= 0xFE:
@@ -141,15 +157,15 @@ def _jpeg(raw: bytes, start: int) -> Found | None:
     return None
 
 
-def _pdf(raw: bytes, start: int) -> Found | None:
+def _pdf(raw: bytes, start: int, find: _Finder) -> Found | None:
     if not raw[start + 5 : start + 6].isdigit():
         return None
-    end, table = raw.find(b"%%EOF", start), raw.find(b"startxref", start)
+    end, table = find(b"%%EOF", start), find(b"startxref", start)
     return Found("application/pdf", start, end + 5 - start) if 0 <= table < end else None
 
 
-def _zip(raw: bytes, start: int) -> Found | None:
-    end = raw.find(b"PK\x05\x06", start)
+def _zip(raw: bytes, start: int, find: _Finder) -> Found | None:
+    end = find(b"PK\x05\x06", start)
     if end < 0 or end + 22 > len(raw):
         return None
     size, offset = struct.unpack_from("<II", raw, end + 12)
@@ -158,20 +174,21 @@ def _zip(raw: bytes, start: int) -> Found | None:
     return Found("application/zip", start, end + 22 + struct.unpack_from("<H", raw, end + 20)[0] - start)
 
 
-def _gzip(raw: bytes, start: int) -> Found | None:
-    unpacker = zlib.decompressobj(31)
+def _gzip(raw: bytes, start: int, find: _Finder) -> Found | None:
+    unpacker, at, view = zlib.decompressobj(31), start, memoryview(raw)
     try:
-        piece = unpacker.decompress(raw[start:], 1 << 16)
-        while not unpacker.eof and unpacker.unconsumed_tail:
-            piece = unpacker.decompress(unpacker.unconsumed_tail, 1 << 16)
+        while not unpacker.eof and (unpacker.unconsumed_tail or at < len(raw)):
+            piece = unpacker.unconsumed_tail
+            if not piece:
+                piece, at = view[at : at + 4096], at + 4096
+            unpacker.decompress(piece, 1 << 16)
     except zlib.error:
         return None
-    del piece
-    used = len(raw) - start - len(unpacker.unused_data)
+    used = min(at, len(raw)) - start - len(unpacker.unused_data)
     return Found("application/gzip", start, used) if unpacker.eof else None
 
 
-def _bmp(raw: bytes, start: int) -> Found | None:
+def _bmp(raw: bytes, start: int, find: _Finder) -> Found | None:
     if start + 54 > len(raw):
         return None
     size, zero, offset, header = struct.unpack_from("<IIII", raw, start + 2)
@@ -179,12 +196,12 @@ def _bmp(raw: bytes, start: int) -> Found | None:
     return Found("image/bmp", start, size) if fits else None
 
 
-def _flac(raw: bytes, start: int) -> Found | None:
+def _flac(raw: bytes, start: int, find: _Finder) -> Found | None:
     fits = raw[start + 4 : start + 5] in (b"\x00", b"\x80") and raw[start + 5 : start + 8] == b"\x00\x00\x22"
     return Found("audio/flac", start, len(raw) - start) if fits else None
 
 
-def _ogg(raw: bytes, start: int) -> Found | None:
+def _ogg(raw: bytes, start: int, find: _Finder) -> Found | None:
     at = start
     while raw[at : at + 5] == b"OggS\x00" and at + 27 <= len(raw):
         count = raw[at + 26]
@@ -211,12 +228,12 @@ def sniff(raw: bytes) -> list[Found]:
     """Validated media in a value, outermost first by offset; a hit inside carved media other than the
     value's own container is part of it and not listed again."""
     out: list[Found] = []
-    covered = 0
+    covered, find = 0, _Finder(raw)
     for last, (length, kind) in _automaton().iter(raw.decode("latin-1")):
         start = last - length + 1
         if start < covered:
             continue
-        found = _VALIDATORS[kind](raw, start)
+        found = _VALIDATORS[kind](raw, start, find)
         if found is not None:
             out.append(found)
             if start:
@@ -232,7 +249,7 @@ def true_type(found: list[Found], declared: str | None) -> str:
 
 
 def text_to_media(text: Column) -> Column:
-    """Binary column: the text's padded UTF-8 bytes stored as 8-bit samples (null: empty text)."""
+    """Binary column: the text's padded UTF-8 bytes stored as 8-bit samples (null: empty text); equal texts, equal bytes."""
 
     @F.pandas_udf("binary")
     def store(texts: pd.Series) -> pd.Series:

@@ -32,7 +32,8 @@ def uniform(key: Column, seed: str = SEED) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target) from one (source, source_size) row for each source.
 
-    The windows run over the sources' sums alone, a row for each source.
+    The windows run over the sources' sums alone, a row for each source, in one task: sources are names of collections,
+    not of documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     table = F.array(*map(F.lit, weights))
@@ -69,22 +70,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 
 def _plan(df: DataFrame, keep: list[str], key: str, text: str, source: str, weights: tuple[int, ...], max_repeats: int, seed: str) -> DataFrame:
-    """``keep`` and m_size, m_source_size, m_target and m_copies of every row."""
-    size, own = word_count(F.col(f"`{text}`")), [F.col(f"`{c}`") for c in keep]
-    sized = df.select(*own, F.col(f"`{source}`").alias("m_source"), uniform(F.col(f"`{key}`"), seed).alias("m_u"), size.alias("m_size"))
+    """``own``, a struct of ``keep``, and size, source_size, target and copies of every row."""
+    size, own = word_count(F.col(f"`{text}`")), F.struct(*[F.col(f"`{c}`") for c in keep])
+    sized = df.select(own.alias("own"), F.col(f"`{source}`").alias("of"), uniform(F.col(f"`{key}`"), seed).alias("u"), size.alias("size"))
     sizes = (
-        df.select(F.col(f"`{source}`").alias("source"), size.alias("m_size"))
+        df.select(F.col(f"`{source}`").alias("source"), size.alias("size"))
         .groupBy("source")
-        .agg(F.sum("m_size").alias("source_size"))
+        .agg(F.sum("size").alias("source_size"))
     )
-    targets = source_targets(sizes, weights, max_repeats).select(
-        F.col("source").alias("m_name"), F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target")
-    )
-    joined = sized.join(targets, F.col("m_source").eqNullSafe(F.col("m_name")))
-    rate = F.when(F.col("m_source_size") > 0, F.col("m_target") / F.col("m_source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(source_targets(sizes, weights, max_repeats), F.col("of").eqNullSafe(F.col("source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = (whole + (F.col("m_u") < rate - whole).cast("long")).cast("long")
-    return joined.select(*own, "m_size", "m_source_size", "m_target", copies.alias("m_copies"))
+    copies = (whole + (F.col("u") < rate - whole).cast("long")).cast("long")
+    return joined.select("own", "size", "source_size", "target", copies.alias("copies"))
 
 
 def plan_mix(
@@ -103,7 +101,7 @@ def plan_mix(
     source, are joined back without a size promise, so Spark broadcasts them only under its own threshold.
     """
     planned = _plan(df, [key], key, text, source, weights, max_repeats, seed)
-    return planned.select(key, *[F.col(f"m_{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
+    return planned.select(F.col(f"own.`{key}`").alias(key), "size", "source_size", "target", "copies")
 
 
 def mix(
@@ -117,5 +115,5 @@ def mix(
 ) -> DataFrame:
     """The rows of ``df``, each repeated as ``plan_mix`` says, with its own columns only."""
     planned = _plan(df, df.columns, key, text, source, weights, max_repeats, seed)
-    repeated = planned.where(F.col("m_copies") > 0).withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), F.col("m_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
+    repeated = planned.where("copies > 0").select("own", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select("own.*")

@@ -183,8 +183,9 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, max_rows: i
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality")
-    table = rows.mapInArrow(_train_rows, "x binary, y int").toArrow()
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality", "doc_id")
+    # One row for each key, of several the least, so that repeated keys bring no more than ``max_rows`` to the driver.
+    table = rows.mapInArrow(_train_rows, "x binary, y int, k string").groupBy("k").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, len(FEATURES))
     y = np.array(table.column("y").to_pylist(), np.float64)
     order = np.lexsort([*x.T, y])  # the rows arrive in any order; the fit does not depend on it
@@ -194,7 +195,7 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, max_rows: i
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = statistics(batch.column(0))
-        yield pa.RecordBatch.from_pydict({"x": [row.tobytes() for row in x], "y": batch.column(1).cast(pa.int32())})
+        yield pa.RecordBatch.from_pydict({"x": [row.tobytes() for row in x], "y": batch.column(1).cast(pa.int32()), "k": batch.column(2).cast(pa.string())})
 
 
 def score_quality(df: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, fingerprints, html_extract, jaccard_join, langid, media, mixing, pii, quality, queries, secret_scan
+from strandloom.llm import bpe, fingerprints, html_extract, jaccard_join, langid, media, mixing, pii, quality, queries, secret_scan, tables
 from strandloom.llm.tokens import SLICE_BYTES, SLICE_ROWS, shingle_sets, text_chunks, text_slices, word_hashes, word_spans
 
 DATA = "/root/testdata/sf0.001"
@@ -47,7 +47,7 @@ HARD = [
 def hard(spark, rows=HARD):
     """The rows, with extra columns whose names clash with those that operators use inside."""
     df = spark.createDataFrame(rows, DOCUMENTS)
-    for name in ("h", "cls", "size", "score", "part", "spans", "kind", "target", "ids"):
+    for name in ("h", "cls", "size", "score", "part", "spans", "kind", "target", "ids", "j_row", "j_name", "j_own", "own", "u", "copies", "m_size"):
         df = df.withColumn(name, F.lit("extra"))
     return df
 
@@ -82,6 +82,23 @@ def test_shingle_sets_equal_brute_force():
     assert len(set(hashed.tolist())) == 1
 
 
+class Elsewhere:
+    master, _jsc = "spark://host:7077", None
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        sparkContext = Elsewhere()
+        conf = {}
+
+    Elsewhere._jsc = spark.sparkContext._jsc
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "file:///somewhere/"}
+    assert tables.shared_folder(Session()) == "file:///somewhere"
+
+
 def test_slices_cover_a_batch_within_their_bounds():
     rng = random.Random(11)
     texts = ["x" * rng.choice([0, 5, 70_000, 3 << 20]) for _ in range(60)] + [None] * 3000
@@ -560,6 +577,14 @@ def test_media_query_round_trip(spark, tmp_path):
     assert found == sorted(wanted, key=repr)
 
 
+def test_repeated_marks_take_linear_time(spark):
+    began = time.time()
+    for part in (b"%PDF-1 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xda\x00\x02 ", b"\x1f\x8b\x08\x00 "):
+        assert media.sniff(part * 60_000) == []
+    assert time.time() - began < 20
+    assert queries.op7_media.__name__ == "op7_media" and media.with_features(empty(spark).select("doc_id", F.lit(b"").alias("media"))).count() == 0
+
+
 # --- 8. language
 
 
@@ -591,6 +616,8 @@ def test_mixed_language_spans_scripts_and_hard_rows(spark):
     found = {r.doc_id: r for r in langid.identify(hard(spark, rows), model).collect()}
     assert [s.lang for s in found[100].spans] == ["en", "de"] and found[101].lang_pred == "el"
     assert found[3].lang_pred == found[4].lang_pred == found[11].lang_pred == "und" and found[11].score == 0
+    clash = langid.identify(hard(spark, rows).withColumn("lang_pred", F.lit("x")), model, keep=("doc_id", "lang_pred", "score"))
+    assert clash.columns == ["doc_id", "lang_pred", "score", "spans"] and {r.lang_pred for r in clash.collect()} <= {"en", "de", "el", "fr", "es", "und"}
     none = langid.train(empty(spark), F.lit(True))
     assert {r.lang_pred for r in langid.identify(hard(spark), none).collect()} == {"und"}
 
