@@ -109,4 +109,23 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
-SQL = {"op10_mix": _MIX_SQL}
+#: Every pair of documents with a common shingle is counted, and components are closed by recursion: for small tables.
+_JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY 1
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes u ON u.doc_id = x JOIN sizes v ON v.doc_id = y WHERE 100 * c >= 75 * (u.n + v.n - c)
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d JOIN (SELECT x, min(y) AS c FROM reach GROUP BY 1) r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+SQL = {"op6_jaccard_join": _JACCARD_SQL, "op10_mix": _MIX_SQL}
