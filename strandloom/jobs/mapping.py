@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.jobs.options import Options
 from strandloom.operators import align, chains, hits, index, seeds, sketch
+from strandloom.shared import Workspace
 
 #: Most minimizers of the queries that are broadcast to the references' side; joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
@@ -29,9 +30,22 @@ def lengths(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("rid"), F.coalesce(F.length(text), F.lit(0)).alias("len"))
 
 
-def sketch_both(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> Sketches:  # noqa: B008
-    q = sketch.minimizers(queries, q_key, w=options.w, k=options.k, compressed=options.compressed)
-    r = sketch.minimizers(references, r_key, w=options.w, k=options.k, compressed=options.compressed)
+def stored_index(references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """Minimizers of the references as a table in the shared folder, so that they are sketched once.
+
+    It stays until that folder is cleared.  For use in many jobs, ``index.write_index`` saves them bucketed by hash.
+    """
+    found = sketch.minimizers(references, r_key, w=options.w, k=options.k, compressed=options.compressed)
+    return Workspace(references.sparkSession).stash(found, "index")
+
+
+def sketch_both(
+    queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options(), stored: DataFrame | None = None  # noqa: B008
+) -> Sketches:
+    """Minimizers of both sides; ``stored`` are the references' where they are known, else they are sketched and stored."""
+    r = stored_index(references, r_key, options) if stored is None else stored
+    same = queries is references and q_key == r_key
+    q = r if same else sketch.minimizers(queries, q_key, w=options.w, k=options.k, compressed=options.compressed)
     threshold = index.frequency_threshold(index.occurrences(r), options.mid_occ_fraction, options.min_mid_occ, options.max_mid_occ)
     return Sketches(q, r, lengths(queries, q_key), threshold)
 
@@ -66,38 +80,39 @@ def repeat_lengths(s: Sketches) -> DataFrame:
     return seeds.covered_length(spans, "st", "en").select(F.col("rid").alias("read_id"), F.col("covered").alias("rep_len"))
 
 
-def map_rare(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+def map_rare(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options(), stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """``map_reads`` by infrequent minimizers only, chained without gaps."""
-    s = sketch_both(queries, q_key, references, r_key, options)
+    s = sketch_both(queries, q_key, references, r_key, options, stored)
     found = chains.islands(seed_anchors(s), options.max_gap)
     return chains.regions(found, s.lengths, options.min_cnt, options.min_score)
 
 
-def map_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+def map_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options(), stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Regions of every query on the references: (read_id, rid, rev, qs, qe, rs, re, score, cnt, mlen, blen).
 
     Anchors are chained within options.band, and again within band_long where a read asks for it; no_diagonal and
     no_dual leave out anchors of a sequence with itself.  A query without chains has no rows; null and short texts
-    have none.
+    have none.  ``stored`` is the references' ``stored_index``, made here where it is not given.
     """
-    s = sketch_both(queries, q_key, references, r_key, options)
+    s = sketch_both(queries, q_key, references, r_key, options, stored)
     found = seeds.skip_pairs(all_anchors(s), options.no_diagonal, options.no_dual)
     found = chains.chain_again(found, s.lengths, options.band, options.band_long, options.max_gap, options.min_cnt, options.min_score)
     return chains.regions(found, s.lengths, options.min_cnt, options.min_score)
 
 
-def map_best(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+def map_best(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options(), stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """``map_reads`` with each query's best hit and the next ones near it, by place."""
-    return hits.best_hits(map_reads(queries, q_key, references, r_key, options), options.best_n, options.pri_ratio, 2 * options.k)
+    return hits.best_hits(map_reads(queries, q_key, references, r_key, options, stored), options.best_n, options.pri_ratio, 2 * options.k)
 
 
-def overlap_all(df: DataFrame, key: str, options: Options, mid_occ: DataFrame | None = None) -> DataFrame:
+def overlap_all(df: DataFrame, key: str, options: Options, mid_occ: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(a, b, rev, shared, score): pairs of different sequences, a < b, that share chains; their longest.
 
     Frequent hashes are left out by the threshold before the self-join, so a hash meets at most that many
-    sequences squared; of the pairs' anchors only counts and ends are kept.  ``mid_occ`` replaces the threshold.
+    sequences squared; of the pairs' anchors only counts and ends are kept.  ``mid_occ`` replaces the threshold,
+    ``stored`` the sketch.
     """
-    s = sketch_both(df, key, df, key, options)
+    s = sketch_both(df, key, df, key, options, stored)
     rare = index.occurrences(s.references).join(F.broadcast(s.mid_occ if mid_occ is None else mid_occ)).where((F.col("occ") <= F.col("mid_occ")) & (F.col("occ") > 1))
     kept = s.references.join(rare.select("hash"), "hash", "left_semi")
     lens = s.lengths
@@ -124,14 +139,16 @@ def overlap_classes(df: DataFrame, key: str, options: Options) -> DataFrame:
     """
     firsts, members = classes(df, key)
     copies = members.where("rid <> member")
-    own = sketch.minimizers(df.join(copies.select(F.col("rid").alias(key)).distinct(), key, "left_semi"), key, w=options.w, k=options.k, compressed=options.compressed)
+    every = stored_index(df, key, options)
+    own = every.join(copies.select("rid").distinct(), "rid", "left_semi")
     line = own.select(F.col("rid").alias("read_id"), "rid", F.lit(False).alias("rev"), F.col("pos").alias("rpos"), F.col("pos").alias("qpos"), "span")
     found = chains.regions(chains.islands(line, options.max_gap), lengths(df, key), options.min_cnt, options.min_score)
     same = found.groupBy(F.col("rid").alias("a"), "rev").agg(
         F.max("score").alias("score"), F.sum("mlen").cast("long").alias("shared"), F.count("*").alias("chains")
     )
     stars = copies.select(F.col("rid").alias("a"), F.col("member").alias("b")).join(same, "a")
-    pairs = overlap_all(firsts, key, options, sketch_both(df, key, df, key, options).mid_occ)
+    first_ones = every.join(firsts.select(F.col(key).alias("rid")), "rid", "left_semi")
+    pairs = overlap_all(firsts, key, options, sketch_both(df, key, df, key, options, every).mid_occ, first_ones)
     return pairs.unionByName(stars.select(pairs.columns))
 
 

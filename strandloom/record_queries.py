@@ -10,7 +10,7 @@ from strandloom.functions import cigar as cigars
 from strandloom.functions.sequence import bases, largest_gap, least_band, strand_position, subsequence, unescape
 from strandloom.jobs import mapping
 from strandloom.operators import hits, intervals, records, scoring, seeds, sketch
-from strandloom.queries import _REGION, _benchmark, _documents, _exact, _register, _sides, hit_divergence, map_passages, map_regions, mapq_short
+from strandloom.queries import _REGION, _benchmark, _documents, _exact, _register, map_passages, map_regions, mapq_short
 
 _KEY = ["read_id", "rid", "rev", "qs", "qe", "rs"]
 _LETTER = "substr('ACGT', ascii({}) % 4 + 1, 1)"
@@ -41,8 +41,9 @@ def sam_records(spark: SparkSession, d: str) -> DataFrame:
     Edits are counted base by base; ``sam_alignments`` has the records of alignments with gaps.
     """
     reads = _reads(spark, d)
-    best = map_passages(spark, d).where("place = 1").select(*_KEY)  # a row for each read at most
-    scored = mapq_short(spark, d).join(best, _KEY)
+    regions = map_regions(spark, d)
+    best = hits.best_hits(regions).where("place = 1").select(*_KEY)  # a row for each read at most
+    scored = scoring.mapq_short(scoring.rivals(regions).withColumn("frac_rep", F.lit(0.0))).join(best, _KEY)
     placed = mapping.windows(scored.withColumns({"w_from": F.col("rs"), "w_len": F.col("re") - F.col("rs")}), _documents(spark, d), "doc_id", mapping.few(reads))
     read = reads.select("read_id", F.length("seq").alias("len"), "seq")
     turned = F.translate(F.reverse("seq"), "ACGT", "TGCA")
@@ -176,7 +177,9 @@ v AS (SELECT best.read_id, best.rid, best.rev, best.qs, best.rs, place, round(CA
 SELECT x.read_id, x.rid, x.rev, x.qs, x.rs, x.place, x.div FROM v x JOIN v p ON p.read_id = x.read_id AND p.place = 1 WHERE x.div < p.div * 5 OR x.div < CAST(0.01 AS DOUBLE)""")
 def low_divergence_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits that diverge little, or less than five times as much as the best."""
-    placed = map_passages(spark, d).join(hit_divergence(spark, d).drop("cnt"), ["read_id", "rid", "rev", "qs", "rs"])
+    regions = map_regions(spark, d)
+    diverged = scoring.divergence(regions, sketch.minimizers(_benchmark(spark, d), "item_id"), sketch.K).withColumn("div", F.round("div", 6))
+    placed = hits.best_hits(regions).join(diverged.select("read_id", "rid", "rev", "qs", "rs", "div"), ["read_id", "rid", "rev", "qs", "rs"])
     parents = placed.where("place = 1").select("read_id", "place", "div")
     return scoring.strand_retained(placed.withColumn("parent", F.lit(1)), parents).select("read_id", "rid", "rev", "qs", "rs", "place", "div")
 
@@ -224,9 +227,10 @@ def segment_hits(spark: SparkSession, d: str) -> DataFrame:
 def sam_alignments(spark: SparkSession, d: str) -> DataFrame:
     """A record for every benchmark text: the alignment of its best hit with gaps, on its strand, or an unmapped record."""
     reads = _reads(spark, d)
-    s = _sides(spark, d)
     benchmark, documents = _benchmark(spark, d), _documents(spark, d)
-    ranked = hits.mapq_long(hits.set_parents(mapping.map_reads(benchmark, "item_id", documents, "doc_id")), mapping.repeat_lengths(s)).where("place = 1")
+    stored = mapping.stored_index(documents, "doc_id")
+    s = mapping.sketch_both(benchmark, "item_id", documents, "doc_id", stored=stored)
+    ranked = hits.mapq_long(hits.set_parents(mapping.map_reads(benchmark, "item_id", documents, "doc_id", stored=stored)), mapping.repeat_lengths(s)).where("place = 1")
     quality = ranked.select("read_id", "mapq", "subsc")
     found = mapping.align_hits(ranked, benchmark, "item_id", documents, "doc_id").join(quality, "read_id")
     lens = mapping.lengths(benchmark, "item_id").withColumnRenamed("rid", "read_id")

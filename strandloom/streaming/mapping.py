@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandloom.jobs.mapping import map_best
+from strandloom.jobs.mapping import map_best, stored_index
 from strandloom.jobs.options import Options
 
 
@@ -15,11 +15,13 @@ def map_stream(
 ) -> StreamingQuery:
     """Write the best hits of every micro-batch as Parquet, a folder for each batch.
 
-    A batch that is run again after a failure overwrites its own folder, so each read is written once.
+    A batch that is run again after a failure overwrites its own folder, so each read is written once.  The references
+    are sketched once, before the first batch.
     """
+    stored = stored_index(references, r_key, options)
 
     def write(batch: DataFrame, number: int) -> None:
-        map_best(batch, q_key, references, r_key, options).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        map_best(batch, q_key, references, r_key, options, stored).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return reads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
