@@ -48,10 +48,16 @@ SEEN_CLASSES = 200_000
 BROADCAST_IDS = 500_000
 
 
+_WORD = (1 << 64) - 1
+
+
 def set_key(shingles: np.ndarray) -> int:
     """64-bit key of a shingle set; equal sets have equal keys."""
-    total = np.add.reduce(mix64(shingles ^ np.uint64(0xA5A5A5A5DEADBEEF)))
-    return int(mix64(np.array([total ^ np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+    x = int(np.add.reduce(mix64(shingles ^ np.uint64(0xA5A5A5A5DEADBEEF)))) ^ len(shingles)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _WORD  # mix64 of one number
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _WORD
+    x ^= x >> 31
+    return x - (1 << 64) if x >> 63 else x
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -109,8 +115,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for found in shingle_sets(batch.column(0)):
-            key = set_key(found)
-            if key in seen or not len(found):
+            if not len(found):
+                continue
+            key = hash((len(found), int(found[0]), int(found[-1]), int(np.add.reduce(found))))  # a guess is enough for a count
+            if key in seen:
                 continue
             seen.add(key)
             held.append(found)
@@ -184,25 +192,18 @@ def _postings(shared, hot: int):
 
 def _posting_batch(rows: list[tuple]) -> pa.RecordBatch:
     lengths = np.array([len(r[0]) for r in rows])
-    pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+    pos = np.concatenate([np.arange(k, dtype=np.int64) for k in lengths])
     spread = lambda k, kind: np.repeat(np.array([r[k] for r in rows], kind), lengths)
     h, cls, parts = np.concatenate([r[0] for r in rows]), spread(1, np.int64), np.concatenate([r[4] for r in rows])
-    part = (mix64(h ^ cls.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(h.view(np.int64)),
-            pa.array(cls),
-            pa.array(spread(2, np.int32)),
-            pa.array(pos),
-            pa.array(pos < spread(3, np.int32)),
-            pa.array(parts.astype(np.int32)),
-            pa.array(part),
-        ],
-        ["h", "cls", "n", "pos", "lead", "parts", "part"],
-    )
+    part = (mix64(h ^ cls.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+    at = spread(2, np.int64) << 32 | pos << 1 | (pos < spread(3, np.int64))
+    columns = [pa.array(h.view(np.int64)), pa.array(cls), pa.array(at), pa.array(parts << 32 | part)]
+    return pa.RecordBatch.from_arrays(columns, ["h", "cls", "at", "deal"])
 
 
-_POSTING = "h long, cls long, n int, pos int, lead boolean, parts int, part int"
+#: ``at`` is n, pos and lead, and ``deal`` parts and part, from high bits to low: a row of four numbers is shuffled.
+_POSTING = "h long, cls long, at long, deal long"
+_SHARED = "h long, cls long, n int, pos int, lead boolean, parts int, part int, near long, far long"
 
 
 class _Column:
@@ -230,19 +231,19 @@ class _Column:
 
 def _met(batch: pa.RecordBatch) -> np.ndarray:
     """Which rows may share their column with another class; the first and the last may, as far as a batch tells."""
-    h, part, cls, parts = (batch.column(k).to_numpy() for k in ("h", "part", "cls", "parts"))
-    same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+    h, deal, cls = (batch.column(k).to_numpy() for k in ("h", "deal", "cls"))
+    same = (h[1:] == h[:-1]) & (deal[1:] == deal[:-1])
     edge = np.ones(min(1, len(h)), bool)
-    keep = np.concatenate([edge, same]) | np.concatenate([same, edge]) | (parts > 1)
+    keep = np.concatenate([edge, same]) | np.concatenate([same, edge]) | (deal >> 32 > 1)
     keep[1:] &= ~(same & (cls[1:] == cls[:-1]))  # copies follow each other
     keep[-1:] = True
     return keep
 
 
 def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of columns (h, part), or of dealt columns, with at least two classes, with the partners of step 2.
+    """Rows of columns (h, deal), or of dealt columns, with at least two classes, with the partners of step 2.
 
-    The rows come sorted by h, part, n, cls.  They are passed on as they come, the first of a column when its second is
+    The rows come sorted by h, deal, at, cls.  They are passed on as they come, the first of a column when its second is
     read, so that no column is held whole.
     """
     names = ["h", "cls", "n", "pos", "lead", "parts", "part"]
@@ -250,7 +251,9 @@ def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         out: list[list] = []
         batch = batch.filter(pa.array(_met(batch)))
-        rows = zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+        at, deal = batch.column("at").to_numpy(), batch.column("deal").to_numpy()
+        fields = (batch.column("h"), batch.column("cls"), at >> 32, at >> 1 & 0x7FFFFFFF, at & 1 > 0, deal >> 32, deal & 0xFFFFFFFF)
+        rows = zip(*(x.tolist() if isinstance(x, np.ndarray) else x.to_pylist() for x in fields), strict=True)
         for row in rows:
             h, cls, n, _, lead, parts, part = row
             if (h, part) != before:
@@ -387,31 +390,40 @@ def _block_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _links(rows, pairs)
 
 
+#: Rows that are multiplied together.
+_ROWS_AT_ONCE = 64
+
+
 def _links(rows: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    """One block of the product: the row of each x times the rows of its partners, only where asked for."""
+    """One block of the product: the row of each y times the rows of its partners, only where asked for.
+
+    A block has all or many of the pairs of its y, so that few rows are marked.
+    """
     keys = list(rows)
     place = {k: i for i, k in enumerate(keys)}
     lengths = np.array([len(rows[k]) for k in keys], np.int64)
     start = np.concatenate([[0], np.cumsum(lengths)])
     _, columns = np.unique(np.concatenate([rows[k] for k in keys]), return_inverse=True)
     mark = np.zeros(int(columns.max()) + 1, bool)
-    by_x: dict[int, list[int]] = {}
+    by_y: dict[int, list[int]] = {}
     for x, y in pairs:
-        by_x.setdefault(x, []).append(y)
+        by_y.setdefault(y, []).append(x)
     u, v = [], []
-    for x, partners in by_x.items():
-        i = place[x]
+    for y, partners in by_y.items():
+        i = place[y]
         own = columns[start[i] : start[i + 1]]
         mark[own] = True
-        ys = np.array([place[y] for y in partners])
-        spans = np.concatenate([np.arange(start[j], start[j + 1]) for j in ys])
-        ends = np.cumsum(lengths[ys])
-        counts = np.add.reduceat(mark[columns[spans]].astype(np.int64), ends - lengths[ys])
-        mark[own] = False
-        for y, c, n in zip(partners, counts, lengths[ys], strict=True):
-            if 7 * c >= 3 * (lengths[i] + n):
-                u.append(x)
+        xs = np.array([place[x] for x in partners])
+        for some in range(0, len(xs), _ROWS_AT_ONCE):
+            j = xs[some : some + _ROWS_AT_ONCE]
+            n = lengths[j]
+            begins = np.cumsum(n) - n
+            hits = mark[columns[np.repeat(start[j] - begins, n) + np.arange(int(n.sum()))]]
+            counts = np.add.reduceat(hits, begins, dtype=np.int64)
+            for k in np.flatnonzero(7 * counts >= 3 * (lengths[i] + n)).tolist():
+                u.append(partners[some + k])
                 v.append(y)
+        mark[own] = False
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
@@ -483,9 +495,9 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     matrix = (
         docs.select("text")
         .mapInArrow(_postings(order, HOT_COLUMN), _POSTING)
-        .repartition(partitions, "h", "part")
-        .sortWithinPartitions("h", "part", "n", "cls")
-        .mapInArrow(_shared_columns, _POSTING + ", near long, far long")
+        .repartition(partitions, "h", "deal")
+        .sortWithinPartitions("h", "deal", "at", "cls")
+        .mapInArrow(_shared_columns, _SHARED)
     )
     shared = work.stash(matrix, "shared")
     first = work.stash(

@@ -128,5 +128,13 @@ def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int = SHINGLE_WORDS)
     for _, data, offsets in text_chunks(column):
         starts, ends, first = word_spans(data, offsets)
         words = word_hashes(data, starts, ends)
-        for k in range(len(offsets) - 1):
-            yield np.unique(row_shingles(words[first[k] : first[k + 1]], size))
+        every = row_shingles(words, size)  # those over two rows are passed over
+        bounds = first.tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = np.sort(every[a : b - size + 1] if b - a >= size else row_shingles(words[a:b], size))
+            if len(own) > 1:
+                fresh = np.empty(len(own), bool)
+                fresh[0] = True
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                own = own[fresh]
+            yield own
