@@ -105,6 +105,17 @@ def map_best(queries: DataFrame, q_key: str, references: DataFrame, r_key: str,
     return hits.best_hits(map_reads(queries, q_key, references, r_key, options, stored), options.best_n, options.pri_ratio, 2 * options.k)
 
 
+def map_primary(queries: DataFrame, q_key: str, references: DataFrame, r_key: str, options: Options = Options(), stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """``map_reads`` with parents by options.mask_level, secondaries near them by best_n and pri_ratio, and mapq.
+
+    Parents are set for one read at a time, on all its hits.
+    """
+    stored = stored_index(references, r_key, options) if stored is None else stored
+    repeats = repeat_lengths(sketch_both(queries, q_key, references, r_key, options, stored))
+    parented = hits.set_parents(map_reads(queries, q_key, references, r_key, options, stored), options.mask_level)
+    return hits.mapq_long(hits.select_secondary(parented, options.best_n, options.pri_ratio, 2 * options.k), repeats, options.min_score).drop("rep_len")
+
+
 def overlap_all(df: DataFrame, key: str, options: Options, mid_occ: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(a, b, rev, shared, score): pairs of different sequences, a < b, that share chains; their longest.
 
@@ -184,7 +195,7 @@ def align_hits(found: DataFrame, queries: DataFrame, q_key: str, references: Dat
     own = F.when(F.col("rev"), F.expr("substring(q_text, 1, qe)")).otherwise(F.expr("substring(q_text, qs + 1, length(q_text))"))
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
     return align.align_fragments(
-        cut.join(q, "read_id").withColumn("q", own), ("read_id", "place", "rid", "rev", "qs", "rs", "q_start"), mode="extend", scoring=scoring, turned="rev"
+        cut.join(q, "read_id").withColumn("q", own), ("read_id", "place", "rid", "rev", "qs", "rs", "q_start"), mode="extend", scoring=scoring, turned="rev", band=options.band
     )
 
 
@@ -210,7 +221,7 @@ def align_chains(
         .withColumn("points", F.transform("points", lambda p: F.struct(p["q"].alias("q"), (p["t"] - F.col("t_from")).alias("t"))))
     )
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
-    aligned = align.align_chained(cut.withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring)
+    aligned = align.align_chained(cut.withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring, band=options.band)
     return aligned.withColumn("t_start", F.col("t_start") + F.col("t_from")).withColumn("t_end", F.col("t_end") + F.col("t_from")).drop("t_from")
 
 

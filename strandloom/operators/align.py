@@ -40,40 +40,67 @@ class Alignment(NamedTuple):
     zdropped: bool = False
 
 
-def _rows(q: np.ndarray, t: np.ndarray, s: Scoring, floor: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(best scores, directions) of rows 0 to len(q): bits 0-1 match/deletion/insertion, 4 and 8 gaps that go on.
+class _Row(NamedTuple):
+    """One row of the matrix: its first column, best scores and directions."""
 
-    A deletion skips target bases and an insertion query bases; ``floor`` 0 makes the alignment local.
+    low: int
+    best: np.ndarray
+    bits: np.ndarray
+
+
+def _part(values: np.ndarray, low: int, begin: int, stop: int) -> np.ndarray:
+    """Columns ``begin`` to ``stop`` of a row that starts at column ``low``; those outside it can't be reached."""
+    out = np.full(stop - begin, _LOW)
+    a, b = max(begin, low), min(stop, low + len(values))
+    if a < b:
+        out[a - begin : b - begin] = values[a - low : b - low]
+    return out
+
+
+def _rows(q: np.ndarray, t: np.ndarray, s: Scoring, floor: int | None = None, band: int | None = None) -> Iterator[_Row]:
+    """Rows 0 to len(q): directions have bits 0-1 match/deletion/insertion, 4 and 8 gaps that go on.
+
+    A deletion skips target bases and an insertion query bases; ``floor`` 0 makes the alignment local.  Within ``band``
+    only columns so far from the row are computed and kept.
     """
     m = len(t)
-    at = np.arange(m + 1)
+    width = m if band is None else band
+    low, stop = 0, min(m, width) + 1
+    at = np.arange(stop)
     best = -(s.gap_open + s.gap_extend * at)
     best[0] = 0
     if floor is not None:
-        best = np.full(m + 1, floor)
-    down = np.full(m + 1, _LOW)
-    first = np.full(m + 1, 1 | 4, np.uint8)
-    first[:2] = (0, 1)
-    yield best, first
+        best = np.full(stop, floor)
+    down = np.full(stop, _LOW)
+    first = np.full(stop, 1 | 4, np.uint8)
+    first[:2] = (0, 1)[:stop]
+    yield _Row(0, best, first)
     for i in range(1, len(q) + 1):
-        opened, going = best - s.gap_open - s.gap_extend, down - s.gap_extend
+        begin, stop = max(0, i - width) if band is not None else 0, (min(m, i + width) if band is not None else m) + 1
+        if begin >= stop:
+            return
+        above, before = _part(best, low, begin - 1, stop), _part(down, low, begin, stop)
+        low, at = begin, np.arange(begin, stop)
+        opened, going = above[1:] - s.gap_open - s.gap_extend, before - s.gap_extend
         down = np.maximum(opened, going)
-        diagonal = np.full(m + 1, _LOW)
-        diagonal[1:] = best[:-1] + s.row(int(q[i - 1]), t)
+        diagonal = above[:-1].copy()
+        if not begin:
+            diagonal[0] = _LOW
+        diagonal[begin == 0 :] += s.row(int(q[i - 1]), t[max(0, begin - 1) : stop - 1])
         reached = np.maximum(diagonal, down)
         if floor is not None:
             reached = np.maximum(reached, floor)
         # The best horizontal gap is a running maximum once its cost is made linear in the column.
         lead = np.maximum.accumulate(reached + s.gap_extend * at)
-        across = np.full(m + 1, _LOW)
+        across = np.full(len(at), _LOW)
         across[1:] = lead[:-1] - s.gap_open - s.gap_extend * at[1:]
         best = np.maximum(reached, across)
         bits = np.where(best == diagonal, 0, np.where(best == down, 2, 1)).astype(np.uint8)
         bits |= np.where(going > opened, 8, 0).astype(np.uint8)
-        from_gap = np.zeros(m + 1, bool)
+        from_gap = np.zeros(len(at), bool)
         from_gap[2:] = across[2:] != best_open(reached, s)[2:]
         bits |= np.where(from_gap, 4, 0).astype(np.uint8)
-        yield best, bits
+        yield _Row(low, best, bits)
 
 
 def best_open(reached: np.ndarray, s: Scoring) -> np.ndarray:
@@ -83,12 +110,13 @@ def best_open(reached: np.ndarray, s: Scoring) -> np.ndarray:
     return out
 
 
-def _trace(directions: list[np.ndarray], i: int, j: int) -> str:
+def _trace(directions: list[tuple[int, np.ndarray]], i: int, j: int) -> str:
     """CIGAR of the path that ends at row i and column j."""
     ops: list[str] = []
     state = "M"
     while i > 0 or j > 0:
-        bits = int(directions[i][j])
+        low, row = directions[i]
+        bits = int(row[j - low])
         if state == "M":
             kind = bits & 3
             if kind == 0:
@@ -117,31 +145,32 @@ def run_length(ops: str) -> str:
     return "".join(f"{n}{ops[k]}" for n, k in zip(lengths, cut, strict=True))
 
 
-def align_global(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring()) -> Alignment:  # noqa: B008
-    """Best alignment of the whole of both."""
-    directions, best = [], None
-    for best, bits in _rows(q, t, s):
-        directions.append(bits)
-    return Alignment(int(best[-1]), len(q), len(t), _trace(directions, len(q), len(t)))
+def align_global(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring(), band: int | None = None) -> Alignment:  # noqa: B008
+    """Best alignment of the whole of both, within ``band`` of the diagonal or as far as their lengths differ."""
+    directions, row = [], None
+    for row in _rows(q, t, s, band=None if band is None else max(band, abs(len(q) - len(t)))):
+        directions.append((row.low, row.bits))
+    return Alignment(int(row.best[-1]), len(q), len(t), _trace(directions, len(q), len(t)))
 
 
-def extend(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring()) -> Alignment:  # noqa: B008
-    """Best alignment that starts at the beginning of both; it may end anywhere.
+def extend(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring(), band: int | None = None) -> Alignment:  # noqa: B008
+    """Best alignment that starts at the beginning of both; it may end anywhere, within ``band`` of the diagonal.
 
     Rows stop when the score has fallen by more than the z-drop below the best, gaps between the two places
     forgiven.  Reaching the query's end is preferred if its score with the end bonus is not below the best.
     """
-    directions: list[np.ndarray] = []
+    directions: list[tuple[int, np.ndarray]] = []
     top, top_i, top_j, dropped = 0, 0, 0, False
     end_score, end_j = _LOW, 0
-    for i, (best, bits) in enumerate(_rows(q, t, s)):
-        directions.append(bits)
-        j = int(best.argmax())
+    for i, row in enumerate(_rows(q, t, s, band=band)):
+        directions.append((row.low, row.bits))
+        j = int(row.best.argmax())
+        score, j = int(row.best[j]), j + row.low
         if i == len(q):
-            end_score, end_j = int(best[j]), j
-        if best[j] > top:
-            top, top_i, top_j = int(best[j]), i, j
-        elif top - best[j] > s.zdrop + s.gap_extend * abs((i - top_i) - (j - top_j)):
+            end_score, end_j = score, j
+        if score > top:
+            top, top_i, top_j = score, i, j
+        elif top - score > s.zdrop + s.gap_extend * abs((i - top_i) - (j - top_j)):
             dropped = True
             break
     if not dropped and end_score + s.end_bonus >= top and len(q):
@@ -151,7 +180,7 @@ def extend(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring()) -> Alignment:
 
 def local_score(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring()) -> int:  # noqa: B008
     """Best score of any part of one with any part of the other."""
-    return max((int(best.max()) for best, _ in _rows(q, t, s, floor=0)), default=0)
+    return max((int(row.best.max()) for row in _rows(q, t, s, floor=0)), default=0)
 
 
 def edit_summary(q: np.ndarray, t: np.ndarray, cigar: str) -> tuple[str, int, str, int, int]:
@@ -187,10 +216,10 @@ def edit_summary(q: np.ndarray, t: np.ndarray, cigar: str) -> tuple[str, int, st
 _RESULT = "score int, q_end int, t_end int, cigar string, zdropped boolean, eqx string, nm int, md string, matches int, columns int"
 
 
-def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str = "t", mode: str = "global", scoring: Scoring = Scoring(), alphabet: str = "text", turned: str | None = None) -> DataFrame:  # noqa: B008
+def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str = "t", mode: str = "global", scoring: Scoring = Scoring(), alphabet: str = "text", turned: str | None = None, band: int | None = None) -> DataFrame:  # noqa: B008
     """Align the fragments (key, q, t) where they are; ``mode`` is global or extend.
 
-    Queries whose column ``turned`` holds are reversed and complemented.  The cost of a fragment is len(q) * len(t); deal them out evenly before if they differ much.
+    Within ``band`` a fragment needs memory of its query's length times the band.  Queries whose column ``turned`` holds are reversed and complemented.  The cost of a fragment is len(q) * len(t); deal them out evenly before if they differ much.
     """
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
     run = {"global": align_global, "extend": extend}[mode]
@@ -202,7 +231,7 @@ def align_fragments(df: DataFrame, key: tuple[str, ...], q: str = "q", t: str =
             rows = []
             for a, b, turn in zip(*(batch.column(len(key) + i).to_pylist() for i in range(3)), strict=True):
                 x, y = base_codes(a or "", alphabet), base_codes(b or "", alphabet)
-                found = run(x := _turned(x) if turn else x, y, scoring)
+                found = run(x := _turned(x) if turn else x, y, scoring, band)
                 rows.append((*found, *edit_summary(x, y, found.cigar)))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
@@ -250,7 +279,7 @@ class ChainAlignment(NamedTuple):
     zdropped: bool
 
 
-def align_chain(q: np.ndarray, t: np.ndarray, points: list[tuple[int, int]], span: int, s: Scoring = Scoring(), min_gap: int = 200) -> ChainAlignment:  # noqa: B008
+def align_chain(q: np.ndarray, t: np.ndarray, points: list[tuple[int, int]], span: int, s: Scoring = Scoring(), min_gap: int = 200, band: int | None = None) -> ChainAlignment:  # noqa: B008
     """Alignment through a chain: extension left of its first anchor, gaps filled between anchors, extension right.
 
     ``points`` are the last bases (query, target) of the anchors in order.  Cuts lie at the middle of an
@@ -264,15 +293,15 @@ def align_chain(q: np.ndarray, t: np.ndarray, points: list[tuple[int, int]], spa
         if dq > 0 and dt > 0 and (min(dq, dt) >= min_gap or k == len(points) - 1):
             cuts.append((a - half, b - half))
     (qa, ta), (qz, tz) = cuts[0], cuts[-1]
-    left = extend(q[:qa][::-1], t[:ta][::-1], s)
+    left = extend(q[:qa][::-1], t[:ta][::-1], s, band)
     parts, dropped = [_reverse(left.cigar)], left.zdropped
     for (a, b), (c, d) in zip(cuts, cuts[1:], strict=False):
         x, y = q[a:c], t[b:d]
         same = len(x) == len(y) and bool((x == y).all())
-        cigar = f"{len(x)}M" if same else align_global(x, y, s).cigar
+        cigar = f"{len(x)}M" if same else align_global(x, y, s, band).cigar
         dropped |= not same and path_scores(x, y, cigar, s)[1] > s.zdrop
         parts.append(cigar)
-    right = extend(q[qz:], t[tz:], s)
+    right = extend(q[qz:], t[tz:], s, band)
     cigar = _merge("".join([*parts, right.cigar]))
     begin, stop = (qa - left.q_end, ta - left.t_end), (qz + right.q_end, tz + right.t_end)
     score = path_scores(q[begin[0] : stop[0]], t[begin[1] : stop[1]], cigar, s)[0]
@@ -300,7 +329,7 @@ def _merge(cigar: str) -> str:
 _CHAINED = "score int, q_start int, q_end int, t_start int, t_end int, cigar string, zdropped boolean, nm int, md string, matches int, columns int"
 
 
-def align_chained(df: DataFrame, key: tuple[str, ...], span: int, scoring: Scoring = Scoring(), alphabet: str = "text") -> DataFrame:  # noqa: B008
+def align_chained(df: DataFrame, key: tuple[str, ...], span: int, scoring: Scoring = Scoring(), alphabet: str = "text", band: int | None = None) -> DataFrame:  # noqa: B008
     """Align rows (key, q, t, rev, points): whole query, a window of the target, the chain's points in both.
 
     On the reverse strand the query is complemented, as the points are counted there.
@@ -316,7 +345,7 @@ def align_chained(df: DataFrame, key: tuple[str, ...], span: int, scoring: Scori
                 x, y = base_codes(q, alphabet), base_codes(t, alphabet)
                 if rev:
                     x = _turned(x)
-                found = align_chain(x, y, [(p["q"], p["t"]) for p in points], span, scoring)
+                found = align_chain(x, y, [(p["q"], p["t"]) for p in points], span, scoring, band=band)
                 edits = edit_summary(x[found.q_start : found.q_end], y[found.t_start : found.t_end], found.cigar)
                 rows.append((*found, *edits[1:]))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)

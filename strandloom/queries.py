@@ -366,11 +366,7 @@ def chain_greedy(spark: SparkSession, d: str) -> DataFrame:
 @_register()
 def primary_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits with their parents, secondaries near them, and mapping quality."""
-    reads, documents = _benchmark(spark, d), _documents(spark, d)
-    stored = mapping.stored_index(documents, "doc_id")
-    repeats = mapping.repeat_lengths(mapping.sketch_both(reads, "item_id", documents, "doc_id", stored=stored))
-    found = mapping.map_reads(reads, "item_id", documents, "doc_id", stored=stored)
-    return hits.mapq_long(hits.select_secondary(hits.set_parents(found)), repeats).drop("rep_len")
+    return mapping.map_primary(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
 
 
 @_register()

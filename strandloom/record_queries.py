@@ -228,9 +228,7 @@ def sam_alignments(spark: SparkSession, d: str) -> DataFrame:
     """A record for every benchmark text: the alignment of its best hit with gaps, on its strand, or an unmapped record."""
     reads = _reads(spark, d)
     benchmark, documents = _benchmark(spark, d), _documents(spark, d)
-    stored = mapping.stored_index(documents, "doc_id")
-    s = mapping.sketch_both(benchmark, "item_id", documents, "doc_id", stored=stored)
-    ranked = hits.mapq_long(hits.set_parents(mapping.map_reads(benchmark, "item_id", documents, "doc_id", stored=stored)), mapping.repeat_lengths(s)).where("place = 1")
+    ranked = mapping.map_primary(benchmark, "item_id", documents, "doc_id").where("place = 1")
     quality = ranked.select("read_id", "mapq", "subsc")
     found = mapping.align_hits(ranked, benchmark, "item_id", documents, "doc_id").join(quality, "read_id")
     lens = mapping.lengths(benchmark, "item_id").withColumnRenamed("rid", "read_id")

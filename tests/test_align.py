@@ -97,3 +97,50 @@ def test_chain_alignment_recovers_a_planted_read(seed):
     assert (found.q_start, found.q_end) == (0, len(q)) and (found.t_start, found.t_end) == (100, 800) and not found.zdropped
     assert found.score >= 2 * (len(q) - 3) - (4 + 3 * 2) - (4 + 5 * 2) - 12
     assert align.path_scores(np.zeros(40, np.uint8), np.ones(40, np.uint8), "40M", align.Scoring(zdrop=20))[1] == 160
+
+
+def banded_matrix(q, t, s, band):
+    n, m, low = len(q), len(t), -10**9
+    H = np.full((n + 1, m + 1), low)
+    E, G = H.copy(), H.copy()
+    for i, j in itertools.product(range(n + 1), range(m + 1)):
+        if abs(i - j) > band:
+            continue
+        if i == j == 0:
+            H[0, 0] = 0
+            continue
+        if i:
+            E[i, j] = max(H[i - 1, j] - s.gap_open, E[i - 1, j]) - s.gap_extend
+        if j:
+            G[i, j] = max(H[i, j - 1] - s.gap_open, G[i, j - 1]) - s.gap_extend
+        d = H[i - 1, j - 1] + s.row(int(q[i - 1]), t[j - 1 : j])[0] if i and j else low
+        H[i, j] = max(d, E[i, j], G[i, j], low)
+    return H
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_banded_kernels_equal_brute_force(seed):
+    rng = np.random.default_rng(1000 + seed)
+    q = rng.integers(0, 4, int(rng.integers(0, 25))).astype(np.uint8)
+    t = rng.integers(0, 4, int(rng.integers(0, 25))).astype(np.uint8)
+    if seed % 2 and len(q) > 6:
+        t = np.concatenate([q[:4], q[6:], q[:2]])
+    s, band = align.Scoring(2, 4, 4, 2), int(rng.integers(0, 8))
+    wide = max(band, abs(len(q) - len(t)))
+    found = align.align_global(q, t, s, band)
+    assert found.score == banded_matrix(q, t, s, wide)[-1, -1]
+    assert score_of(q, t, found.cigar, s) == (found.score, len(q), len(t))
+    out = align.extend(q, t, s, band)
+    H = banded_matrix(q, t, s, band)
+    assert score_of(q, t, out.cigar, s) == (out.score, out.q_end, out.t_end)
+    assert out.score == H.max() or out.q_end == len(q)
+    assert align.extend(q, t, s, 100) == align.extend(q, t, s) and align.align_global(q, t, s, 100) == align.align_global(q, t, s)
+
+
+def test_a_band_bounds_memory_of_long_fragments():
+    rng = np.random.default_rng(7)
+    q = rng.integers(0, 4, 20_000).astype(np.uint8)
+    t = np.concatenate([q[:9_000], q[9_100:]])
+    rows = list(zip(range(50), align._rows(q, t, align.Scoring(), band=500), strict=False))
+    assert all(len(r.bits) <= 1001 for _, r in rows)
+    assert align.extend(q, t, align.Scoring(), 500).q_end == 20_000
