@@ -125,6 +125,28 @@ def test_fingerprint_likeness_follows_jaccard():
     assert np.abs(errors).mean() < 0.04 and abs(np.mean(errors)) < 0.015
 
 
+def test_fingerprint_equals_plain_definition():
+    """Least hash of each bin, empty bins filled from the bin that the first useful probe names, low bits packed."""
+    word = (1 << 64) - 1
+
+    def probe(b, attempt):
+        x = (b * 0x9E3779B97F4A7C15 + attempt) & word
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ x >> shift) * times) & word
+        return (x ^ x >> 31) >> 56
+
+    rng = random.Random(17)
+    for n in (1, 2, 3, 20, 255, 256, 3000):
+        hashes = sorted({rng.getrandbits(64) for _ in range(n)})
+        least = {}
+        for h in hashes:
+            least[h >> 56] = min(h, least.get(h >> 56, h))
+        source = [b if b in least else next(p for p in (probe(b, k) for k in itertools.count(1)) if p in least) for b in range(256)]
+        found = fingerprints.sketch(np.array(hashes, np.uint64))
+        assert found.tolist() == [least[b] & 15 for b in source]
+        assert fingerprints.pack(found) == "".join(f"{least[b] & 15:x}" for b in source)
+
+
 def test_next_fingerprints_equal_brute_force(spark):
     for rows in (HARD, HARD[:1], []):
         df = hard(spark, rows) if rows else empty(spark)
