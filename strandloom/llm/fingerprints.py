@@ -137,7 +137,7 @@ def with_next_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text
     )
     dealt = (
         both.select("doc_id", "text", "at.part", "at.ghost")
-        .repartition(partitions, "part")
+        .repartitionById(partitions, F.col("part") % partitions)  # as many ranges to each task
         .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text")
     )
     schema = (
