@@ -539,13 +539,11 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     named = reps.select("cls", "least_id").join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
-    # Tables on both sides of the joins to come, so that Spark can split a large component and a class of many copies.
-    named = work.stash(named, "named")
+    # A table, so that Spark can split a large component in the join.
     least = work.stash(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    places = work.stash(named.join(least, "root").select("cls", "root", "component_id"), "places")
-    for old in ("classes", "first", "bounded-1", "links-1", "second", "bounded-2", "named", "least"):
+    for old in ("first", "bounded-1", "links-1", "second", "bounded-2"):
         work.drop(old)
-    return sized, places, work
+    return sized, named.join(least, "root").select("cls", "root", "component_id"), work
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -570,7 +568,6 @@ def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     linked = sized.where("n_shingles > 0").join(places.select("cls", "root"), "cls")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_name")
     counted = linked.groupBy("root", "doc_id", "row_name").agg(F.count("*").alias("n"))
-    counted = work.stash(counted, "counted")
     first = work.stash(counted.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.row_name").alias("kept")), "kept")
     marked = counted.join(first, "root").withColumn("lost", F.col("row_name") != F.col("kept"))
     marks = work.stash(

@@ -18,7 +18,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, fingerprints, html_extract, jaccard_join, langid, media, mixing, pii, quality, queries, secret_scan, tables
+from strandloom.llm import bpe, components, fingerprints, html_extract, jaccard_join, langid, media, mixing, pii, quality, queries, secret_scan, tables
 from strandloom.llm.tokens import SLICE_BYTES, SLICE_ROWS, shingle_sets, text_chunks, text_slices, word_hashes, word_spans
 
 DATA = "/root/testdata/sf0.001"
@@ -517,6 +517,24 @@ def test_components_equal_brute_force(spark):
     assert sorted(map(tuple, jaccard_join.jaccard_components(hard(spark)).collect()), key=repr)
 
 
+@pytest.mark.parametrize("tables_from", [0, 1000])
+def test_connected_components_equal_union_find(spark, tables_from):
+    rng = random.Random(18)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500, 501 + k) for k in range(50)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    found = components.connected_components(spark.createDataFrame(edges, "u long, v long"), tables.Workspace(spark), "c", tables_from)
+    assert {(r.u, r.v) for r in found.collect()} == {(x, find(x)) for x in root if find(x) != x}
+
+
 @pytest.mark.parametrize("hot", [1, 3])
 def test_dealt_columns_lose_no_link(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard_join, "HOT_COLUMN", hot)
