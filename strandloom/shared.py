@@ -30,12 +30,15 @@ class Workspace:
         self._spark = spark
         self._root = f"{shared_folder(spark)}/strandloom-{uuid.uuid4().hex}"
 
+    def path(self, name: str) -> str:
+        return f"{self._root}/{name}"
+
     def stash(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self._root}/{name}"
+        path = self.path(name)
         df.write.mode("overwrite").parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{name}")
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
