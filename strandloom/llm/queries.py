@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, fingerprints, html_extract, jaccard_join, langid, media, mixing, pii, quality, secret_scan
+from strandloom.llm import bpe, fill_middle, filter_audit, fingerprints, html_extract, jaccard_join, langid, line_dedup, media, mixing
+from strandloom.llm import pii, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +76,32 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five filters over all documents, by language; nulls, copies and empty tables as ``filter_audit.audit`` says."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's files are added as batches; then lines of keys in at least ten documents go from all documents."""
+    documents = _table(spark, sf_dir, "documents")
+    stripped = line_dedup.dedup_lines(line_dedup.file_batches(documents), documents)
+    return stripped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, its output's hash and that of the text restored from it."""
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    hashes = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_quality, op3_html, op4_pii, op5_secrets, op6_jaccard_join, op7_media, op8_language, op9_bpe, op10_mix)
+    for f in (
+        op1_fingerprints, op2_quality, op3_html, op4_pii, op5_secrets, op6_jaccard_join, op7_media, op8_language, op9_bpe, op10_mix,
+        op11_filter_audit, op12_line_dedup, op13_fill_middle,
+    )
 }
 
 _MIX_SQL = """
@@ -128,4 +152,84 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
 FROM documents d JOIN (SELECT x, min(y) AS c FROM reach GROUP BY 1) r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
-SQL = {"op6_jaccard_join": _JACCARD_SQL, "op10_mix": _MIX_SQL}
+#: Every order of the filters is walked; a document's step is its first failed filter in it.
+_AUDIT_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), failed AS (
+  SELECT d.part,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(body) - length(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(body) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails,
+         coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM words d LEFT JOIN (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1
+  ) l USING (doc_id)
+), masks AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY 1, 2
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[1 : step - 1] AS earlier
+  FROM (SELECT DISTINCT part FROM masks), orders, (SELECT unnest(range(1, 6)) AS step)
+), walked AS (
+  SELECT s.part, filter_order, step, f, n, good, toxic, contains(fails, f) AS fails_it, fails = f AS only_it,
+         translate(fails, earlier, '') <> fails AS gone
+  FROM steps s JOIN masks m ON m.part = s.part
+), counted AS (
+  SELECT part, filter_order, step, f, CAST(sum(CASE WHEN gone OR fails_it THEN 0 ELSE n END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN fails_it AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN fails_it AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN only_it THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN fails_it AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN fails_it AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM walked GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+_LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), often AS (
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(o.k) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
+FROM keyed x LEFT JOIN often o ON x.k = o.k GROUP BY doc_id
+"""
+
+_MIDDLE_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50
+              THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), cut AS (
+  SELECT *, array_to_string(u[1 : least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1 :], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM cut
+"""
+
+SQL = {
+    "op6_jaccard_join": _JACCARD_SQL,
+    "op10_mix": _MIX_SQL,
+    "op11_filter_audit": _AUDIT_SQL,
+    "op12_line_dedup": _LINES_SQL,
+    "op13_fill_middle": _MIDDLE_SQL,
+}
