@@ -4,7 +4,7 @@ Lines are known by a 128-bit hash of their key: the line without white space at
 a table of (key, docs), one row a key, bucketed and sorted by key.  Each new batch of documents counts its own keys,
 anti-joins the runs' settled keys (those that already reached the bound, whose count need not grow), and is added as
 a run of level 0; ``fanout`` runs of one level are merged into one of the next, so a key is rewritten as often as
-there are levels.  Runs share their buckets: the anti-join and the merge move no run through a shuffle.
+there are levels.  Runs share their buckets: neither the anti-join nor the merge moves a run through a shuffle.
 """
 
 from __future__ import annotations
@@ -57,61 +57,70 @@ def count_keys(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 class LineRuns:
-    """The runs of all batches added so far, in the shared folder; ``drop`` removes them."""
+    """The runs of all batches added so far, in the shared folder; ``drop`` removes them.
+
+    A level is a table and a run a set of its files, so that a scan of the level finds a key's rows of all its runs in
+    one bucket.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
         self._spark, self._min_docs, self._fanout = spark, min_docs, fanout
         self._buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._work = Workspace(spark)
-        self.levels: list[list[str]] = []
-
-    def _write(self, df: DataFrame, level: int) -> None:
-        name = f"line_run_{uuid.uuid4().hex}"
+        #: For each level its table's name and how many runs it has.
+        self.levels: list[tuple[str, int]] = []
+
+    def _append(self, run: DataFrame, level: int) -> None:
+        if len(self.levels) == level:
+            self.levels.append(("", 0))
+        name, runs = self.levels[level]
+        name = name or f"line_runs_{uuid.uuid4().hex}"
         # An external table: its files are in the shared folder, the catalog only knows its buckets.
-        df.write.format("parquet").bucketBy(self._buckets, "key").sortBy("key").option("path", self._work.path(name)).saveAsTable(name)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(name)
-
-    def _merge(self, names: list[str], level: int) -> None:
-        rows = self._spark.table(names[0])
-        for name in names[1:]:
-            rows = rows.unionByName(self._spark.table(name))
-        self._write(rows.groupBy("key").agg(F.sum("docs").alias("docs")), level)
-        for name in names:
-            self._forget(name)
-
-    def _forget(self, name: str) -> None:
-        self._spark.sql(f"DROP TABLE {name}")
-        self._work.drop(name)
+        writer = run.write.mode("append").format("parquet").bucketBy(self._buckets, "key").sortBy("key")
+        writer.option("path", self._work.path(name)).saveAsTable(name)
+        self.levels[level] = name, runs + 1
+
+    def rows(self, level: int) -> DataFrame:
+        """(key, docs) of a level's runs, a row for each key in each run."""
+        return self._spark.table(self.levels[level][0])
+
+    def _merge(self, level: int, into: int) -> None:
+        """All runs of a level as one run of a higher one; a key's rows are summed within its bucket."""
+        self._append(self.rows(level).groupBy("key").agg(F.sum("docs").alias("docs")), into)
+        self._forget(level)
+
+    def _forget(self, level: int) -> None:
+        name, _ = self.levels[level]
+        if name:
+            self._spark.sql(f"DROP TABLE {name}")
+            self._work.drop(name)
+        self.levels[level] = "", 0
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch's (key, docs), one row a key, as a run of level 0; full levels are merged upwards."""
-        for name in [n for level in self.levels for n in level]:
-            settled = self._spark.table(name).where(F.col("docs") >= self._min_docs).select("key")
-            counts = counts.join(settled, "key", "left_anti")
-        self._write(counts, 0)
+        for level, (_, runs) in enumerate(self.levels):
+            if runs:
+                settled = self.rows(level).where(F.col("docs") >= self._min_docs).select("key")
+                counts = counts.join(settled, "key", "left_anti")
+        self._append(counts, 0)
         level = 0
-        while len(self.levels[level]) >= self._fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._merge(full, level + 1)
+        while self.levels[level][1] >= self._fanout:
+            self._merge(level, level + 1)
             level += 1
 
     def frequent(self) -> DataFrame:
-        """(key) of at least ``min_docs`` documents over all runs, which are merged into one for it."""
-        names = [n for level in self.levels for n in level]
-        if len(names) > 1:
-            top = len(self.levels) - 1
-            self.levels = [[] for _ in self.levels]
-            self._merge(names, top)
-            (names,) = (level for level in self.levels if level)
-        if not names:
+        """(key) of at least ``min_docs`` documents over all runs; lower levels are merged into the highest for it."""
+        if not self.levels:
             return self._spark.createDataFrame([], "key binary")
-        return self._spark.table(names[0]).where(F.col("docs") >= self._min_docs).select("key")
+        top = len(self.levels) - 1
+        for level in range(top):
+            if self.levels[level][1]:
+                self._merge(level, top)
+        return self.rows(top).groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= self._min_docs).select("key")
 
     def drop(self) -> None:
-        for name in [n for level in self.levels for n in level]:
-            self._forget(name)
+        for level in range(len(self.levels)):
+            self._forget(level)
         self.levels = []
 
 
