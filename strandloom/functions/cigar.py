@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,48 @@ def normalise(cigar: str) -> str:
     return "".join(f"{n}{op}" for n, op in out)
 
 
+def left_aligned(cigar: str, q: np.ndarray, t: np.ndarray) -> tuple[str, int, int]:
+    """(CIGAR, query bases, target bases): every gap moved as far left as equal bases let it, then normalised.
+
+    A gap of n bases moves over a match where the base before it equals that n places on, so that no pair changes;
+    where a match is used up its gap joins the one before.  A gap at the beginning is taken off, and the bases that it
+    covered are the two numbers.
+    """
+    done: list[list] = []
+    i = j = 0  # where the operation at hand begins
+    waiting = parse(normalise(cigar))[::-1]
+    while waiting:
+        n, op = waiting.pop()
+        moved = 0
+        if op in "ID" and done and done[-1][1] == "M" and waiting and waiting[-1][1] == "M":
+            bases, at = (q, i) if op == "I" else (t, j)
+            room = done[-1][0]
+            before, ahead = bases[at - room : at][::-1], bases[at + n - room : at + n][::-1]
+            differ = np.flatnonzero(before != ahead)
+            moved = int(differ[0]) if len(differ) else room
+        if moved:
+            done[-1][0] -= moved
+            waiting[-1] = (waiting[-1][0] + moved, "M")
+            i, j = i - moved, j - moved
+            if not done[-1][0]:
+                done.pop()
+                if done:  # gaps touch now; the joined ones may move on
+                    gap, kind = done.pop()
+                    i, j = i - (gap if kind in "IS" else 0), j - (gap if kind in "DN" else 0)
+                    pair = {"I": 0, "D": 0, "N": 0}
+                    pair[kind] += gap
+                    pair[op] += n
+                    waiting.extend((size, k) for k, size in reversed(pair.items()) if size)
+                    continue
+        done.append([n, op])
+        i, j = i + (n if op in "MIS=X" else 0), j + (n if op in "MDN=X" else 0)
+    q_off = t_off = 0
+    while done and done[0][1] in "ID":
+        n, op = done.pop(0)
+        q_off, t_off = q_off + (n if op == "I" else 0), t_off + (n if op == "D" else 0)
+    return normalise("".join(f"{n}{op}" for n, op in done)), q_off, t_off
+
+
 def ops(cigar: Column) -> Column:
     """array<struct<n int, op string>> of a CIGAR column (null: empty)."""
     found = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))

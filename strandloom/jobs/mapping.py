@@ -35,7 +35,7 @@ def stored_index(references: DataFrame, r_key: str, options: Options = Options()
 
     It stays until that folder is cleared.  For use in many jobs, ``index.write_index`` saves them bucketed by hash.
     """
-    found = sketch.minimizers(references, r_key, w=options.w, k=options.k, compressed=options.compressed)
+    found = sketch.minimizers(references, r_key, w=options.w, k=options.k, alphabet=options.alphabet, compressed=options.compressed)
     return Workspace(references.sparkSession).stash(found, "index")
 
 
@@ -45,7 +45,7 @@ def sketch_both(
     """Minimizers of both sides; ``stored`` are the references' where they are known, else they are sketched and stored."""
     r = stored_index(references, r_key, options) if stored is None else stored
     same = queries is references and q_key == r_key
-    q = r if same else sketch.minimizers(queries, q_key, w=options.w, k=options.k, compressed=options.compressed)
+    q = r if same else sketch.minimizers(queries, q_key, w=options.w, k=options.k, alphabet=options.alphabet, compressed=options.compressed)
     threshold = index.frequency_threshold(index.occurrences(r), options.mid_occ_fraction, options.min_mid_occ, options.max_mid_occ)
     return Sketches(q, r, lengths(queries, q_key), threshold)
 
@@ -195,7 +195,7 @@ def align_hits(found: DataFrame, queries: DataFrame, q_key: str, references: Dat
     own = F.when(F.col("rev"), F.expr("substring(q_text, 1, qe)")).otherwise(F.expr("substring(q_text, qs + 1, length(q_text))"))
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
     return align.align_fragments(
-        cut.join(q, "read_id").withColumn("q", own), ("read_id", "place", "rid", "rev", "qs", "rs", "q_start"), mode="extend", scoring=scoring, turned="rev", band=options.band
+        cut.join(q, "read_id").withColumn("q", own), ("read_id", "place", "rid", "rev", "qs", "rs", "q_start"), mode="extend", scoring=scoring, alphabet=options.alphabet, turned="rev", band=options.band
     )
 
 
@@ -221,7 +221,7 @@ def align_chains(
         .withColumn("points", F.transform("points", lambda p: F.struct(p["q"].alias("q"), (p["t"] - F.col("t_from")).alias("t"))))
     )
     scoring = align.Scoring(options.match, options.mismatch, options.gap_open, options.gap_extend, zdrop=options.zdrop)
-    aligned = align.align_chained(cut.withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring, band=options.band)
+    aligned = align.align_chained(cut.withColumn("strand", F.col("rev")), ("read_id", "place", "rid", "strand", "t_from"), options.k, scoring, options.alphabet, options.band)
     return aligned.withColumn("t_start", F.col("t_start") + F.col("t_from")).withColumn("t_end", F.col("t_end") + F.col("t_from")).drop("t_from")
 
 

@@ -29,20 +29,26 @@ class Options:
     gap_open: int = 4
     gap_extend: int = 2
     zdrop: int = 400
+    zdrop_inv: int = 200
+    min_dp_score: int = 80
+    gap_open2: int = 24
+    gap_extend2: int = 1
+    alphabet: str = "text"
 
 
 _OVERLAP = {"no_diagonal": True, "no_dual": True, "min_score": 100, "pri_ratio": 0.0, "best_n": 5, "band": 2000, "band_long": 2000}
+_ASSEMBLY = {"zdrop": 200, "zdrop_inv": 200, "min_dp_score": 200}
 #: Settings of the named presets.
 PRESETS: dict[str, dict] = {
     "map-ont": {},
     "ava-ont": {"k": 15, "w": 5, **_OVERLAP},
     "map-pb": {"k": 19, "compressed": True},
     "ava-pb": {"k": 19, "w": 5, "compressed": True, **_OVERLAP},
-    "map-hifi": {"k": 19, "w": 19, "min_mid_occ": 50, "max_mid_occ": 500, "match": 1, "mismatch": 4, "gap_open": 6, "gap_extend": 2},
-    "asm5": {"k": 19, "w": 19, "match": 1, "mismatch": 19, "gap_open": 39, "gap_extend": 3, "best_n": 50, "band": 1000, "band_long": 100_000},
-    "asm10": {"k": 19, "w": 19, "match": 1, "mismatch": 9, "gap_open": 16, "gap_extend": 2, "best_n": 50, "band": 1000, "band_long": 100_000},
-    "asm20": {"k": 19, "w": 10, "match": 1, "mismatch": 4, "gap_open": 6, "gap_extend": 2, "best_n": 50, "band": 1000, "band_long": 100_000},
-    "sr": {"k": 21, "w": 11, "match": 2, "mismatch": 8, "gap_open": 12, "gap_extend": 2, "max_gap": 100, "band": 100, "band_long": 100, "best_n": 20, "min_cnt": 2, "min_score": 25},
+    "map-hifi": {"k": 19, "w": 19, "min_mid_occ": 50, "max_mid_occ": 500, "match": 1, "mismatch": 4, "gap_open": 6, "gap_extend": 2, "gap_open2": 26, "min_dp_score": 200},
+    "asm5": {"k": 19, "w": 19, "match": 1, "mismatch": 19, "gap_open": 39, "gap_extend": 3, "gap_open2": 81, **_ASSEMBLY, "best_n": 50, "band": 1000, "band_long": 100_000},
+    "asm10": {"k": 19, "w": 19, "match": 1, "mismatch": 9, "gap_open": 16, "gap_extend": 2, "gap_open2": 41, **_ASSEMBLY, "best_n": 50, "band": 1000, "band_long": 100_000},
+    "asm20": {"k": 19, "w": 10, "match": 1, "mismatch": 4, "gap_open": 6, "gap_extend": 2, "gap_open2": 26, **_ASSEMBLY, "best_n": 50, "band": 1000, "band_long": 100_000},
+    "sr": {"k": 21, "w": 11, "match": 2, "mismatch": 8, "gap_open": 12, "gap_extend": 2, "max_gap": 100, "band": 100, "band_long": 100, "best_n": 20, "min_cnt": 2, "min_score": 25, "zdrop": 100, "zdrop_inv": 100, "min_dp_score": 40},
 }
 
 
@@ -66,7 +72,9 @@ def check(options: Options) -> Options:
         (0 <= options.mask_level <= 1, "mask_level must be in [0, 1]"),
         (options.match > 0 and options.mismatch > 0, "match and mismatch must be positive"),
         (options.gap_open >= 0 and options.gap_extend > 0, "gap_extend must be positive"),
-        (options.zdrop >= 0, "zdrop must not be negative"),
+        (options.zdrop_inv >= 0, "zdrop_inv must not be negative"),
+        (options.gap_open2 >= 0 and options.gap_extend2 > 0, "gap_extend2 must be positive"),
+        (options.alphabet in ("text", "dna"), "alphabet must be text or dna"),
     )
     for holds, message in rules:
         if not holds:

@@ -183,8 +183,48 @@ def local_score(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring()) -> int:  #
     return max((int(row.best.max()) for row in _rows(q, t, s, floor=0)), default=0)
 
 
+class Local(NamedTuple):
+    """Score and half-open ends of a local alignment, and the best score that ends elsewhere on the target."""
+
+    score: int
+    q_start: int
+    q_end: int
+    t_start: int
+    t_end: int
+    second: int
+
+
+def align_local(q: np.ndarray, t: np.ndarray, s: Scoring = Scoring()) -> Local:  # noqa: B008
+    """Best alignment of any part of one with any part of the other: ends first, starts by a pass over the parts before them reversed.
+
+    Of equal scores the first row's first column ends it.  The second score is the best that ends further from that
+    column than the best score's matches are long.
+    """
+    top, i, j = 0, 0, 0
+    columns = np.zeros(len(t) + 1, np.int64)
+    for k, row in enumerate(_rows(q, t, s, floor=0)):
+        best = int(row.best.max())
+        if best > top:
+            top, i, j = best, k, row.low + int(row.best.argmax())
+        part = columns[row.low : row.low + len(row.best)]
+        np.maximum(part, row.best, out=part)
+    if not top:
+        return Local(0, 0, 0, 0, 0, 0)
+    near = -(-top // s.match)
+    elsewhere = np.concatenate([columns[: max(0, j - near)], columns[j + near + 1 :]])
+    x, y = q[:i][::-1], t[:j][::-1]
+    for k, row in enumerate(_rows(x, y, s)):
+        if (row.best == top).any():
+            a, b = k, row.low + int((row.best == top).argmax())
+            break
+    return Local(top, i - a, i, j - b, j, int(elsewhere.max(initial=0)))
+
+
 def edit_summary(q: np.ndarray, t: np.ndarray, cigar: str) -> tuple[str, int, str, int, int]:
-    """(CIGAR with = and X, NM, MD, matches, columns) of an alignment of q and t from their beginnings."""
+    """(CIGAR with = and X, NM, MD, matches, columns) of an alignment of q and t from their beginnings.
+
+    An intron (N) is no edit and no column.
+    """
     from strandloom.functions.cigar import parse
 
     i = j = nm = same = columns = run = 0
@@ -201,6 +241,10 @@ def edit_summary(q: np.ndarray, t: np.ndarray, cigar: str) -> tuple[str, int, st
             same += int(equal.sum())
             nm += n - int(equal.sum())
             i, j = i + n, j + n
+        elif op == "N":
+            ops.append(op * n)
+            j += n
+            continue
         else:
             ops.append(op * n)
             nm += n

@@ -46,8 +46,8 @@ def islands(anchors: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     )
 
 
-def regions(chains: DataFrame, lengths: DataFrame, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE) -> DataFrame:
-    """Chains of enough anchors and score as half-open regions of read and reference."""
+def regions(chains: DataFrame, lengths: DataFrame, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chains of enough anchors and score as half-open regions of read and reference, with the columns ``keep``."""
     turned = chains.where((F.col("cnt") >= min_cnt) & (F.col("score") >= min_score)).join(
         lengths.select(F.col("rid").alias("read_id"), "len"), "read_id"
     )
@@ -64,6 +64,7 @@ def regions(chains: DataFrame, lengths: DataFrame, min_cnt: int = MIN_CNT, min_s
         "cnt",
         "mlen",
         "blen",
+        *keep,
     )
 
 
@@ -207,8 +208,8 @@ def path_lengths(rpos: np.ndarray, qpos: np.ndarray, span: np.ndarray) -> tuple[
     return int(span[0] + matched.sum()), int(span[0] + np.maximum(dr, dq).sum())
 
 
-def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]]) -> DataFrame:
-    """Chains of each (read, sequence, strand), found by ``one`` from sorted positions."""
+def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]], points: bool = False) -> DataFrame:
+    """Chains of each (read, sequence, strand), found by ``one`` from sorted positions; with ``points``, their anchors too."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rpos", "ascending"), ("qpos", "ascending")])
@@ -233,11 +234,14 @@ def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarr
                     "blen": blen,
                 }
             )
-        return pa.Table.from_pylist(rows, _CHAIN_SCHEMA)
+            if points:
+                rows[-1]["points"] = [{"q": a, "t": b, "span": c} for a, b, c in zip(*(x[path].tolist() for x in (qpos, rpos, span)), strict=True)]
+        return pa.Table.from_pylist(rows, _CHAIN_SCHEMA.append(_POINTS) if points else _CHAIN_SCHEMA)
 
-    return anchors.groupBy("read_id", "rid", "rev").applyInArrow(run, _CHAIN)
+    return anchors.groupBy("read_id", "rid", "rev").applyInArrow(run, _CHAIN + (", points array<struct<q int, t int, span int>>" if points else ""))
 
 
+_POINTS = pa.field("points", pa.list_(pa.struct([(k, pa.int32()) for k in ("q", "t", "span")])))
 _CHAIN_SCHEMA = pa.schema(
     [("read_id", pa.int64()), ("rid", pa.int64()), ("rev", pa.bool_()), *((k, pa.int32()) for k in ("chain", "score", "cnt", "first_r", "last_r", "first_q", "last_q", "span", "mlen", "blen"))]
 )
@@ -265,10 +269,12 @@ def needs_rechaining(chains: DataFrame, lengths: DataFrame, rescue: int = 1000,
 
 def chain_again(
     anchors: DataFrame, lengths: DataFrame, band: int = BAND, band_long: int = 20000, max_gap: int = MAX_GAP, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE,
-    rescue: int = 1000, ratio: float = 0.1,
+    rescue: int = 1000, ratio: float = 0.1, points: bool = False,
 ) -> DataFrame:
     """Chains within ``band``; those of reads that ``needs_rechaining`` flags are chained again within ``band_long``.
 
+    With ``points`` a chain has its anchors (q, t, span) in order, at most the read's minimizers.
+
     Only anchors of the first chains are chained again, when ``band_long`` is the wider.  Both chainings are made
     where a read's anchors on one sequence and strand are, and the read's flag decides between them.
     """
@@ -284,7 +290,7 @@ def chain_again(
         # The sign of a score tells the two chainings apart.
         return first + [(-score, at[path].tolist()) for score, path in second]
 
-    found = _grouped(enough, both)
+    found = _grouped(enough, both, points)
     if band_long <= band:
         return found
     # As ``needs_rechaining``, over a window, so that the anchors are made once.
