@@ -6,9 +6,13 @@ further it goes on the query than on the target.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Default limits.
 CANCEL_GAP, CANCEL_SUM, CANCEL_GAPS, CLOSE_GAP = 10, 40, 10, 30
@@ -123,3 +127,28 @@ def repair(q: np.ndarray, t: np.ndarray, span: np.ndarray, matched: int, band: i
     close, joins[inner] = close_gaps(q[inner], t[inner], span[inner], max_gap // 2)
     skipped[inner] = cancelling_gaps(q[inner], t[inner], max_gap // 2) | close
     return Repair(first, stop, skipped, joins)
+
+
+def repaired(df: DataFrame, key: tuple[str, ...], band: int = 500, min_score: int = 40, max_gap: int = 5000) -> DataFrame:
+    """Rows (key, mlen, points) with ``points`` as repaired, and how many anchors were trimmed, skipped and end a join.
+
+    ``points`` are a chain's anchors (q, t, span) in order.  Chains of fewer than three anchors stay as they are.
+    """
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("q", "t", "span")]))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, kept = [], []
+            for matched, points in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True):
+                q, t, span = (np.array([p[k] for p in points or ()], np.int64) for k in ("q", "t", "span"))
+                fixed = repair(q, t, span, matched or 0, band, 2 * min_score, max_gap)
+                kept.append([p for k, p in enumerate(points or ()) if fixed.first <= k < fixed.stop and not fixed.skipped[k]])
+                counts.append((len(q) - (fixed.stop - fixed.first), int(fixed.skipped.sum()), int(fixed.joins.sum())))
+            columns = list(zip(*counts, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(key)], pa.array(kept, kind), *(pa.array(c, pa.int32()) for c in columns)], [*key, "points", "trimmed", "skipped", "joins"]
+            )
+
+    schema = f"{fields}, points array<struct<q:int,t:int,span:int>>, trimmed int, skipped int, joins int"
+    return df.select(*[F.col(k) for k in key], "mlen", "points").mapInArrow(emit, schema)

@@ -114,6 +114,19 @@ def minimizers(
     return df.select(F.col(key).alias("rid"), text).mapInArrow(emit, f"rid {kind}, {SCHEMA}")
 
 
+def nucleotides(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, text): A, C, G and T for the characters' codes in the text alphabet, so that texts map as DNA; null stays."""
+    kind = df.schema[key].dataType.simpleString()
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [None if x is None else letters[base_codes(x)].tobytes().decode() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], [key, "text"])
+
+    return df.select(key, text).mapInArrow(emit, f"`{key}` {kind}, text string")
+
+
 def kmers(df: DataFrame, key: str, text: str = "text", k: int = K) -> DataFrame:
     """(rid, pos, code, canonical, strand) of every k-mer in the text alphabet, by expressions alone."""
     codes = df.select(F.col(key).alias("rid"), code_array(F.col(text)).alias("codes"))
