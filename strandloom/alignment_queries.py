@@ -127,3 +127,10 @@ def modelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     best = _mapped_pairs(spark, d).best
     sides = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("rev", "qs", "qe", "rs", "re", "score", "rescued")]
     return best.select("read_id", "rid", "dir", "size", "total", "sub", "pairs", *sides)
+
+
+@_register()
+def chain_rmq_inner(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of benchmark texts by the best predecessor in range, near ones all tried."""
+    s = mapping.sketch_both(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
+    return chains.chain_rmq(mapping.all_anchors(s), inner=1000).drop("mlen", "blen")

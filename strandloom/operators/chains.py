@@ -6,6 +6,7 @@ over Arrow batches of its anchors; a read's anchors are bounded by the frequency
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import numpy as np
@@ -146,26 +147,114 @@ def chain_scores(
     return best, parent
 
 
+class _BestOf:
+    """Places 0 to n - 1 with a priority each, and the best of a range of them; equal ones go by their number."""
+
+    def __init__(self, n: int):
+        self._size = 1 << max(0, (n - 1).bit_length())
+        self._value, self._item = [-np.inf] * (2 * self._size), [-1] * (2 * self._size)
+
+    def put(self, place: int, value: float, item: int) -> None:
+        """Set a place; a value of minus infinity empties it."""
+        v, items, k = self._value, self._item, place + self._size
+        v[k], items[k] = value, item
+        while k > 1:
+            k >>= 1
+            a = 2 * k
+            b = a + 1
+            if v[b] > v[a] or (v[b] == v[a] and items[b] < items[a]):
+                a = b
+            if v[k] == v[a] and items[k] == items[a]:
+                return
+            v[k], items[k] = v[a], items[a]
+
+    def best(self, start: int, stop: int) -> int:
+        """The number of the best in places start to stop, -1 if they are empty."""
+        v, items = self._value, self._item
+        top, found = -np.inf, -1
+        a, b = start + self._size, stop + self._size
+        while a < b:
+            for k in (a,) * (a & 1) + (b - 1,) * (b & 1):
+                if v[k] > top or (v[k] == top and v[k] > -np.inf and items[k] < found):
+                    top, found = v[k], items[k]
+            a, b = (a + 1) >> 1, b >> 1
+        return found
+
+
 def range_scores(
-    rpos: np.ndarray, qpos: np.ndarray, span: np.ndarray, band: int = 20000, max_gap: int = MAX_GAP, gap: float = GAP_PENALTY
+    rpos: np.ndarray, qpos: np.ndarray, span: np.ndarray, band: int = 20000, max_gap: int = MAX_GAP, gap: float = GAP_PENALTY, inner: int = 0, max_skip: int = MAX_SKIP
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Chain scores where the predecessor is the in-range anchor of greatest priority, best + gap * (r + q) / 2."""
+    """Chain scores where the predecessor is the in-range anchor of greatest priority, best + gap * (r + q) / 2.
+
+    The anchors in range of rpos are held in a tree by qpos, so that a predecessor costs the logarithm of their number.
+    With ``inner``, unless that predecessor goes on without a gap, all those within ``inner`` of both positions are tried
+    too, from the nearest on the query; after ``max_skip`` that already precede a tried one and bring nothing this ends.
+    """
     n = len(rpos)
-    best, parent = span.astype(np.int64).copy(), np.full(n, -1)
-    low = np.searchsorted(rpos, rpos - max_gap, side="left")
-    before = np.searchsorted(rpos, rpos, side="left")
+    best, parent = span.astype(np.int64).tolist(), [-1] * n
+    order = np.lexsort((np.arange(n), qpos))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    by_q = qpos[order]
+    first = np.searchsorted(by_q, qpos - max_gap, side="right").tolist()
+    stop = np.searchsorted(by_q, qpos, side="left").tolist()
+    costs = np.zeros(band + 1, np.float32)
+    costs[1:] = np.float32(gap) * np.arange(1, band + 1).astype(np.float32) + np.float32(0.5) * fast_log2(np.arange(2, band + 2))
+    costs = costs.astype(np.int32).tolist()
+    low = np.searchsorted(rpos, rpos - max_gap, side="left").tolist()
+    before = np.searchsorted(rpos, rpos, side="left").tolist()
+    near = np.searchsorted(rpos, rpos - inner, side="left").tolist()
+    r, q, s, rank, at_rank = (x.tolist() for x in (rpos, qpos, span, rank, order))
+    tree, entered, left, left_near = _BestOf(n), 0, 0, 0
+    close: list[int] = []  # ranks of the anchors within ``inner``
+    seen = [-1] * n
+
+    def linked(i: int, j: int) -> int | None:
+        """Score of i after j, None beyond the band."""
+        dr, dq = r[i] - r[j], q[i] - q[j]
+        if abs(dr - dq) > band:
+            return None
+        return best[j] + min(s[j], dr, dq) - costs[abs(dr - dq)]
+
     for i in range(n):
-        j = np.arange(low[i], before[i])
-        j = j[(qpos[j] < qpos[i]) & (qpos[j] > qpos[i] - max_gap)]
-        if not len(j):
+        while entered < before[i]:
+            tree.put(rank[entered], best[entered] + 0.5 * gap * (r[entered] + q[entered]), entered)
+            if inner:
+                bisect.insort(close, rank[entered])
+            entered += 1
+        while left < low[i]:
+            tree.put(rank[left], -np.inf, -1)
+            left += 1
+        while inner and left_near < min(near[i], entered):
+            del close[bisect.bisect_left(close, rank[left_near])]
+            left_near += 1
+        k = tree.best(first[i], stop[i])
+        if k < 0:
             continue
-        k = j[np.argmax(best[j] + 0.5 * gap * (rpos[j] + qpos[j]))]
-        if abs((rpos[i] - rpos[k]) - (qpos[i] - qpos[k])) > band:
-            continue
-        score = best[k] + link_scores(rpos[[i]] - rpos[[k]], qpos[[i]] - qpos[[k]], span[[k]])[0]
-        if score > best[i]:
+        score = linked(i, k)
+        if score is not None and score > best[i]:
             best[i], parent[i] = score, k
-    return best, parent
+        if not inner or (r[i] - r[k] == q[i] - q[k] and q[i] - q[k] <= s[k]):
+            continue
+        skipped, c = 0, bisect.bisect_left(close, stop[i])
+        while c:
+            c -= 1
+            j = at_rank[close[c]]
+            if q[j] < q[i] - inner:
+                break
+            score = linked(i, j)
+            if score is None:
+                continue
+            if score > best[i]:
+                best[i], parent[i] = score, j
+                skipped = max(0, skipped - 1)
+            elif seen[j] == i:
+                skipped += 1
+                if skipped > max_skip:
+                    break
+            if parent[j] >= 0:
+                seen[parent[j]] = i
+    return np.array(best, np.int64), np.array(parent, np.int64)
 
 
 def backtrack(best: np.ndarray, parent: np.ndarray, min_cnt: int, min_score: int, max_drop: int) -> list[tuple[int, list[int]]]:
@@ -252,9 +341,9 @@ def chain_dp(anchors: DataFrame, band: int = BAND, min_cnt: int = MIN_CNT, min_s
     return _grouped(anchors, lambda r, q, s: backtrack(*chain_scores(r, q, s, band), min_cnt, min_score, band))
 
 
-def chain_rmq(anchors: DataFrame, band: int = 20000, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE) -> DataFrame:
-    """Chains by the best predecessor in range, for wide bands."""
-    return _grouped(anchors, lambda r, q, s: backtrack(*range_scores(r, q, s, band), min_cnt, min_score, band))
+def chain_rmq(anchors: DataFrame, band: int = 20000, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE, inner: int = 0) -> DataFrame:
+    """Chains by the best predecessor in range, for wide bands; with ``inner``, near predecessors are all tried."""
+    return _grouped(anchors, lambda r, q, s: backtrack(*range_scores(r, q, s, band, inner=inner), min_cnt, min_score, band))
 
 
 def needs_rechaining(chains: DataFrame, lengths: DataFrame, rescue: int = 1000, ratio: float = 0.1) -> DataFrame:
@@ -312,12 +401,10 @@ def greedy(rbeg: np.ndarray, qbeg: np.ndarray, length: np.ndarray, band: int = 1
     It joins when it goes on from the chain's last match within the band and the gap, and is dropped when
     that chain already covers it; otherwise it starts a chain.
     """
-    from bisect import bisect_right
-
     starts: list[int] = []
     chains: list[list[int]] = []
     for i in range(len(rbeg)):
-        k = bisect_right(starts, rbeg[i]) - 1
+        k = bisect.bisect_right(starts, rbeg[i]) - 1
         if k >= 0:
             first, last = chains[k][0], chains[k][-1]
             if (
@@ -329,7 +416,7 @@ def greedy(rbeg: np.ndarray, qbeg: np.ndarray, length: np.ndarray, band: int = 1
             if dr >= 0 and dq >= 0 and abs(dq - dr) <= band and dq - length[last] < max_gap and dr - length[last] < max_gap:
                 chains[k].append(i)
                 continue
-        at = bisect_right(starts, rbeg[i])
+        at = bisect.bisect_right(starts, rbeg[i])
         starts.insert(at, int(rbeg[i]))
         chains.insert(at, [i])
     return chains
