@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from strandloom import sql_parts as q
 from strandloom.functions.sequence import reverse_complement
-from strandloom.jobs import alignment, mapping, pairs
+from strandloom.jobs import alignment, mapping, pairs, seeding
 from strandloom.jobs.options import Options
-from strandloom.operators import chains, gaps, hits, repair, sketch
+from strandloom.operators import chains, gaps, hits, repair, seeds, sketch
 from strandloom.queries import _REGION, _benchmark, _documents, _register
 
 DNA = Options(alphabet="dna")
@@ -134,3 +134,34 @@ def chain_rmq_inner(spark: SparkSession, d: str) -> DataFrame:
     """Chains of benchmark texts by the best predecessor in range, near ones all tried."""
     s = mapping.sketch_both(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id")
     return chains.chain_rmq(mapping.all_anchors(s), inner=1000).drop("mlen", "blen")
+
+
+#: Three places make a minimizer frequent; of a run of frequent ones as many stay as it has stretches of 60 characters.
+BOUNDED = Options(min_mid_occ=3, max_mid_occ=3, occ_dist=60)
+
+_SELECTED = f"""{q.both()}, len AS (SELECT item_id AS rid, CAST(coalesce(length(text), 0) AS INTEGER) AS len FROM benchmark),
+o AS (SELECT *, count(*) OVER (PARTITION BY rid, hash) AS q_n, count(*) OVER (PARTITION BY rid) AS q_all FROM b),
+s AS (SELECT o.rid, o.pos, o.strand, o.hash, o.span, occ FROM o JOIN d_occ ON d_occ.hash = o.hash WHERE NOT (q_n > 3 AND q_n > q_all * CAST(0.01 AS DOUBLE))),
+r AS (SELECT s.*, len, occ > 3 AS high, count(*) OVER (PARTITION BY s.rid) AS n, sum(CASE WHEN occ > 3 THEN 0 ELSE 1 END) OVER (PARTITION BY s.rid ORDER BY pos, hash ROWS UNBOUNDED PRECEDING) AS run,
+  coalesce(max(CASE WHEN occ <= 3 THEN pos END) OVER (PARTITION BY s.rid ORDER BY pos, hash ROWS UNBOUNDED PRECEDING), 0) AS ps,
+  coalesce(min(CASE WHEN occ <= 3 THEN pos END) OVER (PARTITION BY s.rid ORDER BY pos, hash ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), len) AS pe FROM s JOIN len l ON l.rid = s.rid),
+f AS (SELECT *, n >= 2 AND high AND (row_number() OVER (PARTITION BY rid, run, high ORDER BY occ, pos, hash) > least(floor(CAST(pe - ps AS DOUBLE) / 60 + CAST(0.499 AS DOUBLE)), 128) OR occ > 4095) AS flt FROM r)"""
+
+
+@_register(f"""WITH {_SELECTED},
+a AS (SELECT k.rid AS read_id, y.rid AS rid, k.strand <> y.strand AS rev, y.pos AS rpos,
+  CAST(CASE WHEN k.strand <> y.strand THEN k.len - (k.pos - 14) - 1 ELSE k.pos END AS INTEGER) AS qpos, 15 AS span FROM f k JOIN d y ON y.hash = k.hash WHERE NOT k.flt),
+{q.chain('a', 'c')},{q.regions('c', 'len', 'm')} SELECT {_REGION} FROM m""")
+def bounded_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of benchmark texts by bounded seeds, chained on one diagonal."""
+    s = mapping.sketch_both(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id", BOUNDED)
+    kept = seeding.select_seeds(s, BOUNDED).where(~F.col("flt")).select("rid", "pos", "strand", "hash", "span")
+    found = chains.islands(seeds.anchors(kept, s.references, s.lengths))
+    return chains.regions(found, s.lengths).select(*_REGION.split(", "))
+
+
+@_register()
+def bounded_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of benchmark texts by bounded seeds in two rounds, chained across gaps."""
+    options = Options(min_mid_occ=3, max_mid_occ=3, occ_dist=60, max_occ=20)
+    return seeding.map_seeded(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id", options)

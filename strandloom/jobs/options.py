@@ -14,6 +14,10 @@ class Options:
     mid_occ_fraction: float = 2e-4
     min_mid_occ: int = 10
     max_mid_occ: int = 1_000_000
+    max_occ: int = 0
+    max_max_occ: int = 4_095
+    occ_dist: int = 500
+    query_fraction: float = 0.01
     min_cnt: int = 3
     min_score: int = 40
     band: int = 500
@@ -66,6 +70,9 @@ def check(options: Options) -> Options:
         (1 <= options.w < 256, "w must be from 1 to 255"),
         (0 <= options.mid_occ_fraction < 1, "mid_occ_fraction must be in [0, 1)"),
         (options.min_mid_occ <= options.max_mid_occ, "min_mid_occ must not exceed max_mid_occ"),
+        (options.max_occ >= 0 and options.max_max_occ >= 0, "max_occ and max_max_occ must not be negative"),
+        (options.occ_dist > 0, "occ_dist must be positive"),
+        (0 <= options.query_fraction <= 1, "query_fraction must be in [0, 1]"),
         (options.band <= options.band_long, "band must not exceed band_long"),
         (options.best_n >= 0, "best_n must not be negative"),
         (0 <= options.pri_ratio <= 1, "pri_ratio must be in [0, 1]"),

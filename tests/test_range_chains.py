@@ -5,6 +5,7 @@ import time
 import numpy as np
 import pytest
 
+from strandloom import alignment_queries  # noqa: F401  registers its queries
 from strandloom.operators import chains
 from strandloom.queries import QUERIES
 from tests.test_records import DATA, _anchors
