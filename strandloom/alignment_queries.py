@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from strandloom import sql_parts as q
 from strandloom.functions.sequence import reverse_complement
-from strandloom.jobs import alignment, mapping, pairs, seeding
+from strandloom.jobs import alignment, mapping, pairs, parts, seed_quality, seeding
 from strandloom.jobs.options import Options
 from strandloom.operators import chains, gaps, hits, repair, seeds, sketch
-from strandloom.queries import _REGION, _benchmark, _documents, _register
+from strandloom.queries import _REGION, _benchmark, _documents, _exact, _register, map_regions
 
 DNA = Options(alphabet="dna")
 #: Limits for reads of about 200 bases: shorter stretches count as inversions and exons.
@@ -165,3 +165,24 @@ def bounded_passages(spark: SparkSession, d: str) -> DataFrame:
     """Regions of benchmark texts by bounded seeds in two rounds, chained across gaps."""
     options = Options(min_mid_occ=3, max_mid_occ=3, occ_dist=60, max_occ=20)
     return seeding.map_seeded(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id", options)
+
+
+@_register()
+def scored_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Exact matches of benchmark texts with the score of what surrounds them, short texts too."""
+    return seed_quality.score_seeds(_exact(spark, d), _benchmark(spark, d), "item_id", _documents(spark, d), "doc_id", short_part=1.0)
+
+
+@_register()
+def primary_hits_by_parts(spark: SparkSession, d: str) -> DataFrame:
+    """``primary_hits`` with the documents dealt to three indexes, hits ranked together."""
+    return parts.map_by_parts(_benchmark(spark, d), "item_id", _documents(spark, d), "doc_id", 3)
+
+
+@_register()
+def hits_marked_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of benchmark texts marked in two rounds; documents that repeat an earlier one's text are the alternatives."""
+    _, members = mapping.classes(_documents(spark, d), "doc_id")
+    copies = members.where("rid <> member").select(F.col("member").alias("rid"), F.lit(True).alias("is_alt"))
+    found = map_regions(spark, d).join(copies, "rid", "left").withColumn("is_alt", F.coalesce("is_alt", F.lit(False)))
+    return hits.mark_primaries(found)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Default thresholds.
@@ -119,6 +121,76 @@ def set_parents(hits: DataFrame, mask: float = MASK_LEVEL) -> DataFrame:
     return ranked.groupBy("read_id").applyInArrow(run, f"{fields}, parent int, subsc int, n_sub int")
 
 
+class Marked(NamedTuple):
+    """For each hit, by its number: its parent (-1: primary), that of the first round, sub, sub_n, and its ALT parent's score."""
+
+    parent: np.ndarray
+    first_parent: np.ndarray
+    sub: np.ndarray
+    sub_n: np.ndarray
+    alt_score: np.ndarray
+
+
+def _mark(order: list[int], qs: np.ndarray, qe: np.ndarray, score: np.ndarray, alt: np.ndarray, mask: float, near: int, sub: np.ndarray, sub_n: np.ndarray) -> dict[int, int]:
+    """Parents of the hits in ``order``: the first primary that overlaps one by ``mask`` of the shorter; counts rivals."""
+    primaries, parents = [], {}
+    for i in order:
+        for j in primaries:
+            shared = min(qe[i], qe[j]) - max(qs[i], qs[j])
+            if shared > 0 and shared >= min(qe[i] - qs[i], qe[j] - qs[j]) * mask:
+                sub[j] = sub[j] or score[i]
+                sub_n[j] += score[j] - score[i] <= near and (alt[j] or not alt[i])
+                parents[i] = j
+                break
+        else:
+            primaries.append(i)
+    return parents
+
+
+def mark_in_rounds(qs: np.ndarray, qe: np.ndarray, score: np.ndarray, alt: np.ndarray, mask: float = MASK_LEVEL, near: int = 7) -> Marked:
+    """Primaries of a read's ranked hits, of all and then of those that aren't on alternative sequences.
+
+    Where there are hits of both kinds, the second round decides for the others and begins their sub anew, but goes on
+    with their sub_n; hits on alternative sequences keep the first round's.  ``near`` is the score of one mismatch or
+    gap; a hit that a primary outscores by no more is its rival, unless it alone is on an alternative sequence.
+    """
+    n = len(qs)
+    sub, sub_n, alt_score = (np.zeros(n, np.int64) for _ in range(3))
+    first = _mark(list(range(n)), qs, qe, score, alt, mask, near, sub, sub_n)
+    for i, j in first.items():
+        if alt[j] and not alt[i]:
+            alt_score[i] = score[j]
+    parents = first
+    if alt.any() and not alt.all():
+        main = np.flatnonzero(~alt).tolist()
+        sub[main] = 0
+        parents = {i: j for i, j in first.items() if alt[i]} | _mark(main, qs, qe, score, alt, mask, near, sub, sub_n)
+    found = (np.array([p.get(i, -1) for i in range(n)], np.int64) for p in (parents, first))
+    return Marked(*found, sub, sub_n, alt_score)
+
+
+def mark_primaries(hits: DataFrame, mask: float = MASK_LEVEL, near: int = 7) -> DataFrame:
+    """Hits (with ``is_alt``) by ``mark_in_rounds``: place, parent and first_parent (places, null for primaries), sub, sub_n, alt_score.
+
+    Hits are ranked by score, those not on alternative sequences first of equals, then by position.
+    """
+    order = Window.partitionBy("read_id").orderBy(F.desc("score"), "is_alt", "rid", "rev", "rs", "qs", "qe", "re")
+    ranked = hits.withColumn("place", F.row_number().over(order))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        values = [table.column(k).to_numpy().astype(np.int64) for k in ("qs", "qe", "score")]
+        found = mark_in_rounds(*values, table.column("is_alt").to_numpy().astype(bool), mask, near)
+        for name, at in (("parent", found.parent), ("first_parent", found.first_parent)):
+            table = table.append_column(name, pa.array((at + 1).astype(np.int32), mask=at < 0))
+        for name in ("sub", "sub_n", "alt_score"):
+            table = table.append_column(name, pa.array(getattr(found, name).astype(np.int32)))
+        return table
+
+    return ranked.groupBy("read_id").applyInArrow(run, f"{fields}, parent int, first_parent int, sub int, sub_n int, alt_score int")
+
+
 def select_secondary(parented: DataFrame, best_n: int = BEST_N, ratio: float = PRI_RATIO, slack: int = 30) -> DataFrame:
     """Primaries, and each read's first ``best_n`` secondaries that score near their parents elsewhere."""
     p = parented.select("read_id", F.col("place").alias("parent"), F.col("score").alias("p_score"), F.struct("rid", "rs", "re", "qs", "qe").alias("p_at"))
