@@ -1,7 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is encoded by halves: short leaves directly, and two encoded neighbours are joined by re-encoding a
-window of tokens around the seam.  The window grows until both of its edges are stable, that is
+A text is encoded by halves: leaves of a few words match by match, each match merged by the ranks, and two encoded
+neighbours are joined by re-encoding a window of tokens around the seam.  The window grows until both of its edges are stable, that is
 
 * the edge lies between a non-blank and a following white-space character, where every match of the split
   pattern ends whatever surrounds it; or
@@ -17,42 +17,136 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
 from strandloom.llm.tokens import text_slices
 
-#: Code points of a leaf, which is encoded at once.
-LEAF_CHARS = 2048
+#: Code points of a leaf, which is split into matches and merged; longer texts are encoded by halves.
+LEAF_CHARS = 512
+#: Matches up to so many code points are remembered with their ids, this many of them.
+_KEPT_CHARS, _KEPT = 48, 1 << 16
+#: Bytes from which on a match's pairs are held in a heap.
+_HEAP_FROM = 48
+#: A code point that is no white space, letter or number to any engine.
+_NEITHER = 0x0378
 #: Code points before an edge that must be of its class for it to count as inside a match.
 _RUN = 4
 
 
+@functools.lru_cache(2)
+def odd_letters() -> frozenset[int]:
+    """Code points that are a letter or a number to the regex module, by its newer tables, but not to tiktoken's engine.
+
+    All code points are put to both; the classes of white space agree.
+    """
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every = "".join(map(chr, points))
+    single = {bytes([i]): i for i in range(256)}
+    kind = r"[\p{L}\p{N}]"
+    theirs = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
+    known = set(bytes(theirs.encode_ordinary(every)).decode())
+    return frozenset(map(ord, set(regex.findall(kind, every)) - known))
+
+
 class TreeCodec:
     """Encodes and decodes by ranks (token bytes to id) and a split pattern, without special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS):
-        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, odd: frozenset[int] | None = None):
+        self._ranks, self._pattern = ranks, regex.compile(pattern)
         self._bytes = {i: b for b, i in ranks.items()}
         self._leaf = leaf_chars
+        self._odd = dict.fromkeys(odd_letters() if odd is None else odd, _NEITHER)
+        self._first_odd = chr(min(self._odd, default=0x10FFFF))
         self._pair = functools.lru_cache(1 << 14)(self._pair_stands)
+        self._match = functools.lru_cache(_KEPT)(self._merged_text)
 
     def encode(self, text: str) -> list[int]:
         return self._encode(text, 0, len(text))
 
     def _encode(self, text: str, start: int, stop: int) -> list[int]:
         if stop - start <= self._leaf:
-            return self._encoding.encode_ordinary(text[start:stop])
+            return self._matches(text[start:stop])
         middle = (start + stop) // 2
         return self._join(text, start, middle, stop, self._encode(text, start, middle), self._encode(text, middle, stop))
 
+    def _matches(self, text: str) -> list[int]:
+        """Ids of a text match by match."""
+        out: list[int] = []
+        match = self._match
+        if text.isascii() or max(text) < self._first_odd:
+            pieces = self._pattern.findall(text)
+        else:
+            # The odd ones are split as what they are to tiktoken; a match's own code points stand at its place.
+            pieces = [text[m.start() : m.end()] for m in self._pattern.finditer(text.translate(self._odd))]
+        for piece in pieces:
+            out += match(piece) if len(piece) <= _KEPT_CHARS else self._merged(piece.encode())
+        return out
+
+    def _merged_text(self, piece: str) -> list[int]:
+        return self._merged(piece.encode())
+
+    def _merged(self, piece: bytes) -> list[int]:
+        """Ids of one match: neighbours whose union has the least rank are merged until none has a rank."""
+        whole = self._ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        merge = self._merge_by_heap if len(parts) >= _HEAP_FROM else self._merge_by_scan
+        return [self._ranks[p] for p in merge(parts)]
+
+    def _merge_by_scan(self, parts: list[bytes]) -> list[bytes]:
+        rank, none = self._ranks.get, len(self._ranks) + 1
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            least = min(pairs)
+            if least == none:
+                break
+            k = pairs.index(least)
+            one = parts[k] = parts[k] + parts.pop(k + 1)
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + one, none)
+            if k < len(pairs):
+                pairs[k] = rank(one + parts[k + 1], none)
+        return parts
+
+    def _merge_by_heap(self, parts: list[bytes]) -> list[bytes]:
+        """The same with the pairs in a heap, by rank and then place; a pair that changed since is passed over."""
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, bytes, bytes]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and (rank := self._ranks.get(parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (rank, a, parts[a], parts[b]))
+
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            _, a, left, right = heapq.heappop(heap)
+            b = after[a]
+            if parts[a] != left or b >= n or parts[b] != right:
+                continue
+            parts[a], parts[b] = left + right, b""
+            after[a] = after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            if before[a] >= 0:
+                offer(before[a])
+            offer(a)
+        return [p for p in parts if p]
+
     def _pair_stands(self, left: int, right: int) -> bool:
-        return self._encoding._encode_single_piece(self._bytes[left] + self._bytes[right]) == [left, right]
+        return self._merged(self._bytes[left] + self._bytes[right]) == [left, right]
 
     def _stable(self, text: str, at: int, left: int, right: int) -> bool:
         if _hard(text, at):
@@ -73,7 +167,7 @@ class TreeCodec:
             if not fixed_right:
                 skip, right, fixed_right = self._grow_right(text, stop, b, skip, right, width)
             width *= 2
-        window = self._encoding.encode_ordinary(text[left:right])
+        window = self._matches(text[left:right])
         # Inside a match the pairs at the edges must stand with the window's own tokens too.
         if window and keep and left > start and not self._edge_holds(text, left, a[keep - 1], window[0]):
             return self._wider(text, start, stop, a, b, left, right)
@@ -91,7 +185,7 @@ class TreeCodec:
         while right < stop and not _hard(text, right):
             right += 1
         keep, drop = self._cut(a, text[start:left], False), self._cut(b, text[right:stop], True)
-        return a[:keep] + self._encoding.encode_ordinary(text[left:right]) + b[len(b) - drop :]
+        return a[:keep] + self._matches(text[left:right]) + b[len(b) - drop :]
 
     def _cut(self, ids: list[int], text: str, from_end: bool) -> int:
         """How many tokens, from one end, hold exactly the bytes of the text."""
@@ -168,7 +262,7 @@ def encode_documents(
     Null and empty texts give no tokens.  The ranks reach the tasks as a broadcast of the vocabulary file's
     size (under 1 MB); texts are encoded where they are read, without a shuffle.
     """
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern, odd_letters()))
     key_type = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, " + ("ids array<int>, " if ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -203,7 +297,7 @@ _last: list = [None, None]
 
 def _codec(shared) -> TreeCodec:
     """The codec of the vocabulary that this worker process used last; a worker outlives many tasks."""
-    ranks, pattern = shared.value
+    ranks, pattern, odd = shared.value
     if _last[0] is not ranks:
-        _last[:] = ranks, TreeCodec(ranks, pattern)
+        _last[:] = ranks, TreeCodec(ranks, pattern, odd=odd)
     return _last[1]

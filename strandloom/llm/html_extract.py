@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -53,12 +53,15 @@ LEADING_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text maincontent postbody".split())
 
 _RAW = rf"<(?P<raw>{RAW_TAGS})(?=[\s>/])[^>]*+>(?s:.*?)(?:</(?P=raw)\s*+>|\Z)"
-_TOKEN = re.compile(
-    rf"(?P<comment><!--(?s:.*?)(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?)|{_RAW}"
+_COMMENT = r"(?P<comment><!--(?s:.*?)(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?)"
+_TAGS = (
     r"|<(?P<end>/)?(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/)?(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)",
-    re.IGNORECASE,
+    r"|<(?P<end2>/)?(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)"
 )
+_TOKEN = re.compile(f"{_COMMENT}|{_RAW}{_TAGS}", re.IGNORECASE)
+#: Inside a drawing, where raw elements may close themselves or miss their end, and only their start is looked for.
+_DRAWN = re.compile(f"{_COMMENT}{_TAGS}", re.IGNORECASE)
+_IS_RAW = re.compile(RAW_TAGS, re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _CLOSED = re.compile(r"(?<!/)/\s*$")
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s\"'>]*$")
@@ -76,7 +79,7 @@ _READERS = re.compile(
 #: Edge weights: adjacent blocks, next blocks of one parent, and the share that each tree step leaves.
 ADJACENT, SIBLING, STEP = 0.8, 0.8, 0.6
 NEVER = 1e6
-#: Open elements of a page; deeper ones are read as text of the last, as browsers do.
+#: Open elements that a block's place is told by; deeper ones share the last one's place, and keep what they say of their text.
 MAX_DEPTH = 512
 #: Evidence: a name that speaks against content, one of which only a part does, a form, a block outside the element
 #: that holds most of the text, one outside any article element, one after a heading of the readers' part.
@@ -167,6 +170,7 @@ def _parse(page: str) -> tuple[list[_Piece], dict[int, float], set[int]]:
     out: list[_Piece] = []
     against: dict[int, float] = {}
     articles: set[int] = set()
+    held: Counter[str] = Counter()  # open elements by tag
     drawings = 0  # open svg elements
     foreign: list[str] = []  # open elements from a drawing's foreignObject on
 
@@ -178,6 +182,22 @@ def _parse(page: str) -> tuple[list[_Piece], dict[int, float], set[int]]:
                 out.append(_piece(text, linked, stack))
         pieces, linked = [], 0
 
+    known: dict[str, tuple[int, int, int]] = {}
+
+    def following(mark: str, start: int) -> tuple[int, int]:
+        """Where the next match begins and ends, -1 if there is none; what one search passed over isn't searched again."""
+        begun, begins, stop = known.get(mark, (len(page) + 1, -1, -1))
+        if not (begun <= start and (begins < 0 or begins >= start)):
+            met = re.compile(mark, re.IGNORECASE).search(page, start)
+            begins, stop = met.span() if met else (-1, -1)
+            known[mark] = start, begins, stop
+        return begins, stop
+
+    def close_from(k: int) -> None:
+        for e in stack[k:]:
+            held[e.tag] -= 1
+        del stack[k:]
+
     def take(piece: str) -> None:
         nonlocal linked
         if piece and not muted:
@@ -185,19 +205,23 @@ def _parse(page: str) -> tuple[list[_Piece], dict[int, float], set[int]]:
             if in_link:
                 linked += len(piece)
 
-    for found in iter(lambda: _TOKEN.search(page, at), None):
+    def token() -> re.Match | None:
+        return (_DRAWN if drawings and not foreign else _TOKEN).search(page, at)
+
+    for found in iter(token, None):
         if not drawings:
             take(page[at : found.start()])
         at = found.end()
-        if drawings and not foreign and found["raw"]:  # an element like any other there: it can close itself or miss its end
-            opened = page.index(">", found.start()) + 1
-            if _self_closing(page[found.start() : opened - 1]) or not found[0].endswith(">") or "</svg" in found[0].lower():
-                at = opened
         tag = found["tag"] or found["tag2"]
         if tag is None:
             continue
         tag, ends = tag.lower(), bool(found["end"] or found["end2"])
         rest = found["rest"] or found["rest2"] or ""
+        if drawings and not foreign and not ends and _IS_RAW.fullmatch(tag) and not _self_closing(rest):
+            _, close = following(f"</{tag}\\s*+>", at)  # its text goes, if it ends inside the drawing
+            if close >= 0 and not 0 <= following("</svg", at)[0] < close:
+                at = close
+            continue
         if tag == "svg":
             if ends:
                 drawings = max(0, drawings - 1)
@@ -214,7 +238,7 @@ def _parse(page: str) -> tuple[list[_Piece], dict[int, float], set[int]]:
             if ends and tag in foreign:
                 del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
                 continue
-            if not (any(e.tag == tag for e in stack) if ends else tag in ENDS_DRAWING):
+            if not (held[tag] if ends else tag in ENDS_DRAWING):
                 continue
             drawings, foreign = 0, []
         if tag == "a":
@@ -231,23 +255,26 @@ def _parse(page: str) -> tuple[list[_Piece], dict[int, float], set[int]]:
             muted = ""
             flush()
             if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if held[tag]:
+                    close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
                 continue
             closes = CLOSES.get(tag) or ({"p"} if stack[-1].tag == "p" else ())
             while len(stack) > 1 and stack[-1].tag in closes:
-                stack.pop()
-            if tag in VOID_TAGS or len(stack) >= MAX_DEPTH:
+                close_from(len(stack) - 1)
+            if tag in VOID_TAGS:
                 continue
-            count += 1
             never, own, favour = _evidence(tag, rest, stack[-1])
-            if own:
-                against[count] = own
-            if tag in ("article", "main"):
-                articles.add(count)
-            stack.append(_Element(tag, count, never, favour))
+            if len(stack) < MAX_DEPTH:
+                count += 1
+                number = count
+                if own:
+                    against[count] = own
+                if tag in ("article", "main"):
+                    articles.add(count)
+            else:  # placed with the last numbered one; what its name says counts for its text at once
+                number, favour = stack[-1].number, favour - own
+            held[tag] += 1
+            stack.append(_Element(tag, number, never, favour))
     if not drawings:
         take(page[at:])
     flush()
@@ -261,7 +288,7 @@ def _piece(text: str, linked: int, stack: list[_Element]) -> _Piece:
     score = -0.8 + 0.9 * math.log2(1 + words / 6) - 4.0 * share + top.content
     score += 1.0 if top.tag in ("p", "pre", "blockquote", *_HEADINGS) else -0.5 if top.tag in ("li", "td", "") else 0.0
     score += 0.5 if text[-1] in ".!?:\"'" else 0.0
-    return _Piece(text, words, tuple(e.number for e in stack), top.tag, top.never, score)
+    return _Piece(text, words, tuple(e.number for e in stack[:MAX_DEPTH]), top.tag, top.never, score)
 
 
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")

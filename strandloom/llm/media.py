@@ -133,6 +133,8 @@ class _Finder:
     def __init__(self, raw: bytes):
         self._raw = raw
         self._known: dict[bytes, tuple[int, int]] = {}
+        #: For each Ogg page that a walk met, where that walk ended.
+        self.walked: dict[int, int] = {}
 
     def __call__(self, mark: bytes, start: int) -> int:
         begun, at = self._known.get(mark, (len(self._raw) + 1, -1))
@@ -202,10 +204,13 @@ def _flac(raw: bytes, start: int, find: _Finder) -> Found | None:
 
 
 def _ogg(raw: bytes, start: int, find: _Finder) -> Found | None:
-    at = start
-    while raw[at : at + 5] == b"OggS\x00" and at + 27 <= len(raw):
+    at, met = start, []
+    while at not in find.walked and raw[at : at + 5] == b"OggS\x00" and at + 27 <= len(raw):
+        met.append(at)
         count = raw[at + 26]
         at += 27 + count + sum(raw[at + 27 : at + 27 + count])
+    at = find.walked.get(at, at)
+    find.walked.update(dict.fromkeys(met, at))
     return Found("audio/ogg", start, at - start) if start < at <= len(raw) else None
 
 
@@ -224,9 +229,13 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+#: Kinds whose values hold others; marks inside any other kind are its own data.
+_HOLDERS = frozenset([*_RIFF_FORMS.values(), "application/pdf", "application/zip"])
+
+
 def sniff(raw: bytes) -> list[Found]:
-    """Validated media in a value, outermost first by offset; a hit inside carved media other than the
-    value's own container is part of it and not listed again."""
+    """Validated media in a value, outermost first by offset; a hit inside carved media, or inside the value's own
+    container where that kind holds no others, is part of it and not listed again."""
     out: list[Found] = []
     covered, find = 0, _Finder(raw)
     for last, (length, kind) in _automaton().iter(raw.decode("latin-1")):
@@ -236,7 +245,7 @@ def sniff(raw: bytes) -> list[Found]:
         found = _VALIDATORS[kind](raw, start, find)
         if found is not None:
             out.append(found)
-            if start:
+            if start or found.kind not in _HOLDERS:
                 covered = start + found.length
     return out
 
@@ -289,7 +298,8 @@ def describe(raw: bytes | None, declared: str | None) -> dict:
 
 
 def with_features(df: DataFrame, media: str = "media", declared: str | None = None) -> DataFrame:
-    """Add a struct column ``features`` for each value of a binary column (see ``describe``)."""
+    """Add a struct column ``features``, in place of one of that name, for each value of a binary column (see ``describe``)."""
+
     @F.pandas_udf(f"struct<{_FEATURES}>")
     def features(values: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([describe(v, k) for v, k in zip(values, kinds, strict=True)], columns=_NAMES)

@@ -50,12 +50,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = documents.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.text_to_media(F.col("text")).alias("media")
     )
-    found = media.with_features(stored)
-    return found.select(
-        "doc_id",
-        "n_bytes",
-        *[f"features.{k}" for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")],
-    )
+    # Declared as what a store says that doesn't know; the signature corrects it.
+    found = media.with_features(stored.withColumn("declared", F.lit("application/octet-stream")), declared="declared")
+    shown = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "true_type", "corrected")
+    return found.select("doc_id", "n_bytes", *[f"features.{k}" for k in shown])
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

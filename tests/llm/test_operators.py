@@ -303,6 +303,41 @@ def test_very_deep_pages_take_linear_time():
     assert html_extract.main_text("<div>word " * 20_000).count("word") in (0, 20_000) and time.time() - began < 30
 
 
+@pytest.mark.parametrize("depth", [10, 520, 3000])
+def test_depth_keeps_what_elements_say(depth):
+    """Menus, names and hidden parts below very many open elements, and the article beside them."""
+    article = f"<article><p>{SENTENCE} {SENTENCE}</p></article>"
+    for opened, shut in (("<nav>", "</nav>"), ('<div class="sidebar">', "</div>"), ("<div hidden>", "</div>"), ("<footer>", "</footer>")):
+        deep = "<div>" * depth + opened + f"<p>{SENTENCE}</p>" + shut + "</div>" * depth
+        assert html_extract.main_text(f"<body>{deep}{article}</body>") == f"{SENTENCE} {SENTENCE}"
+    nested = opened * depth + f"<p>{SENTENCE}</p>" + shut * depth
+    assert html_extract.main_text(f"<body>{nested}{article}</body>") == f"{SENTENCE} {SENTENCE}"
+    # End tags find their own elements again.
+    inside = "<div>" * depth + article + "</div>" * depth + f"<footer><p>{SENTENCE}</p></footer>"
+    assert html_extract.main_text(f"<body>{inside}</body>") == f"{SENTENCE} {SENTENCE}"
+
+
+@pytest.mark.parametrize("part", ["<svg>" + "<style x>" * 20_000, "<svg>" + "<script>a" * 20_000, "<div>" * 20_000 + "</p></section>" * 20_000, "<svg><g>" + "<style></style>" * 20_000])
+def test_unclosed_and_deep_elements_take_linear_time(part):
+    began = time.time()
+    html_extract.main_text(f"<article><p>{SENTENCE}</p></article>" + part)
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize(
+    ("drawing", "kept"),
+    [
+        ("<svg><style>p > a { x: 1 }</style><g>t</g></svg>", True),
+        ("<svg><style/><g>t</g></svg>", True),
+        ("<svg><style><g>t</g></svg>", True),
+        ("<svg><script>if (a < b) { document.write('<p>no</p>') }</script></svg>", True),
+        ("<SVG><STYLE>x</STYLE>t</SVG>", True),
+    ],
+)
+def test_raw_elements_in_drawings(drawing, kept):
+    assert html_extract.main_text(f"<article><p>{SENTENCE} {drawing}{SENTENCE}</p></article>") == f"{SENTENCE} {SENTENCE}"
+
+
 def test_empty_table_of_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")
     assert html_extract.extract_pages(none).columns == ["page_id", "url", "n_chars", "text"] and html_extract.extract_pages(none).count() == 0
@@ -617,10 +652,25 @@ def test_media_query_round_trip(spark, tmp_path):
     assert found == sorted(wanted, key=repr)
 
 
+def ogg_page(body, kind=0):
+    return b"OggS\x00" + bytes([kind]) + bytes(20) + bytes([1, len(body)]) + body
+
+
+def test_own_pages_are_not_carved():
+    stream = ogg_page(b"head", 2) + ogg_page(b"x" * 35) + ogg_page(b"tail", 4)
+    assert media.sniff(stream) == [media.Found("audio/ogg", 0, len(stream))]
+    assert media.describe(stream, "audio/wav")["feature"].endswith("carved=")
+    # What follows the value's own data, and what a holder holds, is carved.
+    assert [(x.kind, x.start) for x in media.sniff(stream + png())] == [("audio/ogg", 0), ("image/png", len(stream))]
+    wav = media.wav_bytes(b"\x80" * 20 + stream + b"\x80" * 7)
+    assert [(x.kind, x.length) for x in media.sniff(wav)] == [("audio/wav", len(wav)), ("audio/ogg", len(stream))]
+
+
 def test_repeated_marks_take_linear_time(spark):
     began = time.time()
     for part in (b"%PDF-1 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xda\x00\x02 ", b"\x1f\x8b\x08\x00 "):
         assert media.sniff(part * 60_000) == []
+    assert media.sniff(ogg_page(b"x" * 30) * 30_000 + ogg_page(b"cut")[:-1]) == []
     assert time.time() - began < 20
     assert queries.op7_media.__name__ == "op7_media" and media.with_features(empty(spark).select("doc_id", F.lit(b"").alias("media"))).count() == 0
 
@@ -683,6 +733,32 @@ def test_tree_equals_plain_encoding(ranks, leaf):
         assert codec.decode_bytes(ids) == text.encode()
 
 
+def test_all_given_documents_encode_as_the_library_does(spark, ranks):
+    """The codec's own matches and merges, joined over halves, against the library."""
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    codecs = [bpe.TreeCodec(ranks, public_tokenizers.PATTERN, n) for n in (16, bpe.LEAF_CHARS, 1 << 30)]
+    for text in texts:
+        wanted = plain.encode_ordinary(text)
+        assert all(c.encode(text) == wanted for c in codecs)
+
+
+def test_letters_that_one_engine_does_not_know(ranks):
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, odd = bpe.TreeCodec(ranks, public_tokenizers.PATTERN), sorted(bpe.odd_letters())
+    for k in odd[:: max(1, len(odd) // 300)]:
+        text = f"ab{chr(k)}c {chr(k)} {chr(k)}{chr(k)}1 é{chr(k)}"
+        assert codec.encode(text) == plain.encode_ordinary(text)
+
+
+def test_merges_by_heap_equal_merges_by_scan(ranks):
+    codec, rng = bpe.TreeCodec(ranks, public_tokenizers.PATTERN), random.Random(4)
+    for _ in range(300):
+        piece = "".join(rng.choice(["ing", "the", "a", "b", "é", "xx", "日"]) for _ in range(rng.randrange(1, 60))).encode()
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        assert codec._merge_by_heap(list(parts)) == codec._merge_by_scan(list(parts))
+
+
 def test_every_token_encodes_to_itself(ranks):
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(plain._encode_single_piece(b) == [i] for b, i in itertools.islice(ranks.items(), 0, None, 7))
