@@ -13,7 +13,7 @@ from strandloom import sql_parts as q
 from strandloom.functions.sequence import reverse_complement
 from strandloom.jobs import alignment, mapping, pairs, parts, seed_quality, seeding
 from strandloom.jobs.options import Options
-from strandloom.operators import chains, gaps, hits, repair, seeds, sketch
+from strandloom.operators import chains, gaps, hits, repair, scoring, seeds, sketch
 from strandloom.queries import _REGION, _benchmark, _documents, _exact, _register, map_regions
 
 DNA = Options(alphabet="dna")
@@ -186,3 +186,11 @@ def hits_marked_in_rounds(spark: SparkSession, d: str) -> DataFrame:
     copies = members.where("rid <> member").select(F.col("member").alias("rid"), F.lit(True).alias("is_alt"))
     found = map_regions(spark, d).join(copies, "rid", "left").withColumn("is_alt", F.coalesce("is_alt", F.lit(False)))
     return hits.mark_primaries(found)
+
+
+@_register()
+def paf_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the alignments of ``inverted_passages``, with their differences base by base."""
+    reads, genome = _benchmark(spark, d), _documents(spark, d)
+    lens = mapping.lengths(reads, "item_id"), mapping.lengths(genome, "doc_id")
+    return scoring.paf_alignments(inverted_passages(spark, d), *lens)

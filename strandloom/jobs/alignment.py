@@ -26,7 +26,7 @@ def align_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: st
     """Aligned regions of every query, a row for each part of a hit and each inversion between two parts.
 
     (read_id, place, parent, piece, rid, rev, inv, split, qs, qe, rs, re, score, cigar, nm, md, matches, columns, n_ambi,
-    dp_max, anchors, mapq).  Places on the query count on its own strand, the CIGAR runs along the reference.  Gaps are as far left as
+    dp_max, anchors, cs, mapq).  Places on the query count on its own strand, the CIGAR runs along the reference.  Gaps are as far left as
     they go.  An inversion's strand is the other one, its quality the lesser of its neighbours'.  Queries without chains,
     null and short ones have no rows.  Chosen hits are stored once; windows of the references, each about as long as its
     query allows, are cut where these are read, and then dealt with their query.
@@ -57,6 +57,6 @@ def align_reads(queries: DataFrame, q_key: str, references: DataFrame, r_key: st
         F.when(turned, F.col("len") - F.col("q_end")).otherwise(F.col("q_start")).alias("qs"),
         F.when(turned, F.col("len") - F.col("q_start")).otherwise(F.col("q_end")).alias("qe"),
         (F.col("t_start") + F.col("w_from")).alias("rs"), (F.col("t_end") + F.col("w_from")).alias("re"),
-        "score", "cigar", "nm", "md", "matches", "columns", "n_ambi", "dp_max", "anchors", "mapq",
+        "score", "cigar", "nm", "md", "matches", "columns", "n_ambi", "dp_max", "anchors", "cs", "mapq",
     )
     return scoring.inversion_quality(placed)

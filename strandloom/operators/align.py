@@ -257,6 +257,44 @@ def edit_summary(q: np.ndarray, t: np.ndarray, cigar: str) -> tuple[str, int, st
     return run_length("".join(ops)), nm, f"{md}{run}", same, columns
 
 
+def difference_string(q: np.ndarray, t: np.ndarray, cigar: str) -> str:
+    """cs tag of an alignment of q and t from their beginnings: :n equal bases, *ab a base of t for one of q, +q inserted,
+    -t deleted bases, ~ an intron with its first and last two bases."""
+    from strandloom.functions.cigar import parse
+
+    letters = np.frombuffer(b"acgtn", np.uint8)
+    told = lambda codes: letters[np.minimum(codes, 4)].tobytes().decode()
+    out, i, j, equal = [], 0, 0, 0
+
+    def close() -> None:
+        nonlocal equal
+        if equal:
+            out.append(f":{equal}")
+        equal = 0
+
+    for n, op in parse(cigar):
+        if op == "M":
+            x, y = q[i : i + n], t[j : j + n]
+            before = -1
+            for k in np.flatnonzero(x != y).tolist():
+                equal += k - before - 1
+                close()
+                out.append(f"*{told(y[k : k + 1])}{told(x[k : k + 1])}")
+                before = k
+            equal += n - before - 1
+            i, j = i + n, j + n
+            continue
+        close()
+        if op == "I":
+            out.append(f"+{told(q[i : i + n])}")
+            i += n
+        else:
+            out.append(f"-{told(t[j : j + n])}" if op == "D" else f"~{told(t[j : j + 2])}{n}{told(t[j + n - 2 : j + n])}")
+            j += n
+    close()
+    return "".join(out)
+
+
 _RESULT = "score int, q_end int, t_end int, cigar string, zdropped boolean, eqx string, nm int, md string, matches int, columns int"
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.cigar import left_aligned, parse
 from strandloom.functions.sequence import AMBIGUOUS, base_codes
-from strandloom.operators.align import Scoring, _merge, _reverse, _turned, align_global, align_local, edit_summary, extend
+from strandloom.operators.align import Scoring, _merge, _reverse, _turned, align_global, align_local, difference_string, edit_summary, extend
 from strandloom.operators.repair import repair
 
 #: Bits of ``split``: a region goes on in the next one; it goes on from the one before.
@@ -234,7 +234,7 @@ def peak_score(q: np.ndarray, t: np.ndarray, cigar: str, s: Scoring = Scoring())
 
 _SCHEMA = (
     "piece int, inv boolean, split int, q_start int, q_end int, t_start int, t_end int, score int, cigar string, nm int, md string, "
-    "matches int, columns int, n_ambi int, dp_max double, anchors int"
+    "matches int, columns int, n_ambi int, dp_max double, anchors int, cs string"
 )
 
 
@@ -246,7 +246,7 @@ def aligned_regions(df: DataFrame, key: tuple[str, ...], span: int, scoring: Sco
     """
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    kinds = [pa.int32(), pa.bool_(), *[pa.int32()] * 6, pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 3, pa.float64(), pa.int32()]
+    kinds = [pa.int32(), pa.bool_(), *[pa.int32()] * 6, pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 3, pa.float64(), pa.int32(), pa.string()]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +262,7 @@ def aligned_regions(df: DataFrame, key: tuple[str, ...], span: int, scoring: Sco
                     own = _turned(x) if region.inv else x
                     a, b = own[region.q_start : region.q_end], y[region.t_start : region.t_end]
                     edits = edit_summary(a, b, region.cigar)[1:]
-                    extra = ambiguous_bases(a, b, region.cigar), peak_score(a, b, region.cigar, scoring), region.stop - region.first
+                    extra = ambiguous_bases(a, b, region.cigar), peak_score(a, b, region.cigar, scoring), region.stop - region.first, difference_string(a, b, region.cigar)
                     owner.append(r)
                     rows.append((n, region.inv, region.split, *region[:4], region.score, region.cigar, *edits, *extra))
             values = list(zip(*rows, strict=True)) or [()] * len(names)

@@ -91,6 +91,22 @@ def paf_lines(hits: DataFrame, q_len: DataFrame, r_len: DataFrame) -> DataFrame:
     return named.select("read_id", F.concat_ws("\t", *texts).alias("line"))
 
 
+def paf_alignments(aligned: DataFrame, q_len: DataFrame, r_len: DataFrame) -> DataFrame:
+    """(read_id, line): records of ``align_reads``' regions, twelve columns and the tags NM, AS, ms, nn, tp, cm, cg and cs.
+
+    tp is P for primaries, S for secondaries and I for inversions; a secondary's quality is 0.  Ids stand for names.
+    """
+    named = aligned.join(q_len.select(F.col("rid").alias("read_id"), F.col("len").alias("q_len")), "read_id").join(
+        r_len.select("rid", F.col("len").alias("r_len")), "rid"
+    )
+    kind = F.when(F.col("inv"), "I").when(F.col("place") == F.col("parent"), "P").otherwise("S")
+    cells = ["read_id", "q_len", "qs", "qe", F.when(F.col("rev"), "-").otherwise("+"), "rid", "r_len", "rs", "re", "matches", "columns", "mapq"]
+    tags = {"NM:i": "nm", "AS:i": "score", "ms:i": F.floor("dp_max"), "nn:i": "n_ambi", "tp:A": kind, "cm:i": "anchors", "cg:Z": "cigar", "cs:Z": "cs"}
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cells]
+    tagged = [F.concat(F.lit(f"{t}:"), (F.col(c) if isinstance(c, str) else c).cast("string")) for t, c in tags.items()]
+    return named.select("read_id", F.concat_ws("\t", *texts, *tagged).alias("line"))
+
+
 def other_places(hits: DataFrame) -> DataFrame:
     """(read_id, xa): a read's hits after the first, as rid,strand and 1-based place,matched bases; by place."""
     item = F.concat(F.col("rid").cast("string"), F.lit(","), F.when(F.col("rev"), "-").otherwise("+"), (F.col("rs") + 1).cast("string"), F.lit(","), (F.col("qe") - F.col("qs")).cast("string"), F.lit("M;"))

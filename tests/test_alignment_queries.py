@@ -184,3 +184,52 @@ def test_rescued_mates_equal_brute_force(spark, tables):
         if scored:
             assert (modelled[k].total, modelled[k].sub, modelled[k].pairs) == (scored[0], (scored + [0])[1] if len(scored) > 1 else 0, len(scored))
     assert modelled
+
+
+def redone(cs, target):
+    """(query, edits, gap bases of both sides) that a cs tag makes of a target, which it must agree with."""
+    import re
+
+    at, out, edits = 0, [], 0
+    for op, value in re.findall(r"([:*+\-~])([a-z0-9]+)", cs):
+        if op == ":":
+            out.append(target[at : at + int(value)])
+            at += int(value)
+        elif op == "*":
+            assert target[at] == value[0].upper() and value[0] != value[1]
+            out.append(value[1].upper())
+            at, edits = at + 1, edits + 1
+        elif op == "+":
+            out.append(value.upper())
+            edits += len(value)
+        elif op == "-":
+            assert target[at : at + len(value)] == value.upper()
+            at, edits = at + len(value), edits + len(value)
+    assert at == len(target)
+    return "".join(out), edits
+
+
+def test_paf_records_make_the_query_again(spark, tables):
+    benchmark, genome = tables
+    reads = {k: f + turned(m) + e for k, (f, m, e) in ((k, thirds(t)) for k, t in benchmark.items())}
+    rows = [r.line.split("\t") for r in QUERIES["paf_alignments"](spark, DATA).collect()]
+    kinds = set()
+    for cells in rows:
+        name, q_len, qs, qe, strand, rid, r_len, rs, re_, matches, columns, mapq = cells[:12]
+        tags = dict(x.split(":", 1) for x in cells[12:])
+        read, target = reads[int(name)], genome[int(rid)]
+        assert (int(q_len), int(r_len)) == (len(read), len(target)) and 0 <= int(mapq) <= 60
+        part = read[int(qs) : int(qe)]
+        query, edits = redone(tags["cs"][2:], target[int(rs) : int(re_)])
+        assert query == (turned(part) if strand == "-" else part)
+        assert edits == int(tags["NM"][2:]) == int(columns) - int(matches)
+        kinds.add(tags["tp"])
+    assert {"A:P", "A:I"} <= kinds and len(rows) == QUERIES["inverted_passages"](spark, DATA).count()
+
+
+def test_difference_string():
+    q, t = base_codes("ACGTTTGA", "dna"), base_codes("ACCTGA", "dna")
+    assert align.difference_string(q, t, "4M2I2M") == ":2*cg:1+tt:2"
+    assert align.difference_string(t, q, "4M2D2M") == ":2*gc:1-tt:2"
+    assert align.difference_string(base_codes("ACGT", "dna"), base_codes("ACGTCCAGGT", "dna"), "2M6N2M") == ":2~gt6ag:2"
+    assert align.difference_string(q, t, "") == ""
