@@ -194,3 +194,9 @@ def paf_alignments(spark: SparkSession, d: str) -> DataFrame:
     reads, genome = _benchmark(spark, d), _documents(spark, d)
     lens = mapping.lengths(reads, "item_id"), mapping.lengths(genome, "doc_id")
     return scoring.paf_alignments(inverted_passages(spark, d), *lens)
+
+
+@_register()
+def sam_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """SAM records of the pairs of ``rescued_mates``, with their mates' fields."""
+    return pairs.sam_pairs(_pairs(spark, d), "item_id", _genome(spark, d), "doc_id", PAIRED, min_count=3, prefix="doc")

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from strandloom.functions import cigar as cigars
 from strandloom.jobs import mapping
 from strandloom.jobs.options import Options
-from strandloom.operators import align, hits, mates
+from strandloom.operators import align, hits, mates, records, scoring
 from strandloom.shared import Workspace
 
 
@@ -106,3 +107,54 @@ def map_pairs(
     hit_rows = work.stash(every["a"].withColumn("seg", F.lit(0)).unionByName(every["b"].withColumn("seg", F.lit(1))), "hits")
     ends = (hit_rows.where(F.col("seg") == k).drop("seg") for k in (0, 1))
     return Pairs(hit_rows, bounds, pair_by_model(*ends, bounds, options.match))
+
+
+#: Bases beyond a hit in which the rest of its read is aligned.
+PAD = 20
+
+
+def aligned_ends(chosen: DataFrame, reads: DataFrame, references: DataFrame, r_key: str, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """Hits (read_id, seg, place, rid, rev, qs, qe, rs, re, ...) with the local alignment of their whole end around them.
+
+    ``reads`` has (read_id, seg, text).  Windows are as long as an end and PAD on both sides, cut where references are read.
+    """
+    met = chosen.join(reads.select("read_id", "seg", F.coalesce(F.length("text"), F.lit(0)).alias("len")), ["read_id", "seg"])
+    lead = F.when(F.col("rev"), F.col("len") - F.col("qe")).otherwise(F.col("qs"))
+    begin = F.greatest(F.lit(0), F.col("rs") - lead - PAD)
+    key = ("read_id", "seg", "place", "rid", "rev", "w_from", "len")
+    spans = met.select(*key[:-2], begin.alias("w_from"), "len", (F.col("re") + F.col("len") - lead - (F.col("qe") - F.col("qs")) + PAD - begin).alias("w_len"))
+    cut = mapping.windows(spans, references, r_key, mapping.few(spans))
+    rows = cut.join(reads.select("read_id", "seg", F.col("text").alias("q")), ["read_id", "seg"])
+    return align.align_parts(rows, key, ungapped_score(options), options.alphabet)
+
+
+def sam_pairs(
+    pairs: DataFrame, key: str, references: DataFrame, r_key: str, options: Options = Options(), left: str = "text", right: str = "mate_text",  # noqa: B008
+    min_seed: int = mates.MIN_SEED, min_count: int = 10, prefix: str = "ref",
+) -> DataFrame:
+    """(read_id, seg, place, line): SAM records of both reads of every fragment, as ``map_pairs`` places them.
+
+    The best pair's hits are proper; an end that is in no pair has its best hit, if any.  mapq is that of short reads, by
+    the end's other hits; XS is the best other one's score.  Names are the fragment's key and ``prefix`` with the reference's.
+    """
+    work = Workspace(references.sparkSession)
+    found = map_pairs(pairs, key, references, r_key, options, left, right, min_seed, min_count)
+    names = ("read_id", "rid", "rev", "qs", "qe", "rs", "re", "score")
+    best = work.stash(found.best, "best")
+    proper = [best.select("read_id", F.lit(seg).alias("seg"), "rid", *[F.col(f"{s}.{c}").alias(c) for c in names[2:]], F.lit(True).alias("proper")) for seg, s in ((0, "a"), (1, "b"))]
+    paired = proper[0].unionByName(proper[1])
+    order = Window.partitionBy("read_id", "seg").orderBy(F.desc("score"), "rid", "rev", "rs", "qs")
+    single = found.hits.join(paired.select("read_id", "seg"), ["read_id", "seg"], "left_anti").withColumn("s_place", F.row_number().over(order))
+    firsts = paired.unionByName(single.where("s_place = 1").select("read_id", "seg", *names[1:], F.lit(False).alias("proper")))
+    ranked = scoring.rivals(found.hits.withColumn("read_id", F.struct("read_id", "seg"))).withColumn("frac_rep", F.lit(0.0))
+    quality = scoring.mapq_short(ranked, options.match, options.mismatch, min_seed).select("read_id.read_id", "read_id.seg", *names[1:-1], "sub", "mapq")
+    chosen = work.stash(firsts.join(quality, ["read_id", "seg", *names[1:-1]]).withColumn("place", F.lit(1)), "chosen")
+    reads = _end(pairs, key, left).withColumn("seg", F.lit(0)).unionByName(_end(pairs, key, right).withColumn("seg", F.lit(1)))
+    told = aligned_ends(chosen, reads, references, r_key, options).join(chosen.select("read_id", "seg", "sub", "mapq", "proper"), ["read_id", "seg"])
+    lines = told.select(
+        "read_id", "seg", "place", F.concat(F.lit(prefix), F.col("rid").cast("string")).alias("rname"), (F.col("t_start") + F.col("w_from")).alias("pos"), "rev",
+        cigars.clipped(F.col("cigar"), F.col("q_start"), F.col("len") - F.col("q_end")).alias("cigar"), "mapq",
+        records.tags(F.col("nm"), F.col("md"), F.col("score"), F.col("sub")).alias("tags"), "proper", F.lit("").alias("sa"),
+    )
+    named = reads.select("read_id", "seg", F.col("read_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return records.pair_records(named, lines)

@@ -436,3 +436,37 @@ def align_chained(df: DataFrame, key: tuple[str, ...], span: int, scoring: Scori
             )
 
     return df.select(*[F.col(k) for k in key], "q", "t", "rev", "points").mapInArrow(emit, f"{fields}, {_CHAINED}")
+
+
+_LOCAL = "score int, q_start int, q_end int, t_start int, t_end int, second int, cigar string, nm int, md string"
+
+
+def align_parts(df: DataFrame, key: tuple[str, ...], scoring: Scoring = Scoring(), alphabet: str = "dna", turned: str = "rev") -> DataFrame:  # noqa: B008
+    """Best local alignment of rows (key, q, t, turned), with its CIGAR; on the reverse strand the query is turned.
+
+    Places count on the hit's strand and in ``t``.  Null texts and those without a matching base have no row.
+    """
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    names = [x.split()[0] for x in _LOCAL.split(", ")]
+    kinds = [*[pa.int32()] * 6, pa.string(), pa.int32(), pa.string()]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for r, (a, b, turn) in enumerate(zip(*(batch.column(len(key) + k).to_pylist() for k in range(3)), strict=True)):
+                x, y = base_codes(a or "", alphabet), base_codes(b or "", alphabet)
+                x = _turned(x) if turn else x
+                found = align_local(x, y, scoring)
+                if not found.score:
+                    continue
+                own, other = x[found.q_start : found.q_end], y[found.t_start : found.t_end]
+                cigar = align_global(own, other, scoring).cigar
+                owner.append(r)
+                rows.append((*found, cigar, *edit_summary(own, other, cigar)[1:3]))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            taken = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(taken) for k in range(len(key))), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], [*key, *names]
+            )
+
+    return df.select(*[F.col(k) for k in key], "q", "t", turned).mapInArrow(emit, f"{fields}, {_LOCAL}")

@@ -52,6 +52,53 @@ def sam_records(reads: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.select("read_id", line.alias("line"))
 
 
+def supplementary(hits: DataFrame) -> DataFrame:
+    """(read_id, seg, place, sa): for each of an end's primary lines the others, as rname,pos,strand,cigar,mapq,NM; each.
+
+    ``hits`` has (read_id, seg, place, rname, pos, rev, cigar, mapq, nm), pos counted from 0; an end has few of them.
+    """
+    item = F.concat_ws(",", "rname", (F.col("pos") + 1).cast("string"), F.when(F.col("rev"), "-").otherwise("+"), "cigar", F.col("mapq").cast("string"), F.col("nm").cast("string"))
+    own = hits.select("read_id", "seg", "place", F.concat(item, F.lit(";")).alias("item"))
+    gathered = own.groupBy("read_id", "seg").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("all"))
+    others = F.filter("all", lambda x: x["place"] != F.col("place"))
+    met = own.drop("item").join(gathered, ["read_id", "seg"])
+    return met.select("read_id", "seg", "place", F.array_join(F.transform(others, lambda x: x["item"]), "").alias("sa"))
+
+
+def pair_records(reads: DataFrame, hits: DataFrame) -> DataFrame:
+    """(read_id, seg, place, line): tab-separated records of both ends of every fragment, with the fields of their mates.
+
+    ``reads`` has (read_id, seg, name, seq, qual), seg 0 and 1; ``hits`` (read_id, seg, place, rname, pos, rev, cigar,
+    mapq, tags, proper, sa), place 1 an end's first line and the mates' place, the others supplementary.  An end without a
+    hit stands where its mate's first line is, on its strand; without that too, it is nowhere.
+    """
+    placed = reads.join(hits, ["read_id", "seg"], "left").withColumn("place", F.coalesce("place", F.lit(1)))
+    rlen = F.when(F.col("cigar").isNotNull(), cigars.reference_length(F.col("cigar")))
+    held = placed.withColumns({"mapped": F.col("rname").isNotNull(), "rlen": rlen})
+    m = held.where("place = 1").select("read_id", (1 - F.col("seg")).alias("seg"), *[F.col(c).alias(f"m_{c}") for c in ("rname", "pos", "rev", "mapped", "rlen")])
+    met = held.join(m, ["read_id", "seg"], "left").withColumn("m_mapped", F.coalesce("m_mapped", F.lit(False)))
+    met = met.withColumns({c: F.when(F.col("mapped"), F.col(c)).otherwise(F.col(f"m_{c}")) for c in ("rname", "pos", "rev")})
+    met = met.withColumns({f"m_{c}": F.when(F.col("m_mapped"), F.col(f"m_{c}")).otherwise(F.col(c)) for c in ("rname", "pos", "rev")})
+    rev, m_rev = F.coalesce("rev", F.lit(False)), F.coalesce("m_rev", F.lit(False))
+    bit = lambda c, v: F.when(c, F.lit(v)).otherwise(F.lit(0))
+    flag = bit(F.lit(True), 0x1) + bit(F.coalesce("proper", F.lit(False)), 0x2) + bit(~F.col("mapped"), 0x4) + bit(~F.col("m_mapped"), 0x8)
+    flag = flag + bit(rev, 0x10) + bit(m_rev, 0x20) + F.when(F.col("seg") == 0, 0x40).otherwise(0x80) + bit(F.col("place") > 1, 0x800)
+    here = F.col("pos") + F.when(rev, F.col("rlen") - 1).otherwise(0)
+    there = F.col("m_pos") + F.when(m_rev, F.col("m_rlen") - 1).otherwise(0)
+    both = F.col("mapped") & F.col("m_mapped") & (F.col("rname") == F.col("m_rname"))
+    size = F.when(both, there - here + F.signum(there - here).cast("int")).otherwise(0)
+    text = lambda c, otherwise: F.coalesce(c.cast("string"), F.lit(otherwise))
+    cells = [
+        F.col("name"), flag.cast("string"), text(F.col("rname"), "*"), text(F.col("pos") + 1, "0"), text(F.when(F.col("mapped"), F.col("mapq")), "0"),
+        text(F.when(F.col("mapped"), F.col("cigar")), "*"), F.when(F.col("m_rname").isNull(), "*").when(F.col("rname") == F.col("m_rname"), "=").otherwise(F.col("m_rname")),
+        text(F.col("m_pos") + 1, "0"), size.cast("string"),
+        F.when(F.length("seq") > 0, F.when(rev, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))).otherwise("*"),
+        F.coalesce(F.when(rev, F.reverse("qual")).otherwise(F.col("qual")), F.lit("*")),
+        F.when(F.col("mapped"), F.col("tags")), F.when(F.col("mapped") & (F.col("sa") != ""), F.concat(F.lit("SA:Z:"), "sa")),
+    ]
+    return met.select("read_id", "seg", "place", F.concat_ws("\t", *cells).alias("line"))
+
+
 def cigar_lines(hits: DataFrame) -> DataFrame:
     """(read_id, line): the read's id and a CIGAR, as [read id:N] and a tab."""
     return hits.select("read_id", F.concat(F.lit("[read id:"), F.col("read_id").cast("string"), F.lit("]\t"), F.col("cigar")).alias("line"))

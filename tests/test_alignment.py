@@ -12,7 +12,7 @@ from strandloom.functions import cigar as cigars
 from strandloom.functions.sequence import base_codes
 from strandloom.jobs import alignment, mapping, pairs
 from strandloom.jobs.options import Options, from_settings
-from strandloom.operators import align, mates, regions, repair
+from strandloom.operators import align, mates, records, regions, repair
 
 DNA = Options(alphabet="dna")
 
@@ -430,3 +430,75 @@ def test_rescue_equals_brute_force_over_every_window(spark):
     got = found.collect()
     assert {(x.read_id, x.rev, x.score) for x in got} == set(want) and len(want) >= 2
     assert all((x.rs if (x.read_id == 1) else x.re) in want[x.read_id, x.rev, x.score] or x.read_id == 1 for x in got)
+
+
+def slow_record(cells, seg, own, mate):
+    """Flag, place, mate's place and template length by the format's rules; own and mate are (rname, pos, rev, cigar) or None."""
+    here, there = own or mate, mate or own
+    flag = 1 | (0 if own else 4) | (0 if mate else 8) | (64 if seg == 0 else 128)
+    if here:
+        flag |= (16 if here[2] else 0) | (32 if there[2] else 0)
+    size = 0
+    if own and mate and own[0] == mate[0]:
+        ends = [x[1] + (sum(n for n, op in cigars.parse(x[3]) if op in "MD") - 1 if x[2] else 0) for x in (own, mate)]
+        size = ends[1] - ends[0] + (ends[1] > ends[0]) - (ends[1] < ends[0])
+    place = (here[0], str(here[1] + 1)) if here else ("*", "0")
+    other = (("=" if there[0] == place[0] else there[0]), str(there[1] + 1)) if there else ("*", "0")
+    return flag, (*place, *other, str(size))
+
+
+def test_pair_records_have_their_mates_fields(spark):
+    reads = [(k, seg, f"f{k}", "ACGTTG" if seg else "GGCATC", "IIIIJK") for k in range(6) for seg in (0, 1)]
+    spots = {
+        (0, 0): ("c1", 100, False, "6M"), (0, 1): ("c1", 300, True, "2S3M1D1M"), (1, 0): ("c1", 300, True, "6M"), (1, 1): ("c1", 100, False, "6M"),
+        (2, 0): ("c1", 5, True, "6M"), (3, 1): ("c2", 7, False, "1I5M"), (4, 0): ("c1", 9, False, "6M"), (4, 1): ("c2", 9, False, "6M"),
+    }
+    schema = "read_id long, seg int, place int, rname string, pos int, rev boolean, cigar string, mapq int, tags string, proper boolean, sa string"
+    rows = [(k, seg, 1, *x[:4], 30 + seg, "NM:i:0", k == 0, "") for (k, seg), x in spots.items()]
+    rows += [(1, 0, 2, "c3", 40, False, "3S3M", 9, "NM:i:1", False, "c1,301,-,6M,30,0;")]
+    found = records.pair_records(spark.createDataFrame(reads, "read_id long, seg int, name string, seq string, qual string"), spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 13
+    for x in found:
+        cells = x.line.split("\t")
+        own, mate = spots.get((x.read_id, x.seg)), spots.get((x.read_id, 1 - x.seg))
+        if x.place == 2:
+            assert cells[1:4] == ["2113", "c3", "41"] and cells[-1] == "SA:Z:c1,301,-,6M,30,0;"
+            continue
+        flag, place = slow_record(cells, x.seg, own, mate)
+        assert int(cells[1]) == flag | (2 if x.read_id == 0 else 0) and (cells[2], cells[3], *cells[6:9]) == place
+        turn = (own or mate or (0, 0, False))[2]
+        seq = reads[2 * x.read_id + x.seg][3]
+        assert cells[9:11] == ([turned(seq), "KJIIII"] if turn else [seq, "IIIIJK"])
+        assert cells[4:6] == ([str(30 + x.seg), own[3]] if own else ["0", "*"]) and len(cells) == (12 if own else 11)
+
+
+def test_supplementary_lines_name_the_others(spark):
+    rows = [(1, 0, 1, "c1", 9, False, "6M", 60, 0), (1, 0, 2, "c2", 4, True, "3S3M", 7, 1), (2, 1, 1, "c1", 0, False, "6M", 3, 2)]
+    df = spark.createDataFrame(rows, "read_id long, seg int, place int, rname string, pos int, rev boolean, cigar string, mapq int, nm int")
+    found = {(r.read_id, r.place): r.sa for r in records.supplementary(df).collect()}
+    assert found == {(1, 1): "c2,5,-,3S3M,7,1;", (1, 2): "c1,10,+,6M,60,0;", (2, 1): ""}
+
+
+def test_sam_pairs_of_planted_fragments(spark):
+    genome = dna(50, 15_000)
+    rows = fragments(genome)
+    rows[4][2] = broken(rows[4][2])
+    rows[6][2], rows[7][1], rows[8][1], rows[8][2] = dna(51, 150), None, None, ""
+    rows[9][2] = rows[9][2][:70] + rows[9][2][73:]  # three bases lacking
+    df = spark.createDataFrame([tuple(r[:3]) for r in rows], "frag long, text string, mate_text string")
+    found = pairs.sam_pairs(df, "frag", frame(spark, [genome], "doc_id"), "doc_id", PAIRED).collect()
+    assert len(found) == 80
+    lines = {(x.read_id, x.seg): x.line.split("\t") for x in found}
+    for k, (_, text, mate, start, stop) in enumerate(rows):
+        a, b = lines[k, 0], lines[k, 1]
+        if k in (6, 7, 8):
+            assert (int(a[1]) & 2, int(b[1]) & 2) == (0, 0)
+            continue
+        assert int(a[1]) == 1 | 2 | 64 | (16 if k % 2 else 32) and int(b[1]) == 1 | 2 | 128 | (32 if k % 2 else 16)
+        assert a[6] == b[6] == "=" and a[7] == b[3] and b[7] == a[3] and int(a[8]) == -int(b[8]) and abs(abs(int(a[8])) - (stop - start)) <= 8
+        if k not in (4, 9):
+            assert a[5] == b[5] == "150M" and (int(a[3]) - 1, int(b[3]) - 1) == ((stop - 150, start) if k % 2 else (start, stop - 150))
+            assert abs(int(a[8])) == stop - start and "NM:i:0" in a and int(a[4]) > 0
+    assert "3D" in lines[9, 1][5] and "NM:i:3" in lines[9, 1] and int(lines[4, 1][11].split(":")[2]) >= 10
+    assert int(lines[6, 1][1]) & 4 and lines[6, 1][2] == "ref0" and int(lines[6, 0][1]) & 8
+    assert [int(lines[8, s][1]) for s in (0, 1)] == [1 | 4 | 8 | 64, 1 | 4 | 8 | 128] and lines[8, 0][9] == "*"
