@@ -1,7 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is encoded by halves: leaves of a few words match by match, each match merged by the ranks, and two encoded
-neighbours are joined by re-encoding a window of tokens around the seam.  The window grows until both of its edges are stable, that is
+A text is encoded by halves: leaves of a few words match by match, and two encoded neighbours are joined by re-encoding a
+window of tokens around the seam.  The window grows until both of its edges are stable, that is
 
 * the edge lies between a non-blank and a following white-space character, where every match of the split
   pattern ends whatever surrounds it; or
@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,8 +32,6 @@ from strandloom.llm.tokens import text_slices
 LEAF_CHARS = 512
 #: Matches up to so many code points are remembered with their ids, this many of them.
 _KEPT_CHARS, _KEPT = 48, 1 << 16
-#: Bytes from which on a match's pairs are held in a heap.
-_HEAP_FROM = 48
 #: A code point that is no white space, letter or number to any engine.
 _NEITHER = 0x0378
 #: Code points before an edge that must be of its class for it to count as inside a match.
@@ -65,6 +62,7 @@ class TreeCodec:
         self._leaf = leaf_chars
         self._odd = dict.fromkeys(odd_letters() if odd is None else odd, _NEITHER)
         self._first_odd = chr(min(self._odd, default=0x10FFFF))
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._pair = functools.lru_cache(1 << 14)(self._pair_stands)
         self._match = functools.lru_cache(_KEPT)(self._merged_text)
 
@@ -94,15 +92,14 @@ class TreeCodec:
         return self._merged(piece.encode())
 
     def _merged(self, piece: bytes) -> list[int]:
-        """Ids of one match: neighbours whose union has the least rank are merged until none has a rank."""
-        whole = self._ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        merge = self._merge_by_heap if len(parts) >= _HEAP_FROM else self._merge_by_scan
-        return [self._ranks[p] for p in merge(parts)]
+        """Ids of one match, merged by the library: of those that aren't remembered there are very many in a large text."""
+        return self._encoding._encode_single_piece(piece)
 
-    def _merge_by_scan(self, parts: list[bytes]) -> list[bytes]:
+    def by_merges(self, piece: bytes) -> list[int]:
+        """Ids of one match by the definition: neighbours whose union has the least rank are merged until none has a rank."""
+        if piece in self._ranks:
+            return [self._ranks[piece]]
+        parts = [piece[i : i + 1] for i in range(len(piece))]
         rank, none = self._ranks.get, len(self._ranks) + 1
         pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs:
@@ -116,37 +113,10 @@ class TreeCodec:
                 pairs[k - 1] = rank(parts[k - 1] + one, none)
             if k < len(pairs):
                 pairs[k] = rank(one + parts[k + 1], none)
-        return parts
-
-    def _merge_by_heap(self, parts: list[bytes]) -> list[bytes]:
-        """The same with the pairs in a heap, by rank and then place; a pair that changed since is passed over."""
-        n = len(parts)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[int, int, bytes, bytes]] = []
-
-        def offer(a: int) -> None:
-            b = after[a]
-            if b < n and (rank := self._ranks.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (rank, a, parts[a], parts[b]))
-
-        for a in range(n - 1):
-            offer(a)
-        while heap:
-            _, a, left, right = heapq.heappop(heap)
-            b = after[a]
-            if parts[a] != left or b >= n or parts[b] != right:
-                continue
-            parts[a], parts[b] = left + right, b""
-            after[a] = after[b]
-            if after[b] < n:
-                before[after[b]] = a
-            if before[a] >= 0:
-                offer(before[a])
-            offer(a)
-        return [p for p in parts if p]
+        return [self._ranks[p] for p in parts]
 
     def _pair_stands(self, left: int, right: int) -> bool:
-        return self._merged(self._bytes[left] + self._bytes[right]) == [left, right]
+        return self.by_merges(self._bytes[left] + self._bytes[right]) == [left, right]
 
     def _stable(self, text: str, at: int, left: int, right: int) -> bool:
         if _hard(text, at):

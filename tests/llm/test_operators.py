@@ -751,12 +751,15 @@ def test_letters_that_one_engine_does_not_know(ranks):
         assert codec.encode(text) == plain.encode_ordinary(text)
 
 
-def test_merges_by_heap_equal_merges_by_scan(ranks):
+def test_matches_equal_merges_by_the_definition(spark, ranks):
+    """Every different match of the given documents, and invented ones, merged pair by pair in plain code."""
+    import regex
+
     codec, rng = bpe.TreeCodec(ranks, public_tokenizers.PATTERN), random.Random(4)
-    for _ in range(300):
-        piece = "".join(rng.choice(["ing", "the", "a", "b", "é", "xx", "日"]) for _ in range(rng.randrange(1, 60))).encode()
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        assert codec._merge_by_heap(list(parts)) == codec._merge_by_scan(list(parts))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    pieces = {m.encode() for t in texts for m in regex.findall(public_tokenizers.PATTERN, t)}
+    pieces |= {"".join(rng.choice(["ing", "the", "a", "b", "é", "xx", "日"]) for _ in range(rng.randrange(1, 40))).encode() for _ in range(300)}
+    assert len(pieces) > 5000 and all(codec.by_merges(p) == codec._merged(p) for p in pieces)
 
 
 def test_every_token_encodes_to_itself(ranks):
