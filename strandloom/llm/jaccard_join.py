@@ -79,6 +79,17 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
+#: Buckets of the parity bitmap that travels with a row of the matrix; sets together of up to three and a half times as
+#: many shingles are told apart by it.
+MARK_BITS = 512
+
+
+def mark(shingles: np.ndarray) -> bytes:
+    """``parity`` with a fixed number of buckets."""
+    place = (shingles & np.uint64(MARK_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=MARK_BITS) & 1, bitorder="little").tobytes()
+
+
 def min_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Least intersection with which sets of n and m shingles link: 7 * overlap >= 3 * (n + m)."""
     return -(-3 * (n + m) // 7)
@@ -91,14 +102,15 @@ def _row_name(key: str, text: str) -> Column:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, bits = [], [], []
+        sizes, keys, bits, marks = [], [], [], []
         for found in shingle_sets(batch.column(1)):
             sizes.append(len(found))
             keys.append(set_key(found))
             bits.append(parity(found) if len(found) else None)
+            marks.append(mark(found) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())],
-            ["doc_id", "row_name", "n_shingles", "cls", "bits"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
+            ["doc_id", "row_name", "n_shingles", "cls", "bits", "mark"],
         )
 
 
@@ -276,12 +288,12 @@ def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, "near", "far"])
 
 
-#: Rows of one column compared at a time by step 3.
-_TILE = 2048
+#: Rows of one column compared at a time by step 3, and pairs whose marks are.
+_TILE, _MARKED = 2048, 1 << 16
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a column in different components that the size and position bounds allow.
+    """Pairs of a column in different components that the size and position bounds and their marks allow.
 
     Rows come sorted by h, part, few: first those outside the column's largest component (few), which are held, then
     all of the part.  In any pair sought one is among the first.
@@ -297,18 +309,19 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(bounds, bounds[1:], strict=False):
             key = tuple(int(part[k][a]) for k in ("h", "part", "few_part"))
             rows = {k: part[k][a:b] for k in names}
+            rows["mark"] = np.frombuffer(b"".join(batch.column("mark").slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
             is_few = part["few"][a:b]
             fresh = {k: v[is_few] for k, v in rows.items()}
-            few = fresh if key != before else {k: np.concatenate([few[k], fresh[k]]) for k in names}
+            few = fresh if key != before else {k: np.concatenate([few[k], fresh[k]]) for k in fresh}
             before = key
             yield from _across(few, {k: v[~is_few] for k, v in rows.items()})
 
 
 def _across(few: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for left in range(0, len(few["cls"]), _TILE):
-        x = {k: v[left : left + _TILE][:, None] for k, v in few.items()}
+        x = {k: v[left : left + _TILE][:, None] for k, v in few.items() if k != "mark"}
         for right in range(0, len(rows["cls"]), _TILE):
-            y = {k: v[right : right + _TILE][None, :] for k, v in rows.items()}
+            y = {k: v[right : right + _TILE][None, :] for k, v in rows.items() if k != "mark"}
             nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
             first = (nx < ny) | ((nx == ny) & (x["cls"] < y["cls"]))  # the row of few is the smaller set
             small, large = np.where(first, nx, ny), np.where(first, ny, nx)
@@ -317,6 +330,12 @@ def _across(few: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> Iterator
             fits &= first | (y["root"] == y["major"])  # a pair of two of few is met twice
             fits &= (4 * small >= 3 * large) & (reach >= min_overlap(nx, ny))
             i, j = np.nonzero(fits)
+            for some in range(0, len(i), _MARKED):
+                u, v = i[some : some + _MARKED], j[some : some + _MARKED]
+                apart = np.bitwise_count(few["mark"][left + u] ^ rows["mark"][right + v]).sum(1, dtype=np.int64)
+                kept = 7 * apart <= nx[u, 0] + ny[0, v]
+                fits[u[~kept], v[~kept]] = False
+            i, j = np.nonzero(fits)
             if len(i):
                 a, b, swap = few["cls"][left + i], rows["cls"][right + j], ~first[i, j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b))], ["x", "y"])
@@ -482,12 +501,12 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), _row_name(key, text).alias("row_name"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = work.stash(
-        docs.select("doc_id", "text", "row_name").mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long, bits binary"), "sized"
+        docs.select("doc_id", "text", "row_name").mapInArrow(_sizes, f"doc_id {kind}, row_name string, n_shingles long, cls long, bits binary, mark binary"), "sized"
     )
     reps = work.stash(
         sized.where("n_shingles > 0")
         .groupBy("cls")
-        .agg(F.min("row_name").alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits")),
+        .agg(F.min("row_name").alias("rep"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("mark").alias("mark")),
         "classes",
     )
 
@@ -521,6 +540,7 @@ def _placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, W
     work.drop("shared")
     second = work.stash(
         _open_columns(labelled, work)
+        .join(reps.select("cls", "mark"), "cls")
         .repartition(partitions, "h", "part", "few_part")
         .sortWithinPartitions("h", "part", "few_part", F.col("few").desc())
         .mapInArrow(_open_pairs, "x long, y long")

@@ -279,3 +279,41 @@ def test_unit_index_selects_every_end():
 def test_new_queries_read_the_given_tables(spark):
     documents = spark.read.schema(DOCUMENTS).parquet(f"{DATA}/documents.parquet").count()
     assert queries.op12_line_dedup(spark, DATA).count() == documents == queries.op13_fill_middle(spark, DATA).count()
+
+
+# --- 6. candidates of the Jaccard join
+
+
+def test_marks_bound_what_sets_have_not_in_common():
+    from strandloom.llm import jaccard_join
+
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        x, y = (np.frombuffer(jaccard_join.mark(v), np.uint64) for v in (a, b))
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(np.setxor1d(a, b)) and len(x) * 64 == jaccard_join.MARK_BITS
+
+
+@pytest.mark.parametrize("rows", [250, 500, 1000])
+def test_shared_paragraphs_give_few_candidates(spark, rows, monkeypatch):
+    """Documents of six of thirty paragraphs have next to no links; pairs that leave the tiles are few, not their square."""
+    from strandloom.llm import jaccard_join
+    from tests.llm.test_operators import brute_components
+
+    rng = random.Random(1)
+    paragraphs = [" ".join("w%d" % rng.randrange(5000) for _ in range(40)) for _ in range(30)]
+    texts = [(k, "\n".join(rng.sample(paragraphs, 6)), "en", "s", 0) for k in range(rows)]
+    counted, plain = {}, jaccard_join.Workspace.stash
+
+    def stash(self, df, name):
+        out = plain(self, df, name)
+        counted[name] = out.count() if name == "second" else None
+        return out
+
+    monkeypatch.setattr(jaccard_join.Workspace, "stash", stash)
+    found = jaccard_join.jaccard_components(hard(spark, texts)).collect()
+    assert counted["second"] <= rows // 10
+    if rows == 250:
+        assert sorted(map(tuple, found)) == sorted(brute_components(texts))
