@@ -304,12 +304,13 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         part = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in [*names, "few"]}
+        marks = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         changes = [part[k][1:] != part[k][:-1] for k in ("h", "part", "few_part")]
         bounds = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce(changes), [True]]))
         for a, b in zip(bounds, bounds[1:], strict=False):
             key = tuple(int(part[k][a]) for k in ("h", "part", "few_part"))
             rows = {k: part[k][a:b] for k in names}
-            rows["mark"] = np.frombuffer(b"".join(batch.column("mark").slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
+            rows["mark"] = marks[a:b]
             is_few = part["few"][a:b]
             fresh = {k: v[is_few] for k, v in rows.items()}
             few = fresh if key != before else {k: np.concatenate([few[k], fresh[k]]) for k in fresh}
