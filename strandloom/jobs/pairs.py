@@ -92,8 +92,8 @@ def map_pairs(
     rescued, if they match ``min_seed`` bases.  Hits of both ends are stored once.
     """
     work = Workspace(references.sparkSession)
-    stored = mapping.stored_index(references, r_key, options)
     reads = {"a": _end(pairs, key, left), "b": _end(pairs, key, right)}
+    stored = mapping.index_for(list(reads.values()), "read_id", references, r_key, options)
     columns = ["read_id", "rid", "rev", "qs", "qe", "rs", "re", "score"]
     seeded = {s: work.stash(mapping.map_best(r, "read_id", references, r_key, options, stored).select(*columns), f"seeded-{s}") for s, r in reads.items()}
     bounds = work.stash(hits.pair_statistics(mates.unique_pairs(seeded["a"], seeded["b"]), min_count), "bounds")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.jobs.mapping import map_reads, repeat_lengths, sketch_both, stored_index
+from strandloom.jobs.mapping import map_sketches, repeat_lengths, sketch_both
 from strandloom.jobs.options import Options
 from strandloom.operators import hits
 from strandloom.shared import Workspace
@@ -15,9 +15,8 @@ from strandloom.shared import Workspace
 
 def map_part(queries: DataFrame, q_key: str, part: DataFrame, r_key: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(hits, repeats) of one part of the references: ``map_reads`` and the lengths that its frequent seeds cover."""
-    stored = stored_index(part, r_key, options)
-    found = map_reads(queries, q_key, part, r_key, options, stored)
-    return found, repeat_lengths(sketch_both(queries, q_key, part, r_key, options, stored))
+    s = sketch_both(queries, q_key, part, r_key, options)
+    return map_sketches(s, options), repeat_lengths(s)
 
 
 def merge_hits(parts: Iterable[DataFrame], repeats: Iterable[DataFrame], options: Options = Options()) -> DataFrame:  # noqa: B008

@@ -3,6 +3,8 @@ reads that are left without a chain are seeded once more with a higher bound."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def select_seeds(s: Sketches, options: Options = Options(), most: int | None = N
 
 def _chains(selected: DataFrame, s: Sketches, options: Options, again: bool) -> DataFrame:
     kept = selected.where(~F.col("flt")).select("rid", "pos", "strand", "hash", "span")
-    anchors = seeds.skip_pairs(seeds.anchors(kept, s.references, s.lengths), options.no_diagonal, options.no_dual)
+    anchors = seeds.skip_pairs(seeds.anchors(kept, s.references, s.lengths, broadcast=s.few), options.no_diagonal, options.no_dual)
     if again:
         return chains.chain_again(anchors, s.lengths, options.band, options.band_long, options.max_gap, options.min_cnt, options.min_score)
     return chains.chain_dp(anchors, options.band, options.min_cnt, options.min_score)
@@ -52,7 +54,7 @@ def map_seeded(queries: DataFrame, q_key: str, references: DataFrame, r_key: str
         without = out.select("rid").distinct().join(found.select(F.col("read_id").alias("rid")), "rid", "left_anti")
         above = F.broadcast(s.mid_occ.where(F.col("mid_occ") < options.max_occ).select(F.lit(True).alias("s_above")))
         without = work.stash(without.join(above).drop("s_above"), "without")
-        later = Sketches(s.queries.join(without, "rid", "left_semi"), s.references, s.lengths, s.mid_occ)
+        later = replace(s, queries=s.queries.join(without, "rid", "left_semi"))
         second = work.stash(select_seeds(later, options, options.max_occ), "seeds-again")
         found = found.unionByName(_chains(second, s, options, False))
         out = out.join(without, "rid", "left_anti").unionByName(second.where("flt"))

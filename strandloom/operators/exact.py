@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ from strandloom.operators.sketch import minimizers
 MIN_SEED, MAX_OCC = 19, 500
 
 
-def all_kmers(df: DataFrame, key: str, text: str = "text", k: int = MIN_SEED) -> DataFrame:
-    """Every k-mer as a minimizer of windows of one, with its strand and hash."""
-    return minimizers(df, key, text, w=1, k=k)
+def all_kmers(df: DataFrame, key: str, text: str = "text", k: int = MIN_SEED, only: Broadcast | None = None) -> DataFrame:
+    """Every k-mer, or those of the hashes ``only``, as a minimizer of windows of one, with its strand and hash."""
+    return minimizers(df, key, text, w=1, k=k, only=only)
 
 
 def maximal_matches(anchors: DataFrame) -> DataFrame:

@@ -42,7 +42,11 @@ def frequency_threshold(
     Ranks come from the histogram of counts, which has a row for each different count and not for each hash.
     An empty index has the lower bound.
     """
-    histogram = occ.groupBy("occ").agg(F.count("*").alias("n"))
+    return threshold_of(occ.groupBy("occ").agg(F.count("*").alias("n")), fraction, low, high)
+
+
+def threshold_of(histogram: DataFrame, fraction: float = MID_OCC_FRACTION, low: int = MIN_MID_OCC, high: int = MAX_MID_OCC) -> DataFrame:
+    """``frequency_threshold`` from the histogram (occ, n) of the counts."""
     upto = Window.orderBy("occ").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = histogram.select(

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,41 +80,112 @@ def _joined(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, begins
 
 
+def _slices(batch: pa.RecordBatch, w: int, k: int, alphabet: str, compressed: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, pos, strand, hash, span) arrays of the minimizers of a batch (key, text), about SLICE_CHARS characters together."""
+    texts = [x or "" for x in batch.column(1).to_pylist()]
+    total = np.cumsum([len(t) for t in texts])
+    row = 0
+    while row < len(texts):
+        stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + SLICE_CHARS, side="right")))
+        codes, begins = _joined(texts[row:stop], alphabet)
+        pos, strand, hashed, span = sketch(codes, w, k, compressed)
+        owner = np.searchsorted(begins, pos, side="right") - 1
+        yield owner + row, pos - begins[owner], strand, hashed.astype(np.int64), span
+        row = stop
+
+
+class Known:
+    """A set of hashes: most others are told apart by their low bits, the rest by a search."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self._sorted, self._low = np.unique(hashes.astype(np.int64)), np.zeros(1 << self.BITS, bool)
+        self._low[self._sorted & (len(self._low) - 1)] = True
+
+    def where(self, hashed: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are in the set."""
+        at = np.flatnonzero(self._low[hashed & (len(self._low) - 1)])
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self._sorted, hashed[at]), len(self._sorted) - 1)
+        return at[self._sorted[place] == hashed[at]]
+
+
 def minimizers(
-    df: DataFrame, key: str, text: str = "text", w: int = W, k: int = K, alphabet: str = "text", compressed: bool = False
+    df: DataFrame, key: str, text: str = "text", w: int = W, k: int = K, alphabet: str = "text", compressed: bool = False, only: Broadcast | None = None
 ) -> DataFrame:
     """(rid, pos, strand, hash, span) of every whole sequence; null and short ones have none.
 
     Sequences are sketched where they are read, about SLICE_CHARS characters together: nothing is shuffled, and only
-    key and text are read.
+    key and text are read.  ``only``, a broadcast array of hashes, leaves out all others before they leave the task.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if only is None else Known(only.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            total = np.cumsum([len(t) for t in texts])
-            row = 0
-            while row < len(texts):
-                stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + SLICE_CHARS, side="right")))
-                codes, begins = _joined(texts[row:stop], alphabet)
-                pos, strand, hashed, span = sketch(codes, w, k, compressed)
-                owner = np.searchsorted(begins, pos, side="right") - 1
+            for row, pos, strand, hashed, span in _slices(batch, w, k, alphabet, compressed):
+                at = slice(None) if known is None else known.where(hashed)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(owner + row)),
-                        pa.array((pos - begins[owner]).astype(np.int32)),
-                        pa.array(strand.astype(np.int32)),
-                        pa.array(hashed.astype(np.int64)),
-                        pa.array(span.astype(np.int32)),
+                        batch.column(0).take(pa.array(row[at])),
+                        pa.array(pos[at].astype(np.int32)),
+                        pa.array(strand[at].astype(np.int32)),
+                        pa.array(hashed[at]),
+                        pa.array(span[at].astype(np.int32)),
                     ],
                     ["rid", "pos", "strand", "hash", "span"],
                 )
-                row = stop
 
     return df.select(F.col(key).alias("rid"), text).mapInArrow(emit, f"rid {kind}, {SCHEMA}")
 
 
+#: Minimizers that a task counts together, and the logarithm of the number of ranges into which their hashes are dealt.
+COUNTED, RANGE_BITS = 1 << 20, 10
+
+
+def occurrence_histogram(df: DataFrame, key: str, text: str = "text", w: int = W, k: int = K, alphabet: str = "text", compressed: bool = False) -> DataFrame:
+    """(occ, n): how many different minimizer hashes occur ``occ`` times.
+
+    The histogram of ``index.occurrences`` of ``minimizers``, without a row for each.  Tasks count COUNTED minimizers
+    together, so that a frequent hash is one of them, and send them as arrays, one for each range of hashes.
+    """
+    bits = 2 * k
+    shift = max(0, bits - RANGE_BITS)
+    word = np.uint32 if shift <= 32 else np.uint64
+
+    def packed(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(hashes), return_counts=True)
+        part = found >> shift
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = [*cut[1:].tolist(), len(found)]
+        low, n = (found & ((1 << shift) - 1)).astype(word), n.astype(np.uint32)
+        told = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] for x in (low, n)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *(pa.array(x, pa.binary()) for x in told)], ["part", "low", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, _, hashed, _ in _slices(batch, w, k, alphabet, compressed):
+                held.append(hashed)
+                size += len(hashed)
+                if size >= COUNTED:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        low, n = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("low", word), ("n", np.uint32)))
+        _, place = np.unique(low, return_inverse=True)
+        occ, times = np.unique(np.bincount(place, weights=n).astype(np.int64), return_counts=True)
+        return pa.table({"occ": occ, "n": times.astype(np.int64)})
+
+    parts = df.select(F.col(key), text).mapInArrow(pack, "part int, low binary, n binary").groupBy("part").applyInArrow(count, "occ long, n long")
+    return parts.groupBy("occ").agg(F.sum("n").alias("n"))
+
+
 def nucleotides(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, text): A, C, G and T for the characters' codes in the text alphabet, so that texts map as DNA; null stays."""
     kind = df.schema[key].dataType.simpleString()

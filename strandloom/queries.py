@@ -246,10 +246,11 @@ _EXACT = f"WITH {q.exact()}"
 
 def _exact(spark: SparkSession, d: str) -> DataFrame:
     reads, documents = _benchmark(spark, d), _documents(spark, d)
-    r = exact.all_kmers(documents, "doc_id", k=sketch.K)
     k = exact.all_kmers(reads, "item_id", k=sketch.K)
-    met = r.join(k.select("hash").distinct(), "hash", "left_semi")
-    return exact.maximal_matches(seeds.anchors(k, met, mapping.lengths(reads, "item_id")))
+    few = mapping.few(k)
+    r = exact.all_kmers(documents, "doc_id", k=sketch.K, only=mapping.known_hashes(k) if few else None)
+    met = r if few else r.join(k.select("hash").distinct(), "hash", "left_semi")
+    return exact.maximal_matches(seeds.anchors(k, met, mapping.lengths(reads, "item_id"), broadcast=few))
 
 
 @_register(f"{_EXACT} SELECT read_id, rid, rev, qbeg, qend, rbeg FROM x")
