@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import base_codes
 from strandloom.jobs.mapping import BROADCAST_ROWS, few, lengths, windows
-from strandloom.operators.align import Scoring, _turned, local_score
+from strandloom.operators.align import Scoring, _turned, local_scores
+from strandloom.shared import Workspace
 
 #: Bases looked at on either side, length from which a match needs no look, and the coefficients of the
 #: least score: of a chain's weight, of the logarithm of the read's length, and of the length up to which reads are short.
@@ -39,6 +41,7 @@ def score_seeds(
             "s_short": least > F.col("len") * short_part,
         }
     ).withColumn("w_len", F.col("rbeg") + size + FLANK - F.col("w_from"))
+    sized = Workspace(references.sparkSession).stash(sized, "matches")  # read twice
     cut = windows(sized, references, r_key, few(sized, BROADCAST_ROWS))
     rows = cut.join(queries.select(F.col(q_key).alias("read_id"), F.col("text").alias("q_text")), "read_id")
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
@@ -47,16 +50,21 @@ def score_seeds(
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, good = [], []
+            asked: dict[tuple[bytes, bytes], list[int]] = {}  # rows by their two windows, which copies of a reference share
+            codes: dict[str, np.ndarray] = {}
             columns = [c.to_pylist() for c in batch.columns[2:]]
-            for rev, begin, stop, _, low, high, least, short, q, t in zip(*columns, strict=True):
-                own = (stop - begin) * scoring.match
+            for row, (rev, begin, stop, _, low, high, least, short, q, t) in enumerate(zip(*columns, strict=True)):
+                scores.append((stop - begin) * scoring.match)
+                good.append(True)
                 if stop - begin < LONG and high - low < LONG and len(t) < LONG:
-                    x = base_codes(q, alphabet)
-                    own = local_score((_turned(x) if rev else x)[low:high], base_codes(t, alphabet), scoring)
-                    good.append(short or own >= least)
-                else:
-                    good.append(True)
-                scores.append(own)
+                    if q not in codes:
+                        codes[q] = base_codes(q, alphabet)
+                    x = codes[q]
+                    asked.setdefault(((_turned(x) if rev else x)[low:high].tobytes(), base_codes(t, alphabet).tobytes()), []).append(row)
+            found = local_scores([tuple(np.frombuffer(x, np.uint8) for x in pair) for pair in asked], scoring)
+            for own, rows_of in zip(found.tolist(), asked.values(), strict=True):
+                for row in rows_of:
+                    scores[row], good[row] = own, columns[7][row] or own >= columns[6][row]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(scores, pa.int32()), pa.array(good, pa.bool_())], [*key, "seed_score", "good"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", seed_score int, good boolean"
