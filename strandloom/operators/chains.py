@@ -1,19 +1,22 @@
 """Chaining anchors into collinear chains.
 
-``islands`` is chaining without gaps as window functions.  The order-dependent chainings run one read at a time
-over Arrow batches of its anchors; a read's anchors are bounded by the frequency filters before them.
+``islands`` is chaining without gaps as window functions.  The order-dependent chainings run over Arrow batches of sorted
+anchors, one read, sequence and strand after the other; most of these have few anchors, so a task holds one at a time.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.shared import Workspace
+
 #: Default limits and penalties.
 MAX_GAP, MIN_CNT, MIN_SCORE = 5000, 3, 40
 BAND, MAX_SKIP, MAX_ITER, GAP_PENALTY = 500, 25, 5000, 0.12
@@ -181,6 +184,14 @@ class _BestOf:
         return found
 
 
+@cache
+def _gap_costs(band: int, gap: float) -> list[int]:
+    """Costs of gaps of 0 to ``band``."""
+    costs = np.zeros(band + 1, np.float32)
+    costs[1:] = np.float32(gap) * np.arange(1, band + 1).astype(np.float32) + np.float32(0.5) * fast_log2(np.arange(2, band + 2))
+    return costs.astype(np.int32).tolist()
+
+
 def range_scores(
     rpos: np.ndarray, qpos: np.ndarray, span: np.ndarray, band: int = 20000, max_gap: int = MAX_GAP, gap: float = GAP_PENALTY, inner: int = 0, max_skip: int = MAX_SKIP
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +209,7 @@ def range_scores(
     by_q = qpos[order]
     first = np.searchsorted(by_q, qpos - max_gap, side="right").tolist()
     stop = np.searchsorted(by_q, qpos, side="left").tolist()
-    costs = np.zeros(band + 1, np.float32)
-    costs[1:] = np.float32(gap) * np.arange(1, band + 1).astype(np.float32) + np.float32(0.5) * fast_log2(np.arange(2, band + 2))
-    costs = costs.astype(np.int32).tolist()
+    costs = _gap_costs(band, gap)
     low = np.searchsorted(rpos, rpos - max_gap, side="left").tolist()
     before = np.searchsorted(rpos, rpos, side="left").tolist()
     near = np.searchsorted(rpos, rpos - inner, side="left").tolist()
@@ -297,20 +306,69 @@ def path_lengths(rpos: np.ndarray, qpos: np.ndarray, span: np.ndarray) -> tuple[
     return int(span[0] + matched.sum()), int(span[0] + np.maximum(dr, dq).sum())
 
 
-def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]], points: bool = False) -> DataFrame:
-    """Chains of each (read, sequence, strand), found by ``one`` from sorted positions; with ``points``, their anchors too."""
+#: Rows that a chaining task emits together.
+EMITTED = 10_000
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rpos", "ascending"), ("qpos", "ascending")])
-        rpos, qpos, span = (table.column(k).to_numpy().astype(np.int64) for k in ("rpos", "qpos", "span"))
+
+def _each(batches: Iterator[pa.RecordBatch], values: tuple[str, ...]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """(read_id, rid, rev) and the values' arrays of every group of sorted rows, which may go on in the next batch."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("read_id", "rid", "rev")]
+        columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in values]
+        changes = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+        begins = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        firsts = zip(*(x[begins].tolist() for x in keys), strict=True)
+        for begin, stop, own in zip(begins, [*begins[1:], batch.num_rows], firsts, strict=True):
+            if own != key and held:
+                yield key, [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
+                held = []
+            key = own
+            held.append([x[begin:stop] for x in columns])
+    if held:
+        yield key, [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
+
+
+def _over_groups(rows: DataFrame, values: tuple[str, ...], one: Callable[[tuple, list[np.ndarray]], list[dict]], schema: str, kinds: pa.Schema) -> DataFrame:
+    """Rows that ``one`` makes of every (read_id, rid, rev) and its values, which are sorted in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, arrays in _each(batches, values):
+            out += one(key, arrays)
+            if len(out) >= EMITTED:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    key = ("read_id", "rid", "rev")
+    dealt = rows.select(*key, *values).repartition(*key).sortWithinPartitions(*key, *values)
+    return dealt.mapInArrow(run, schema)
+
+
+def _grouped(
+    anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]], min_cnt: int, points: bool = False
+) -> DataFrame:
+    """Chains of each (read, sequence, strand), found by ``one`` from sorted positions; with ``points``, their anchors too.
+
+    Groups of fewer than ``min_cnt`` anchors have no chain.
+    """
+
+    def chained(key: tuple, arrays: list[np.ndarray]) -> list[dict]:
+        rpos, qpos, span = arrays
         rows = []
+        if len(rpos) < min_cnt:
+            return rows
         for k, (score, path) in enumerate(one(rpos, qpos, span)):
             mlen, blen = path_lengths(rpos[path], qpos[path], span[path])
             rows.append(
                 {
-                    "read_id": table.column("read_id")[0].as_py(),
-                    "rid": table.column("rid")[0].as_py(),
-                    "rev": table.column("rev")[0].as_py(),
+                    "read_id": key[0],
+                    "rid": key[1],
+                    "rev": key[2],
                     "chain": k,
                     "score": score,
                     "cnt": len(path),
@@ -325,9 +383,10 @@ def _grouped(anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarr
             )
             if points:
                 rows[-1]["points"] = [{"q": a, "t": b, "span": c} for a, b, c in zip(*(x[path].tolist() for x in (qpos, rpos, span)), strict=True)]
-        return pa.Table.from_pylist(rows, _CHAIN_SCHEMA.append(_POINTS) if points else _CHAIN_SCHEMA)
+        return rows
 
-    return anchors.groupBy("read_id", "rid", "rev").applyInArrow(run, _CHAIN + (", points array<struct<q int, t int, span int>>" if points else ""))
+    schema = _CHAIN + (", points array<struct<q int, t int, span int>>" if points else "")
+    return _over_groups(anchors, ("rpos", "qpos", "span"), chained, schema, _CHAIN_SCHEMA.append(_POINTS) if points else _CHAIN_SCHEMA)
 
 
 _POINTS = pa.field("points", pa.list_(pa.struct([(k, pa.int32()) for k in ("q", "t", "span")])))
@@ -338,12 +397,12 @@ _CHAIN_SCHEMA = pa.schema(
 
 def chain_dp(anchors: DataFrame, band: int = BAND, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE) -> DataFrame:
     """Chains by dynamic programming over predecessors within a band."""
-    return _grouped(anchors, lambda r, q, s: backtrack(*chain_scores(r, q, s, band), min_cnt, min_score, band))
+    return _grouped(anchors, lambda r, q, s: backtrack(*chain_scores(r, q, s, band), min_cnt, min_score, band), min_cnt)
 
 
 def chain_rmq(anchors: DataFrame, band: int = 20000, min_cnt: int = MIN_CNT, min_score: int = MIN_SCORE, inner: int = 0) -> DataFrame:
     """Chains by the best predecessor in range, for wide bands; with ``inner``, near predecessors are all tried."""
-    return _grouped(anchors, lambda r, q, s: backtrack(*range_scores(r, q, s, band, inner=inner), min_cnt, min_score, band))
+    return _grouped(anchors, lambda r, q, s: backtrack(*range_scores(r, q, s, band, inner=inner), min_cnt, min_score, band), min_cnt)
 
 
 def needs_rechaining(chains: DataFrame, lengths: DataFrame, rescue: int = 1000, ratio: float = 0.1) -> DataFrame:
@@ -367,9 +426,6 @@ def chain_again(
     Only anchors of the first chains are chained again, when ``band_long`` is the wider.  Both chainings are made
     where a read's anchors on one sequence and strand are, and the read's flag decides between them.
     """
-    whole = Window.partitionBy("read_id", "rid", "rev")
-    enough = anchors.withColumn("a_n", F.count("*").over(whole)).where(F.col("a_n") >= min_cnt).drop("a_n")
-
     def both(r: np.ndarray, q: np.ndarray, s: np.ndarray) -> list[tuple[int, list[int]]]:
         first = backtrack(*chain_scores(r, q, s, band, max_gap), min_cnt, min_score, band)
         if band_long <= band or not first:
@@ -379,7 +435,7 @@ def chain_again(
         # The sign of a score tells the two chainings apart.
         return first + [(-score, at[path].tolist()) for score, path in second]
 
-    found = _grouped(enough, both, points)
+    found = _grouped(anchors, both, min_cnt, points)
     if band_long <= band:
         return found
     # As ``needs_rechaining``, over a window, so that the anchors are made once.
@@ -437,21 +493,19 @@ def chain_greedy(matches: DataFrame, band: int = 100, max_gap: int = 10000) -> D
     schema = "read_id long, rid long, rev boolean, chain int, cnt int, weight int, rs int, re int, qs int, qe int"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rbeg", "ascending"), ("qbeg", "ascending"), ("mlen", "ascending")])
-        r, q, n = (table.column(k).to_numpy().astype(np.int64) for k in ("rbeg", "qbeg", "mlen"))
-        key = [table.column(k)[0].as_py() for k in ("read_id", "rid", "rev")]
+    def chained(key: tuple, arrays: list[np.ndarray]) -> list[dict]:
+        r, q, n = arrays
         rows = []
-        for k, path in enumerate(greedy(r, q, n, band, max_gap)):
+        for k, path in enumerate(greedy(*(x.tolist() for x in arrays), band, max_gap)):
             path = np.array(path)
             by_q = path[np.argsort(q[path], kind="stable")]
             weight = min(union_length(q[by_q], n[by_q]), union_length(r[path], n[path]))
             ends = (r[path].min(), (r[path] + n[path]).max(), q[path].min(), (q[path] + n[path]).max())
             rows.append(dict(zip(names, [*key, k, len(path), weight, *map(int, ends)], strict=True)))
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 7]
-        return pa.Table.from_pylist(rows, pa.schema(list(zip(names, kinds, strict=True))))
+        return rows
 
-    return matches.groupBy("read_id", "rid", "rev").applyInArrow(run, schema)
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 7]
+    return _over_groups(matches, ("rbeg", "qbeg", "mlen"), chained, schema, pa.schema(list(zip(names, kinds, strict=True))))
 
 
 def keep_chains(qs: np.ndarray, qe: np.ndarray, weight: np.ndarray, mask: float = 0.5, drop: float = 0.5, min_seed: int = 19, max_gap: int = 10000) -> np.ndarray:
@@ -460,26 +514,31 @@ def keep_chains(qs: np.ndarray, qe: np.ndarray, weight: np.ndarray, mask: float
     The overlap must be at least ``mask`` of the shorter, which must be below ``max_gap``; much heavier is by the
     ratio ``drop`` and by two seeds.
     """
-    kept: list[int] = []
-    for i in range(len(qs)):
-        for j in kept:
-            shared = min(qe[i], qe[j]) - max(qs[i], qs[j])
-            shorter = min(qe[i] - qs[i], qe[j] - qs[j])
-            if shared > 0 and shared >= shorter * mask and shorter < max_gap and weight[i] < weight[j] * drop and weight[j] - weight[i] >= 2 * min_seed:
-                break
-        else:
-            kept.append(i)
     out = np.zeros(len(qs), bool)
-    out[kept] = True
+    begin, end, heavy = (np.asarray(x, np.int64) for x in (qs, qe, weight))
+    kept, n = np.zeros((3, len(out)), np.int64), 0
+    for i in range(len(out)):
+        s, e, w = kept[:, :n]
+        shared, shorter = np.minimum(e, end[i]) - np.maximum(s, begin[i]), np.minimum(e - s, end[i] - begin[i])
+        if not ((shared > 0) & (shared >= shorter * mask) & (shorter < max_gap) & (heavy[i] < w * drop) & (w - heavy[i] >= 2 * min_seed)).any():
+            kept[:, n] = begin[i], end[i], heavy[i]
+            n, out[i] = n + 1, True
     return out
 
 
 def filter_chains(found: DataFrame, mask: float = 0.5, drop: float = 0.5) -> DataFrame:
-    """Greedy chains of each read without those that heavier ones make unlikely."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    """Greedy chains of each read without those that heavier ones make unlikely.
+
+    Only a lighter chain goes, and by its place on the read and its weight alone, so it is decided once for all chains of a
+    read that have these in common, however many references there are.  The chains are stored and read twice.
+    """
+    found = Workspace(found.sparkSession).stash(found, "chains")
+    key = ["read_id", "qs", "qe", "weight"]
+    spans = found.select(*key).distinct()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("weight", "descending"), ("rid", "ascending"), ("rev", "ascending"), ("rs", "ascending"), ("qs", "ascending")])
+        table = table.sort_by([("weight", "descending"), ("qs", "ascending"), ("qe", "ascending")])
         return table.filter(pa.array(keep_chains(*(table.column(k).to_numpy() for k in ("qs", "qe", "weight")), mask, drop)))
 
-    return found.groupBy("read_id").applyInArrow(run, fields)
+    return found.join(spans.groupBy("read_id").applyInArrow(run, fields), key, "left_semi").select(*found.columns)
