@@ -145,9 +145,12 @@ def minimizers(
 COUNTED, RANGE_BITS = 1 << 20, 10
 
 
-def occurrence_histogram(df: DataFrame, key: str, text: str = "text", w: int = W, k: int = K, alphabet: str = "text", compressed: bool = False) -> DataFrame:
+def occurrence_histogram(
+    df: DataFrame, key: str, text: str = "text", w: int = W, k: int = K, alphabet: str = "text", compressed: bool = False, least: int | None = None
+) -> DataFrame:
     """(occ, n): how many different minimizer hashes occur ``occ`` times.
 
+    With ``least``, hashes that occur more often have a row each, with a column ``hash`` that is null for the others.
     The histogram of ``index.occurrences`` of ``minimizers``, without a row for each.  Tasks count COUNTED minimizers
     together, so that a frequent hash is one of them, and send them as arrays, one for each range of hashes.
     """
@@ -160,7 +163,9 @@ def occurrence_histogram(df: DataFrame, key: str, text: str = "text", w: int = W
         part = found >> shift
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         ends = [*cut[1:].tolist(), len(found)]
-        low, n = (found & ((1 << shift) - 1)).astype(word), n.astype(np.uint32)
+        low, n = np.diff(found & ((1 << shift) - 1), prepend=0), n.astype(np.uint32)
+        low[cut] = found[cut] & ((1 << shift) - 1)  # differences within a range, which are small
+        low = low.astype(word)
         told = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] for x in (low, n)]
         return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *(pa.array(x, pa.binary()) for x in told)], ["part", "low", "n"])
 
@@ -177,13 +182,19 @@ def occurrence_histogram(df: DataFrame, key: str, text: str = "text", w: int = W
             yield packed(held)
 
     def count(table: pa.Table) -> pa.Table:
-        low, n = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("low", word), ("n", np.uint32)))
-        _, place = np.unique(low, return_inverse=True)
-        occ, times = np.unique(np.bincount(place, weights=n).astype(np.int64), return_counts=True)
-        return pa.table({"occ": occ, "n": times.astype(np.int64)})
-
-    parts = df.select(F.col(key), text).mapInArrow(pack, "part int, low binary, n binary").groupBy("part").applyInArrow(count, "occ long, n long")
-    return parts.groupBy("occ").agg(F.sum("n").alias("n"))
+        low = np.concatenate([np.cumsum(np.frombuffer(x, word).astype(np.int64)) for x in table.column("low").to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
+        found, place = np.unique(low, return_inverse=True)
+        total = np.bincount(place, weights=n).astype(np.int64)
+        often = np.zeros(len(total), bool) if least is None else total > least
+        occ, times = np.unique(total[~often], return_counts=True)
+        part = table.column("part")[0].as_py()
+        hashes = pa.concat_arrays([pa.nulls(len(occ), pa.int64()), pa.array((found[often] + (part << shift)).astype(np.int64))])
+        values = {"occ": np.concatenate([occ, total[often]]), "n": np.concatenate([times.astype(np.int64), np.ones(int(often.sum()), np.int64)])}
+        return pa.table({**values, "hash": hashes})
+
+    parts = df.select(F.col(key), text).mapInArrow(pack, "part int, low binary, n binary").groupBy("part").applyInArrow(count, "occ long, n long, hash long")
+    return parts if least is not None else parts.groupBy("occ").agg(F.sum("n").alias("n"))
 
 
 def nucleotides(df: DataFrame, key: str, text: str = "text") -> DataFrame:

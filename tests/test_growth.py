@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.jobs import mapping, seed_quality
-from strandloom.operators import chains, exact, index, seeds, sketch
+from strandloom.jobs.options import Options
+from strandloom.operators import chains, exact, index, seeds, sketch, tiles
 from strandloom.operators.align import Scoring, local_score, local_scores
 from tests.test_mapping import frame, words
 
@@ -94,3 +95,16 @@ def test_equal_chains_are_filtered_once(spark):
     result = chains.filter_chains(found)
     assert sorted(map(tuple, result.collect())) == sorted(r for r, x in zip(ordered, kept, strict=True) if x)
     assert result.columns == found.columns and 0 < kept.sum() < len(rows)
+
+
+@pytest.mark.parametrize("options", [Options(min_score=100), Options(min_score=60, compressed=True, k=13), Options(min_score=100, k=21, max_gap=100), Options(min_score=100, mid_occ_fraction=0.9)])
+def test_blocks_give_the_pairs_of_the_join(spark, options, monkeypatch):
+    shared, turned = words(3, 500), words(4, 400)
+    back = "".join(chr(ord("`") + 3 - ord(c) % 4) for c in reversed(turned))
+    texts = [words(20 + k, 200) + shared[k * 9 :] + words(60 + k, 200) for k in range(14)] + [turned + words(5, 99), back, shared[:200] + words(6, 300) + shared[200:], None, ""]
+    documents = frame(spark, texts, "doc_id")
+    wanted = sorted(mapping.overlap_all(documents, "doc_id", options, stored=mapping.stored_index(documents, "doc_id", options)).collect())
+    monkeypatch.setattr(tiles, "HELD", 300)
+    assert sorted(mapping.overlap_all(documents, "doc_id", options).collect()) == wanted and (wanted or options.mid_occ_fraction > 0.5)
+    whole = mapping.overlap_all(documents, "doc_id", options)
+    assert whole.dtypes == mapping.overlap_all(documents, "doc_id", options, stored=mapping.stored_index(documents, "doc_id", options)).dtypes
