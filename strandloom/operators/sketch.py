@@ -7,7 +7,7 @@ complement is skipped, ambiguous bases end a run, and a run of fewer than w k-me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +141,7 @@ def minimizers(
     return df.select(F.col(key).alias("rid"), text).mapInArrow(emit, f"rid {kind}, {SCHEMA}")
 
 
-#: Minimizers that a task counts together, and the logarithm of the number of ranges into which their hashes are dealt.
+#: Hashes that a task counts together, and the logarithm of the number of ranges into which their hashes are dealt.
 COUNTED, RANGE_BITS = 1 << 20, 10
 
 
@@ -151,29 +151,49 @@ def occurrence_histogram(
     """(occ, n): how many different minimizer hashes occur ``occ`` times.
 
     With ``least``, hashes that occur more often have a row each, with a column ``hash`` that is null for the others.
-    The histogram of ``index.occurrences`` of ``minimizers``, without a row for each.  Tasks count COUNTED minimizers
-    together, so that a frequent hash is one of them, and send them as arrays, one for each range of hashes.
+    The histogram of ``index.occurrences`` of ``minimizers``, without a row for each.
+    """
+
+    def told(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, None]]:
+        for _, _, _, hashed, _ in _slices(batch, w, k, alphabet, compressed):
+            yield hashed, None
+
+    return histogram_of(df.select(F.col(key), text), told, k, least)
+
+
+def histogram_of(rows: DataFrame, told: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray | None]]], k: int, least: int | None = None) -> DataFrame:
+    """``occurrence_histogram`` of the hashes that ``told`` reads from batches, with their numbers or none for one each.
+
+    Tasks count COUNTED hashes together, so that a frequent hash is one of them, and send them as arrays, one for each
+    range of hashes.
     """
     bits = 2 * k
     shift = max(0, bits - RANGE_BITS)
     word = np.uint32 if shift <= 32 else np.uint64
 
-    def packed(hashes: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(hashes), return_counts=True)
+    def packed(held: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+        hashes = np.concatenate([x for x, _ in held])
+        if held[0][1] is None:
+            found, n = np.unique(hashes, return_counts=True)
+        else:
+            order = np.argsort(hashes, kind="stable")
+            found = hashes[order]
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            found, n = found[first], np.add.reduceat(np.concatenate([x for _, x in held])[order], first)
         part = found >> shift
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         ends = [*cut[1:].tolist(), len(found)]
         low, n = np.diff(found & ((1 << shift) - 1), prepend=0), n.astype(np.uint32)
         low[cut] = found[cut] & ((1 << shift) - 1)  # differences within a range, which are small
         low = low.astype(word)
-        told = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] for x in (low, n)]
-        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *(pa.array(x, pa.binary()) for x in told)], ["part", "low", "n"])
+        told_ = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)] for x in (low, n)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *(pa.array(x, pa.binary()) for x in told_)], ["part", "low", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, _, hashed, _ in _slices(batch, w, k, alphabet, compressed):
-                held.append(hashed)
+            for hashed, n in told(batch):
+                held.append((hashed, n))
                 size += len(hashed)
                 if size >= COUNTED:
                     yield packed(held)
@@ -193,7 +213,7 @@ def occurrence_histogram(
         values = {"occ": np.concatenate([occ, total[often]]), "n": np.concatenate([times.astype(np.int64), np.ones(int(often.sum()), np.int64)])}
         return pa.table({**values, "hash": hashes})
 
-    parts = df.select(F.col(key), text).mapInArrow(pack, "part int, low binary, n binary").groupBy("part").applyInArrow(count, "occ long, n long, hash long")
+    parts = rows.mapInArrow(pack, "part int, low binary, n binary").groupBy("part").applyInArrow(count, "occ long, n long, hash long")
     return parts if least is not None else parts.groupBy("occ").agg(F.sum("n").alias("n"))
 
 

@@ -33,9 +33,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self._root}/{name}"
 
-    def stash(self, df: DataFrame, name: str) -> DataFrame:
+    def stash(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**(options or {})).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

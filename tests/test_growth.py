@@ -1,5 +1,8 @@
 """Steps whose work must grow no faster than the references: looked-up seeds, counted thresholds, batched scores and chains."""
 
+import itertools
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -108,3 +111,74 @@ def test_blocks_give_the_pairs_of_the_join(spark, options, monkeypatch):
     assert sorted(mapping.overlap_all(documents, "doc_id", options).collect()) == wanted and (wanted or options.mid_occ_fraction > 0.5)
     whole = mapping.overlap_all(documents, "doc_id", options)
     assert whole.dtypes == mapping.overlap_all(documents, "doc_id", options, stored=mapping.stored_index(documents, "doc_id", options)).dtypes
+
+
+def _chunk(rng, rids, sizes, hashes, compressed=False):
+    """Random minimizers, of which those of the last sequences repeat others'."""
+    parts, at = [], []
+    for n, size in enumerate(sizes):
+        hashed, places = rng.integers(0, hashes, size), np.sort(rng.choice(40 * size, size, replace=False))
+        if n % 2 and size > 30:
+            hashed[:30], places[:30] = parts[0][:30], at[0][:30] // 2 + n
+            places = np.maximum.accumulate(places + np.arange(size))
+        parts.append(hashed)
+        at.append(2 * places + rng.integers(0, 2, size))
+    found, nth = np.unique(np.concatenate(parts), return_inverse=True)
+    span = rng.integers(15, 30, len(nth)) if compressed else np.zeros(0, np.int64)
+    return tiles.Chunk(pa.array(rids), np.array([int(x.max()) // 2 + 20 for x in at]), np.array(sizes), found, nth, np.concatenate(at), span)
+
+
+def _gathered(chunks, often=(), k=15, compressed=False):
+    held = tiles._Gathered(sum(len(c.nth) for c in chunks), sketch.Known(np.array(often, np.int64)), k, compressed)
+    for c in chunks:
+        held.add(c)
+    return tiles.Comparison(held.group(), k, compressed, 500, 3, 60)
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+@pytest.mark.parametrize("held", [7, 300, 1 << 17])
+def test_groups_and_chunks_give_the_islands_of_every_two(spark, compressed, held, monkeypatch):
+    rng = np.random.default_rng(5)
+    chunks = [_chunk(rng, [f"s{x * 7 % 11:02}" for x in range(a, a + 4)], [40, 60, 50, 45], 60, compressed) for a in (0, 4)]
+    rows = []
+    for c in chunks:
+        doc = np.repeat(np.arange(4), c.count)
+        rows += [(c.rids[int(d)].as_py(), int(a) >> 1, int(a) & 1, int(h), int(s), int(c.len[d])) for d, a, h, s in zip(doc, c.at, c.hash[c.nth], c.span if compressed else [15] * len(doc), strict=True) if h not in (3, 9)]
+    m = spark.createDataFrame(rows, "rid string, pos int, strand int, hash long, span int, len int")
+    found = seeds.anchors(m.drop("len"), m.drop("len"), m.select("rid", "len").distinct()).where("read_id < rid")
+    regions = chains.islands(found, 500).where("cnt >= 3 AND score >= 60")
+    wanted = regions.groupBy("read_id", "rid", "rev").agg(F.max("score"), F.sum("mlen"), F.count("*")).collect()
+    monkeypatch.setattr(tiles, "HELD", held)
+    monkeypatch.setattr(tiles, "CHUNK", 64)
+    by, whole = _gathered(chunks[:1], (3, 9), compressed=compressed), _gathered(chunks, (3, 9), compressed=compressed)
+    other = _gathered(chunks[1:], (3, 9), compressed=compressed)
+    dealt = [tuple(r.values()) for x in itertools.chain(by.own(), by.other(chunks[1]), other.own()) for r in x.to_pylist()]
+    assert sorted(dealt) == sorted(map(tuple, wanted)) == sorted(tuple(r.values()) for x in whole.own() for r in x.to_pylist()) and dealt
+
+
+@pytest.mark.parametrize("sizes", [[4000] * 20, [40, 79_960]])
+def test_anchors_are_held_a_bounded_number_at_a_time(sizes):
+    """Over six million anchors, of twenty sequences or most of them of one."""
+    rng = np.random.default_rng(6)
+    by, c = _gathered([_chunk(rng, list(range(100, 120)), [4000] * 20, 1000)]), _chunk(rng, list(range(len(sizes))), sizes, 1000)
+    tracemalloc.start()
+    list(by.other(c))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20
+
+
+def test_stored_chunks_are_small_rows(spark):
+    documents = frame(spark, [words(k, 4000) for k in range(300)], "doc_id").coalesce(1)
+    sizes = tiles.chunks(documents, "doc_id", 10, 15, "text", False).select("n", F.size("rids").alias("d"), F.expr("length(hash) + length(nth) + length(at)").alias("b")).collect()
+    assert sum(r.n for r in sizes) == sketch.minimizers(documents, "doc_id").count() and sum(r.d for r in sizes) == 300
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 2 * tiles.CHUNK and max(r.b for r in sizes) < 1 << 20
+
+
+def test_every_two_groups_meet_once():
+    for n in range(1, 9):
+        dealt = tiles._dealt(np.full(n, 5), 3)
+        assert [x for a, b in dealt for x in range(a, b)] == list(range(n)) and len(dealt) <= max(3, n)
+        met = [frozenset((g, x)) for g in range(n) for x in tiles._others(g, n)]
+        assert sorted(map(sorted, met)) == [[a, b] for a in range(n) for b in range(a + 1, n)]
+    assert max(b - a for a, b in tiles._dealt(np.full(100, tiles.CHUNK), 3)) * tiles.CHUNK <= tiles.GROUP
