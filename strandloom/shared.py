@@ -36,7 +36,7 @@ class Workspace:
     def stash(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         path = self.path(name)
         df.write.mode("overwrite").options(**(options or {})).parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        return self._spark.read.schema(df.schema).options(**(options or {})).parquet(path)
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
