@@ -350,7 +350,7 @@ def _over_groups(rows: DataFrame, values: tuple[str, ...], one: Callable[[tuple,
 
 
 def _grouped(
-    anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]], min_cnt: int, points: bool = False
+    anchors: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[int, list[int]]]], min_cnt: int = MIN_CNT, points: bool = False
 ) -> DataFrame:
     """Chains of each (read, sequence, strand), found by ``one`` from sorted positions; with ``points``, their anchors too.
 
